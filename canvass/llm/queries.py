@@ -6,10 +6,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from canvass.llm import byte_bpe, simhash, substring_dedup
+from canvass.llm import byte_bpe, chat_format, decontaminate, hnsw, language, quality, simhash, substring_dedup, suffix_dedup, toxicity
+from canvass.llm.samples import fold
 from canvass.llm.common import read
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = suffix_dedup.remove_repeats(read(spark, sf_dir, "documents"), length=100)
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = byte_bpe.encode(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, decoded=True)
     return ids.select(
@@ -20,18 +26,53 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _predicted(scores: DataFrame, parts: int, held_out: int) -> DataFrame:
+    return scores.select("doc_id", (fold(parts) == held_out).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = quality.fit(docs, read(spark, sf_dir, "labels"), parts=3, held_out=1)
+    return _predicted(quality.score(docs, model), 3, 1)
+
+
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    messages = chat_format.turns_as_messages(read(spark, sf_dir, "conversations"))
+    return chat_format.link(messages, chat_format.REPLY)
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    network = toxicity.fit(docs, read(spark, sf_dir, "labels"), parts=5, held_out=0)
+    return _predicted(toxicity.score(docs, network), 5, 0)
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = substring_dedup.remove_repeats(read(spark, sf_dir, "documents"), window=13)
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op7_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.nearest(read(spark, sf_dir, "embeddings"), k=20, every=20)
+
+
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    found = language.predict(docs, language.fit(docs, parts=4, held_out=2))
+    return found.select("doc_id", (fold(4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(read(spark, sf_dir, "documents"), width=4, most=4, seed=42)
     return found.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def queries() -> dict:
-    return {"op2_byte_bpe": op2_byte_bpe, "op6_substring_dedup": op6_substring_dedup, "op10_simhash": op10_simhash}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_byte_bpe, op3_quality, op4_chat_format, op5_toxicity, op6_substring_dedup, op7_hnsw, op8_language, op9_decontaminate, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:

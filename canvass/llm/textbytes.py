@@ -14,6 +14,9 @@ U = np.uint64
 #: Word separators: space, tab, line feed, vertical tab, form feed, return.
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: All bytes but digits, letters and those over 127.
+NO_LETTER = np.ones(256, bool)
+NO_LETTER[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 BASES = (U(0x9E3779B97F4A7C15), U(0xD1342543DE82EF95))
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -59,12 +62,12 @@ def binary(data: np.ndarray, offsets: np.ndarray, kind: pa.DataType | None = Non
     return pa.Array.from_buffers(kind or pa.binary(), len(offsets) - 1, [None, pa.py_buffer(np.ascontiguousarray(offsets, np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def words(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end of every word, and the n + 1 offsets of each text's words."""
     n = len(data)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
-    inside = ~SPACE[data]
+    inside = ~space[data]
     before = np.empty(n, bool)
     before[0] = False
     before[1:] = inside[:-1]
@@ -79,6 +82,15 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+def lower(data: np.ndarray) -> np.ndarray:
+    """A-Z and the capitals of Latin-1 (in UTF-8) in lower case."""
+    out = data.copy()
+    out[(data >= 65) & (data <= 90)] += 32
+    capital = np.flatnonzero((data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97) & (data[:-1] == 0xC3)) + 1
+    out[capital] += 32
+    return out
+
+
 def powers(n: int, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd base and of its inverse modulo 2**64."""
     have = _powers.get(which)
