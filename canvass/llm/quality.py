@@ -208,15 +208,15 @@ def score(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ()) -> D
     """``doc_id, *keep, score`` for every document."""
     spark = docs.sparkSession
     small_batches(spark)
-    base = docs.where("doc_id IS NOT NULL").withColumns({"doc_id": F.col("doc_id").cast("long"), "whole": F.coalesce(F.col("text").cast("string"), F.lit(""))}).select("doc_id", *keep, "whole")
+    base = docs.where("doc_id IS NOT NULL").withColumns({"doc_id": F.col("doc_id").cast("long"), "text": F.col("text").cast("string")}).select("doc_id", "text", *(k for k in keep if k != "text"))
     if model is None:
-        return base.drop("whole").withColumn("score", F.lit(0.5))
+        return base.select("doc_id", *keep, F.lit(0.5).alias("score"))
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches):
         for batch in batches:
-            value = shared.value.score(*tb.column(batch.column("whole"))) if batch.num_rows else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(value)], [*batch.schema.names[:-1], "score"])
+            value = shared.value.score(*tb.column(batch.column("text"))) if batch.num_rows else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in ("doc_id", *keep)), pa.array(value)], ["doc_id", *keep, "score"])
 
     kinds = dict(base.dtypes)
     return base.mapInArrow(run, ", ".join(["doc_id long", *(f"`{k}` {kinds[k]}" for k in keep), "score double"]))
