@@ -107,3 +107,28 @@ def zip_counties(parcels: DataFrame) -> DataFrame:
 
     counts = parcels.groupBy("zip", "county").agg(F.count("*").alias("n"))
     return counts.withColumn("county_rank", F.row_number().over(W.partitionBy("zip").orderBy(F.desc("n"), "county")))
+
+
+def score_cascade(contacts: DataFrame, demographic: DataFrame, residential: DataFrame) -> DataFrame:
+    """The other cascade: address with phone, address, phone, name with address.
+    A sure hit of the first or third kind wins at once; else the highest score,
+    and of equal scores the earlier kind, then the smaller parcel."""
+    c, d, r = prepare(contacts, demographic, residential)
+    both = r.join(d, ["county", "parcel_id"])
+    own = c.withColumn("house", T.house_number(F.col("address_key")))
+    at = own.where("house IS NOT NULL").join(both.withColumn("r_house", T.house_number(F.col("r_key"))), (own.county == both.county) & (F.col("house") == F.col("r_house")) & _zip_ok("zip_key", "r_zip")).drop(both.county)
+    at = at.withColumn("s", T.fuzzy_score(F.col("address_key"), F.col("r_key"))).where(F.col("s") > FUZZY_LEAST)
+    kind = T.name_match(F.col("first_key"), F.col("last_key"), F.col("d_full_key"))
+    at = at.withColumn("name_kind", kind)
+    hits = [
+        (0, "address_phone", at.where(F.col("phone_key") == F.col("d_phone_key")), F.col("s")),
+        (1, "address", at, F.col("s")),
+        (2, "phone", c.join(d, (c.county == d.county) & (F.col("phone_key") == F.col("d_phone_key"))).drop(d.county), F.lit(1.0)),
+        (3, "name_address", at.where("name_kind IS NOT NULL"), F.when((F.col("s") == 1) & (F.col("name_kind") == "exact"), 1.0).otherwise(F.col("s") * 0.9)),
+    ]
+    rows = [x.select("contact_id", "county", "parcel_id", F.lit(k).alias("kind"), F.lit(name).alias("method"), score.alias("score")) for k, name, x, score in hits]
+    every = reduce(DataFrame.unionByName, rows)
+    first = F.when((F.col("kind") == 0) & (F.col("score") == 1), 0).when(F.col("kind") == 2, 1).otherwise(2)
+    order = F.struct(first.alias("f"), (-F.col("score")).alias("s"), F.col("kind"), F.col("county"), F.col("parcel_id"))
+    out = every.groupBy("contact_id").agg(F.min_by(F.struct("county", "parcel_id", "method", "score"), order).alias("m")).select("contact_id", "m.*")
+    return out.withColumn("quality", F.when(F.col("score") == 1, "good").otherwise("fuzzy"))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from canvass.queries import rollups
+from canvass.queries import dashboards, linkage, rollups, rules
 
-MODULES = (rollups,)
+MODULES = (rollups, dashboards, linkage, rules)
 
 
 def queries() -> dict:

@@ -195,8 +195,8 @@ def union_sources(spark, sf):
     return both.groupBy("kind", F.year("at").alias("year"), "state").agg(F.count("*").alias("n"), F.min("id").alias("first"))
 
 
-UNION_SOURCES = """WITH u AS (SELECT o_orderkey AS id, o_orderdate AS at, o_orderstatus AS state, 'order' AS kind FROM orders UNION ALL SELECT event_id, ts, NULL, 'event' FROM events)
-SELECT kind, CAST(year(at) AS INTEGER) AS year, state, count(*) AS n, min(id) AS first FROM u GROUP BY ALL"""
+UNION_SOURCES = """WITH u AS (SELECT o_orderkey AS id, o_orderdate AS t, o_orderstatus AS state, 'order' AS kind FROM orders UNION ALL SELECT event_id, ts, NULL, 'event' FROM events)
+SELECT kind, CAST(year(t) AS INTEGER) AS year, state, count(*) AS n, min(id) AS first FROM u GROUP BY ALL"""
 
 
 def first_wins_dedupe(spark, sf):

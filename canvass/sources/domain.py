@@ -16,7 +16,7 @@ EXPOSURES = """exposures AS (
   SELECT o_custkey AS participant_id, l_suppkey AS campaign_id, l_partkey AS part_id,
          CASE l_linenumber % 5 WHEN 0 THEN 'email' WHEN 1 THEN 'text_morning' WHEN 2 THEN 'text_evening' WHEN 3 THEN 'mailer' ELSE 'letter' END AS channel,
          l_returnflag <> 'N' AS opened, l_returnflag = 'R' AS clicked, l_linestatus = 'F' AND l_returnflag = 'N' AS bounced,
-         l_shipdate AS sent_at, CAST(l_extendedprice * l_discount AS DECIMAL(18,2)) AS savings,
+         l_shipdate AS sent_at, l_extendedprice * l_discount AS savings,
          CASE WHEN l_returnflag = 'R' THEN 'engaged' WHEN l_returnflag <> 'N' THEN 'received' ELSE 'no_engagement' END AS status
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
 
@@ -38,7 +38,7 @@ def exposures(spark: SparkSession, sf_dir: str) -> DataFrame:
             clicked.alias("clicked"),
             ((F.col("l_linestatus") == "F") & ~opened).alias("bounced"),
             F.col("l_shipdate").alias("sent_at"),
-            (F.col("l_extendedprice") * F.col("l_discount")).cast("decimal(18,2)").alias("savings"),
+            (F.col("l_extendedprice") * F.col("l_discount")).alias("savings"),
         )
         .withColumn("status", V.status(F.col("channel"), F.col("clicked"), F.col("opened")))
     )
