@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from canvass.queries import dashboards, linkage, rollups, rules
+from canvass.queries import dashboards, features, linkage, rollups, rules, statistics
 
-MODULES = (rollups, dashboards, linkage, rules)
+MODULES = (rollups, dashboards, linkage, rules, features, statistics)
 
 
 def queries() -> dict:
