@@ -78,12 +78,12 @@ SELECT l_suppkey, count(*) FILTER (WHERE v) AS validation, count(*) AS n, CAST(s
 
 def fill_defaults(spark, sf):
     """Participants without exposures get zeros, without segment 'Unknown'."""
-    n = table(spark, sf, "orders").where("o_totalprice > 250000").groupBy("o_custkey").agg(F.count("*").alias("n"), F.round(F.avg("o_totalprice"), 3).alias("mean"))
+    n = table(spark, sf, "orders").where("o_totalprice > 250000").groupBy("o_custkey").agg(F.count("*").alias("n"), F.round(F.avg("o_totalprice"), 6).alias("mean"))
     c = table(spark, sf, "customer").select("c_custkey", F.when(F.col("c_custkey") % 4 != 0, F.col("c_mktsegment")).alias("segment"))
     return c.join(n, F.col("c_custkey") == F.col("o_custkey"), "left").drop("o_custkey").fillna(0, ["n", "mean"]).fillna("Unknown", ["segment"])
 
 
-FILL = """WITH n AS (SELECT o_custkey, count(*) AS n, round(avg(o_totalprice), 3) AS mean FROM orders WHERE o_totalprice > 250000 GROUP BY 1)
+FILL = """WITH n AS (SELECT o_custkey, count(*) AS n, round(avg(o_totalprice), 6) AS mean FROM orders WHERE o_totalprice > 250000 GROUP BY 1)
 SELECT c_custkey, coalesce(CASE WHEN c_custkey % 4 <> 0 THEN c_mktsegment END, 'Unknown') AS segment, coalesce(n, 0) AS n, coalesce(mean, 0) AS mean FROM customer LEFT JOIN n ON c_custkey = o_custkey"""
 
 
@@ -91,11 +91,11 @@ def county_summary(spark, sf):
     p = participants(spark, sf)
     e = exposures(spark, sf).groupBy("participant_id").agg(F.max(F.col("clicked").cast("int")).alias("clicked"))
     g = p.join(e, "participant_id").groupBy("county").agg(F.count("*").alias("n"), F.avg("income").alias("income"), F.sum("clicked").alias("clicks"), F.avg("clicked").alias("rate"))
-    return g.select("county", "n", F.round("income", 2).alias("income"), "clicks", F.round("rate", 4).alias("rate"))
+    return g.select("county", "n", F.round("income", 6).alias("income"), "clicks", F.round("rate", 6).alias("rate"))
 
 
 COUNTY = f"""WITH {EXPOSURES}, {PARTICIPANTS}, e AS (SELECT participant_id, max(CAST(clicked AS INTEGER)) AS clicked FROM exposures GROUP BY 1)
-SELECT county, count(*) AS n, round(avg(income), 2) AS income, CAST(sum(clicked) AS BIGINT) AS clicks, round(avg(clicked), 4) AS rate FROM participants JOIN e USING (participant_id) GROUP BY county"""
+SELECT county, count(*) AS n, round(avg(income), 6) AS income, CAST(sum(clicked) AS BIGINT) AS clicks, round(avg(clicked), 6) AS rate FROM participants JOIN e USING (participant_id) GROUP BY county"""
 
 
 def variable_summary(spark, sf):
