@@ -72,35 +72,52 @@ def _unpack(batch: pa.RecordBatch, first: np.ndarray) -> tuple[np.ndarray, np.nd
     return text, (places >> 2 * BITS) + first[text], (places >> BITS) & low, places & low
 
 
-def _extend(length: int, window: int, last: bool):
+def _extend(length: int, window: int):
     """From places with runs of half the length to runs of this length: those
     that start there, for the windows that hold them, and for the other windows
-    those that end with it.  The last level gives the windows' hashes too."""
+    those that end with the shorter run or, near the middle, lie around it."""
     half = length // 2
 
     def run(batches):
         for batch in batches:
             data, offsets = tb.column(batch.column("text"))
             starts, ends, first = tb.words(data, offsets)
-            hashes = [tb.word_hashes(data, starts, ends, k) for k in range(1 + last)]
             text, at, least, most = _unpack(batch, first)
-            fits = window - length  # the most words before a run that starts a window
-            right, left = least <= fits, most > fits
-            begin = np.concatenate([at[right], at[left] - half])
-            low = np.concatenate([least[right], np.maximum(least[left], fits + 1) - half])
-            high = np.concatenate([np.minimum(most[right], fits), most[left] - half])
-            text = np.concatenate([text[right], text[left]])
-            ids = np.asarray(batch.column("doc_id"))[text]
+            fits = window - length  # the most words before a run of this length in a window
+            edge = max(fits + 1, half)  # from here on the longer run can end with the shorter one
+            right, left = least <= fits, most >= edge
+            # Windows between these hold only longer runs that begin at another word each.
+            most_between, least_between = np.minimum(most, edge - 1), np.maximum(least, fits + 1)
+            number = np.maximum(most_between - least_between + 1, 0)
+            between = np.repeat(at, number) - (tb.repeat_ranges(least_between, number) - fits)
+            begin = np.concatenate([at[right], at[left] - half, between])
+            low = np.concatenate([least[right], np.maximum(least[left], edge) - half, np.full(len(between), fits)])
+            high = np.concatenate([np.minimum(most[right], fits), most[left] - half, np.full(len(between), fits)])
+            text = np.concatenate([text[right], text[left], np.repeat(text, number)])
             place = ((begin - first[text]) << 2 * BITS) | (low << BITS) | high
-            grams = tb.grams(hashes[0], length)
-            columns = [pa.array(grams[begin].view(np.int64) if len(begin) else begin), pa.array(ids), pa.array(place)]
-            if last:
-                at = tb.repeat_ranges(begin - high, high - low + 1)
-                bounds = pa.array(np.concatenate([[0], np.cumsum(high - low + 1)]).astype(np.int32))
-                for k in range(2):
-                    full = tb.grams(hashes[k], window, k)
-                    columns.append(pa.ListArray.from_arrays(bounds, pa.array(full[at].view(np.int64) if len(at) else at)))
-            yield pa.RecordBatch.from_arrays(columns, ["run", "doc_id", "place", *["w1", "w2"] * last])
+            grams = tb.grams(tb.word_hashes(data, starts, ends), length)
+            columns = [pa.array(grams[begin].view(np.int64) if len(begin) else begin), pa.array(np.asarray(batch.column("doc_id"))[text]), pa.array(place)]
+            yield pa.RecordBatch.from_arrays(columns, ["run", "doc_id", "place"])
+
+    return run
+
+
+def _windows(window: int):
+    """The 128-bit hash of each window that has its run at a listed place."""
+
+    def run(batches):
+        for batch in batches:
+            data, offsets = tb.column(batch.column("text"))
+            starts, ends, first = tb.words(data, offsets)
+            text, at, least, most = _unpack(batch, first)
+            number = most - least + 1
+            begin = tb.repeat_ranges(at - most, number)
+            text = np.repeat(text, number)
+            columns = [pa.array(np.asarray(batch.column("doc_id"))[text]), pa.array(begin - first[text])]
+            for k in range(2):
+                full = tb.grams(tb.word_hashes(data, starts, ends, k), window, k)
+                columns.append(pa.array(full[begin].view(np.int64) if len(begin) else begin))
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "w1", "w2"])
 
     return run
 
@@ -115,22 +132,14 @@ def _remove(keep: tuple[str, ...], window: int):
             at, bounds = tb.lists(batch.column("starts"))
             at = at + np.repeat(first[:-1], np.diff(bounds))
             gone = tb.covered(len(starts), at, at + window) if len(starts) else np.zeros(0, bool)
-            stay = np.flatnonzero(~gone)
-            size = ends[stay] - starts[stay] + 1
-            owner = np.searchsorted(first, stay, "right") - 1
-            left = np.zeros(len(offsets) - 1, np.int64)
-            np.add.at(left, owner, 1)
-            out = np.append(data, np.uint8(32))[np.minimum(tb.repeat_ranges(starts[stay], size), len(data))]
-            stop = np.cumsum(size)
-            out[stop - 1] = 32  # joined by one space
-            final = np.ones(len(out), bool)
-            tail = np.cumsum(left)[left > 0] - 1
-            final[stop[tail] - 1] = False  # and none after the last
-            byte = np.zeros(len(offsets) - 1, np.int64)
-            np.add.at(byte, owner, size)
-            byte[left > 0] -= 1
-            number = np.diff(first)
-            columns = [batch.column("doc_id"), *(batch.column(k) for k in keep), pa.array(number), pa.array(number - left), tb.binary(out[final], np.concatenate([[0], np.cumsum(byte)]), pa.string())]
+            total = np.concatenate([[0], np.cumsum(gone)])
+            # A word goes with the white space after it; all other white space stays.
+            out = np.flatnonzero(gone)
+            follows = np.append(starts, len(data))[out + 1] if len(out) else out
+            stops = np.minimum(follows, offsets[np.searchsorted(first, out, "right")])
+            left = ~tb.covered(len(data), starts[out], stops)
+            size = np.concatenate([[0], np.cumsum(left)])[offsets]
+            columns = [batch.column("doc_id"), *(batch.column(k) for k in keep), pa.array(np.diff(first)), pa.array(np.diff(total[first])), tb.binary(data[left], size, pa.string())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", *keep, "n_words", "n_removed", "kept"])
 
     return run
@@ -142,44 +151,45 @@ def _repeated(runs: DataFrame, *keys: str) -> DataFrame:
 
 
 def repeated_windows(docs: DataFrame, window: int, scratch: Scratch) -> DataFrame:
-    """``doc_id, start`` (in words) of each window that also starts in a
-    document with a smaller doc_id."""
+    """``doc_id, starts``: where (in words) the windows of a document start that
+    also start in one with a smaller doc_id."""
     if not BASE < window < 1 << BITS:
         raise ValueError(f"a window has over {BASE} and under {1 << BITS} words")
     texts = docs.select("doc_id", "text")
-    runs = scratch.keep(texts.mapInArrow(_anchors(window), "run long, doc_id long, place long"))
-    steps = levels(window)[1:] or [BASE]
-    for length in steps:
-        last = length == steps[-1]
-        left = scratch.keep(runs.join(_repeated(runs, "run"), "run", "left_semi").select("doc_id", "place"))
-        scratch.drop(runs)
-        places = left.distinct().groupBy("doc_id").agg(F.sort_array(F.collect_list("place")).alias("places"))
-        run = _extend(length, window, last) if length > BASE else None
-        if run is None:
-            raise ValueError("a window needs 5 words or more")
-        schema = "run long, doc_id long, place long" + ", w1 array<long>, w2 array<long>" * last
-        runs = scratch.keep(texts.join(places, "doc_id").mapInArrow(run, schema))
+    schema = "run long, doc_id long, place long"
+
+    def places(runs: DataFrame) -> DataFrame:
+        """For each document where the runs that others have too are."""
+        often = scratch.keep(_repeated(runs, "run"))
+        again = runs.join(often, "run", "left_semi").select("doc_id", "place")
+        kept = scratch.keep(again.groupBy("doc_id").agg(F.collect_set("place").alias("places")))
+        scratch.drop(runs, often)
+        return kept
+
+    left = places(scratch.keep(texts.mapInArrow(_anchors(window), schema)))
+    for length in levels(window)[1:]:
+        runs = scratch.keep(texts.join(left, "doc_id").mapInArrow(_extend(length, window), schema))
         scratch.drop(left)
-    low = (1 << BITS) - 1
-    alive = runs.join(_repeated(runs, "run"), "run", "left_semi")
-    each = alive.select("doc_id", "place", F.posexplode(F.arrays_zip("w1", "w2")).alias("i", "w"))
-    begin = F.expr(f"shiftright(place, {2 * BITS}) - (place & {low}) + i")
-    found = scratch.keep(each.select("doc_id", begin.cast("long").alias("start"), "w.w1", "w.w2").distinct())
-    scratch.drop(runs)
-    marked = scratch.keep(found.join(_repeated(found, "w1", "w2"), ["w1", "w2"]).where("owner < doc_id").select("doc_id", "start"))
-    scratch.drop(found)
-    return marked
+        left = places(runs)
+    found = scratch.keep(texts.join(left, "doc_id").mapInArrow(_windows(window), "doc_id long, start long, w1 long, w2 long"))
+    scratch.drop(left)
+    # Written first, so that the join reads two plain tables and its large keys can be split.
+    often = scratch.keep(_repeated(found, "w1", "w2"))
+    marked = found.join(often, ["w1", "w2"]).where("owner < doc_id").select("doc_id", "start")
+    kept = scratch.keep(marked.groupBy("doc_id").agg(F.collect_set("start").alias("starts")))
+    scratch.drop(found, often)
+    return kept
 
 
 def remove_repeats(docs: DataFrame, window: int = 13, keep: tuple[str, ...] = (), scratch: Scratch | None = None) -> DataFrame:
     """``doc_id, *keep, n_words, n_removed, kept``: for every document the
-    number of its words and of those removed, and the others joined by one
-    space.  Windows are judged on the input."""
+    number of its words and of those removed, and its text without these, each
+    cut with the white space after it.  Windows are judged on the input."""
     spark = docs.sparkSession
     small_batches(spark)
     scratch = scratch or Scratch(spark, "substrings")
     base = docs.where("doc_id IS NOT NULL").withColumns({"doc_id": F.col("doc_id").cast("long"), "text": F.coalesce(F.col("text").cast("string"), F.lit(""))}).select("doc_id", "text", *keep)
-    marked = repeated_windows(base, window, scratch).groupBy("doc_id").agg(F.collect_list("start").alias("starts"))
+    marked = repeated_windows(base, window, scratch)
     kinds = dict(base.dtypes)
     schema = ", ".join(["doc_id long", *(f"`{k}` {kinds[k]}" for k in keep), "n_words long, n_removed long, kept string"])
     return base.join(marked, "doc_id", "left").mapInArrow(_remove(keep, window), schema)

@@ -38,7 +38,7 @@ U = np.uint64
 RUN = 32
 BITS = 10  # of a place's offsets within a string
 LOW = (1 << BITS) - 1
-SUFFIXES_PER_BUCKET = 60_000
+SUFFIXES_PER_BUCKET = 25_000
 
 
 def run_hashes(data: np.ndarray) -> np.ndarray:
@@ -86,10 +86,14 @@ def matrix(data: np.ndarray, begin: np.ndarray, size: np.ndarray, width: int, st
     """A row of ``width`` bytes for each suffix, zero after its end; step -1
     reads backwards from ``begin``."""
     width = -(-width // 8) * 8
-    reach = np.arange(width)
-    at = begin[:, None] + step * reach
-    there = reach < size[:, None]
-    return np.where(there, data[np.where(there, at, 0)] if len(data) else 0, 0).astype(np.uint8)
+    out = np.zeros((len(begin), width), np.uint8)
+    reach = np.arange(width, dtype=np.int64)
+    for low in range(0, len(begin), 4096):  # in parts: the places take eight times the bytes
+        part = slice(low, low + 4096)
+        there = reach < size[part, None]
+        at = begin[part, None] + step * reach
+        out[part][there] = data[at[there]]
+    return out
 
 
 def multikey_sort(rows: np.ndarray) -> np.ndarray:
@@ -216,9 +220,10 @@ def repeated_spans(texts: DataFrame, length: int, scratch: Scratch) -> DataFrame
         raise ValueError(f"a string has over {RUN} and under {1 << BITS} bytes")
     spark = texts.sparkSession
     anchors = scratch.keep(texts.mapInArrow(_anchors(length), "run long, doc_id long, place long"))
-    often = anchors.groupBy("run").count().where("count > 1").select("run")
+    # Written first, so that the join reads two plain tables and its large keys can be split.
+    often = scratch.keep(anchors.groupBy("run").count().where("count > 1").select("run"))
     left = scratch.keep(anchors.join(often, "run", "left_semi").select("doc_id", "place"))
-    scratch.drop(anchors)
+    scratch.drop(anchors, often)
     places = left.distinct().groupBy("doc_id").agg(F.collect_list("place").alias("places"))
     suffixes = scratch.keep(texts.join(places, "doc_id").mapInArrow(_contexts(length), "doc_id long, place long, bytes binary"))
     scratch.drop(left)
