@@ -29,13 +29,16 @@ from canvass.llm import textbytes as tb
 from canvass.llm.common import Scratch, documents, small_batches
 
 FEATURES = 1 << 14
-RANK, EXTRA = 64, 16
+RANK, EXTRA = 40, 8
 BLOCK_FEATURES = 256
 PASSAGE, STRIDE = 48, 16
-COSINE = 0.42
+COSINE = 0.3
 FOUND, LIKELY, ANSWER_FOUND = 0.7, 0.5, 0.75
 ANSWER = 8  # words
 ITEMS = 5000
+SLOTS = 1 << 11  # places of a word in the table that bounds a common subsequence
+BATCH = 128  # texts in a batch: its arrays should fit a core's cache
+
 
 def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash and feature of each word, and the texts' word offsets."""
@@ -54,13 +57,25 @@ def pieces(first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(first[:-1], per) + step * size, bounds
 
 
+def slots(begin: np.ndarray, end: np.ndarray, f: np.ndarray, width: int) -> np.ndarray:
+    """The features of each run of words, filled up to ``width`` with FEATURES,
+    which stands for no word."""
+    at = begin[:, None] + np.arange(width)
+    return np.where(at < end[:, None], f[np.minimum(at, len(f) - 1)], FEATURES)
+
+
+def with_none(rows: np.ndarray) -> np.ndarray:
+    """One row of zeros more, for no word."""
+    return np.concatenate([rows, np.zeros((1, rows.shape[1]), rows.dtype)])
+
+
 def _count(batches):
     total, number = np.zeros(FEATURES, np.int64), 0
     for batch in batches:
         _, f, first = tokens(*tb.column(batch.column("text")))
         begin, _ = pieces(first, PASSAGE)
         if len(begin):
-            passage = np.searchsorted(begin, np.arange(len(f)), "right") - 1
+            passage = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(f))))
             total += np.bincount(np.unique(passage * FEATURES + f) % FEATURES, minlength=FEATURES)
             number += len(begin)
     some = np.flatnonzero(total)
@@ -88,18 +103,21 @@ def _multiply(weights, seed: int):
     def run(batches):
         idf = weights.value
         omega = np.random.default_rng(seed).standard_normal((FEATURES, RANK + EXTRA)).astype(np.float32)
-        scaled = omega * idf[:, None]
+        scaled = with_none(omega * idf[:, None])
+        square = np.append(idf**2, np.float32(0))
         total = np.zeros((FEATURES, RANK + EXTRA), np.float32)
         for batch in batches:
             _, f, first = tokens(*tb.column(batch.column("text")))
             begin, _ = pieces(first, PASSAGE)
+            ends = np.append(begin[1:], len(f))
             for low in range(0, len(begin), 1024):
-                part = begin[low : low + 1024]
-                stop = begin[low + 1024] if low + 1024 < len(begin) else len(f)
-                own = f[part[0] : stop]
-                norm = np.add.reduceat(idf[own] ** 2, part - part[0]) + 1e-9
-                z = np.add.reduceat(scaled[own], part - part[0], axis=0) / norm[:, None]
-                passage = np.repeat(np.arange(len(part)), np.diff(np.append(part, stop)))
+                part, stop = begin[low : low + 1024], ends[low : low + 1024]
+                own = f[part[0] : stop[-1]]
+                z = np.empty((len(part), RANK + EXTRA), np.float32)
+                for k in range(0, len(part), 128):
+                    each = slots(part[k : k + 128], stop[k : k + 128], f, PASSAGE)
+                    z[k : k + 128] = scaled[each].sum(axis=1) / (square[each].sum(axis=1) + np.float32(1e-9))[:, None]
+                passage = np.repeat(np.arange(len(part)), stop - part)
                 order = np.argsort(own.astype(np.uint16), kind="stable")
                 kind = own[order]
                 new = np.flatnonzero(np.concatenate([[True], kind[1:] != kind[:-1]]))
@@ -151,16 +169,24 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
 
 
-def common(a: list[int], b: list[int]) -> int:
-    """Length of the longest common subsequence, a word of bits at a time."""
+def places(a: list[int]) -> dict[int, int]:
+    """For each word of ``a`` a bit for each of its places."""
     where: dict[int, int] = {}
     for i, x in enumerate(a):
         where[x] = where.get(x, 0) | 1 << i
+    return where
+
+
+def common(a: list[int], b: list[int], where: dict[int, int] | None = None) -> int:
+    """Length of the longest common subsequence, a word of bits at a time;
+    ``where``: places(a), if known."""
+    where = places(a) if where is None else where
     full = (1 << len(a)) - 1
     row = full
     for x in b:
-        hit = row & where.get(x, 0)
-        row = (row + hit | row - hit) & full
+        if x in where:
+            hit = row & where[x]
+            row = (row + hit | row - hit) & full
     return len(a) - row.bit_count()
 
 
@@ -170,10 +196,9 @@ def passages(features: np.ndarray, first: np.ndarray, space: np.ndarray) -> tupl
     if not len(begin):
         return begin, begin, np.zeros((0, space.shape[1]), np.float32)
     sums = np.empty((len(begin), space.shape[1]), np.float32)
-    for low in range(0, len(begin), 4096):
-        part = begin[low : low + 4096]
-        stop = begin[low + 4096] if low + 4096 < len(begin) else len(features)
-        sums[low : low + 4096] = np.add.reduceat(space[features[part[0] : stop]], part - part[0], axis=0)
+    ends = np.append(begin[1:], len(features))
+    for low in range(0, len(begin), 512):
+        sums[low : low + 512] = space[slots(begin[low : low + 512], ends[low : low + 512], features, STRIDE)].sum(axis=1)
     text = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
     number = np.diff(bounds)[text]
     place = np.arange(len(begin)) - bounds[text]
@@ -186,23 +211,67 @@ def passages(features: np.ndarray, first: np.ndarray, space: np.ndarray) -> tupl
     return begin[use], text[use], unit(whole[use])
 
 
+class Bounds:
+    """For passages and items an upper bound of the words that they have in
+    common in order: how many of the item's words stand, in any order, within
+    the item's margin around the passage."""
+
+    def __init__(self, words: list[list[int]]):
+        self.size = np.array([len(w) for w in words], np.int64)
+        self.margin = np.maximum(self.size // 2, 4)
+        # Items share a table if their margins round up to the same power of two.
+        self.kind = np.ceil(np.log2(self.margin)).astype(np.int64) if len(words) else self.size
+        flat = np.array([x for w in words for x in w], np.uint64)
+        self.slot = (flat >> np.uint64(20)).astype(np.int64) % SLOTS
+        self.start = np.cumsum(self.size) - self.size
+
+    def enough(self, h: np.ndarray, begin: np.ndarray, floor: np.ndarray, ceiling: np.ndarray, row: np.ndarray, item: np.ndarray) -> np.ndarray:
+        """Which pairs can share ``LIKELY`` of the item.  Passage ``row`` begins
+        at ``begin`` among the words with hashes ``h``; its text reaches from
+        ``floor`` to ``ceiling``."""
+        out = np.zeros(len(row), bool)
+        slot = (h >> np.uint64(20)).astype(np.int64) % SLOTS
+        for kind in np.unique(self.kind[item]):
+            table = np.zeros((len(begin), SLOTS), np.uint8)
+            some = np.flatnonzero(self.kind[item] == kind)
+            used = np.unique(row[some])
+            margin = 1 << int(kind)
+            a = np.maximum(begin[used] - margin, floor[used])
+            n = np.minimum(begin[used] + PASSAGE + margin, ceiling[used]) - a
+            table[np.repeat(used, n), slot[tb.repeat_ranges(a, n)]] = 1
+            flat = table.ravel()
+            for part in range(0, len(some), 2048):
+                pair = some[part : part + 2048]
+                n = self.size[item[pair]]
+                seen = flat[np.repeat(row[pair] * SLOTS, n) + self.slot[tb.repeat_ranges(self.start[item[pair]], n)]]
+                total = np.add.reduceat(seen, np.cumsum(n) - n, dtype=np.int32)
+                out[pair] = total >= LIKELY * n
+        return out
+
+
 def _search(space, items):
     def run(batches):
         vectors, owner, words, ids = items.value
+        bounds, directions = Bounds(words), with_none(space.value)
+        where = [places(w) for w in words]
         for batch in batches:
             h, f, first = tokens(*tb.column(batch.column("text")))
-            begin, text, z = passages(f, first, space.value)
+            begin, text, z = passages(f, first, directions)
             best: dict[tuple[int, int], tuple[float, float, float]] = {}
-            for low in range(0, len(begin), 2048):
-                cosine = z[low : low + 2048] @ vectors.T
+            for low in range(0, len(begin), 1024):
+                cosine = z[low : low + 1024] @ vectors.T
                 row, column = np.nonzero(cosine >= COSINE)
-                for k, j in zip(row.tolist(), column.tolist(), strict=True):
+                if not len(row):
+                    continue
+                own = text[low : low + 1024]
+                hold = bounds.enough(h, begin[low : low + 1024], first[own], first[own + 1], row, owner[column])
+                for k, j in zip(row[hold].tolist(), column[hold].tolist(), strict=True):
                     doc, item = int(text[low + k]), int(owner[j])
                     own = words[item]
                     margin = max(len(own) // 2, 4)
                     at = int(begin[low + k])
                     span = h[max(at - margin, first[doc]) : min(at + PASSAGE + margin, first[doc + 1])].tolist()
-                    share = common(own, span) / len(own)
+                    share = common(own, span, where[item]) / len(own)
                     if share < LIKELY:
                         continue
                     answer = own[-ANSWER:]
@@ -237,7 +306,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, scratch: Scratch | None
     found in it: cosine of the best passage, shares of the item and of its
     answer that the document has in order."""
     spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(spark, BATCH)
     texts = documents(docs)
     idf = document_frequencies(texts.select("text"))
     space = latent_space(texts.select("text"), idf)
