@@ -37,8 +37,6 @@ SHORT_RUN = 16
 #: Fingerprints of one entry that a task compares; more are cut into blocks.
 BLOCK = 4096
 ROWS_PER_TASK = 1_000_000
-LOWER = np.arange(256, dtype=np.uint8)
-LOWER[65:91] += 32
 
 
 def shingle_bits(data: np.ndarray, offsets: np.ndarray, width: int, seed: int) -> np.ndarray:
@@ -52,7 +50,7 @@ def shingle_bits(data: np.ndarray, offsets: np.ndarray, width: int, seed: int) -
         inside = ~tb.SPACE[data]
         keep = inside.copy()
         keep[ends[ends < len(data)]] = True  # one separator after each word
-        plain = LOWER[data][keep]
+        plain = tb.LOWER[data][keep]
         plain[~inside[keep]] = 32
         begin = (np.cumsum(keep) - 1)[starts]
         end = begin + ends - starts

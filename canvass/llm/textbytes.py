@@ -17,7 +17,10 @@ SPACE[[9, 10, 11, 12, 13, 32]] = True
 #: All bytes but digits, letters and those over 127.
 NO_LETTER = np.ones(256, bool)
 NO_LETTER[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 BASES = (U(0x9E3779B97F4A7C15), U(0xD1342543DE82EF95))
+WORDS_AT_ONCE = 1 << 14
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -84,10 +87,9 @@ def words(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = SPACE) -> t
 
 def lower(data: np.ndarray) -> np.ndarray:
     """A-Z and the capitals of Latin-1 (in UTF-8) in lower case."""
-    out = data.copy()
-    out[(data >= 65) & (data <= 90)] += 32
-    capital = np.flatnonzero((data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97) & (data[:-1] == 0xC3)) + 1
-    out[capital] += 32
+    out = LOWER[data]
+    after = np.flatnonzero(data[:-1] == 0xC3) + 1
+    out[after] += (32 * ((data[after] >= 0x80) & (data[after] <= 0x9E) & (data[after] != 0x97))).astype(np.uint8)
     return out
 
 
@@ -105,11 +107,18 @@ def powers(n: int, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
-    """A 64-bit hash of each word's bytes, the same wherever the word stands."""
-    up, down = powers(len(data) + 1, which)
-    total = np.zeros(len(data) + 1, U)
-    np.cumsum(BYTES[which][data] * up[:-1], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts])
+    """A 64-bit hash of each word's bytes, the same wherever the word stands.
+    Works on some thousand words at a time, so memory follows the reach of
+    these (words should come in the order of the text)."""
+    out = np.empty(len(starts), U)
+    for first in range(0, len(starts), WORDS_AT_ONCE):
+        part = slice(first, first + WORDS_AT_ONCE)
+        low, high = int(starts[part].min()), int(ends[part].max())
+        up, down = powers(high - low + 1, which)
+        total = np.zeros(high - low + 1, U)
+        np.cumsum(BYTES[which][data[low:high]] * up[:-1], out=total[1:])
+        out[part] = mix((total[ends[part] - low] - total[starts[part] - low]) * down[starts[part] - low])
+    return out
 
 
 def grams(hashes: np.ndarray, k: int, which: int = 0) -> np.ndarray:

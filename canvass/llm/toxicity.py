@@ -50,9 +50,12 @@ class Words:
         starts, ends, self.first = tb.words(data, offsets, tb.NO_LETTER)
         hashes = tb.word_hashes(data, starts, ends)
         kinds, at, self.kind = np.unique(hashes, return_index=True, return_inverse=True)
+        self.kind = self.kind.astype(np.int32)
         self.bucket = (kinds >> np.uint64(40)).astype(np.int64) % WORDS
         begin, size = starts[at], ends[at] - starts[at]
-        self.start = (tb.word_hashes(data, begin, begin + np.minimum(size, START), 1) >> np.uint64(40)).astype(np.int64) % STARTS
+        order = np.argsort(at)
+        self.start = np.empty(len(at), np.int64)
+        self.start[order] = (tb.word_hashes(data, begin[order], begin[order] + np.minimum(size, START)[order], 1) >> np.uint64(40)).astype(np.int64) % STARTS
         place = tb.repeat_ranges(begin, size)
         self.owner = np.repeat(np.arange(len(kinds)), size)
         middle = data[place].astype(np.int64)
@@ -215,13 +218,27 @@ class Network:
         return g
 
 
-def _evidence(bucket: np.ndarray, text: np.ndarray, y: np.ndarray, size: int) -> np.ndarray:
+TEXTS_AT_ONCE = 128
+
+
+def _evidence(words: Words, name: str, y: np.ndarray, size: int) -> np.ndarray:
     """How much a bucket speaks for label 1: the smoothed log ratio of the
     shares of texts that hold it."""
-    pair = np.unique(text * size + bucket)
-    held = pair % size
-    ones = np.bincount(held, weights=y[pair // size], minlength=size)
-    all_ = np.bincount(held, minlength=size)
+    ones, all_ = np.zeros(size), np.zeros(size)
+    for low in range(0, len(y), TEXTS_AT_ONCE):
+        bounds = words.first[low : low + TEXTS_AT_ONCE + 1]
+        text = np.repeat(np.arange(low, low + len(bounds) - 1), np.diff(bounds))
+        pair = np.unique(text * len(words.bucket) + words.kind[bounds[0] : bounds[-1]])
+        text, kind = pair // max(len(words.bucket), 1), pair % max(len(words.bucket), 1)
+        if name == "tri":
+            start = np.searchsorted(words.owner, kind)
+            n = np.searchsorted(words.owner, kind, "right") - start
+            bucket, text = words.trigram[tb.repeat_ranges(start, n)], np.repeat(text, n)
+        else:
+            bucket = (words.bucket if name == "word" else words.start)[kind]
+        pair = np.unique(text * size + bucket)
+        ones += np.bincount(pair % size, weights=y[pair // size], minlength=size)
+        all_ += np.bincount(pair % size, minlength=size)
     return np.log((ones + 1) / (y.sum() + 2)) - np.log((all_ - ones + 1) / (len(y) - y.sum() + 2))
 
 
@@ -233,15 +250,8 @@ def train(sample: list[tuple[str, int]], rounds: int = ROUNDS, seed: int = 7) ->
     words = Words(*tb.column(pa.array([text for text, _ in sample], pa.large_string())))
     begin, size, bounds = words.windows()
     net, r = Network(seed), np.random.default_rng(seed)
-    text_of_word = np.repeat(np.arange(len(y)), np.diff(words.first))
-    for name, which, owner in (("word", words.bucket[words.kind], text_of_word), ("start", words.start[words.kind], text_of_word), ("tri", None, None)):
-        if which is None:  # trigrams of the words of each text
-            pair = np.unique(text_of_word * len(words.bucket) + words.kind)
-            start = np.searchsorted(words.owner, np.arange(len(words.bucket) + 1))
-            kind = pair % len(words.bucket)
-            n = np.diff(start)[kind]
-            which, owner = words.trigram[tb.repeat_ranges(start[kind], n)], np.repeat(pair // len(words.bucket), n)
-        net.p[name][:, 0] = np.clip(_evidence(which, owner, y, len(net.p[name])), -3, 3) / 2
+    for name in ("word", "start", "tri"):
+        net.p[name][:, 0] = np.clip(_evidence(words, name, y, len(net.p[name])), -3, 3) / 2
     state = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
     step = 0
     plain = net.inputs(words)[:, [0, DIM, 2 * DIM]].sum(axis=1)[words.kind] if len(words.kind) else np.zeros(0)
