@@ -69,6 +69,14 @@ def with_none(rows: np.ndarray) -> np.ndarray:
     return np.concatenate([rows, np.zeros((1, rows.shape[1]), rows.dtype)])
 
 
+def gathered(rows: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """For each row of places the sum of the rows there."""
+    out = np.zeros((len(at), rows.shape[1]), rows.dtype)
+    for j in range(at.shape[1]):
+        out += rows.take(at[:, j], axis=0)
+    return out
+
+
 def _count(batches):
     total, number = np.zeros(FEATURES, np.int64), 0
     for batch in batches:
@@ -76,7 +84,10 @@ def _count(batches):
         begin, _ = pieces(first, PASSAGE)
         if len(begin):
             passage = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(f))))
-            total += np.bincount(np.unique(passage * FEATURES + f) % FEATURES, minlength=FEATURES)
+            pair = passage * FEATURES + f
+            pair = np.sort(pair.astype(np.int32) if len(begin) * FEATURES < 1 << 31 else pair)
+            new = np.append(True, pair[1:] != pair[:-1])
+            total += np.bincount(pair[new] % FEATURES, minlength=FEATURES)
             number += len(begin)
     some = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(total[some], number))], ["feature", "n"])
@@ -96,6 +107,30 @@ def document_frequencies(texts: DataFrame) -> np.ndarray:
     return np.log((total + 1) / (n + 1)).astype(np.float32)
 
 
+def spread(total: np.ndarray, f: np.ndarray, passage: np.ndarray, z: np.ndarray) -> None:
+    """Adds to the row of each feature the rows of the passages that hold it:
+    frequent features by one matrix product, of the others first every one's
+    first place, then every one's second, and so on."""
+    count = np.bincount(f, minlength=len(total))
+    often = np.flatnonzero(count > 24)
+    number = np.full(len(total), -1)
+    number[often] = np.arange(len(often))
+    own = number[f]
+    dense = own >= 0
+    held = np.bincount(own[dense] * len(z) + passage[dense], minlength=len(often) * len(z))
+    total[often] += held.reshape(len(often), len(z)).astype(np.float32) @ z
+    f, passage = f[~dense], passage[~dense]
+    order = np.argsort(f.astype(np.uint16), kind="stable")
+    count[often] = 0
+    n = count[count > 0]
+    turn = np.arange(len(f)) - np.repeat(np.cumsum(n) - n, n)
+    again = np.argsort(turn.astype(np.uint8), kind="stable")
+    f, passage = f[order][again], passage[order][again]
+    bounds = np.concatenate([[0], np.cumsum(np.bincount(turn))])
+    for low, high in zip(bounds[:-1], bounds[1:], strict=True):
+        total[f[low:high]] += z.take(passage[low:high], axis=0)
+
+
 def _multiply(weights, seed: int):
     """This partition's share of A'A times the random matrix, A being the
     passages' normalised TF-IDF vectors."""
@@ -116,12 +151,9 @@ def _multiply(weights, seed: int):
                 z = np.empty((len(part), RANK + EXTRA), np.float32)
                 for k in range(0, len(part), 128):
                     each = slots(part[k : k + 128], stop[k : k + 128], f, PASSAGE)
-                    z[k : k + 128] = scaled[each].sum(axis=1) / (square[each].sum(axis=1) + np.float32(1e-9))[:, None]
+                    z[k : k + 128] = gathered(scaled, each) / (square[each].sum(axis=1) + np.float32(1e-9))[:, None]
                 passage = np.repeat(np.arange(len(part)), stop - part)
-                order = np.argsort(own.astype(np.uint16), kind="stable")
-                kind = own[order]
-                new = np.flatnonzero(np.concatenate([[True], kind[1:] != kind[:-1]]))
-                total[kind[new]] += np.add.reduceat(z[passage[order]], new, axis=0)
+                spread(total, own, passage, z)
         total *= idf[:, None]
         blocks = [b for b in range(FEATURES // BLOCK_FEATURES) if total[b * BLOCK_FEATURES : (b + 1) * BLOCK_FEATURES].any()]
         values = [total[b * BLOCK_FEATURES : (b + 1) * BLOCK_FEATURES].tobytes() for b in blocks]
@@ -198,7 +230,7 @@ def passages(features: np.ndarray, first: np.ndarray, space: np.ndarray) -> tupl
     sums = np.empty((len(begin), space.shape[1]), np.float32)
     ends = np.append(begin[1:], len(features))
     for low in range(0, len(begin), 512):
-        sums[low : low + 512] = space[slots(begin[low : low + 512], ends[low : low + 512], features, STRIDE)].sum(axis=1)
+        sums[low : low + 512] = gathered(space, slots(begin[low : low + 512], ends[low : low + 512], features, STRIDE))
     text = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
     number = np.diff(bounds)[text]
     place = np.arange(len(begin)) - bounds[text]
@@ -222,8 +254,15 @@ class Bounds:
         # Items share a table if their margins round up to the same power of two.
         self.kind = np.ceil(np.log2(self.margin)).astype(np.int64) if len(words) else self.size
         flat = np.array([x for w in words for x in w], np.uint64)
-        self.slot = (flat >> np.uint64(20)).astype(np.int64) % SLOTS
-        self.start = np.cumsum(self.size) - self.size
+        slot = (flat >> np.uint64(20)).astype(np.int64) % SLOTS
+        self.row = np.zeros(len(words), np.int64)  # among the items of its kind
+        self.slots = {}  # by kind: a row of places for each item, filled up with SLOTS
+        start = np.cumsum(self.size) - self.size
+        for kind in np.unique(self.kind):
+            own = np.flatnonzero(self.kind == kind)
+            at = np.arange(self.size[own].max())
+            self.row[own] = np.arange(len(own))
+            self.slots[kind] = np.where(at < self.size[own, None], slot[np.minimum(start[own, None] + at, len(flat) - 1)], SLOTS)
 
     def enough(self, h: np.ndarray, begin: np.ndarray, floor: np.ndarray, ceiling: np.ndarray, row: np.ndarray, item: np.ndarray) -> np.ndarray:
         """Which pairs can share ``LIKELY`` of the item.  Passage ``row`` begins
@@ -232,7 +271,7 @@ class Bounds:
         out = np.zeros(len(row), bool)
         slot = (h >> np.uint64(20)).astype(np.int64) % SLOTS
         for kind in np.unique(self.kind[item]):
-            table = np.zeros((len(begin), SLOTS), np.uint8)
+            table = np.zeros((len(begin), SLOTS + 1), np.uint8)
             some = np.flatnonzero(self.kind[item] == kind)
             used = np.unique(row[some])
             margin = 1 << int(kind)
@@ -242,10 +281,9 @@ class Bounds:
             flat = table.ravel()
             for part in range(0, len(some), 2048):
                 pair = some[part : part + 2048]
-                n = self.size[item[pair]]
-                seen = flat[np.repeat(row[pair] * SLOTS, n) + self.slot[tb.repeat_ranges(self.start[item[pair]], n)]]
-                total = np.add.reduceat(seen, np.cumsum(n) - n, dtype=np.int32)
-                out[pair] = total >= LIKELY * n
+                at = self.slots[kind].take(self.row[item[pair]], axis=0)
+                at += row[pair, None] * (SLOTS + 1)
+                out[pair] = flat.take(at).sum(axis=1, dtype=np.int32) >= LIKELY * self.size[item[pair]]
         return out
 
 
