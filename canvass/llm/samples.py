@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 #: Texts with more characters are scored like all others but not learned from.
 LONGEST = 200_000
+#: Parts of a label that are looked through side by side.
+PARTS = 256
 
 
 def fold(parts: int) -> F.Column:
@@ -31,8 +33,12 @@ def languages(docs: DataFrame, parts: int, held_out: int, per_label: int) -> lis
 
 
 def _texts(docs: DataFrame, known: DataFrame, per_label: int) -> list[tuple[str, object]]:
-    order = W.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = known.withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_label).select(F.col("doc_id").alias("chosen"), "label")
+    # First within parts of each label, so that a task's rows don't grow with the number of tasks before it.
+    chosen = known.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)))
+    for by in (("label", "part"), ("label",)):
+        order = W.partitionBy(*by).orderBy(F.xxhash64("doc_id"), "doc_id")
+        chosen = chosen.withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_label).drop("n")
+    chosen = chosen.select(F.col("doc_id").alias("chosen"), "label")
     # The sample's size is fixed by per_label, so it can be broadcast.
     texts = docs.where(F.col("text").isNotNull() & (F.length("text") <= LONGEST)).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = texts.join(F.broadcast(chosen), texts.doc_id == F.col("chosen")).select("doc_id", "text", "label").collect()
