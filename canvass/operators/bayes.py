@@ -120,6 +120,7 @@ def waic(pointwise: DataFrame, point: str, log_lik: str) -> DataFrame:
     """elpd and effective parameters from log-likelihoods per point and draw;
     the model with the higher elpd is the better one."""
     # log-mean-exp around each point's maximum
-    top = pointwise.groupBy(point).agg(F.max(log_lik).alias("top"))
-    per = pointwise.join(top, point).groupBy(point).agg(F.max("top").alias("top"), F.avg(F.exp(F.col(log_lik) - F.col("top"))).alias("mean"), F.var_samp(log_lik).alias("p"))
+    rows = pointwise.select(F.col(point).alias("point"), F.col(log_lik).alias("l"))
+    top = rows.groupBy("point").agg(F.max("l").alias("top"))
+    per = rows.join(top, "point").groupBy("point").agg(F.max("top").alias("top"), F.avg(F.exp(F.col("l") - F.col("top"))).alias("mean"), F.var_samp("l").alias("p"))
     return per.agg(F.sum(F.log("mean") + F.col("top") - F.col("p")).alias("elpd"), F.sum("p").alias("p_waic"), F.count("*").alias("points"))
