@@ -173,11 +173,17 @@ def repeated_windows(docs: DataFrame, window: int, scratch: Scratch) -> DataFram
         left = places(runs)
     found = scratch.keep(texts.join(left, "doc_id").mapInArrow(_windows(window), "doc_id long, start long, w1 long, w2 long"))
     scratch.drop(left)
-    # Written first, so that the join reads two plain tables and its large keys can be split.
-    often = scratch.keep(_repeated(found, "w1", "w2"))
-    marked = found.join(often, ["w1", "w2"]).where("owner < doc_id").select("doc_id", "start")
-    kept = scratch.keep(marked.groupBy("doc_id").agg(F.collect_set("start").alias("starts")))
-    scratch.drop(found, often)
+    # The hashes' two halves in turn, so that half of the windows is shuffled at a time.
+    marked = []
+    for half in ("w1 < 0", "w1 >= 0"):
+        part = found.where(half)
+        # Written first, so that the join reads two plain tables and its large keys can be split.
+        often = scratch.keep(_repeated(part, "w1", "w2"))
+        marked.append(scratch.keep(part.join(often, ["w1", "w2"]).where("owner < doc_id").select("doc_id", "start")))
+        scratch.drop(often)
+    scratch.drop(found)
+    kept = scratch.keep(marked[0].unionByName(marked[1]).groupBy("doc_id").agg(F.collect_set("start").alias("starts")))
+    scratch.drop(*marked)
     return kept
 
 
