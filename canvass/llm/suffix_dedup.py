@@ -39,6 +39,8 @@ RUN = 32
 BITS = 10  # of a place's offsets within a string
 LOW = (1 << BITS) - 1
 SUFFIXES_PER_BUCKET = 25_000
+#: Rows of an Arrow batch: of whole texts, and of short suffixes.
+TEXT_BATCH, SUFFIX_BATCH = 128, 4096
 
 
 def run_hashes(data: np.ndarray) -> np.ndarray:
@@ -228,8 +230,10 @@ def repeated_spans(texts: DataFrame, length: int, scratch: Scratch) -> DataFrame
     suffixes = scratch.keep(texts.join(places, "doc_id").mapInArrow(_contexts(length), "doc_id long, place long, bytes binary"))
     scratch.drop(left)
     n = partitions(spark, suffixes.count(), SUFFIXES_PER_BUCKET)
+    small_batches(spark, SUFFIX_BATCH)
     lead = F.expr(f"substring(bytes, cast((place & {LOW}) + 1 AS int), {RUN})")
     found = scratch.keep(suffixes.repartitionByRange(n, lead, "doc_id", "place").mapInArrow(_bucket(length), "doc_id long, begin long, end long, w1 long, w2 long"))
+    small_batches(spark, TEXT_BATCH)
     scratch.drop(suffixes)
     local = found.where("w1 IS NULL").select("doc_id", "begin", "end")
     across = found.where("w1 IS NOT NULL")
@@ -243,7 +247,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, keep: tuple[str, ...] = (
     document; ``kept`` joins the bytes that stay.  Strings are judged on the
     input."""
     spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(spark, TEXT_BATCH)
     scratch = scratch or Scratch(spark, "suffixes")
     base = docs.where("doc_id IS NOT NULL").withColumns({"doc_id": F.col("doc_id").cast("long"), "text": F.coalesce(F.col("text").cast("string"), F.lit(""))}).select("doc_id", "text", *keep)
     spans = repeated_spans(base.select("doc_id", "text"), length, scratch)
