@@ -77,9 +77,12 @@ def _contexts(length: int):
             at = (places >> 2 * BITS) + offsets[text]
             most, least = places & LOW, (places >> BITS) & LOW
             size = most + length - least
-            bytes_ = data[tb.repeat_ranges(at - most, size)]
-            column = tb.binary(bytes_, np.concatenate([[0], np.cumsum(size)]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.asarray(batch.column("doc_id"))[text]), pa.array(places), column], ["doc_id", "place", "bytes"])
+            ids = np.asarray(batch.column("doc_id"))[text]
+            for low in range(0, len(at), SUFFIX_BATCH):  # a long text has many
+                part = slice(low, low + SUFFIX_BATCH)
+                bytes_ = data[tb.repeat_ranges(at[part] - most[part], size[part])]
+                column = tb.binary(bytes_, np.concatenate([[0], np.cumsum(size[part])]))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[part]), pa.array(places[part]), column], ["doc_id", "place", "bytes"])
 
     return run
 
