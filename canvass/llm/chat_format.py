@@ -14,7 +14,9 @@ not dropped; of several results of a call the first by position, then content,
 is linked and the number of all is given; several calls with one identifier
 are each linked; calls that build on each other in a circle have the status
 ``cycle`` and depth null; a parent that doesn't exist counts as none; a null
-identifier links to nothing.  Repeated rows count once.
+identifier links to nothing; a message of any other kind, or of none, is
+reported as it is, with the status ``other``.  Repeated rows count once;
+messages without conv_id belong to no conversation and take no part.
 """
 
 from __future__ import annotations
@@ -86,6 +88,11 @@ def _serialise(schemas: dict[str, dict]):
             status, errors, text = [], [], []
             for r in rows:
                 found, arguments = [], None
+                if r["other"]:
+                    status.append("other")
+                    errors.append(found)
+                    text.append(canonical({"arguments": r["arguments"], "call_id": r["call_id"], "conv_id": r["conv_id"], "kind": r["kind"], "name": r["name"], "result": r["content"]}))
+                    continue
                 if r["has_call"]:
                     try:
                         arguments = json.loads(r["arguments"]) if r["arguments"] is not None else None
@@ -108,8 +115,9 @@ def _serialise(schemas: dict[str, dict]):
 
 
 def link(messages: DataFrame, schemas: dict[str, dict], scratch: Scratch | None = None) -> DataFrame:
-    """A row for each call and for each result without call: ``conv_id,
-    call_id, position, depth, status, n_results, errors, json``."""
+    """A row for each call, for each result without call and for each message
+    of another kind: ``conv_id, call_id, position, depth, status, n_results,
+    errors, json``."""
     spark = messages.sparkSession
     small_batches(spark)
     scratch = scratch or Scratch(spark, "chat")
@@ -122,8 +130,10 @@ def link(messages: DataFrame, schemas: dict[str, dict], scratch: Scratch | None
     linked = calls.withColumn("has_call", F.lit(True)).join(first, ["conv_id", "call_id"], "full")
     lost = results.where("call_id IS NULL").select("conv_id", "call_id", F.lit(None).cast("long").alias("position"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("arguments"), F.lit(None).cast("string").alias("parent_id"), F.lit(None).cast("boolean").alias("has_call"), F.lit(1).cast("long").alias("n_results"), F.col("position").alias("result_position"), "content")
     every = linked.unionByName(lost).join(depths(calls, scratch), ["conv_id", "call_id"], "left")
-    every = every.select("conv_id", "call_id", F.coalesce("position", "result_position").alias("position"), "depth", F.coalesce("n_results", F.lit(0)).alias("n_results"), "name", "arguments", "content", F.coalesce("has_call", F.lit(False)).alias("has_call"))
-    return every.mapInArrow(_serialise(schemas), "conv_id long, call_id string, position long, depth long, status string, n_results long, errors array<string>, json string")
+    every = every.select("conv_id", "call_id", F.coalesce("position", "result_position").alias("position"), "depth", F.coalesce("n_results", F.lit(0)).alias("n_results"), "name", "arguments", "content", F.coalesce("has_call", F.lit(False)).alias("has_call"), F.lit(False).alias("other"), F.lit(None).cast("string").alias("kind"))
+    other = messages.where("kind IS NULL OR kind NOT IN ('call', 'result')")
+    other = other.select("conv_id", "call_id", "position", F.lit(None).cast("long").alias("depth"), F.lit(0).cast("long").alias("n_results"), "name", "arguments", "content", F.lit(False).alias("has_call"), F.lit(True).alias("other"), "kind")
+    return every.unionByName(other).mapInArrow(_serialise(schemas), "conv_id long, call_id string, position long, depth long, status string, n_results long, errors array<string>, json string")
 
 
 #: What a user's turn asks of the assistant, as a call.
@@ -133,7 +143,8 @@ REPLY = {"reply": {"type": "object", "required": ["text", "turn"], "additionalPr
 def turns_as_messages(conversations: DataFrame) -> DataFrame:
     """Plain conversations as calls and results: a user's turn calls the tool
     ``reply``, the assistant's next turn is its result, and a user's turn builds
-    on the call that the turn before answers."""
+    on the call that the turn before answers.  Turns of any other role, or of
+    none, are messages of the kind ``turn`` with the role as their name."""
     turn = F.col("turn").cast("long")
     name = lambda t: F.concat(F.lit("turn-"), t.cast("string"))
     rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), turn.alias("position"), F.col("role").alias("role"), F.col("text").cast("string").alias("text")).distinct()
@@ -143,4 +154,6 @@ def turns_as_messages(conversations: DataFrame) -> DataFrame:
     calls = calls.select("conv_id", "position", F.lit("call").alias("kind"), name(F.col("position")).alias("call_id"), F.lit("reply").alias("name"), arguments.alias("arguments"), F.lit(None).cast("string").alias("content"), F.when(F.col("answered"), name(F.col("position") - 2)).alias("parent_id"))
     none = F.lit(None).cast("string")
     results = rows.where("role = 'assistant'").select("conv_id", "position", F.lit("result").alias("kind"), name(F.col("position") - 1).alias("call_id"), none.alias("name"), none.alias("arguments"), F.col("text").alias("content"), none.alias("parent_id"))
-    return calls.unionByName(results)
+    other = rows.where("role IS NULL OR role NOT IN ('user', 'assistant')")
+    other = other.select("conv_id", "position", F.lit("turn").alias("kind"), none.alias("call_id"), F.col("role").alias("name"), none.alias("arguments"), F.col("text").alias("content"), none.alias("parent_id"))
+    return calls.unionByName(results).unionByName(other)

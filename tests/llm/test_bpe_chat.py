@@ -100,3 +100,16 @@ def test_turns_of_a_conversation(spark):
     assert json.loads(got[2, 1]["json"])["arguments"] == {"text": None, "turn": 1}
     assert got[2, 1]["status"] == "invalid_arguments"
     assert chat_format.link(chat_format.turns_as_messages(d.limit(0)), chat_format.REPLY).count() == 0
+
+
+def test_turns_of_other_roles(spark):
+    rows = [(1, 0, "system", "s"), (1, 1, "user", "q"), (1, 2, "assistant", "a"), (1, 3, None, "n"), (2, 0, "system", None), (2, 1, "call", "c"), (2, 2, "result", "r"), (2, 2, "result", "r"), (3, 0, "assistant", "x")]
+    d = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {(r["conv_id"], r["position"]): r for r in chat_format.link(chat_format.turns_as_messages(d), chat_format.REPLY).collect()}
+    others = {(c, t): (role, text) for c, t, role, text in rows if role not in ("user", "assistant")}
+    assert {k: r["status"] for k, r in got.items()} == {k: "other" for k in others} | {(1, 1): "ok", (3, 0): "orphan_result"}
+    for k, (role, text) in others.items():
+        told = json.loads(got[k]["json"])
+        assert (told["kind"], told["name"], told["result"], got[k]["call_id"], got[k]["depth"], got[k]["n_results"]) == ("turn", role, text, None, None, 0)
+    d = spark.createDataFrame([message(1, 0, "note", "a", "{", "c"), message(1, 1, None, None)], SCHEMA)
+    assert sorted((r["position"], r["status"]) for r in chat_format.link(d, TOOLS).collect()) == [(0, "other"), (1, "other")]
