@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from canvass.llm import textbytes as tb
-from canvass.llm.common import documents, small_batches
+from canvass.llm.common import documents, parts, small_batches
 
 #: Pieces and pairs whose answers a worker keeps at once; when full, it starts anew.
 KEEP_PIECES = 150_000
@@ -184,7 +184,7 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, decoded: bool = False
 
     def run(batches):
         codec = _codec(lines.value, pattern)
-        for batch in batches:
+        for batch in parts(batches):
             each = [codec.encode(t) for t in batch.column("text").to_pylist()]
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in each])]).astype(np.int64)
             ids = np.concatenate([*each, np.zeros(0, np.int32)])
@@ -194,7 +194,7 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, decoded: bool = False
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", *keep, "ids", *["decoded"] * decoded])
 
     kinds = dict(base.dtypes)
-    schema = ", ".join(["doc_id long", *(f"{k} {kinds[k]}" for k in keep), "ids array<int>", *["decoded binary"] * decoded])
+    schema = ", ".join(["doc_id long", *(f"`{k}` {kinds[k]}" for k in keep), "ids array<int>", *["decoded binary"] * decoded])
     return base.mapInArrow(run, schema)
 
 

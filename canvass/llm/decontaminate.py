@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from canvass.llm import textbytes as tb
-from canvass.llm.common import Scratch, documents, small_batches
+from canvass.llm.common import Scratch, documents, parts, small_batches
 
 FEATURES = 1 << 14
 RANK, EXTRA = 40, 8
@@ -79,7 +79,7 @@ def gathered(rows: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 def _count(batches):
     total, number = np.zeros(FEATURES, np.int64), 0
-    for batch in batches:
+    for batch in parts(batches, BATCH):
         _, f, first = tokens(*tb.column(batch.column("text")))
         begin, _ = pieces(first, PASSAGE)
         if len(begin):
@@ -141,7 +141,7 @@ def _multiply(weights, seed: int):
         scaled = with_none(omega * idf[:, None])
         square = np.append(idf**2, np.float32(0))
         total = np.zeros((FEATURES, RANK + EXTRA), np.float32)
-        for batch in batches:
+        for batch in parts(batches, BATCH):
             _, f, first = tokens(*tb.column(batch.column("text")))
             begin, _ = pieces(first, PASSAGE)
             ends = np.append(begin[1:], len(f))
@@ -292,7 +292,7 @@ def _search(space, items):
         vectors, owner, words, ids = items.value
         bounds, directions = Bounds(words), with_none(space.value)
         where = [places(w) for w in words]
-        for batch in batches:
+        for batch in parts(batches, BATCH):
             h, f, first = tokens(*tb.column(batch.column("text")))
             begin, text, z = passages(f, first, directions)
             best: dict[tuple[int, int], tuple[float, float, float]] = {}
@@ -344,7 +344,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, scratch: Scratch | None
     found in it: cosine of the best passage, shares of the item and of its
     answer that the document has in order."""
     spark = docs.sparkSession
-    small_batches(spark, BATCH)
+    small_batches(spark)
     texts = documents(docs)
     idf = document_frequencies(texts.select("text"))
     space = latent_space(texts.select("text"), idf)

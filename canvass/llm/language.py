@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 
 from canvass.llm import samples
 from canvass.llm import textbytes as tb
-from canvass.llm.common import documents, small_batches
+from canvass.llm.common import documents, parts, small_batches
 
 ORDER = 3
 PER_LANGUAGE = 150
@@ -144,9 +144,9 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches):
-        for batch in batches:
+        for batch in parts(batches):
             n = batch.num_rows
-            names, score = shared.value.predict(*tb.column(batch.column("text"))) if n and shared.value.names else (["und"] * n, np.zeros(n))
+            names, score = shared.value.predict(*tb.column(batch.column("text"))) if shared.value.names else (["und"] * n, np.zeros(n))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(names, pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
 
     return documents(docs).mapInArrow(run, "doc_id long, lang_pred string, score double")

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from canvass.llm import samples
 from canvass.llm import textbytes as tb
-from canvass.llm.common import small_batches
+from canvass.llm.common import parts, small_batches
 
 PER_LABEL = 1200
 STEPS = 120
@@ -77,8 +77,9 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     columns.append(size / np.maximum(count, 1) / 10)
     # Does the line repeat one of its text's lines?
     owner = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    order = np.lexsort((tb.word_hashes(data, starts, ends, 1), owner))
-    h = tb.word_hashes(data, starts, ends, 1)[order]
+    h = tb.word_hashes(data, starts, ends, 1)
+    order = np.lexsort((h, owner))
+    h = h[order]
     twin = np.zeros(len(order), bool)
     if len(order) > 1:
         equal = (h[1:] == h[:-1]) & (owner[order][1:] == owner[order][:-1]) & (size[order][1:] > 0)
@@ -214,8 +215,8 @@ def score(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ()) -> D
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches):
-        for batch in batches:
-            value = shared.value.score(*tb.column(batch.column("text"))) if batch.num_rows else np.zeros(0)
+        for batch in parts(batches):
+            value = shared.value.score(*tb.column(batch.column("text")))
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in ("doc_id", *keep)), pa.array(value)], ["doc_id", *keep, "score"])
 
     kinds = dict(base.dtypes)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from canvass.llm import textbytes as tb
-from canvass.llm.common import Scratch, documents, partitions, small_batches
+from canvass.llm.common import Scratch, documents, partitions, parts, small_batches
 from canvass.llm.components import components
 
 U = np.uint64
@@ -75,7 +75,7 @@ def fingerprints(docs: DataFrame, width: int = 4, seed: int = 42) -> DataFrame:
     small_batches(docs.sparkSession)
 
     def run(batches):
-        for batch in batches:
+        for batch in parts(batches):
             prints = shingle_bits(*tb.column(batch.column("text")), width, seed)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(prints.view(np.int64))], ["doc_id", "fingerprint"])
 
@@ -214,7 +214,7 @@ def links(prints: DataFrame, scratch: Scratch, most: int = 4) -> DataFrame:
     if not 0 <= most <= 5:
         raise ValueError("three segments leave one with at most one differing bit for up to five bits")
     spark = prints.sparkSession
-    small_batches(spark, 20_000)
+    small_batches(spark)
     n = partitions(spark, 64 * prints.count(), ROWS_PER_TASK)
     found = scratch.keep(variants(prints).repartition(n, "entry").sortWithinPartitions("entry").mapInArrow(_runs(most), SCHEMA))
     near = found.where("a IS NOT NULL").select("a", "b")

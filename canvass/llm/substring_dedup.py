@@ -5,13 +5,14 @@ doc_id is removed there, with every word that it covers.
 
 Level-wise doubling: runs of 4 words that occur in one document alone can't be
 part of a repeated window, so only those that occur in several are extended to
-8 words, of these only the repeated ones to 16, and so on up to the window
-itself.  At the first level one run stands for each window: the one with the
+8 words, of these only the repeated ones to 16, and so on while twice the length is
+shorter than the window, and last to the window itself (4, 8, 13).  At the first level one run stands for each window: the one with the
 least hash in it, its anchor.  Equal windows have equal anchors at equal
 places, so no window is missed, while about a fifth of the runs is looked at.
 
-Runs and windows are compared by hashes of their words, the full windows by
-128 bits.  Counts are pre-aggregated before the shuffle, and what is joined to
+Runs and windows are compared by hashes of their words, the full windows by two
+of 64 bits; long words enter them by XXH3.  What is kept of a document between
+levels is at most a few numbers for each of its words.  Counts are pre-aggregated before the shuffle, and what is joined to
 them can be split by key, so a passage that a third of all documents share is
 no hot spot.
 
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from canvass.llm import textbytes as tb
-from canvass.llm.common import Scratch, small_batches
+from canvass.llm.common import Scratch, parts, small_batches
 
 #: Words of the runs at the first level.
 BASE = 4
@@ -51,7 +52,7 @@ def _stops(first: np.ndarray) -> np.ndarray:
 
 def _anchors(window: int):
     def run(batches):
-        for batch in batches:
+        for batch in parts(batches):
             data, offsets = tb.column(batch.column("text"))
             starts, ends, first = tb.words(data, offsets)
             grams = tb.grams(tb.word_hashes(data, starts, ends), BASE)
@@ -79,7 +80,7 @@ def _extend(length: int, window: int):
     half = length // 2
 
     def run(batches):
-        for batch in batches:
+        for batch in parts(batches):
             data, offsets = tb.column(batch.column("text"))
             starts, ends, first = tb.words(data, offsets)
             text, at, least, most = _unpack(batch, first)
@@ -106,7 +107,7 @@ def _windows(window: int):
     """The 128-bit hash of each window that has its run at a listed place."""
 
     def run(batches):
-        for batch in batches:
+        for batch in parts(batches):
             data, offsets = tb.column(batch.column("text"))
             starts, ends, first = tb.words(data, offsets)
             text, at, least, most = _unpack(batch, first)
@@ -126,7 +127,7 @@ def _remove(keep: tuple[str, ...], window: int):
     """Cut the windows at the listed starts out of each text."""
 
     def run(batches):
-        for batch in batches:
+        for batch in parts(batches):
             data, offsets = tb.column(batch.column("text"))
             starts, ends, first = tb.words(data, offsets)
             at, bounds = tb.lists(batch.column("starts"))

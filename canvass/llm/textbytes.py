@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 U = np.uint64
 #: Word separators: space, tab, line feed, vertical tab, form feed, return.
@@ -21,6 +22,8 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 BASES = (U(0x9E3779B97F4A7C15), U(0xD1342543DE82EF95))
 WORDS_AT_ONCE = 1 << 14
+REACH = 1 << 20  # bytes that these words may stand in
+SHORT = 32  # bytes of a word
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -108,29 +111,60 @@ def powers(n: int, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
     """A 64-bit hash of each word's bytes, the same wherever the word stands.
+    A polynomial in an odd base modulo 2**64 serves short words only: of long
+    ones there are pairs that it gives the same value in any base (Thue-Morse
+    words), so words over ``SHORT`` bytes are hashed by XXH3 one by one.
     Works on some thousand words at a time, so memory follows the reach of
     these (words should come in the order of the text)."""
+    out = np.empty(len(starts), U)
+    long = np.flatnonzero(ends - starts > SHORT)
+    if len(long):
+        view, digest = memoryview(np.ascontiguousarray(data)), xxhash.xxh3_64_intdigest
+        out[long] = np.fromiter((digest(view[s:e], which) for s, e in zip(starts[long].tolist(), ends[long].tolist(), strict=True)), U, len(long))
+        short = np.flatnonzero(ends - starts <= SHORT)
+        out[short] = _short_hashes(data, starts[short], ends[short], which)
+        return out
+    return _short_hashes(data, starts, ends, which)
+
+
+def _short_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int) -> np.ndarray:
     out = np.empty(len(starts), U)
     for first in range(0, len(starts), WORDS_AT_ONCE):
         part = slice(first, first + WORDS_AT_ONCE)
         low, high = int(starts[part].min()), int(ends[part].max())
-        up, down = powers(high - low + 1, which)
-        total = np.zeros(high - low + 1, U)
-        np.cumsum(BYTES[which][data[low:high]] * up[:-1], out=total[1:])
-        out[part] = mix((total[ends[part] - low] - total[starts[part] - low]) * down[starts[part] - low])
+        if high - low > REACH:  # long words between them: each word by itself
+            size = ends[part] - starts[part]
+            place = repeat_ranges(starts[part], size)
+            stop = np.cumsum(size)
+            out[part] = _polynomial(data[place], stop - size, stop, which)
+        else:
+            out[part] = _polynomial(data[low:high], starts[part] - low, ends[part] - low, which)
     return out
 
 
+def _polynomial(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int) -> np.ndarray:
+    up, down = powers(len(data) + 1, which)
+    total = np.zeros(len(data) + 1, U)
+    np.cumsum(BYTES[which][data] * up[:-1], out=total[1:])
+    return mix((total[ends] - total[starts]) * down[starts])
+
+
 def grams(hashes: np.ndarray, k: int, which: int = 0) -> np.ndarray:
-    """A hash of each run of k values."""
+    """A hash of each run of k values, put together from those of runs whose
+    lengths are powers of two.  What joins two is mixed each time, so that no
+    sum of products is left in which different runs could cancel out."""
     n = len(hashes) - k + 1
     if n <= 0:
         return np.zeros(0, U)
-    out = hashes[:n].copy()
-    for j in range(1, k):
-        out *= BASES[which]
-        out += hashes[j : n + j]
-    return mix(out)
+    out, done, power, size = None, 0, hashes, 1
+    while True:
+        if k & size:
+            out = power[:n] if out is None else mix(out * BASES[which] + power[done : done + n])
+            done += size
+        if 2 * size > k:
+            return mix(out)
+        power = mix(power[:-size] * BASES[which] + power[size:])
+        size *= 2
 
 
 def sliding_argmin(h: np.ndarray, width: int) -> np.ndarray:

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from canvass.llm import samples
 from canvass.llm import textbytes as tb
-from canvass.llm.common import documents, small_batches
+from canvass.llm.common import documents, parts, small_batches
 from canvass.llm.quality import calibrate
 
 PER_LABEL = 1500
@@ -294,8 +294,8 @@ def score(docs: DataFrame, network: Network | None) -> DataFrame:
     shared = spark.sparkContext.broadcast(network)
 
     def run(batches):
-        for batch in batches:
-            value = shared.value.score(*tb.column(batch.column("text"))) if batch.num_rows else np.zeros(0)
+        for batch in parts(batches):
+            value = shared.value.score(*tb.column(batch.column("text")))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.asarray(value, float))], ["doc_id", "score"])
 
     return base.mapInArrow(run, "doc_id long, score double")
