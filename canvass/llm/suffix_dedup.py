@@ -10,13 +10,19 @@ a document with a smaller doc_id, or earlier in the same one) is removed.
    bytes that their strings can cover.
 3. Sampled splitters range-partition these suffixes by their leading bytes
    (ties by doc_id and place, so one run's suffixes can fill several buckets).
-   Each bucket is sorted by multikey quicksort, in both reading directions, and
-   neighbours' common prefixes give, for each offset, the strings that are equal.
-4. Buckets are compared across their boundaries: the strings seen first in a
-   bucket, of the runs at its two ends, meet by 128-bit hashes.
-
-Within a bucket bytes are compared, not hashes.  A bucket holds a bounded
-number of suffixes however often a run occurs, since the splitters part it.
+   There are at most ``MOST_BUCKETS`` buckets, so the sample that the driver sees
+   is bounded; a task goes through its bucket in order, ``CHUNK`` suffixes at a
+   time.  Each chunk is sorted by multikey quicksort, in both reading directions,
+   and neighbours' common prefixes give, for each offset, the strings that are
+   equal.
+4. Chunks end between two runs where they can.  Where a run goes on in the next
+   chunk, or may do so in the next bucket, they are compared across the boundary:
+   the strings of that run that were seen first in a chunk meet by two 64-bit
+   hashes of their bytes (XXH3).
+
+Within a chunk bytes are compared, not hashes.  A chunk is bounded however often
+a run occurs.  What is kept of a document is at most a few numbers for each of its
+bytes.
 
 A null text is empty.  Repeated rows of one doc_id count as one document and
 each yield a result; rows without doc_id are left out; other columns come
@@ -31,15 +37,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from canvass.llm import textbytes as tb
-from canvass.llm.common import Scratch, partitions, small_batches
+from canvass.llm.common import Scratch, partitions, parts, settings, small_batches
 
 U = np.uint64
 #: Bytes of a run; a power of two.
 RUN = 32
 BITS = 10  # of a place's offsets within a string
 LOW = (1 << BITS) - 1
-SUFFIXES_PER_BUCKET = 25_000
-#: Rows of an Arrow batch: of whole texts, and of short suffixes.
+#: Suffixes that are sorted at once, suffixes of a bucket, and buckets.
+CHUNK, SUFFIXES_PER_BUCKET, MOST_BUCKETS = 25_000, 400_000, 1 << 14
+#: Suffixes of each bucket that Spark's sampler may send to the driver.
+SAMPLES = "spark.sql.execution.rangeExchange.sampleSizePerPartition"
+SAMPLES_PER_BUCKET = 30
+#: Ranges up to this length are sorted by all their keys at once.
+SMALL_RANGE = 2048
+#: Texts, and suffixes, that numpy works on at once.
 TEXT_BATCH, SUFFIX_BATCH = 128, 4096
 
 
@@ -54,7 +66,7 @@ def run_hashes(data: np.ndarray) -> np.ndarray:
 
 def _anchors(length: int):
     def run(batches):
-        for batch in batches:
+        for batch in parts(batches, TEXT_BATCH):
             data, offsets = tb.column(batch.column("text"))
             stops = np.repeat(offsets[1:], np.diff(offsets))
             h = run_hashes(data)
@@ -70,7 +82,7 @@ def _contexts(length: int):
     """Each suffix with the bytes that its strings cover."""
 
     def run(batches):
-        for batch in batches:
+        for batch in parts(batches, TEXT_BATCH):
             data, offsets = tb.column(batch.column("text"))
             places, bounds = tb.lists(batch.column("places"))
             text = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
@@ -102,12 +114,35 @@ def matrix(data: np.ndarray, begin: np.ndarray, size: np.ndarray, width: int, st
 
 
 def multikey_sort(rows: np.ndarray) -> np.ndarray:
-    """The order of the rows by multikey quicksort: the next eight bytes part
-    only the ranges that are still tied."""
+    """The order of the rows by multikey quicksort over keys of eight bytes: a
+    range is parted into those whose key is less than the pivot's, equal or
+    more, and those with equal keys go on with the next key."""
     keys = rows.view(">u8").astype(U)
+    order = np.arange(len(rows))
+    ranges = [(0, len(rows), 0)]
+    while ranges:
+        low, high, depth = ranges.pop()
+        if high - low < 2 or depth == keys.shape[1]:
+            continue
+        part = order[low:high]
+        key = keys[part, depth]
+        if high - low <= SMALL_RANGE:
+            order[low:high] = part[_by_columns(keys[part, depth:])]
+            continue
+        some = np.sort(key[:: len(key) // 63 + 1])
+        pivot = some[len(some) // 2]
+        less, more = key < pivot, key > pivot
+        order[low:high] = np.concatenate([part[less], part[~(less | more)], part[more]])
+        same, after = low + int(less.sum()), high - int(more.sum())
+        ranges += [(low, same, depth), (same, after, depth + 1), (after, high, depth)]
+    return order
+
+
+def _by_columns(keys: np.ndarray) -> np.ndarray:
+    """The order of a small range: each next key parts only what is still tied."""
     order = np.argsort(keys[:, 0], kind="stable")
-    new = np.ones(len(order), bool)
-    new[1:] = False
+    new = np.zeros(len(order), bool)
+    new[0] = True
     for j in range(1, keys.shape[1]):
         before = keys[order, j - 1]
         new[1:] |= before[1:] != before[:-1]
@@ -162,46 +197,74 @@ def repeats(ids: np.ndarray, places: np.ndarray, data: np.ndarray, offsets: np.n
     return again, first
 
 
-def _bucket(length: int):
+def _leads(table: pa.Table) -> np.ndarray:
+    """The run that each suffix starts with."""
+    data, offsets = tb.column(table.column("bytes"))
+    most = np.asarray(table.column("place").combine_chunks()) & LOW
+    return matrix(data, offsets[:-1] + most, np.full(table.num_rows, RUN), RUN, 1)
+
+
+def _chunks(batches, most: int):
+    """A sorted bucket in chunks of about ``most`` suffixes that end with a
+    run, unless the run itself is longer; and whether the first and the last
+    run of each may have suffixes elsewhere."""
+    held, rows, head = [], 0, True
+    for batch in batches:
+        step = min(SUFFIX_BATCH, most)
+        for low in range(0, batch.num_rows, step):
+            held.append(batch.slice(low, step))
+            rows += held[-1].num_rows
+            if rows < most:
+                continue
+            table = pa.Table.from_batches(held).combine_chunks()
+            leads = _leads(table)
+            ends = np.flatnonzero((leads[1:] != leads[:-1]).any(axis=1)) + 1
+            cut = int(ends[-1]) if len(ends) else table.num_rows
+            yield table.slice(0, cut), head, not len(ends)
+            head = not len(ends)
+            held, rows = table.slice(cut).to_batches(), table.num_rows - cut
+    if rows:
+        yield pa.Table.from_batches(held).combine_chunks(), head, True
+
+
+def _bucket(length: int, chunk: int):
     names = ["doc_id", "begin", "end", "w1", "w2"]
 
     def run(batches):
-        batches = [b for b in batches if b.num_rows]
-        if not batches:
-            return
-        table = pa.Table.from_batches(batches)
-        ids, places = np.asarray(table.column("doc_id").combine_chunks()), np.asarray(table.column("place").combine_chunks())
-        order = np.lexsort((places, ids))
-        ids, places = ids[order], places[order]
-        data, offsets = tb.column(table.column("bytes").take(pa.array(order)))
-        again, first = repeats(ids, places, data, offsets, length)
-        at, most = places >> 2 * BITS, places & LOW
-        # Strings that started earlier, as runs of starts; column 0 of the flipped table is the earliest.
-        width = again.shape[1]
-        flipped = np.zeros((len(ids), width + 2), bool)
-        flipped[:, 1:-1] = again[:, ::-1]
-        row, begin = np.nonzero(flipped[:, 1:] & ~flipped[:, :-1])
-        end = np.nonzero(~flipped[:, 1:] & flipped[:, :-1])[1] - 1
-        anchor = at[row] - (width - 1)
-        none = pa.nulls(len(row), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(anchor + begin), pa.array(anchor + end + length), none, none], names)
-        # The runs at the bucket's ends may go on in the next bucket.
-        rows = matrix(data, offsets[:-1] + most, np.full(len(ids), RUN), RUN, 1)
-        edge = multikey_sort(rows)[[0, -1]]
-        ends = (rows == rows[edge[0]]).all(axis=1) | (rows == rows[edge[1]]).all(axis=1)
-        row, before = np.nonzero(first & ends[:, None])
-        for low in range(0, len(row), 500_000):
-            r, o = row[low : low + 500_000], before[low : low + 500_000]
-            begin = offsets[r] + most[r] - o
-            w = [pa.array(tb.word_hashes(data, begin, begin + length, k).view(np.int64)) for k in range(2)]
-            yield pa.RecordBatch.from_arrays([pa.array(ids[r]), pa.array(at[r] - o), pa.array(at[r] - o + length), *w], names)
+        for table, head, tail in _chunks(batches, chunk):
+            ids, places = np.asarray(table.column("doc_id").combine_chunks()), np.asarray(table.column("place").combine_chunks())
+            order = np.lexsort((places, ids))
+            ids, places = ids[order], places[order]
+            table = table.take(pa.array(order))
+            data, offsets = tb.column(table.column("bytes"))
+            again, first = repeats(ids, places, data, offsets, length)
+            at, most = places >> 2 * BITS, places & LOW
+            # Strings that started earlier, as runs of starts; column 0 of the flipped table is the earliest.
+            width = again.shape[1]
+            flipped = np.zeros((len(ids), width + 2), bool)
+            flipped[:, 1:-1] = again[:, ::-1]
+            row, begin = np.nonzero(flipped[:, 1:] & ~flipped[:, :-1])
+            end = np.nonzero(~flipped[:, 1:] & flipped[:, :-1])[1] - 1
+            anchor = at[row] - (width - 1)
+            none = pa.nulls(len(row), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(anchor + begin), pa.array(anchor + end + length), none, none], names)
+            # The runs at the chunk's ends may go on elsewhere.
+            leads = _leads(table)
+            edge = multikey_sort(leads)[[0, -1]]
+            ends = head & (leads == leads[edge[0]]).all(axis=1) | tail & (leads == leads[edge[1]]).all(axis=1)
+            row, before = np.nonzero(first & ends[:, None])
+            for low in range(0, len(row), 500_000):
+                r, o = row[low : low + 500_000], before[low : low + 500_000]
+                begin = offsets[r] + most[r] - o
+                w = [pa.array(tb.word_hashes(data, begin, begin + length, k).view(np.int64)) for k in range(2)]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[r]), pa.array(at[r] - o), pa.array(at[r] - o + length), *w], names)
 
     return run
 
 
 def _cut(keep: tuple[str, ...]):
     def run(batches):
-        for batch in batches:
+        for batch in parts(batches, TEXT_BATCH):
             data, offsets = tb.column(batch.column("text"))
             spans, bounds = tb.lists(batch.column("spans"))
             base = np.repeat(offsets[:-1], np.diff(bounds))
@@ -232,11 +295,11 @@ def repeated_spans(texts: DataFrame, length: int, scratch: Scratch) -> DataFrame
     places = left.distinct().groupBy("doc_id").agg(F.collect_list("place").alias("places"))
     suffixes = scratch.keep(texts.join(places, "doc_id").mapInArrow(_contexts(length), "doc_id long, place long, bytes binary"))
     scratch.drop(left)
-    n = partitions(spark, suffixes.count(), SUFFIXES_PER_BUCKET)
-    small_batches(spark, SUFFIX_BATCH)
+    n = min(partitions(spark, suffixes.count(), SUFFIXES_PER_BUCKET), MOST_BUCKETS)
     lead = F.expr(f"substring(bytes, cast((place & {LOW}) + 1 AS int), {RUN})")
-    found = scratch.keep(suffixes.repartitionByRange(n, lead, "doc_id", "place").mapInArrow(_bucket(length), "doc_id long, begin long, end long, w1 long, w2 long"))
-    small_batches(spark, TEXT_BATCH)
+    dealt = suffixes.repartitionByRange(n, lead, "doc_id", "place").sortWithinPartitions(lead, "doc_id", "place")
+    with settings(spark, **{SAMPLES: str(SAMPLES_PER_BUCKET)}):
+        found = scratch.keep(dealt.mapInArrow(_bucket(length, CHUNK), "doc_id long, begin long, end long, w1 long, w2 long"))
     scratch.drop(suffixes)
     local = found.where("w1 IS NULL").select("doc_id", "begin", "end")
     across = found.where("w1 IS NOT NULL")
@@ -250,7 +313,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, keep: tuple[str, ...] = (
     document; ``kept`` joins the bytes that stay.  Strings are judged on the
     input."""
     spark = docs.sparkSession
-    small_batches(spark, TEXT_BATCH)
+    small_batches(spark)
     scratch = scratch or Scratch(spark, "suffixes")
     base = docs.where("doc_id IS NOT NULL").withColumns({"doc_id": F.col("doc_id").cast("long"), "text": F.coalesce(F.col("text").cast("string"), F.lit(""))}).select("doc_id", "text", *keep)
     spans = repeated_spans(base.select("doc_id", "text"), length, scratch)

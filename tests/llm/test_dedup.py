@@ -54,17 +54,22 @@ def test_suffixes(docs, rows, length):
         assert (r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) == want[r["doc_id"]], r["doc_id"]
 
 
-def test_suffixes_across_buckets(docs, rows, monkeypatch):
-    """Buckets of a few suffixes: a run fills many, whose ends are compared."""
-    monkeypatch.setattr(suffix_dedup, "SUFFIXES_PER_BUCKET", 6)
+@pytest.mark.parametrize(("per_bucket", "chunk"), [(6, 100), (400, 7), (25, 5)])
+def test_suffixes_across_buckets(docs, rows, monkeypatch, per_bucket, chunk):
+    """Buckets and chunks of a few suffixes: a run fills many, whose ends are compared."""
+    monkeypatch.setattr(suffix_dedup, "SUFFIXES_PER_BUCKET", per_bucket)
+    monkeypatch.setattr(suffix_dedup, "CHUNK", chunk)
     got = suffix_dedup.remove_repeats(docs, 100).collect()
     want = brute_bytes(rows, 100)
     assert all((r["n_removed"], bytes(r["kept"])) == (want[r["doc_id"]][1], want[r["doc_id"]][3]) for r in got)
 
 
-def test_multikey_sort_is_bytewise_order():
+@pytest.mark.parametrize("small", [2048, 4])
+def test_multikey_sort_is_bytewise_order(monkeypatch, small):
+    monkeypatch.setattr(suffix_dedup, "SMALL_RANGE", small)
     r = np.random.default_rng(2)
     rows = r.integers(0, 3, (500, 24)).astype(np.uint8)
+    rows[100:300] = rows[7]
     order = suffix_dedup.multikey_sort(rows)
     assert [bytes(rows[i]) for i in order] == sorted(map(bytes, rows))
     lcp = suffix_dedup.common_prefix(rows, order)
@@ -85,6 +90,28 @@ def test_substrings(docs, rows, window):
         assert r["lang"] == "en"
 
 
+def thue_morse(n):
+    return "".join("ab"[i.bit_count() % 2] for i in range(n))
+
+
+def test_long_words_that_cancel_out_in_polynomials(spark):
+    """A Thue-Morse word and its mirror have equal values in every odd base."""
+    a = thue_morse(1024)
+    b = a.translate(str.maketrans("ab", "ba"))
+    before, after = " ".join(f"w{i}" for i in range(6)), " ".join(f"v{i}" for i in range(6))
+    rows = [(1, f"{before} {a} {after}"), (2, f"{before} {b} {after}"), (3, f"{before} {a} {after}")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"]: r["n_removed"] for r in substring_dedup.remove_repeats(d, 13).collect()} == {1: 0, 2: 0, 3: 13}
+    # The same with whole words in the place of letters, for long windows.
+    words = [" ".join(w.translate(str.maketrans({"a": "one ", "b": "two "})).split()) for w in (a[:512], b[:512])]
+    d = spark.createDataFrame(list(enumerate([*words, words[0]])), "doc_id long, text string")
+    assert {r["doc_id"]: r["n_removed"] for r in substring_dedup.remove_repeats(d, 512).collect()} == {0: 0, 1: 0, 2: 512}
+    d = spark.createDataFrame(list(enumerate([a, b, a])), "doc_id long, text string")
+    got = suffix_dedup.remove_repeats(d, 1000).collect()
+    want = brute_bytes([(i, t) for i, t in enumerate([a, b, a])], 1000)
+    assert {r["doc_id"]: r["n_removed"] for r in got} == {i: v[1] for i, v in want.items()}
+
+
 def test_untouched_texts_keep_their_white_space(spark):
     rows = [(1, " a\n\nb  c\t"), (2, None)]
     d = spark.createDataFrame(rows, "doc_id long, text string")
