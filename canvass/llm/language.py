@@ -1,7 +1,8 @@
 """Language of a text by prediction by partial matching.
 
 Each language has a byte context tree, learned from a bounded sample of
-documents (``PER_LANGUAGE`` of each, outside the held-out fold) and then
+documents (``PER_LANGUAGE`` of each of the commonest languages, outside the held-out fold;
+``samples`` has the bounds) and then
 frozen: for every context of up to three bytes the counts of what follows.  The
 code length of a byte is -log2 of its share of the longest context that was
 ever followed by it, plus what the escapes from longer contexts cost (escapes
@@ -28,7 +29,9 @@ from canvass.llm.common import documents, parts, small_batches
 ORDER = 3
 PER_LANGUAGE = 150
 START = 10  # stands for the bytes before a text
-SLOTS = 20  # bits of the table of known contexts
+SLOTS = 20  # bits of the hash by which a context is found in the table
+#: Cells of the table of code lengths; what isn't in it is looked up in the trees.
+CELLS = 1 << 22
 
 
 def keys(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -88,8 +91,9 @@ class Model:
         self.names = sorted(by)
         seen = [keys(*tb.column(pa.array(by[name], pa.large_string()))) for name in self.names]
         self.trees = [Tree(s) for s in seen]
-        self.known = np.unique(np.concatenate([*seen, np.zeros(0, np.uint32)]))
-        self.table = np.stack([t.lengths(self.known) for t in self.trees], axis=1).astype(np.float32) if self.names else None
+        known, count = np.unique(np.concatenate([*seen, np.zeros(0, np.uint32)]), return_counts=True)
+        self.known = np.sort(known[np.argsort(-count, kind="stable")[: CELLS // max(len(self.names), 1)]])
+        self.table = np.stack([t.lengths(self.known) for t in self.trees], axis=1) if self.names else None
         if self.names:
             slot = self._slot(self.known)
             self.slot = np.zeros(1 << SLOTS, np.int32)

@@ -7,8 +7,12 @@ Forward-backward gives each line's probability of being good, and their mean
 by length, put on the scale of the labels, is the document's quality.
 
 Learned on a bounded sample of labelled documents outside the held-out fold
-(``PER_LABEL`` of each label), on the driver in numpy; scored over whole texts
-where the texts are.  A null or empty text has one empty line and gets that
+(``PER_LABEL`` of each label, long texts by a part; ``samples`` has the bounds),
+on the driver in numpy; scored over whole texts where the texts are.  Lines have
+no labels of their own: at first every line bears its document's, then those that
+the model finds to be of the other kind change sides, up to half of a bad
+document's length and a fifth of a good one's, and the model learns again.
+Chains of very many lines are worked on in stretches side by side.  A null or empty text has one empty line and gets that
 line's score.  Without any labelled rows of both labels every score is 0.5.
 Repeated rows give repeated results; rows without doc_id are left out; other
 columns come through only in ``keep``.
@@ -29,6 +33,8 @@ from canvass.llm.common import parts, small_batches
 
 PER_LABEL = 1200
 STEPS = 120
+ROUNDS = 2  # of learning; before each but the first, lines change sides
+STRETCH = 2000  # lines of a chain that are gone through one by one
 
 _CLASSES = ["upper", "lower", "digit", "shout", "symbol", "bar", "point", "blank", "other"]
 _CLASS = np.full(256, 8, np.uint8)
@@ -97,30 +103,60 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.concatenate([own, before, after, edges], axis=1), size + 1, first
 
 
+def join(x: np.ndarray) -> np.ndarray:
+    """The logarithm of the sum of two exponentials, along the last axis."""
+    return np.maximum(x[..., 0], x[..., 1]) + np.log1p(np.exp(-np.abs(x[..., 0] - x[..., 1])))
+
+
+def _along(score: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """The forward sums of one long chain.  The chain is cut into stretches;
+    what each makes of either label before it is found for all stretches at
+    once, then the stretches are gone through one after the other."""
+    n = len(score)
+    size = int(np.ceil(np.sqrt(n)))
+    count = -(-n // size)
+    padded = np.zeros((count * size, 2))
+    padded[:n] = score
+    padded = padded.reshape(count, size, 2)
+    # of[b, t, i, j]: the sum over stretch b's first t + 1 labels, the last being j, after label i.
+    of = np.empty((count, size, 2, 2))
+    of[:, 0] = table[None] + padded[:, 0, None, :]
+    for t in range(1, size):
+        of[:, t] = padded[:, t, None, :] + join(of[:, t - 1, :, None, :] + table.T[None, None])
+    out = np.empty((count, size, 2))
+    out[0, 0] = score[0]
+    for t in range(1, size):
+        out[0, t] = padded[0, t] + join(out[0, t - 1][None, :] + table.T)
+    for b in range(1, count):
+        before = out[b - 1, -1]
+        out[b] = join(np.moveaxis(before[:, None] + of[b], 1, -1))
+    return out.reshape(-1, 2)[:n]
+
+
 def marginals(emission: np.ndarray, first: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For many chains at once: each place's probability of label 1, the sums
     of the neighbouring labels' joint probabilities, and the chains' log sums.
     ``emission`` is the advantage of label 1, ``table`` that of label pairs."""
-    number = np.diff(first)
-    order = np.argsort(-number, kind="stable")
-    number, head = number[order], first[:-1][order]
     score = np.stack([np.zeros_like(emission), emission], axis=1)
     forward, backward = score.copy(), np.zeros_like(score)
-    longest = int(number[0]) if len(number) else 0
-    active = np.searchsorted(-number, -np.arange(longest + 1), "left")  # chains with over t places
-    join = lambda x: np.maximum(x[..., 0], x[..., 1]) + np.log1p(np.exp(-np.abs(x[..., 0] - x[..., 1])))
+    number = np.diff(first)
+    for k in np.flatnonzero(number > STRETCH):
+        part = slice(first[k], first[k + 1])
+        forward[part] = _along(score[part], table)
+        backward[part] = _along(score[part][::-1], table.T)[::-1] - score[part]
+    short = np.flatnonzero(number <= STRETCH)
+    order = short[np.argsort(-number[short], kind="stable")]
+    size, head = number[order], first[:-1][order]
+    longest = int(size[0]) if len(size) else 0
+    active = np.searchsorted(-size, -np.arange(longest + 1), "left")  # chains with over t places
     for t in range(1, longest):
         at = head[: active[t]] + t
         forward[at] = score[at] + join(forward[at - 1][:, None, :] + table.T[None])
     for t in range(longest - 2, -1, -1):
         at = head[: active[t + 1]] + t
         backward[at] = join((backward[at + 1] + score[at + 1])[:, None, :] + table[None])
-    total = np.zeros(len(number))
-    if longest:
-        total = join(forward[head + number - 1])
-    z = np.empty(len(number))
-    z[order] = total
-    each = np.repeat(z, np.diff(first))
+    z = np.where(number > 0, join(forward[np.maximum(first[1:] - 1, 0)]) if len(forward) else 0.0, 0.0)
+    each = np.repeat(z, number)
     good = np.exp(np.clip(forward[:, 1] + backward[:, 1] - each, -60, 0))
     later = np.ones(len(emission), bool)
     later[first[:-1]] = False
@@ -164,40 +200,60 @@ def calibrate(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
+def sides(y: np.ndarray, good: np.ndarray, length: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """A label for each line: its own where its document's share of changed
+    lines allows it, the surest first, else its document's."""
+    owner = np.repeat(np.arange(len(y)), np.diff(first))
+    line = y[owner]
+    own = np.where(line == 1, 1 - good, good)  # how sure the other side is
+    order = np.lexsort((-own, owner))
+    used = np.cumsum(length[order])
+    used = used - np.concatenate([[0], used])[first[:-1]][owner]
+    allowed = np.where(y == 1, 0.2, 0.5) * np.add.reduceat(length, first[:-1])
+    out = line.copy()
+    change = order[(used <= allowed[owner]) & (own[order] > 0.5)]
+    out[change] = 1 - line[change]
+    return out
+
+
 def train(sample: list[tuple[str, int]], steps: int = STEPS) -> Model | None:
-    """Maximises the labels' conditional likelihood, every line bearing its
-    document's label.  None if a label is missing."""
+    """Maximises the lines' conditional likelihood.  None if a label is
+    missing."""
     y = np.array([label for _, label in sample], float)
     if len(set(y)) < 2:
         return None
     data, offsets = tb.column(pa.array([text for text, _ in sample], pa.large_string()))
-    x, length, first = features(data, offsets)
-    mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-3
-    x = np.clip((x - mean) / scale, -5, 5)
+    raw, length, first = features(data, offsets)
+    mean, scale = raw.mean(axis=0), raw.std(axis=0) + 1e-3
+    x = np.clip((raw - mean) / scale, -5, 5)
     number = np.diff(first)
     line_y = np.repeat(y, number)
     weight = np.repeat(1.0 / number, number)  # each document counts alike
-    w, b, table = np.zeros(x.shape[1]), 0.0, np.zeros((2, 2))
-    theta = np.zeros(len(w) + 1 + 4)
-    m, v = np.zeros_like(theta), np.zeros_like(theta)
-    label = line_y.astype(int)
-    later = np.ones(len(label), bool)
+    theta = np.zeros(x.shape[1] + 1 + 4)
+    split = lambda theta: (theta[:-5], theta[-5], theta[-4:].reshape(2, 2))
+    later = np.ones(len(line_y), bool)
     later[first[:-1]] = False
     pairs = np.flatnonzero(later)
-    observed = np.zeros((2, 2))
-    np.add.at(observed, (label[pairs - 1], label[pairs]), 1.0)
-    for step in range(1, steps + 1):
-        w, b, table = theta[: len(w)], theta[len(w)], theta[len(w) + 1 :].reshape(2, 2)
-        good, joint, _ = marginals((x @ w + b).astype(float), first, table)
-        error = (line_y - good) * weight
-        slope = np.concatenate([x.T @ error, [error.sum()], ((observed - joint) / max(len(label), 1) * len(y)).ravel()]) / len(y)
-        slope -= 1e-3 * theta
-        slope[len(w) + 1 :] -= 0.05 * theta[len(w) + 1 :]
-        m, v = 0.9 * m + 0.1 * slope, 0.99 * v + 0.01 * slope**2
-        theta = theta + 0.08 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
-    model = Model(mean, scale, theta[: len(w)].astype(np.float32), float(theta[len(w)]), theta[len(w) + 1 :].reshape(2, 2), 1.0, 0.0)
-    raw, raw_length, _ = features(data, offsets)
-    model.slope, model.shift = map(float, calibrate(model.mean_good(raw, raw_length, first)[:, None], y))
+    for turn in range(ROUNDS):
+        if turn:
+            w, b, table = split(theta)
+            line_y = sides(y, marginals((x @ w + b).astype(float), first, table)[0], length, first)
+        label = line_y.astype(int)
+        observed = np.zeros((2, 2))
+        np.add.at(observed, (label[pairs - 1], label[pairs]), 1.0)
+        m, v = np.zeros_like(theta), np.zeros_like(theta)
+        for step in range(1, steps // ROUNDS + 1):
+            w, b, table = split(theta)
+            good, joint, _ = marginals((x @ w + b).astype(float), first, table)
+            error = (line_y - good) * weight
+            slope = np.concatenate([x.T @ error, [error.sum()], ((observed - joint) / max(len(label), 1) * len(y)).ravel()]) / len(y)
+            slope -= 1e-3 * theta
+            slope[-4:] -= 0.05 * theta[-4:]
+            m, v = 0.9 * m + 0.1 * slope, 0.99 * v + 0.01 * slope**2
+            theta = theta + 0.08 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
+    w, b, table = split(theta)
+    model = Model(mean, scale, w.astype(np.float32), float(b), table, 1.0, 0.0)
+    model.slope, model.shift = map(float, calibrate(model.mean_good(raw, length, first)[:, None], y))
     return model
 
 

@@ -65,6 +65,49 @@ def test_marginals_equal_enumeration():
     assert np.allclose(joint, all_joint)
 
 
+def test_long_chains_equal_short_steps(monkeypatch):
+    r = np.random.default_rng(6)
+    first = np.array([0, 700, 701, 1701])
+    e, table = r.standard_normal(1701) * 3, r.standard_normal((2, 2))
+    whole = quality.marginals(e, first, table)
+    monkeypatch.setattr(quality, "STRETCH", 10)
+    for a, b in zip(whole, quality.marginals(e, first, table), strict=True):
+        assert np.allclose(a, b)
+
+
+def test_lines_change_sides_within_bounds():
+    y, first = np.array([0.0, 1.0]), np.array([0, 4, 9])
+    good = np.array([0.9, 0.8, 0.7, 0.1, 0.9, 0.9, 0.1, 0.2, 0.9])
+    assert quality.sides(y, good, np.full(9, 10), first).tolist() == [1, 1, 0, 0, 1, 1, 0, 1, 1]
+
+
+def test_a_text_of_very_many_lines():
+    sample = [("Good lines stand here.\nAnd one more of them.", 1), ("$$$ BUY !!! ||\n@@ ## !!", 0)] * 20
+    model = quality.train(sample)
+    long = model.score(*col(["Good lines stand here.\n" * 300_000, "@@ ## !!\n" * 300_000]))
+    assert long[0] > 0.5 > long[1]
+
+
+def test_samples(spark):
+    """Labels of absent documents, repeated rows and long texts."""
+    from canvass.llm import samples
+
+    texts = [(i, f"text {i} " * (1 + i % 7), "en" if i % 2 else "de") for i in range(40)]
+    texts += [texts[3]] * 10_000 + [(100, "lang " * 100_000, "xx"), (101, None, "yy"), (None, "t", "zz")]
+    d = spark.createDataFrame(texts, "doc_id long, text string, lang string").repartition(4)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20_000)], "doc_id long, quality int")
+    there = {i for i, t, _ in texts if i is not None and t}
+    got = samples.labelled(d, labels, "quality", 3, 1, 1000)
+    assert len(got) == len({i for i in there if crc(i) % 3 != 1})
+    assert {(t, i % 2) for i, t, _ in texts[:40] if crc(i) % 3 != 1} <= set(got)
+    assert len(samples.labelled(d, labels, "quality", 3, 1, 5)) == 10
+    found = samples.languages(d, 4, 2, 1000)
+    assert len(found) == len({i for i in there if crc(i) % 4 != 2})
+    assert all(len(t) <= samples.LONGEST for t, _ in found)
+    if crc(100) % 4 != 2:
+        assert "xx" in {x for _, x in found}
+
+
 def test_network_slopes_equal_differences():
     words = toxicity.Words(*col(["Some words here, and more of them idiot", "réeuxment le la", "one two three " * 30]))
     net = toxicity.Network(3)
