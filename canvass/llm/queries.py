@@ -38,7 +38,8 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     messages = chat_format.turns_as_messages(read(spark, sf_dir, "conversations"))
-    return chat_format.link(messages, chat_format.REPLY)
+    placed = chat_format.ordered(chat_format.link(messages, chat_format.REPLY))
+    return placed.select("conv_id", "place", "position", "call_id", "depth", "status", "n_results", F.array_join("errors", "; ").alias("errors"), "json")
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

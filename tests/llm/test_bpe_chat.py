@@ -83,6 +83,68 @@ def test_linking(spark):
     assert list(got[3, 2]["errors"]) == ["$: no schema"]
 
 
+def test_arguments_that_are_hard_to_write(spark):
+    """Surrogates, nesting, numbers that JSON lacks, types in lists."""
+    tools = {"add": {"type": ["object", "null"], "properties": {"a": {"type": ["string", "number"]}, "b": {"type": "widget"}}}}
+    hard = ['{"a":"\\ud800"}', "[" * 200_000 + "]" * 200_000, '{"a":NaN}', '{"a":1e999}', "null", "3", '{"a":[]}', '{"b":1}', '{"a":"x","a":1.50}', "", '{"a":-Infinity}', '{"\\udc00":1}', '{"a":"' + "y" * 300_000 + '"}']
+    d = spark.createDataFrame([message(1, i, "call", f"c{i}", a) for i, a in enumerate(hard)], SCHEMA)
+    got = {r["position"]: r for r in chat_format.link(d, tools).collect()}
+    found = {i: (r["status"], list(r["errors"])) for i, r in got.items()}
+    ok, bad = ("no_result", []), lambda e: ("invalid_arguments", [e])
+    assert found == {0: ok, 1: bad("$: nested too deeply"), 2: bad("$: not JSON"), 3: bad("$: not JSON"), 4: ok, 5: bad("$: not object or null"), 6: bad("$.a: not string or number"), 7: bad("$.b: not widget"), 8: ok, 9: bad("$: not JSON"), 10: bad("$: not JSON"), 11: ok, 12: ok}
+    assert json.loads(got[0]["json"])["arguments"] == {"a": "\ud800"}
+    assert json.loads(got[1]["json"])["arguments"] == hard[1]
+    assert json.loads(got[8]["json"])["arguments"] == {"a": 1.5}
+    assert all(chat_format.canonical(json.loads(r["json"])) == r["json"] for r in got.values())
+
+
+def plain_order(rows):
+    """conv_id -> its calls' ids in the order of depth and position."""
+    calls = {(r[0], r[3]): r for r in rows if r[2] == "call"}
+    depth = lambda r: 1 + depth(calls[r[0], r[7]]) if (r[0], r[7]) in calls else 0
+    out = {}
+    for r in sorted(calls.values(), key=lambda r: (r[0], depth(r), r[1])):
+        out.setdefault(r[0], []).append(r[3])
+    return out
+
+
+@pytest.mark.parametrize("per_task", [1_000_000, 30])
+def test_order(spark, monkeypatch, per_task):
+    """One conversation of many calls that fills several partitions, and small ones."""
+    import random
+
+    monkeypatch.setattr(chat_format, "ROWS_PER_TASK", per_task)
+    r = random.Random(3)
+    rows = [message(c, i, "call", f"c{i}", '{"a":1}', parent=f"c{r.randrange(i)}" if i and r.random() < 0.8 else None) for c, n in ((1, 300), (2, 1), (3, 7), (9, 40)) for i in range(n)]
+    r.shuffle(rows)
+    placed = chat_format.ordered(chat_format.link(spark.createDataFrame(rows, SCHEMA), TOOLS)).cache()
+    got = {}
+    for x in sorted(placed.collect(), key=lambda x: (x["conv_id"], x["place"])):
+        got.setdefault(x["conv_id"], []).append(x["call_id"])
+        assert x["place"] == len(got[x["conv_id"]])
+    assert got == plain_order(rows)
+    pages = {(x["conv_id"], x["page"]): json.loads(x["json"]) for x in chat_format.conversations(placed, 100).collect()}
+    assert {k: len(v) for k, v in pages.items()} == {(1, 0): 100, (1, 1): 100, (1, 2): 100, (2, 0): 1, (3, 0): 7, (9, 0): 40}
+    assert [x["call_id"] for p in range(3) for x in pages[1, p]] == got[1]
+    assert chat_format.ordered(chat_format.link(spark.createDataFrame([], SCHEMA), TOOLS)).count() == 0
+
+
+def test_many_null_identifiers_and_results(spark):
+    rows = [message(1, i, "call", None, '{"a":1}') for i in range(50)] + [message(1, 100 + i, "result", None, content=str(i)) for i in range(50)] + [message(1, 200, "call", "x", '{"a":1}')] + [message(1, 201 + i, "result", "x", content=str(i)) for i in range(50)]
+    got = chat_format.link(spark.createDataFrame(rows, SCHEMA), TOOLS).collect()
+    count = {}
+    for x in got:
+        count[x["status"]] = count.get(x["status"], 0) + 1
+    assert count == {"no_result": 50, "orphan_result": 50, "ok": 1}
+    assert next(x["n_results"] for x in got if x["status"] == "ok") == 50
+
+
+def test_joins_by_hash(spark):
+    plan = chat_format.link(spark.createDataFrame([message(1, 0, "call", "a", "{}")], SCHEMA), TOOLS)._jdf.queryExecution().toString()
+    assert "ShuffledHashJoin" in plan
+    assert "SortMergeJoin" not in plan
+
+
 def test_long_chain(spark):
     n = 300
     d = spark.createDataFrame([message(1, i, "call", f"c{i}", '{"a":1}', parent=f"c{i - 1}" if i else None) for i in range(n)], SCHEMA)
