@@ -6,9 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from canvass.llm import byte_bpe, chat_format, decontaminate, hnsw, language, quality, simhash, substring_dedup, suffix_dedup, toxicity
-from canvass.llm.samples import fold
+from canvass.llm import byte_bpe, chat_format, decontaminate, hnsw, language, oracles, quality, simhash, substring_dedup, suffix_dedup, toxicity
 from canvass.llm.common import read
+from canvass.llm.samples import fold
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,4 +78,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_suffix_dedup": oracles.SUFFIX_DEDUP, "op4_chat_format": oracles.CHAT_FORMAT, "op6_substring_dedup": oracles.SUBSTRING_DEDUP}
