@@ -14,8 +14,10 @@
 
 Words are runs of letters, digits and bytes over 127, in lower case.  Null and
 empty texts and items match nothing.  Items are sent to the tasks in blocks of
-``ITEMS`` items, however many there are.  Repeated rows give repeated findings,
-one for each; rows without doc_id or item_id are left out.
+``ITEMS`` items or ``ITEM_BYTES`` bytes, however many there are; documents are read
+once for all blocks, and a task holds ``HOLD`` bytes of texts and one block at a
+time.  Repeated rows give repeated findings, one for each; rows without doc_id or
+item_id are left out.
 """
 
 from __future__ import annotations
@@ -35,7 +37,8 @@ PASSAGE, STRIDE = 48, 16
 COSINE = 0.3
 FOUND, LIKELY, ANSWER_FOUND = 0.7, 0.5, 0.75
 ANSWER = 8  # words
-ITEMS = 5000
+ITEMS, ITEM_BYTES = 5000, 8 << 20
+HOLD = 16 << 20
 SLOTS = 1 << 11  # places of a word in the table that bounds a common subsequence
 BATCH = 128  # texts in a batch: its arrays should fit a core's cache
 
@@ -287,44 +290,89 @@ class Bounds:
         return out
 
 
-def _search(space, items):
-    def run(batches):
-        vectors, owner, words, ids = items.value
-        bounds, directions = Bounds(words), with_none(space.value)
-        where = [places(w) for w in words]
-        for batch in parts(batches, BATCH):
-            h, f, first = tokens(*tb.column(batch.column("text")))
-            begin, text, z = passages(f, first, directions)
-            best: dict[tuple[int, int], tuple[float, float, float]] = {}
-            for low in range(0, len(begin), 1024):
-                cosine = z[low : low + 1024] @ vectors.T
-                row, column = np.nonzero(cosine >= COSINE)
-                if not len(row):
+def _held(batches):
+    """Lists of slices that hold about ``HOLD`` bytes of texts together."""
+    group, size = [], 0
+    for batch in parts(batches, BATCH):
+        group.append(batch)
+        size += batch.nbytes
+        if size > HOLD:
+            yield group
+            group, size = [], 0
+    if group:
+        yield group
+
+
+class Items:
+    """A block of items, ready for the search."""
+
+    def __init__(self, block):
+        self.vectors, self.owner, self.words, self.ids = block
+        self.bounds = Bounds(self.words)
+        self.where = [places(w) for w in self.words]
+
+    def hits(self, h: np.ndarray, f: np.ndarray, first: np.ndarray, directions: np.ndarray) -> list[tuple]:
+        """Text, item, shares of the item and its answer, and cosine of all that is found."""
+        begin, text, z = passages(f, first, directions)
+        best: dict[tuple[int, int], tuple[float, float, float]] = {}
+        for low in range(0, len(begin), 1024):
+            cosine = z[low : low + 1024] @ self.vectors.T
+            row, column = np.nonzero(cosine >= COSINE)
+            if not len(row):
+                continue
+            own = text[low : low + 1024]
+            hold = self.bounds.enough(h, begin[low : low + 1024], first[own], first[own + 1], row, self.owner[column])
+            for k, j in zip(row[hold].tolist(), column[hold].tolist(), strict=True):
+                doc, item = int(text[low + k]), int(self.owner[j])
+                own = self.words[item]
+                margin = max(len(own) // 2, 4)
+                at = int(begin[low + k])
+                span = h[max(at - margin, first[doc]) : min(at + PASSAGE + margin, first[doc + 1])].tolist()
+                share = common(own, span, self.where[item]) / len(own)
+                if share < LIKELY:
                     continue
-                own = text[low : low + 1024]
-                hold = bounds.enough(h, begin[low : low + 1024], first[own], first[own + 1], row, owner[column])
-                for k, j in zip(row[hold].tolist(), column[hold].tolist(), strict=True):
-                    doc, item = int(text[low + k]), int(owner[j])
-                    own = words[item]
-                    margin = max(len(own) // 2, 4)
-                    at = int(begin[low + k])
-                    span = h[max(at - margin, first[doc]) : min(at + PASSAGE + margin, first[doc + 1])].tolist()
-                    share = common(own, span, where[item]) / len(own)
-                    if share < LIKELY:
+                answer = own[-ANSWER:]
+                said = common(answer, span) / len(answer)
+                new = (share, said, float(cosine[k, j]))
+                if new > best.get((doc, item), (0.0, 0.0, 0.0)):
+                    best[doc, item] = new
+        return [(doc, int(self.ids[item]), *v) for (doc, item), v in sorted(best.items()) if v[0] >= FOUND or v[1] >= ANSWER_FOUND]
+
+
+def _search(space, blocks):
+    def run(batches):
+        directions, last = with_none(space.value), None
+        for group in _held(batches):
+            for k, block in enumerate(blocks):
+                if last is None or last[0] != k:
+                    last = None  # one block at a time
+                    last = k, Items(block.value)
+                    if len(blocks) > 1 and getattr(block, "_path", None):  # else each block's value would stay
+                        block.__dict__.pop("_value", None)
+                for batch in group:
+                    found = last[1].hits(*tokens(*tb.column(batch.column("text"))), directions)
+                    if not found:
                         continue
-                    answer = own[-ANSWER:]
-                    said = common(answer, span) / len(answer)
-                    new = (share, said, float(cosine[k, j]))
-                    if new > best.get((doc, item), (0.0, 0.0, 0.0)):
-                        best[doc, item] = new
-            hits = [(doc, item, *v) for (doc, item), v in sorted(best.items()) if v[0] >= FOUND or v[1] >= ANSWER_FOUND]
-            doc, item, share, said, cosine = (np.array(c) for c in zip(*hits, strict=True)) if hits else (np.zeros(0, int), np.zeros(0, int), *np.zeros((3, 0)))
-            columns = [np.asarray(batch.column("doc_id"))[doc.astype(int)], ids[item.astype(int)], cosine.astype(float), share.astype(float), said.astype(float)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["doc_id", "item_id", "cosine", "common", "answer"])
+                    doc, item, share, said, cosine = (np.array(c) for c in zip(*found, strict=True))
+                    columns = [np.asarray(batch.column("doc_id"))[doc], item, cosine, share, said]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["doc_id", "item_id", "cosine", "common", "answer"])
 
     return run
 
 
+def _blocks(items: DataFrame):
+    """The items, a bounded block after the other, in the order of their ids."""
+    block, size = [], 0
+    for r in items.orderBy("item_id", "text").toLocalIterator():
+        block.append(r)
+        size += len(r.text)
+        if len(block) == ITEMS or size > ITEM_BYTES:
+            yield block
+            block, size = [], 0
+    if block:
+        yield block
+
+
 def _prepare(rows: list, space: np.ndarray):
     """Directions of the items' passages, the items they belong to, the items' words and ids."""
     h, f, first = tokens(*tb.column(pa.array([r.text for r in rows], pa.large_string())))
@@ -350,11 +398,5 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, scratch: Scratch | None
     space = latent_space(texts.select("text"), idf)
     shared = spark.sparkContext.broadcast(space)
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id IS NOT NULL AND text IS NOT NULL").distinct()
-    n = items.count()
-    schema = "doc_id long, item_id long, cosine double, common double, answer double"
-    found = None
-    for block in range(max(1, -(-n // ITEMS))):
-        rows = items.orderBy("item_id", "text").offset(block * ITEMS).limit(ITEMS).collect()
-        part = texts.mapInArrow(_search(shared, spark.sparkContext.broadcast(_prepare(rows, space))), schema)
-        found = part if found is None else found.unionByName(part)
-    return found
+    blocks = [spark.sparkContext.broadcast(_prepare(rows, space)) for rows in _blocks(items)]
+    return texts.mapInArrow(_search(shared, blocks), "doc_id long, item_id long, cosine double, common double, answer double")

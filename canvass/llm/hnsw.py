@@ -2,9 +2,14 @@
 
 Equal vectors are one point; of each only the ids that can still be among the
 nearest are kept at hand.  Points are dealt to shards by a hash.  A shard's
-points form a hierarchical navigable small-world graph, stored as one flat
-array of neighbours a layer, and every query is searched in every shard; the
-shards' results are merged.
+points form a hierarchical navigable small-world graph, written as a table of
+flat neighbour arrays.  Queries are dealt to blocks; every block meets every
+shard's graph in a task of its own, so a task holds one graph and a bounded
+number of queries, and the shards' results are merged.
+
+How wide a search must be depends on the vectors and on a shard's size: each graph
+is tried on ``PROBES`` of its own points against all others, and the beam doubles
+until ``RECALL`` of their nearest are found, if need be until it holds the shard.
 
 One more component makes the longest vectors' distance order that of inner
 products, so that the graph is one of Euclidean distances.  Points are added in
@@ -13,8 +18,10 @@ all beams of a block advance together in numpy.
 
 Vectors that are null, empty, zero or hold null or non-finite components take no
 part, nor do rows without id; if lengths of vectors differ, a query meets those
-of its own length.  Repeated rows of one id and vector count once.  With fewer
-candidates than asked for, all are returned.
+of its own length.  Repeated rows of one id and vector count once.  Rows of one id
+with several vectors are one candidate, and one query: the largest inner product
+of any of their vectors counts.  With fewer candidates than asked for, all are
+returned.
 """
 
 from __future__ import annotations
@@ -29,11 +36,14 @@ from canvass.llm.common import Scratch
 
 LINKS = 16  # neighbours a point has in the upper layers, and twice as many at the bottom
 BUILD_BEAM = 64
-SEARCH_BEAM = 160
+SEARCH_BEAM = 160  # at least
+PROBES, RECALL = 48, 0.97
 BLOCK = 256
 SHARDS = 8  # at least
 SHARD_ROWS = 50_000  # at most, by expectation
-QUERY_BLOCK = 512
+QUERY_BLOCK = 512  # queries searched at once
+QUERY_ROWS = 16_384  # of a block, by expectation
+CHUNK = 4096  # points in a row of the table of graphs
 
 
 class Graph:
@@ -41,9 +51,7 @@ class Graph:
 
     def __init__(self, points: np.ndarray, links: int = LINKS, beam: int = BUILD_BEAM, seed: int = 5):
         n = len(points)
-        length = (points**2).sum(axis=1)
-        self.points = np.concatenate([points, np.sqrt(np.maximum(length.max(initial=0) - length, 0))[:, None]], axis=1).astype(np.float32)
-        self.square = (self.points**2).sum(axis=1)
+        self._place(points)
         r = np.random.default_rng(seed)
         order = r.permutation(n)
         level = np.minimum((-np.log(1 - r.random(n)) / np.log(links)).astype(int), 12)
@@ -58,6 +66,11 @@ class Graph:
             self._add(block, beam)
             done += len(block)
 
+    def _place(self, points: np.ndarray) -> None:
+        length = (points**2).sum(axis=1)
+        self.points = np.concatenate([points, np.sqrt(np.maximum(length.max(initial=0) - length, 0))[:, None]], axis=1).astype(np.float32)
+        self.square = (self.points**2).sum(axis=1)
+
     def distance(self, vectors: np.ndarray, ids: np.ndarray) -> np.ndarray:
         """Of each row of vectors from its row of ids, squared and without the vector's own square."""
         return self.square[ids] - 2 * np.matmul(self.points[ids], vectors[:, :, None])[:, :, 0]
@@ -183,6 +196,48 @@ class Graph:
                 out[full] = self._choose(who[part][full], ids[full], d[full], most)
             table[who[part]] = out
 
+    def beam(self, points: np.ndarray, k: int, width: int) -> int:
+        """How wide a search has to be to find ``RECALL`` of the k nearest."""
+        n = len(points)
+        some = points[np.linspace(0, n - 1, min(PROBES, n)).astype(int)]
+        true = some @ points.T
+        last = np.partition(true, -min(k, n), axis=1)[:, -min(k, n)]
+        while width < n:
+            near, _ = self.search(some, width)
+            score = np.where(near >= 0, np.take_along_axis(true, np.maximum(near, 0), axis=1), -np.inf)
+            if (score >= last[:, None] - 1e-9 * np.abs(last[:, None])).sum() >= RECALL * len(some) * min(k, n):
+                break
+            width *= 2
+        return width
+
+    def rows(self) -> list[bytes]:
+        """The neighbour arrays as bytes, ``CHUNK`` points each: for every
+        layer the members' places and neighbours."""
+        out = []
+        for low in range(0, len(self.points), CHUNK):
+            parts = []
+            for layer, table in enumerate(self.layers):
+                members = np.flatnonzero(self.level[low : low + CHUNK] >= layer).astype(np.int32)
+                parts += [np.int32([len(members)]), members, table[low + members].ravel()]
+            out.append(np.concatenate(parts).tobytes())
+        return out
+
+    @classmethod
+    def read(cls, points: np.ndarray, rows: list[bytes], top: int, entry: int) -> Graph:
+        """The graph that ``rows`` wrote, for searches."""
+        graph = cls(points[:0])
+        graph._place(points)
+        graph.top, graph.entry = top, entry
+        graph.layers = [np.full((len(points), LINKS * (2 if layer == 0 else 1)), -1, np.int32) for layer in range(top + 1)]
+        for k, row in enumerate(rows):
+            data, at = np.frombuffer(row, np.int32), 0
+            for table in graph.layers:
+                n, wide = int(data[at]), table.shape[1]
+                members = data[at + 1 : at + 1 + n]
+                table[k * CHUNK + members] = data[at + 1 + n : at + 1 + n + n * wide].reshape(n, wide)
+                at += 1 + n + n * wide
+        return graph
+
 
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
@@ -191,28 +246,63 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return np.asarray(column.flatten(), dtype=np.float64).reshape(len(column), -1)
 
 
-def _search(k: int, width: int):
-    def run(points: pa.Table, queries: pa.Table) -> pa.Table:
+GRAPHS = "shard long, size int, chunk int, top int, entry int, beam int, points binary, vectors binary, links binary"
+
+
+def _build(k: int, width: int):
+    def run(table: pa.Table) -> pa.Table:
+        ids = np.asarray(table.column("point").combine_chunks())
+        order = np.argsort(ids)
+        ids, x = ids[order], _matrix(table.column("vector"))[order]
+        graph = Graph(x)
+        beam, links = graph.beam(x, k, max(width, k)), graph.rows()
+        chunks = range(0, len(x), CHUNK)
+        n = len(links)
+        shard, size = (table.column(c)[0].as_py() for c in ("shard", "size"))
+        columns = [pa.array([shard] * n, pa.int64()), pa.array([size] * n, pa.int32()), pa.array(range(n), pa.int32()), *(pa.array([v] * n, pa.int32()) for v in (graph.top, graph.entry, beam))]
+        columns += [pa.array([ids[c : c + CHUNK].tobytes() for c in chunks], pa.binary()), pa.array([x[c : c + CHUNK].tobytes() for c in chunks], pa.binary()), pa.array(links, pa.binary())]
+        return pa.table(columns, names=["shard", "size", "chunk", "top", "entry", "beam", "points", "vectors", "links"])
+
+    return run
+
+
+def _search(k: int):
+    def run(graphs: pa.Table, queries: pa.Table) -> pa.Table:
         schema = pa.schema([("query_id", pa.int64()), ("point", pa.int64()), ("score", pa.float64())])
-        if not points.num_rows or not queries.num_rows:
+        if not graphs.num_rows or not queries.num_rows:
             return schema.empty_table()
-        x, ids = _matrix(points.column("vector")), np.asarray(points.column("point").combine_chunks())
-        graph = Graph(x)
+        rows = sorted(graphs.select(["chunk", "top", "entry", "beam", "points", "vectors", "links"]).to_pylist(), key=lambda r: r["chunk"])
+        ids = np.concatenate([np.frombuffer(r["points"], np.int64) for r in rows])
+        x = np.concatenate([np.frombuffer(r["vectors"], np.float64) for r in rows]).reshape(len(ids), -1)
+        graph = Graph.read(x, [r["links"] for r in rows], rows[0]["top"], rows[0]["entry"])
+        width = rows[0]["beam"]
+        del rows
         out = []
-        for low in range(0, queries.num_rows, QUERY_BLOCK):
-            part = queries.slice(low, QUERY_BLOCK)
+        # As many beams at once as keeps them and their marks of seen points within bounds.
+        step = max(16, min(QUERY_BLOCK, (1 << 25) // len(ids), (1 << 21) // width))
+        for low in range(0, queries.num_rows, step):
+            part = queries.slice(low, step)
             q = _matrix(part.column("vector"))
-            near, _ = graph.search(q, max(width, k))
-            near = near[:, :k] if near.shape[1] >= k else near
-            score = np.einsum("qd,qkd->qk", q, x[np.maximum(near, 0)])
-            row, column = np.nonzero(near >= 0)
+            near, _ = graph.search(q, width)
+            score = np.where(near >= 0, _scores(q, x, near), -np.inf)
             own = np.asarray(part.column("query_id").combine_chunks())
+            order = np.lexsort((ids[np.maximum(near, 0)], -score), axis=1)[:, :k]
+            near, score = np.take_along_axis(near, order, axis=1), np.take_along_axis(score, order, axis=1)
+            row, column = np.nonzero(near >= 0)
             out.append(pa.table([pa.array(own[row]), pa.array(ids[near[row, column]]), pa.array(score[row, column])], schema=schema))
         return pa.concat_tables(out)
 
     return run
 
 
+def _scores(q: np.ndarray, x: np.ndarray, near: np.ndarray) -> np.ndarray:
+    """Inner products in double precision with all that a beam holds."""
+    out = np.empty(near.shape)
+    for k in range(0, near.shape[1], 64):
+        out[:, k : k + 64] = np.einsum("qd,qkd->qk", q, x[np.maximum(near[:, k : k + 64], 0)])
+    return out
+
+
 def clean(vectors: DataFrame, id_column: str, vector_column: str) -> DataFrame:
     """``vec_id, vector array<double>`` of the rows that take part."""
     v = F.col(vector_column).cast("array<double>")
@@ -231,15 +321,23 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, id_column: str = "
     # A query can name at most k copies of a vector, and one may be its own row.
     copies = rows.select("key", "vec_id").withColumn("n", F.row_number().over(W.partitionBy("key").orderBy("vec_id"))).where(F.col("n") <= k + 1).select("key", "vec_id")
     points = rows.groupBy("key").agg(F.min_by("vector", "vec_id").alias("vector"), F.min("vec_id").alias("point"))
-    points = scratch.keep(points)
+    # An id's vectors may stand for several points: a number for each point beside its key.
+    points = scratch.keep(points.withColumn("point", F.xxhash64("key")))
+    most = rows.groupBy("vec_id").count().agg(F.max("count")).first()[0] or 1
+    # One candidate more than wanted, which may be the query's own row, and each may be found by all of its vectors.
+    wanted = (k + 1) * most
     n = max(SHARDS, -(-points.count() // SHARD_ROWS))
-    dealt = points.select("point", "vector", F.pmod(F.xxhash64("point"), F.lit(n)).alias("shard"), F.size("vector").alias("size"))
-    queries = rows.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "vector", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("shard"), F.size("vector").alias("size"))
-    # k + 1 points a query: one may hold nothing but the query's own row.
-    found = dealt.groupBy("shard", "size").cogroup(queries.groupBy("shard", "size")).applyInArrow(_search(k + 1, width), "query_id long, point long, score double")
-    best = found.withColumn("n", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "point"))).where(F.col("n") <= k + 1)
+    dealt = points.select("point", "vector", F.pmod(F.xxhash64("key"), F.lit(n)).alias("shard"), F.size("vector").alias("size"))
+    graphs = scratch.keep(dealt.groupBy("shard", "size").applyInArrow(_build(wanted, width), GRAPHS))
+    queries = rows.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "vector", F.size("vector").alias("size"))
+    blocks = max(1, -(-queries.count() // QUERY_ROWS))
+    number = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    queries = queries.withColumn("block", F.pmod(F.xxhash64("query_id", "vector"), F.lit(blocks))).withColumn("shard", number(n))
+    found = graphs.withColumn("block", number(blocks)).groupBy("shard", "size", "block").cogroup(queries.groupBy("shard", "size", "block")).applyInArrow(_search(wanted), "query_id long, point long, score double")
+    found = found.groupBy("query_id", "point").agg(F.max("score").alias("score"))
+    best = found.withColumn("n", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "point"))).where(F.col("n") <= wanted)
     best = scratch.keep(best.select("query_id", "point", "score"))
     members = points.select("point", "key").join(copies, "key").select("point", "vec_id")
-    each = best.join(members, "point").where("vec_id <> query_id")
+    each = best.join(members, "point").where("vec_id <> query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     each = each.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= k)
     return each.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

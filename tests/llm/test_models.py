@@ -225,6 +225,41 @@ def test_neighbours_against_brute_force(spark, monkeypatch):
     assert [i for _, i, _ in sorted(got[200])][:3] == [5, 201, 202]
 
 
+def test_one_id_with_several_vectors(spark):
+    """One candidate a row, by its best vector; also as a query."""
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 3.0]), (1, [5.0, 0.0]), (1, [4.0, 1.0]), (2, [0.0, 1.0]), (3, [2.0, 2.0])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in hnsw.nearest(table).collect())
+    assert got == [(0, 1, 3, 6.0), (0, 2, 1, 5.0), (0, 3, 2, 3.0)]
+
+
+@pytest.mark.parametrize(("n", "spread"), [(9000, 0.0), (9000, 2.0)])
+def test_recall_in_one_shard(n, spread):
+    """Gaussian vectors of 64 components, the hard case, and clustered ones:
+    one graph of a third of all rows, in and out of its table."""
+    r = np.random.default_rng(1)
+    x = r.standard_normal((n, 64)) + spread * r.standard_normal((50, 64))[r.integers(0, 50, n)]
+    graph = hnsw.Graph(x)
+    width = graph.beam(x, 21, hnsw.SEARCH_BEAM)
+    again = hnsw.Graph.read(x, graph.rows(), graph.top, graph.entry)
+    q = x[7:: n // 150]
+    near, _ = again.search(q, width)
+    assert (near == graph.search(q, width)[0]).all()
+    best = np.argsort(-(q @ x.T), axis=1)[:, :21]
+    found = np.take_along_axis(near, np.argsort(-np.where(near >= 0, hnsw._scores(q, x, near), -np.inf), axis=1)[:, :21], axis=1)
+    assert np.mean([len(set(a) & set(b)) / 21 for a, b in zip(found.tolist(), best.tolist(), strict=True)]) >= 0.93
+
+
+def test_blocks_of_queries(spark, monkeypatch):
+    """Several blocks meet several graphs, each in chunks, and find the same."""
+    _, rows = vectors(spark, 600)
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, z string")
+    want = {(r["query_id"], r["rank"], r["vec_id"]) for r in hnsw.nearest(table).collect()}
+    monkeypatch.setattr(hnsw, "QUERY_ROWS", 7)
+    monkeypatch.setattr(hnsw, "SHARDS", 3)
+    assert {(r["query_id"], r["rank"], r["vec_id"]) for r in hnsw.nearest(table).collect()} == want
+
+
 def test_fewer_candidates_than_wanted(spark):
     table = spark.createDataFrame([(0, [1.0, 0.0]), (20, [0.5, 0.5]), (3, [0.0, 1.0])], "vec_id long, embedding array<double>")
     got = sorted((r["query_id"], r["rank"], r["vec_id"]) for r in hnsw.nearest(table).collect())
@@ -251,6 +286,54 @@ def test_items_are_found(spark):
     assert want <= set(got)
 
 
+def test_recall_and_precision_against_comparing_all(spark, monkeypatch):
+    """Whole items, paraphrases with up to a quarter of the words changed, dropped
+    or added, and halves; every document is compared with every item in full.
+    The items come in several blocks, and documents repeat or are very long."""
+    monkeypatch.setattr(decontaminate, "ITEMS", 9)
+    r = np.random.default_rng(12)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    rank = 1 / np.arange(1, 3001)
+    say = lambda n: [vocabulary[i] for i in r.choice(3000, n, p=rank / rank.sum())]
+    items = {k: say(int(r.integers(25, 60))) for k in range(40)}
+    docs = {i: say(int(r.integers(0, 250))) for i in range(400)}
+    for i in range(0, 200):
+        own = list(items[i % 40])
+        if i % 4 == 1:
+            for j in r.choice(len(own), len(own) // 8, replace=False):
+                own[j] = say(1)[0]
+        elif i % 4 == 2:
+            own = [w for w in own if r.random() > 0.2]
+        elif i % 4 == 3:
+            own = own[: len(own) // 2]
+        at = int(r.integers(0, len(docs[i]) + 1))
+        docs[i] = docs[i][:at] + own + docs[i][at:]
+    docs[500] = say(60_000) + items[3] + say(100)
+    rows = [(i, " ".join(w), "clash") for i, w in docs.items()] + [(3, " ".join(docs[3]), "clash"), (600, None, ""), (601, "", "")]
+    b = spark.createDataFrame([(k, " ".join(w), "x") for k, w in items.items()], "item_id long, text string, cosine string")
+    got = {(x["doc_id"], x["item_id"]) for x in decontaminate.contaminated(spark.createDataFrame(rows, "doc_id long, text string, item_id string"), b).collect()}
+
+    def found(doc, item):
+        """The definition, over all places of the document."""
+        margin = max(len(item) // 2, 4)
+        for at in range(0, len(doc), decontaminate.STRIDE):
+            span = doc[max(at - margin, 0) : at + decontaminate.PASSAGE + margin]
+            if len(set(item) & set(span)) < 0.3 * len(set(item)):
+                continue
+            share = decontaminate.common(item, span) / len(item)
+            said = decontaminate.common(item[-decontaminate.ANSWER :], span) / decontaminate.ANSWER
+            if share >= decontaminate.FOUND or share >= decontaminate.LIKELY and said >= decontaminate.ANSWER_FOUND:
+                return True
+        return False
+
+    want = {(i, k) for i, d in docs.items() for k, w in items.items() if found(d, w)}
+    planted = {(i, i % 40) for i in range(200) if i % 4 != 3} | {(500, 3)}
+    assert len(planted & want) >= 0.95 * len(planted)
+    assert got <= want
+    assert len(got) >= 0.9 * len(want)
+    assert len(planted & got) >= 0.95 * len(planted & want)
+
+
 def test_common_subsequence():
     r = np.random.default_rng(0)
     for _ in range(50):
