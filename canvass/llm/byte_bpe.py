@@ -10,7 +10,8 @@ once.  A place from which no way leads on is never tried again, which makes the
 work linear in the piece.  The result equals that of applying the merges in
 rank order.
 
-Every text is encoded whole; a null text counts as empty and has no tokens.
+A long piece is gone through in stretches, so that it takes some twenty bytes of
+memory a byte.  Every text is encoded whole; a null text counts as empty and has no tokens.
 Repeated rows give repeated results, rows without doc_id are left out, and
 other columns are ignored unless named in ``keep``.
 """
@@ -19,6 +20,8 @@ from __future__ import annotations
 
 import base64
 import re
+from array import array
+from collections.abc import Sequence
 from itertools import chain
 
 import ahocorasick
@@ -34,6 +37,8 @@ from canvass.llm.common import documents, parts, small_batches
 #: Pieces and pairs whose answers a worker keeps at once; when full, it starts anew.
 KEEP_PIECES = 150_000
 KEEP_PAIRS = 300_000
+#: Places of a long piece whose entries are held together, and how many such stretches.
+STRETCH, STRETCHES = 1 << 15, 3
 #: Unicode's white space, and the letters and numbers of Latin-1.
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 LATIN_WHITE = r"\t-\r \x85\xa0"
@@ -90,6 +95,24 @@ class _Pieces(dict):
         return ids
 
 
+class _Entries:
+    """The vocabulary entries that start at each place of a long piece, a
+    stretch of it at a time."""
+
+    def __init__(self, codec: Codec, piece: bytes):
+        self.codec, self.piece, self.kept = codec, piece, {}
+
+    def __getitem__(self, at: int) -> list[tuple[int, int]]:
+        number = at // STRETCH
+        if number not in self.kept:
+            if len(self.kept) == STRETCHES:
+                self.kept.pop(next(iter(self.kept)))
+            low = number * STRETCH
+            size = min(STRETCH, len(self.piece) + 1 - low)
+            self.kept[number] = self.codec.entries(self.piece[low : low + size + self.codec.longest], size)
+        return self.kept[number][at % STRETCH]
+
+
 class Codec:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks = ranks
@@ -103,6 +126,7 @@ class Codec:
         latin = latin.replace(r"\p{L}", f"[{LATIN_LETTER}]").replace(r"\p{N}", f"[{LATIN_NUMBER}]")
         #: Python's own engine is faster, and for texts in Latin-1 it can say the same.
         self.latin = None if r"\p" in latin else re.compile(latin)
+        self.longest = max(map(len, ranks))
         self.fits = _Fits(self)
         self.pieces = _Pieces(self)
         size = max(self.tokens) + 1
@@ -113,20 +137,27 @@ class Codec:
         self.begins = np.cumsum(lengths) - lengths
         self.bytes = np.frombuffer(b"".join(self.tokens.get(i, b"") for i in range(size)), np.uint8)
 
-    def encode_piece(self, piece: bytes) -> tuple[int, ...]:
+    def entries(self, piece: bytes, size: int) -> list[list[tuple[int, int]]]:
+        """Length and id of the entries that start at each of the first ``size`` places."""
+        found: list[list[tuple[int, int]]] = [[] for _ in range(size)]
+        for end, entry in self.automaton.iter(piece.decode("latin-1")):
+            if end + 1 - entry[0] < size:
+                found[end + 1 - entry[0]].append(entry)  # shorter entries come first
+        return found
+
+    def encode_piece(self, piece: bytes) -> Sequence[int]:
         whole = self.ranks.get(piece)
         if whole is not None:
             return (whole,)
         n, fits = len(piece), self.fits
-        found: list[list[tuple[int, int]]] = [[] for _ in range(n + 1)]
-        for end, entry in self.automaton.iter(piece.decode("latin-1")):
-            found[end + 1 - entry[0]].append(entry)  # shorter entries come first
+        found = self.entries(piece, n + 1) if n < STRETCH else _Entries(self, piece)
         dead = bytearray(n + 1)
-        path: list[int] = []
-        steps = [0]
-        left = [len(found[0])]  # at each step: entries not tried yet
+        if n < STRETCH:
+            path, steps, left = [], [0], [len(found[0])]  # left: at each step, entries not tried yet
+        else:
+            path, steps, left = array("i"), array("q", [0]), array("i", [len(found[0])])
         while steps[-1] < n:
-            at, last = steps[-1], path[-1] if path else -1
+            at, last = steps[-1], path[-1] if len(path) else -1
             k = left[-1] - 1
             while k >= 0 and (dead[at + found[at][k][0]] or not fits[last, found[at][k][1]]):
                 k -= 1
@@ -136,12 +167,12 @@ class Codec:
                 path.append(token)
                 steps.append(at + length)
                 left.append(len(found[at + length]))
-            elif path:
+            elif len(path):
                 dead[at] = 1
                 path.pop(), steps.pop(), left.pop()
             else:
                 raise ValueError("the vocabulary has no token for some byte")
-        return tuple(path)
+        return tuple(path) if n < STRETCH else path
 
     def encode(self, text: str) -> np.ndarray:
         pattern = self.any

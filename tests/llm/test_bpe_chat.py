@@ -1,6 +1,7 @@
 """Tokens against the library, and chat linking against plain Python."""
 
 import json
+import random
 
 import public_tokenizers as P
 import pytest
@@ -43,7 +44,10 @@ def test_pieces_equal_plain_merging():
         assert list(codec.encode_piece(piece)) == ([whole] if whole is not None else byte_bpe.merge(piece, ranks))
 
     same()
-    assert list(codec.encode_piece(b"ab" * 20_000)) == list(codec.encode_piece(b"ab" * 20_000))
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    r = random.Random(4)
+    for text in ("ab" * 20_000, "x" * 100_000, "".join(r.choice("aeinorst") for _ in range(300_000)), "日本語" * 30_000):
+        assert codec.encode(text).tolist() == library.encode_ordinary(text)
 
 
 def test_empty_table(no_docs):
@@ -111,8 +115,6 @@ def plain_order(rows):
 @pytest.mark.parametrize("per_task", [1_000_000, 30])
 def test_order(spark, monkeypatch, per_task):
     """One conversation of many calls that fills several partitions, and small ones."""
-    import random
-
     monkeypatch.setattr(chat_format, "ROWS_PER_TASK", per_task)
     r = random.Random(3)
     rows = [message(c, i, "call", f"c{i}", '{"a":1}', parent=f"c{r.randrange(i)}" if i and r.random() < 0.8 else None) for c, n in ((1, 300), (2, 1), (3, 7), (9, 40)) for i in range(n)]
