@@ -42,9 +42,14 @@ def _hit(rows: DataFrame, k: int, method=None, score=1.0) -> DataFrame:
     return rows.select("contact_id", "county", "parcel_id", F.lit(k + 1).alias("priority"), method.alias("method"), F.lit(quality).alias("quality"), (F.lit(score) if isinstance(score, float) else score).alias("score"))
 
 
-def _zip_ok(own: str, other: str):
-    """The same ZIP code, or none known for the contact."""
-    return F.col(own).isNull() | (F.col(own) == F.col(other))
+def _in_zip(own: DataFrame, other: DataFrame, zip_column: str, mine: str, theirs: str) -> DataFrame:
+    """Rows of one county whose columns ``mine`` and ``theirs`` are equal, within
+    the contact's ZIP code; contacts without one are joined without it.  Either
+    way every condition is a join key."""
+    other = other.withColumnRenamed("county", "_county")
+    same = (F.col("county") == F.col("_county")) & (F.col(mine) == F.col(theirs))
+    known = own.where("zip_key IS NOT NULL").join(other, same & (F.col("zip_key") == F.col(zip_column)))
+    return known.unionByName(own.where("zip_key IS NULL").join(other, same)).drop("_county")
 
 
 def candidates(contacts: DataFrame, demographic: DataFrame, residential: DataFrame) -> DataFrame:
@@ -61,8 +66,8 @@ def candidates(contacts: DataFrame, demographic: DataFrame, residential: DataFra
     found.append(_hit(names, 1, F.concat(F.lit("name_"), F.col("kind"))))
     found.append(_hit(c.where("phone_key IS NOT NULL").join(d, (c.county == d.county) & (F.col("phone_key") == F.col("d_phone_key"))).drop(d.county), 2))
     at = c.where("raw IS NOT NULL")
-    found.append(_hit(at.join(r, (at.county == r.county) & (F.col("raw") == F.col("r_address")) & _zip_ok("zip_key", "r_zip")).drop(r.county), 3))
-    found.append(_hit(at.join(r, (at.county == r.county) & (F.col("address_key") == F.col("r_key")) & _zip_ok("zip_key", "r_zip")).drop(r.county), 4))
+    found.append(_hit(_in_zip(at, r, "r_zip", "raw", "r_address"), 3))
+    found.append(_hit(_in_zip(at, r, "r_zip", "address_key", "r_key"), 4))
     route = at.where(F.col("raw").rlike(r"(?i)(OH|US|SR)[-\s]\d+")).select("contact_id", "county", F.explode(T.route_variations(F.col("raw"))).alias("v"))
     upper = F.upper("r_address")
     inside = upper.contains(F.upper("v")) | F.upper(F.col("v")).contains(upper)
@@ -73,7 +78,7 @@ def candidates(contacts: DataFrame, demographic: DataFrame, residential: DataFra
     found.append(_hit(hyphen.join(r, (hyphen.county == r.county) & near).drop(r.county), 6))
     own, other = at.withColumn("house", T.house_number(F.col("address_key"))), r.withColumn("r_house", T.house_number(F.col("r_key")))
     score = T.fuzzy_score(F.col("address_key"), F.col("r_key"))
-    fuzzy = own.where("house IS NOT NULL").join(other, (own.county == other.county) & (F.col("house") == F.col("r_house")) & _zip_ok("zip_key", "r_zip")).drop(other.county)
+    fuzzy = _in_zip(own.where("house IS NOT NULL"), other, "r_zip", "house", "r_house")
     fuzzy = fuzzy.withColumn("s", score).where(F.col("s") > FUZZY_LEAST)
     found.append(_hit(fuzzy, 7, F.format_string("fuzzy_%.2f", "s"), F.col("s")))
     return reduce(DataFrame.unionByName, found)
@@ -116,18 +121,19 @@ def score_cascade(contacts: DataFrame, demographic: DataFrame, residential: Data
     c, d, r = prepare(contacts, demographic, residential)
     both = r.join(d, ["county", "parcel_id"])
     own = c.withColumn("house", T.house_number(F.col("address_key")))
-    at = own.where("house IS NOT NULL").join(both.withColumn("r_house", T.house_number(F.col("r_key"))), (own.county == both.county) & (F.col("house") == F.col("r_house")) & _zip_ok("zip_key", "r_zip")).drop(both.county)
+    at = _in_zip(own.where("house IS NOT NULL"), both.withColumn("r_house", T.house_number(F.col("r_key"))), "r_zip", "house", "r_house")
     at = at.withColumn("s", T.fuzzy_score(F.col("address_key"), F.col("r_key"))).where(F.col("s") > FUZZY_LEAST)
-    kind = T.name_match(F.col("first_key"), F.col("last_key"), F.col("d_full_key"))
-    at = at.withColumn("name_kind", kind)
-    hits = [
-        (0, "address_phone", at.where(F.col("phone_key") == F.col("d_phone_key")), F.col("s")),
-        (1, "address", at, F.col("s")),
-        (2, "phone", c.join(d, (c.county == d.county) & (F.col("phone_key") == F.col("d_phone_key"))).drop(d.county), F.lit(1.0)),
-        (3, "name_address", at.where("name_kind IS NOT NULL"), F.when((F.col("s") == 1) & (F.col("name_kind") == "exact"), 1.0).otherwise(F.col("s") * 0.9)),
-    ]
-    rows = [x.select("contact_id", "county", "parcel_id", F.lit(k).alias("kind"), F.lit(name).alias("method"), score.alias("score")) for k, name, x, score in hits]
-    every = reduce(DataFrame.unionByName, rows)
+    # The dear join is read once: each of its rows gives up to three hits.
+    name = T.name_match(F.col("first_key"), F.col("last_key"), F.col("d_full_key"))
+    hit = lambda kind, method, score: F.struct(F.lit(kind).alias("kind"), F.lit(method).alias("method"), score.alias("score"))
+    three = F.array(
+        F.when(F.col("phone_key") == F.col("d_phone_key"), hit(0, "address_phone", F.col("s"))),
+        hit(1, "address", F.col("s")),
+        F.when(name.isNotNull(), hit(3, "name_address", F.when((F.col("s") == 1) & (name == "exact"), 1.0).otherwise(F.col("s") * 0.9))),
+    )
+    near = at.select("contact_id", "county", "parcel_id", F.inline(F.array_compact(three)))
+    phone = c.join(d.withColumnRenamed("county", "_county"), (F.col("county") == F.col("_county")) & (F.col("phone_key") == F.col("d_phone_key")))
+    every = near.unionByName(phone.select("contact_id", "county", "parcel_id", F.lit(2).alias("kind"), F.lit("phone").alias("method"), F.lit(1.0).alias("score")))
     first = F.when((F.col("kind") == 0) & (F.col("score") == 1), 0).when(F.col("kind") == 2, 1).otherwise(2)
     order = F.struct(first.alias("f"), (-F.col("score")).alias("s"), F.col("kind"), F.col("county"), F.col("parcel_id"))
     out = every.groupBy("contact_id").agg(F.min_by(F.struct("county", "parcel_id", "method", "score"), order).alias("m")).select("contact_id", "m.*")

@@ -41,3 +41,21 @@ def test_cascade(spark):
     assert len(got) == len(CONTACTS)
     scored = {m["contact_id"]: (m["method"], m["parcel_id"]) for m in linkage.score_cascade(c, d, r).collect()}
     assert scored[3] == ("phone", 1)
+
+
+def test_score_cascade_kinds(spark):
+    """One contact for each kind of hit, with and without a ZIP code."""
+    d = spark.createDataFrame([("A", 20, None, "ROE ANN", "6145550200", "43001"), ("A", 21, None, "john smith", None, "43001"), ("A", 22, None, "x", "6145550201", "43001")], "county string, parcel_id long, email string, full_name string, phone string, zip string")
+    r = spark.createDataFrame([("A", 20, "12 Main Street", "43001"), ("A", 21, "5 Long Meadow Lane East", "43001"), ("A", 22, "9 Far Road", "43002")], "county string, parcel_id long, address string, zip string")
+    c = [
+        contact(1, phone="614-555-0200", address="12 main st"), contact(2, address="12 Main St.", zip_=None), contact(3, phone="6145550201"),
+        contact(4, first="John", last="Smith", address="5 Long Meadow Lane"), contact(5, address="9 Far Road"), contact(6, address="9 Far Road", zip_=None),
+    ]
+    c = spark.createDataFrame(c, "contact_id long, county string, email string, first string, last string, phone string, address string, zip string")
+    got = {m["contact_id"]: (m["method"], m["parcel_id"], round(m["score"], 3), m["quality"]) for m in linkage.score_cascade(c, d, r).collect()}
+    assert got[1] == ("address_phone", 20, 1.0, "good")
+    assert got[2] == ("address", 20, 1.0, "good")
+    assert got[3] == ("phone", 22, 1.0, "good")
+    assert got[4][:2] == ("address", 21)  # its score is higher than that of name with address
+    assert 5 not in got
+    assert got[6] == ("address", 22, 1.0, "good")
