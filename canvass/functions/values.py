@@ -85,3 +85,21 @@ def silhouette_label(c: Column) -> Column:
 
 def stability_label(c: Column) -> Column:
     return F.when(c > 0.85, "Highly Stable").when(c > 0.70, "Stable").when(c > 0.50, "Moderately Stable").otherwise("Unstable")
+
+
+def ratio_text(a: Column, b: Column) -> Column:
+    return F.concat_ws("/", a.cast("string"), b.cast("string"))
+
+
+def money_text(c: Column) -> Column:
+    return F.concat(F.lit("$"), F.format_number(c, 2))
+
+
+def percent_text(c: Column) -> Column:
+    """Three places; ``c`` is in percent already."""
+    return F.format_string("%.3f%%", c.cast("double"))
+
+
+def stamps(rows, *names: str):
+    """Adds columns with the time of the query, one time for all rows."""
+    return rows.withColumns({n: F.current_timestamp() for n in names})

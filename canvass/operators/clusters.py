@@ -6,11 +6,11 @@ from __future__ import annotations
 import numpy as np
 from pyspark.ml.clustering import GaussianMixture, KMeans
 from pyspark.ml.feature import PCA, VectorAssembler
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from canvass.operators.statistics import bic
+from canvass.operators.statistics import adjusted_rand, bic
 
 
 def kmeans_sweep(rows: DataFrame, vector: str, ks, seed: int = 42) -> DataFrame:
@@ -118,3 +118,54 @@ def silhouette(points: DataFrame, key: str, vector: str, label: str, block: int
     ab = per.groupBy("k", "own").agg(F.max(F.when(F.col("own") == F.col("l"), mean)).alias("a"), F.min(F.when(F.col("own") != F.col("l"), mean)).alias("b"))
     value = F.when(F.col("a").isNull() | F.col("b").isNull(), 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b"))
     return ab.select(F.col("k").alias(key), F.col("own").alias(label), value.alias("silhouette"))
+
+
+def bootstrap_stability(rows: DataFrame, key: str, vector: str, k: int, times: int = 30, seed: int = 42) -> DataFrame:
+    """The adjusted Rand index of k-means on each of some resamples (with
+    replacement, as large as the rows) against k-means on all: resample, ari."""
+    x = rows.withColumn("features", array_to_vector(F.col(vector).cast("array<double>"))).select(key, "features").cache()
+    label = lambda model, name: model.transform(x if name == "reference" else drawn).select(key, F.col("prediction").alias(name))
+    reference = label(KMeans(k=k, seed=seed, maxIter=30).fit(x), "reference").cache()
+    out = []
+    for i in range(times):
+        drawn = x.sample(withReplacement=True, fraction=1.0, seed=i).cache()
+        again = label(KMeans(k=k, seed=i, maxIter=30).fit(drawn), "again")
+        out.append((i, float(adjusted_rand(reference.join(again, key), "reference", "again").first().ari)))
+        drawn.unpersist()
+    reference.unpersist()
+    x.unpersist()
+    return rows.sparkSession.createDataFrame(out, "resample int, ari double")
+
+
+def principal_axes(rows: DataFrame, key: str, vector: str, k: int = 2) -> DataFrame:
+    """Coordinates of each row on the first k principal axes, c0, c1 and so on;
+    an axis points the way that makes its largest loading positive."""
+    x = rows.withColumn("features", array_to_vector(F.col(vector).cast("array<double>"))).select(key, vector, "features")
+    axes = PCA(k=k, inputCol="features", outputCol="o").fit(x).pc.toArray()
+    axes = axes * np.sign(axes[np.abs(axes).argmax(axis=0), np.arange(k)])
+    dot = lambda a: F.aggregate(F.zip_with(F.col(vector).cast("array<double>"), F.array(*map(F.lit, a)), lambda u, v: u * v), F.lit(0.0), lambda s, v: s + v)
+    return x.select(key, *(dot(axes[:, i].tolist()).alias(f"c{i}") for i in range(k)))
+
+
+def memberships(rows: DataFrame, key: str, vector: str, k: int, seed: int = 42) -> DataFrame:
+    """The set that goes into a model beside clusters: the likeliest component of
+    a Gaussian mixture, and all but the last of its k probabilities."""
+    x = rows.withColumn("features", array_to_vector(F.col(vector).cast("array<double>"))).select(key, "features")
+    scored = GaussianMixture(k=k, seed=seed, maxIter=100, tol=1e-6).fit(x).transform(x).withColumn("p", vector_to_array("probability"))
+    return scored.select(key, F.col("prediction").alias("cluster_hard"), *(F.col("p")[i].alias(f"cluster_prob_{i}") for i in range(k - 1)))
+
+
+def gower(points: DataFrame, key: str, numbers: list[str], categories: list[str], others: DataFrame | None = None) -> DataFrame:
+    """Gower distance of every point to each of ``others``, a small stated set of
+    rows (medoids, say; the points' own if none are given, then all pairs: for a
+    bounded table only).  a, b, distance; a missing value leaves its column out."""
+    others = points if others is None else others
+    span = points.agg(*(F.nullif(F.max(c) - F.min(c), F.lit(0)).alias(f"s_{c}") for c in numbers))
+    cols = [*numbers, *categories]
+    left = points.select(F.col(key).alias("a"), F.struct(*cols).alias("x")).join(F.broadcast(span), F.lit(True)) if numbers else points.select(F.col(key).alias("a"), F.struct(*cols).alias("x"))
+    both = left.join(others.select(F.col(key).alias("b"), F.struct(*cols).alias("y")), F.lit(True))
+    gaps = [F.when(F.col(f"x.{c}").isNotNull() & F.col(f"y.{c}").isNotNull(), F.coalesce(F.abs(F.col(f"x.{c}") - F.col(f"y.{c}")) / F.col(f"s_{c}"), F.lit(0.0))) for c in numbers]
+    gaps += [F.when(F.col(f"x.{c}").isNotNull() & F.col(f"y.{c}").isNotNull(), (F.col(f"x.{c}") != F.col(f"y.{c}")).cast("double")) for c in categories]
+    total = sum((F.coalesce(g, F.lit(0.0)) for g in gaps), F.lit(0.0))
+    known = sum((g.isNotNull().cast("int") for g in gaps), F.lit(0))
+    return both.select("a", "b", (total / F.nullif(known, F.lit(0))).alias("distance"))

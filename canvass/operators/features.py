@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -70,3 +70,14 @@ def matrix(rows: DataFrame, spec: str, outcome: str) -> DataFrame:
     """The columns of a model, rows with all of them and the outcome."""
     columns = SPECS[spec]
     return rows.select(outcome, *columns).dropna()
+
+
+def columns_like(rows: DataFrame, prefix: str = "", suffix: str = "") -> list[str]:
+    """Names of the columns with this beginning and end, in their order."""
+    return [c for c in rows.columns if c.startswith(prefix) and c.endswith(suffix)]
+
+
+def inverted(names: dict) -> Column:
+    """A map from each name to its index; of equal names the last index."""
+    back = {name: index for index, name in names.items()}
+    return F.create_map(*(F.lit(x) for pair in back.items() for x in pair))

@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from canvass.functions import text as T
@@ -26,12 +26,21 @@ STRATEGIES = [
 FUZZY_LEAST = 0.7
 
 
+def _once(rows: DataFrame, **columns: Column) -> DataFrame:
+    """Adds columns that are dear and often mentioned: a generator's output isn't
+    written out anew in every expression over it."""
+    return rows.select("*", F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
+
+
 def prepare(contacts: DataFrame, demographic: DataFrame, residential: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The keys that strategies compare, computed once."""
     keys = lambda c: {"email_key": T.email(F.col("email")), "phone_key": F.nullif(T.phone(F.col("phone")), F.lit("")), "zip_key": T.zip_number(F.col("zip"))}
-    c = contacts.withColumns(keys(contacts)).withColumns({"first_key": F.coalesce(T.person(F.col("first")), F.lit("")), "last_key": F.coalesce(T.person(F.col("last")), F.lit("")), "address_key": F.nullif(T.address(F.col("address")), F.lit("")), "raw": T.blank_to_null(F.col("address"))})
-    d = demographic.withColumns(keys(demographic)).withColumns({"full_key": F.coalesce(T.person(F.col("full_name")), F.lit(""))})
-    r = residential.withColumns({"zip_key": T.zip_number(F.col("zip")), "r_address": T.blank_to_null(F.col("address")), "r_key": F.nullif(T.address(F.col("address")), F.lit(""))})
+    c = contacts.withColumns(keys(contacts)).withColumns({"raw": T.blank_to_null(F.col("address"))})
+    name = lambda k: F.coalesce(T.person(F.col(k)), F.lit(""))
+    c = _once(c, address_key=F.nullif(T.address(F.col("address")), F.lit("")), first_key=name("first"), last_key=name("last"))
+    d = _once(demographic.withColumns(keys(demographic)), full_key=name("full_name"))
+    r = residential.withColumns({"zip_key": T.zip_number(F.col("zip")), "r_address": T.blank_to_null(F.col("address"))})
+    r = _once(r, r_key=F.nullif(T.address(F.col("address")), F.lit("")))
     d = d.select("county", "parcel_id", *(F.col(k).alias(f"d_{k}") for k in ("email_key", "phone_key", "zip_key", "full_key")))
     return c, d, r.select("county", "parcel_id", F.col("zip_key").alias("r_zip"), "r_address", "r_key")
 
@@ -52,6 +61,44 @@ def _in_zip(own: DataFrame, other: DataFrame, zip_column: str, mine: str, theirs
     return known.unionByName(own.where("zip_key IS NULL").join(other, same)).drop("_county")
 
 
+#: Lengths of the pieces of text that containment is looked up by, the longest first.
+PIECES = (6, 2, 1)
+
+
+def _head(c: Column) -> Column:
+    """The first letters of a text, as many as the longest piece that fits."""
+    size = F.lit(PIECES[-1])
+    for n in reversed(PIECES):
+        size = F.when(F.length(c) >= n, n).otherwise(size)
+    return F.substring(c, F.lit(1), size)
+
+
+def _pieces(c: Column) -> Column:
+    """Every different piece of a text."""
+    at = lambda n: F.when(F.length(c) >= n, F.transform(F.sequence(F.lit(1), F.length(c) - (n - 1)), lambda i: F.substring(c, i, F.lit(n))))
+    none = F.array().cast("array<string>")
+    return F.array_distinct(F.flatten(F.array(*(F.coalesce(at(n), none) for n in PIECES))))
+
+
+def _containing(short: DataFrame, x: Column, long: DataFrame, y: Column) -> DataFrame:
+    """Rows of one county whose text y contains x.  A text that contains another
+    contains its first letters, so those are the join key, beside the county."""
+    long = _once(long.withColumnRenamed("county", "_county"), _long=y).withColumn("_piece", F.explode(_pieces(F.col("_long"))))
+    short = _once(short, _short=x).where("_short <> ''").withColumn("_head", _head(F.col("_short")))
+    met = short.join(long, (F.col("county") == F.col("_county")) & (F.col("_head") == F.col("_piece")))
+    return met.where(F.col("_long").contains(F.col("_short"))).drop("_county", "_head", "_piece")
+
+
+def _either(own: DataFrame, x: Column, other: DataFrame, y: Column) -> DataFrame:
+    """Contacts and parcels of one county one of whose texts contains the other:
+    contact_id, county, parcel_id, and the two texts as _x and _y."""
+    own = own.select("contact_id", "county", x.alias("_x"))
+    other = other.select("county", "parcel_id", y.alias("_y"))
+    inside = _containing(own, F.col("_x"), other, F.col("_y")).select("contact_id", "county", "parcel_id", "_x", "_y")
+    around = _containing(other, F.col("_y"), own, F.col("_x")).where("_x <> _y")
+    return inside.unionByName(around.select("contact_id", "county", "parcel_id", "_x", "_y"))
+
+
 def candidates(contacts: DataFrame, demographic: DataFrame, residential: DataFrame) -> DataFrame:
     """All hits of all strategies: contact_id, county, parcel_id, priority,
     method, quality, score."""
@@ -59,23 +106,21 @@ def candidates(contacts: DataFrame, demographic: DataFrame, residential: DataFra
     found = [_hit(c.where("email_key IS NOT NULL").join(d, (c.county == d.county) & (F.col("email_key") == F.col("d_email_key"))).drop(d.county), 0)]
     kind = T.name_match(F.col("first_key"), F.col("last_key"), F.col("d_full_key"))
     named = c.where("first_key <> '' AND last_key <> ''")
-    # With a ZIP code it is a join key; the few contacts without one are joined by county.
+    # With a ZIP code it is a join key; without one, letters of the last name are.
     with_zip = named.where("zip_key IS NOT NULL").join(d, (named.county == d.county) & (F.col("zip_key") == F.col("d_zip_key"))).drop(d.county)
-    without = named.where("zip_key IS NULL").join(d, named.county == d.county).drop(d.county)
-    names = with_zip.unionByName(without).withColumn("kind", kind).where("kind IS NOT NULL")
+    without = _containing(named.where("zip_key IS NULL"), F.col("last_key"), d, F.col("d_full_key"))
+    names = with_zip.unionByName(without.select(with_zip.columns)).withColumn("kind", kind).where("kind IS NOT NULL")
     found.append(_hit(names, 1, F.concat(F.lit("name_"), F.col("kind"))))
     found.append(_hit(c.where("phone_key IS NOT NULL").join(d, (c.county == d.county) & (F.col("phone_key") == F.col("d_phone_key"))).drop(d.county), 2))
     at = c.where("raw IS NOT NULL")
     found.append(_hit(_in_zip(at, r, "r_zip", "raw", "r_address"), 3))
     found.append(_hit(_in_zip(at, r, "r_zip", "address_key", "r_key"), 4))
     route = at.where(F.col("raw").rlike(r"(?i)(OH|US|SR)[-\s]\d+")).select("contact_id", "county", F.explode(T.route_variations(F.col("raw"))).alias("v"))
-    upper = F.upper("r_address")
-    inside = upper.contains(F.upper("v")) | F.upper(F.col("v")).contains(upper)
-    found.append(_hit(route.join(r, (route.county == r.county) & inside).drop(r.county), 5))
-    hyphen = at.where(F.col("raw").contains("-")).select("contact_id", "county", F.explode(T.hyphen_variations(F.col("raw"))).alias("v"))
-    v = T.address(F.col("v"))
-    near = (v == F.col("r_key")) | ((F.length(v) > 5) & (F.col("r_key").contains(v) | v.contains(F.col("r_key"))))
-    found.append(_hit(hyphen.join(r, (hyphen.county == r.county) & near).drop(r.county), 6))
+    found.append(_hit(_either(route, F.upper("v"), r, F.upper("r_address")), 5))
+    hyphen = at.where(F.col("raw").contains("-")).select("contact_id", "county", F.explode(F.transform(T.hyphen_variations(F.col("raw")), lambda v: T.address(v))).alias("v"))
+    equal = hyphen.where("length(v) <= 5").join(r.withColumnRenamed("county", "_county"), (F.col("county") == F.col("_county")) & (F.col("v") == F.col("r_key")))
+    found.append(_hit(equal, 6))
+    found.append(_hit(_either(hyphen.where("length(v) > 5"), F.col("v"), r, F.col("r_key")), 6))
     own, other = at.withColumn("house", T.house_number(F.col("address_key"))), r.withColumn("r_house", T.house_number(F.col("r_key")))
     score = T.fuzzy_score(F.col("address_key"), F.col("r_key"))
     fuzzy = _in_zip(own.where("house IS NOT NULL"), other, "r_zip", "house", "r_house")
@@ -114,10 +159,52 @@ def zip_counties(parcels: DataFrame) -> DataFrame:
     return counts.withColumn("county_rank", F.row_number().over(W.partitionBy("zip").orderBy(F.desc("n"), "county")))
 
 
-def score_cascade(contacts: DataFrame, demographic: DataFrame, residential: DataFrame) -> DataFrame:
+def _countyless(rows: DataFrame) -> DataFrame:
+    """Parcels as one county, the true one within the parcel's id."""
+    return rows.withColumn("parcel_id", F.struct("county", "parcel_id")).withColumn("county", F.lit(""))
+
+
+def match_counties(contacts: DataFrame, demographic: DataFrame, residential: DataFrame) -> DataFrame:
+    """Contacts matched in the counties of their ZIP code, the county with most
+    parcels first; a ZIP code that no parcel has, or none, sends contacts with an
+    e-mail through all counties by name.  The first county with a hit wins, in it
+    the best hit.  Contacts without a hit aren't in the result."""
+    own = contacts.withColumn("zip", T.zip_number(F.col("zip")))
+    ranks = zip_counties(residential.select(T.zip_number(F.col("zip")).alias("zip"), "county").where("zip IS NOT NULL"))
+    ranked = own.drop("county").join(ranks.select("zip", "county", "county_rank"), "zip")
+    # The county's place goes with the contact's id through the strategies.
+    ranked = ranked.withColumn("contact_id", F.struct("contact_id", "county_rank")).withColumn("zip", F.col("zip").cast("string"))
+    known = candidates(ranked, demographic, residential)
+    known = known.select("contact_id.*", *(c for c in known.columns if c != "contact_id"))
+    rest = own.join(ranks.select("zip").distinct(), "zip", "left_anti").where(T.email(F.col("email")).isNotNull())
+    far = candidates(rest.withColumn("county", F.lit("")).withColumn("zip", F.lit(None).cast("string")), _countyless(demographic), _countyless(residential))
+    far = far.withColumn("county", F.col("parcel_id.county")).withColumn("parcel_id", F.col("parcel_id.parcel_id")).withColumn("county_rank", F.lit(0))
+    every = known.unionByName(far)
+    order = F.struct("county_rank", "county", "priority", (-F.col("score")).alias("s"), "parcel_id")
+    value = F.struct("county", "parcel_id", "priority", "method", "quality", "score")
+    return every.groupBy("contact_id").agg(F.min_by(value, order).alias("m")).select("contact_id", "m.*")
+
+
+def name_key_match(contacts: DataFrame, demographic: DataFrame) -> DataFrame:
+    """Contacts by the exact upper-case name FIRST LAST within a county: a record
+    of their ZIP code before any other, the smaller parcel of equals.
+    contact_id, county, parcel_id, with_zip."""
+    named = contacts.where("trim(first) <> '' AND trim(last) <> ''").select("contact_id", "county", F.concat_ws(" ", F.upper("first"), F.upper("last")).alias("name"), T.zip_number(T.zip_digits(F.col("zip"))).alias("own"))
+    known = demographic.select("county", F.col("full_name").alias("name"), "parcel_id", T.zip_number(F.col("zip")).alias("other"))
+    met = named.join(known, ["county", "name"]).withColumn("with_zip", F.coalesce(F.col("own") == F.col("other"), F.lit(False)))
+    order = F.struct((~F.col("with_zip")).alias("k"), "parcel_id")
+    return met.groupBy("contact_id", "county").agg(F.min_by(F.struct("parcel_id", "with_zip"), order).alias("m")).select("contact_id", "county", "m.*")
+
+
+def score_cascade(contacts: DataFrame, demographic: DataFrame, residential: DataFrame, all_counties: bool = False) -> DataFrame:
     """The other cascade: address with phone, address, phone, name with address.
     A sure hit of the first or third kind wins at once; else the highest score,
-    and of equal scores the earlier kind, then the smaller parcel."""
+    and of equal scores the earlier kind, then the smaller parcel.
+
+    With ``all_counties`` a contact's own county doesn't count: the first county
+    by name with a sure hit wins, else the highest score in any of them."""
+    if all_counties:
+        contacts, demographic, residential = contacts.withColumn("county", F.lit("")), _countyless(demographic), _countyless(residential)
     c, d, r = prepare(contacts, demographic, residential)
     both = r.join(d, ["county", "parcel_id"])
     own = c.withColumn("house", T.house_number(F.col("address_key")))
@@ -136,5 +223,9 @@ def score_cascade(contacts: DataFrame, demographic: DataFrame, residential: Data
     every = near.unionByName(phone.select("contact_id", "county", "parcel_id", F.lit(2).alias("kind"), F.lit("phone").alias("method"), F.lit(1.0).alias("score")))
     first = F.when((F.col("kind") == 0) & (F.col("score") == 1), 0).when(F.col("kind") == 2, 1).otherwise(2)
     order = F.struct(first.alias("f"), (-F.col("score")).alias("s"), F.col("kind"), F.col("county"), F.col("parcel_id"))
+    if all_counties:
+        every = every.withColumn("county", F.col("parcel_id.county")).withColumn("parcel_id", F.col("parcel_id.parcel_id"))
+        sure = first < 2
+        order = F.struct((~sure).alias("k"), F.when(sure, 0.0).otherwise(-F.col("score")).alias("s"), F.col("county"), first.alias("f"), F.col("kind"), F.col("parcel_id"))
     out = every.groupBy("contact_id").agg(F.min_by(F.struct("county", "parcel_id", "method", "score"), order).alias("m")).select("contact_id", "m.*")
     return out.withColumn("quality", F.when(F.col("score") == 1, "good").otherwise("fuzzy"))

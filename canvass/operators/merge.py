@@ -33,3 +33,13 @@ def add_to_set(old: DataFrame, new: DataFrame, key: str, column: str) -> DataFra
     """Per key the sorted union of both sides' arrays."""
     both = old.select(key, column).unionByName(new.select(key, column))
     return both.groupBy(key).agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list(column)))).alias(column))
+
+
+def counters(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """One row: how many keys of ``new`` a merge inserts, updates (a column
+    differs; null equals null) and finds unchanged.  Keys are unique in each."""
+    rest = [c for c in new.columns if c not in keys]
+    both = new.select(*keys, F.struct(*rest).alias("new")).join(old.select(*keys, F.struct(*rest).alias("old")), keys, "left")
+    same = F.col("new").eqNullSafe(F.col("old"))
+    count = lambda c: F.coalesce(F.sum(F.when(c, 1).otherwise(0)), F.lit(0)).cast("long")
+    return both.agg(count(F.col("old").isNull()).alias("inserted"), count(F.col("old").isNotNull() & ~same).alias("updated"), count(F.col("old").isNotNull() & same).alias("unchanged"))

@@ -134,3 +134,18 @@ def bic(log_likelihood: float, k: int, d: int, n: int) -> tuple[float, float]:
     """BIC and AIC of a mixture of k full Gaussians in d dimensions."""
     p = k * d + k * d * (d + 1) // 2 + k - 1
     return p * math.log(n) - 2 * log_likelihood, 2 * p - 2 * log_likelihood
+
+
+def ranked(models: DataFrame, score: str) -> DataFrame:
+    """Adds ``rank``, 1 for the highest score and the mean rank for equals, and
+    ``diff``, how far a model is behind the best.  Models are few: one task."""
+    by = W.orderBy(F.desc(score))
+    mean = F.rank().over(by) + (F.count("*").over(W.partitionBy(score)) - 1) / 2
+    return models.withColumns({"rank": mean, "diff": F.max(score).over(W.partitionBy()) - F.col(score)})
+
+
+def calibration(rows: DataFrame, p: str, y: str, groups: list[str]) -> DataFrame:
+    """Per group: n, share right at 0.5, mean prediction, share observed.  Rows
+    without a prediction don't count."""
+    right = ((F.col(p) > 0.5) == F.col(y)).cast("int")
+    return rows.where(F.col(p).isNotNull()).groupBy(*groups).agg(F.count("*").alias("n"), F.round(F.avg(right), 6).alias("accuracy"), F.round(F.avg(p), 6).alias("mean_predicted"), F.round(F.avg(F.col(y).cast("int")), 6).alias("observed"))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from canvass.queries import dashboards, features, linkage, rollups, rules, statistics
+from canvass.queries import dashboards, features, linkage, matching, reports, rollups, rules, statistics
 
-MODULES = (rollups, dashboards, linkage, rules, features, statistics)
+MODULES = (rollups, dashboards, linkage, matching, reports, rules, features, statistics)
 
 
 def queries() -> dict:

@@ -260,6 +260,42 @@ def logistic_map(spark, sf):
     return bayes.logistic_map(x, "y", ["length", "english"], intercept=(-3.5, 1.0), slope=(0.0, 0.5))
 
 
+def bootstrap_ari(spark, sf):
+    """Whether k-means on resamples finds the clusters of all rows again."""
+    from canvass.operators import clusters
+
+    found = clusters.bootstrap_stability(table(spark, sf, "embeddings"), "vec_id", "embedding", 3, times=5)
+    return found.withColumn("stability", V.stability_label(F.col("ari")))
+
+
+def cluster_memberships(spark, sf):
+    """Customers' likeliest component and its probabilities, for a later model."""
+    from canvass.operators import clusters
+
+    c = table(spark, sf, "customer").select("c_custkey", F.array(F.col("c_acctbal") / 5000, (F.col("c_nationkey") / 12).cast("double")).alias("x"))
+    return clusters.memberships(c, "c_custkey", "x", 3)
+
+
+def pca_coordinates(spark, sf):
+    from canvass.operators import clusters
+
+    return clusters.principal_axes(table(spark, sf, "embeddings"), "vec_id", "embedding").select("vec_id", F.round("c0", 6).alias("c0"), F.round("c1", 6).alias("c1"))
+
+
+def gower_to_segments(spark, sf):
+    """Gower distance of customers to the first customer of each segment."""
+    from canvass.operators import clusters
+
+    c = table(spark, sf, "customer").select("c_custkey", F.when(F.col("c_acctbal") >= 0, F.col("c_acctbal")).alias("income"), (F.col("c_nationkey") * 2).cast("double").alias("place"), "c_mktsegment")
+    # One row a segment, of which there are five.
+    first = c.groupBy("c_mktsegment").agg(F.min("c_custkey").alias("c_custkey")).select("c_custkey").join(c, "c_custkey")
+    return clusters.gower(c, "c_custkey", ["income", "place"], ["c_mktsegment"], first).select("a", "b", F.round("distance", 6).alias("distance"))
+
+
+GOWER = """WITH c AS (SELECT c_custkey, CASE WHEN c_acctbal >= 0 THEN c_acctbal END AS income, CAST(c_nationkey * 2 AS DOUBLE) AS place, c_mktsegment AS m FROM customer),
+s AS (SELECT max(income) - min(income) AS si, max(place) - min(place) AS sp FROM c), f AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY m ORDER BY c_custkey) = 1)
+SELECT c.c_custkey AS a, f.c_custkey AS b, round((coalesce(abs(c.income - f.income) / si, 0) + abs(c.place - f.place) / sp + CAST(c.m <> f.m AS INTEGER)) / (2 + CAST(c.income IS NOT NULL AND f.income IS NOT NULL AS INTEGER)), 6) AS distance FROM c, f, s"""
+
 QUERIES = {
     "chi_square_yates": (chi_square_yates, CHI),
     "t_test": (t_test, T_TEST),
@@ -284,4 +320,8 @@ QUERIES = {
     "kprototypes": (kprototypes, None),
     "famd_variance": (famd_variance, None),
     "logistic_map": (logistic_map, None),
+    "bootstrap_ari": (bootstrap_ari, None),
+    "cluster_memberships": (cluster_memberships, None),
+    "pca_coordinates": (pca_coordinates, None),
+    "gower_to_segments": (gower_to_segments, GOWER),
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -84,6 +84,35 @@ def read_zip_map(spark: SparkSession, path: str) -> DataFrame:
     return single.join(many, "zip5", "left")
 
 
+# The columns of the export of matched contacts, in order.
+MATCHED = ["Name", "Campaign", "County", "Opened", "Clicked", "Applied", "Age", "Income", "YearBuilt"]
+
+
+def matched(rows: DataFrame) -> DataFrame:
+    """Matched contacts as text: rows with a name alone, flags as Yes and No,
+    null as ''.  Columns name, campaign, county, opened, clicked, applied, age,
+    income, year_built."""
+    plain = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    flag = lambda c: X.yes_no(F.coalesce(F.col(c), F.lit(False)))
+    cols = [plain("name"), plain("campaign"), plain("county"), flag("opened"), flag("clicked"), flag("applied"), plain("age"), plain("income"), plain("year_built")]
+    return rows.where(X.blank_to_null(F.col("name")).isNotNull()).select(*(c.alias(n) for c, n in zip(cols, MATCHED, strict=True)))
+
+
+def write_matched(rows: DataFrame, path: str) -> None:
+    matched(rows).write.mode("overwrite").option("header", True).option("emptyValue", "").csv(path)
+
+
+def read_classifications(spark: SparkSession, path: str) -> DataFrame:
+    """campaign_id, types from JSON lines; a campaign named twice has the types of both."""
+    rows = spark.read.schema("campaign_id string, types array<string>").json(path).where("campaign_id IS NOT NULL")
+    return rows.groupBy("campaign_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("types")))).alias("types"))
+
+
+def write_json(rows: DataFrame, path: str) -> None:
+    """JSON lines; nulls are written, so that every line has all fields."""
+    rows.write.mode("overwrite").option("ignoreNullFields", False).json(path)
+
+
 def write_unmatched(matches: DataFrame, path: str, most: int | None = None) -> None:
     """Contacts without a match, for review; ``most`` takes the first by id."""
     rows = matches.where(F.col("quality").isin("no_match", "no_county"))
@@ -98,3 +127,9 @@ def catalog(spark: SparkSession) -> DataFrame:
     for c in counts:
         out = out.unionByName(c)
     return out
+
+
+def cache_key(ids: Column) -> Column:
+    """An aggregate: the digest that names the prepared data of some campaigns,
+    whatever their order.  The ids of one group meet in one row."""
+    return F.md5(F.array_join(F.array_sort(F.collect_list(ids.cast("string"))), "_"))

@@ -67,3 +67,10 @@ def latest(spark: SparkSession, target: str, below: int | None = None) -> DataFr
 def stale(campaigns: DataFrame, hours: int, now) -> DataFrame:
     """Campaigns never synced or not within the last hours."""
     return campaigns.where(F.col("synced_at").isNull() | (F.col("synced_at") < F.lit(now) - F.expr(f"INTERVAL {int(hours)} HOURS")))
+
+
+def refresh(campaigns: DataFrame, fetched: DataFrame, keys: list[str], hours: int, now) -> DataFrame:
+    """Campaigns with what was fetched merged in for the stale ones; what was
+    fetched for others is left aside."""
+    due = stale(campaigns, hours, now).select(*keys)
+    return merge.upsert(campaigns, fetched.join(due, keys, "left_semi"), keys, "synced_at")
