@@ -72,6 +72,7 @@ def fuzzy_score(a: Column, b: Column) -> Column:
     return F.when((a == "") | (b == ""), 0.0).when(a == b, 1.0).when((house_number(a) == house_number(b)) & inside, share).otherwise(0.0)
 
 
+# How a state route is written.
 ROUTE = r"(?i)(OH|US|SR|STATE ROUTE)\s*[-\s]\s*(\d+)"
 
 
@@ -199,6 +200,7 @@ def shortened(c: Column, most: int = 500) -> Column:
     return F.when(F.length(c) > most, F.concat(F.substring(c, 1, most), F.lit("..."))).otherwise(c)
 
 
+# Names of text campaigns.
 SMS = r"^Text(\d+)_(.+?)_(IMPACT|Impact|OHCAC|MVCAP|COAD|NA)(?:_(.+))?$"
 SMS_PLAIN = r"^Text(\d+)_([^_]+)$"
 

@@ -186,7 +186,7 @@ NULLS = "SELECT c_custkey, CASE WHEN c_custkey % 4 = 3 THEN c_acctbal END AS num
 
 
 def predicate_suite(spark, sf):
-    """Each predicate as a filter that reaches the scan, counted."""
+    """Each predicate counted, all in one pass (``pushed_filters`` has filters that reach the scan)."""
     o = table(spark, sf, "orders")
     tests = {
         "equal": F.col("o_orderstatus") == "F", "known": F.col("o_orderpriority").isNotNull(), "in": F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"),
@@ -201,8 +201,17 @@ PREDICATES = """SELECT unnest(['equal','known','in','or','range','before','patte
   count(*) FILTER (WHERE o_totalprice > 400000 OR o_orderstatus = 'P'), count(*) FILTER (WHERE o_totalprice BETWEEN 100000 AND 200000), count(*) FILTER (WHERE o_orderdate < TIMESTAMP '1997-01-01'), count(*) FILTER (WHERE regexp_matches(o_orderpriority, '(?i)urgent')), count(*) FILTER (WHERE o_orderstatus IN ('F','O'))]) AS n FROM orders"""
 
 
+def pushed_filters(spark, sf):
+    """Equality, membership, range and time as one filter, which the scan applies to its row groups."""
+    o = table(spark, sf, "orders").where((F.col("o_orderstatus") == "F") & F.col("o_orderpriority").isin("1-URGENT", "2-HIGH") & F.col("o_totalprice").between(100000, 200000) & (F.col("o_orderdate") < F.lit("1997-01-01").cast("timestamp_ntz")))
+    return o.groupBy("o_orderpriority").agg(F.count("*").alias("n"))
+
+
+PUSHED = "SELECT o_orderpriority, count(*) AS n FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority IN ('1-URGENT', '2-HIGH') AND o_totalprice BETWEEN 100000 AND 200000 AND o_orderdate < TIMESTAMP '1997-01-01' GROUP BY 1"
+
+
 def filter_modes(spark, sf):
-    """mode 'engaged': viewed or clicked; then groups of at least 40 users' rows."""
+    """mode 'engaged': viewed or clicked; then users with at least 20 rows."""
     e = table(spark, sf, "events").where(F.col("event_type").isin("view", "click") & F.col("value").isNotNull())
     return e.groupBy("user_id").agg(F.count("*").alias("n"), F.round(F.max("value"), 4).alias("most")).where("n >= 20")
 
@@ -272,6 +281,7 @@ QUERIES = {
     "yes_no_flags": (yes_no_flags, YES_FLAGS),
     "null_canonical": (null_canonical, NULLS),
     "predicate_suite": (predicate_suite, PREDICATES),
+    "pushed_filters": (pushed_filters, PUSHED),
     "filter_modes": (filter_modes, FILTER_MODES),
     "page_then_filter": (page_then_filter, PAGE_FILTER),
     "house_age_rule": (house_age_rule, HOUSE_AGE),

@@ -7,8 +7,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from canvass.operators import clusters, linkage
+from canvass.queries import rules
 from canvass.sources import files
 
+from .conftest import SMALL
+
 
 @pytest.mark.parametrize("seed", [1, 2])
 def test_either_contains(spark, seed):
@@ -63,3 +66,13 @@ def test_stability_axes_memberships(spark):
     soft = clusters.memberships(frame, "id", "x", 2).orderBy("id").collect()
     assert len({s.cluster_hard for s in soft[:40]}) == 1 and soft[0].cluster_hard != soft[-1].cluster_hard
     assert all((s.cluster_prob_0 > 0.5) == (s.cluster_hard == 0) for s in soft)
+
+
+def test_filters_reach_the_scan(spark):
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    plan = rules.pushed_filters(spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    pushed = plan[plan.index("PushedFilters") :].split("ReadSchema")[0]
+    for part in ("EqualTo(o_orderstatus,F)", "In(o_orderpriority", "GreaterThanOrEqual(o_totalprice", "LessThan(o_orderdate"):
+        assert part in pushed
+    assert plan.split("ReadSchema: struct<")[1].split(">")[0].count(":") == 4
