@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from canvass.llm import byte_bpe, chat_format, decontaminate, hnsw, language, oracles, quality, simhash, substring_dedup, suffix_dedup, toxicity
+from canvass.llm import byte_bpe, chat_format, decontaminate, hnsw, language, oracles, packing, periodic_runs, quality, simhash, substring_dedup, suffix_dedup, toxicity
 from canvass.llm.common import read
 from canvass.llm.samples import fold
 
@@ -73,8 +73,29 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op11_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pieces(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), capacity=4096)
+    return packing.pack(pieces, capacity=4096)
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.find(read(spark, sf_dir, "documents"), change=periodic_runs.planted)
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r.length.alias("length"), (-r.start).alias("start"), (-r.period).alias("period"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r.start.cast("string"), r.length.cast("string"), r.period.cast("string")), F.lit("\n"))), "")
+    return found.withColumn("best", best).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("best.start")).alias("start"),
+        F.col("best.length").alias("length"),
+        (-F.col("best.period")).alias("period"),
+        F.expr("(1000 * best.length) div (-best.period)").alias("exponent_milli"),
+        F.sha2(lines.cast("binary"), 256).alias("runs_sha256"),
+        F.sha2("kept", 256).alias("collapsed_sha256"),
+    )
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_suffix_dedup, op2_byte_bpe, op3_quality, op4_chat_format, op5_toxicity, op6_substring_dedup, op7_hnsw, op8_language, op9_decontaminate, op10_simhash)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_byte_bpe, op3_quality, op4_chat_format, op5_toxicity, op6_substring_dedup, op7_hnsw, op8_language, op9_decontaminate, op10_simhash, op11_best_fit_packing, op13_periodic_runs)}
 
 
 def oracle_sql() -> dict[str, str]:
