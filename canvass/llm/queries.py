@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from canvass.llm import byte_bpe, chat_format, decontaminate, hnsw, language, oracles, packing, periodic_runs, quality, simhash, substring_dedup, suffix_dedup, toxicity
+from canvass.llm import alignment, byte_bpe, chat_format, decontaminate, hnsw, language, oracles, packing, periodic_runs, quality, simhash, substring_dedup, suffix_dedup, toxicity
 from canvass.llm.common import read
 from canvass.llm.samples import fold
 
@@ -78,6 +78,10 @@ def op11_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(pieces, capacity=4096)
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.aligned(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = periodic_runs.find(read(spark, sf_dir, "documents"), change=periodic_runs.planted)
     best = F.array_max(F.transform("runs", lambda r: F.struct(r.length.alias("length"), (-r.start).alias("start"), (-r.period).alias("period"))))
@@ -95,7 +99,7 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_suffix_dedup, op2_byte_bpe, op3_quality, op4_chat_format, op5_toxicity, op6_substring_dedup, op7_hnsw, op8_language, op9_decontaminate, op10_simhash, op11_best_fit_packing, op13_periodic_runs)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_byte_bpe, op3_quality, op4_chat_format, op5_toxicity, op6_substring_dedup, op7_hnsw, op8_language, op9_decontaminate, op10_simhash, op11_best_fit_packing, op12_alignment, op13_periodic_runs)}
 
 
 def oracle_sql() -> dict[str, str]:
