@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from canvass.functions import text as T
+from canvass.operators.containment import either
 
 # Strategies in order, with the quality of their hits.
 STRATEGIES = [
@@ -45,88 +46,91 @@ def prepare(contacts: DataFrame, demographic: DataFrame, residential: DataFrame)
     return c, d, r.select("county", "parcel_id", F.col("zip_key").alias("r_zip"), "r_address", "r_key")
 
 
-def _hit(rows: DataFrame, k: int, method=None, score=1.0) -> DataFrame:
-    name, quality = STRATEGIES[k]
-    method = F.lit(name) if method is None else method
-    return rows.select("contact_id", "county", "parcel_id", F.lit(k + 1).alias("priority"), method.alias("method"), F.lit(quality).alias("quality"), (F.lit(score) if isinstance(score, float) else score).alias("score"))
+def _each(rows: DataFrame, keep: list[str], **keys: Column) -> DataFrame:
+    """A row for each key that isn't null: ``kind``, ``key`` and what is kept."""
+    pairs = F.array(*(F.when(c.isNotNull(), F.struct(F.lit(k).alias("kind"), c.cast("string").alias("key"))) for k, c in keys.items()))
+    return rows.select(*keep, F.inline(F.array_compact(pairs)))
 
 
-def _in_zip(own: DataFrame, other: DataFrame, zip_column: str, mine: str, theirs: str) -> DataFrame:
-    """Rows of one county whose columns ``mine`` and ``theirs`` are equal, within
-    the contact's ZIP code; contacts without one are joined without it.  Either
-    way every condition is a join key."""
-    other = other.withColumnRenamed("county", "_county")
-    same = (F.col("county") == F.col("_county")) & (F.col(mine) == F.col(theirs))
-    known = own.where("zip_key IS NOT NULL").join(other, same & (F.col("zip_key") == F.col(zip_column)))
-    return known.unionByName(own.where("zip_key IS NULL").join(other, same)).drop("_county")
+def _and(zip_column: str, c: Column) -> Column:
+    """The text behind its ZIP code; null if either is."""
+    return F.concat(F.col(zip_column).cast("string"), F.lit("|"), c)
 
 
-#: Lengths of the pieces of text that containment is looked up by, the longest first.
-PIECES = (6, 2, 1)
+#: Texts of contacts and parcels meet within these.
+WITHIN = ["kind", "county", "within"]
 
 
-def _head(c: Column) -> Column:
-    """The first letters of a text, as many as the longest piece that fits."""
-    size = F.lit(PIECES[-1])
-    for n in reversed(PIECES):
-        size = F.when(F.length(c) >= n, n).otherwise(size)
-    return F.substring(c, F.lit(1), size)
-
-
-def _pieces(c: Column) -> Column:
-    """Every different piece of a text."""
-    at = lambda n: F.when(F.length(c) >= n, F.transform(F.sequence(F.lit(1), F.length(c) - (n - 1)), lambda i: F.substring(c, i, F.lit(n))))
-    none = F.array().cast("array<string>")
-    return F.array_distinct(F.flatten(F.array(*(F.coalesce(at(n), none) for n in PIECES))))
-
-
-def _containing(short: DataFrame, x: Column, long: DataFrame, y: Column) -> DataFrame:
-    """Rows of one county whose text y contains x.  A text that contains another
-    contains its first letters, so those are the join key, beside the county."""
-    long = _once(long.withColumnRenamed("county", "_county"), _long=y).withColumn("_piece", F.explode(_pieces(F.col("_long"))))
-    short = _once(short, _short=x).where("_short <> ''").withColumn("_head", _head(F.col("_short")))
-    met = short.join(long, (F.col("county") == F.col("_county")) & (F.col("_head") == F.col("_piece")))
-    return met.where(F.col("_long").contains(F.col("_short"))).drop("_county", "_head", "_piece")
-
-
-def _either(own: DataFrame, x: Column, other: DataFrame, y: Column) -> DataFrame:
-    """Contacts and parcels of one county one of whose texts contains the other:
-    contact_id, county, parcel_id, and the two texts as _x and _y."""
-    own = own.select("contact_id", "county", x.alias("_x"))
-    other = other.select("county", "parcel_id", y.alias("_y"))
-    inside = _containing(own, F.col("_x"), other, F.col("_y")).select("contact_id", "county", "parcel_id", "_x", "_y")
-    around = _containing(other, F.col("_y"), own, F.col("_x")).where("_x <> _y")
-    return inside.unionByName(around.select("contact_id", "county", "parcel_id", "_x", "_y"))
+def _texts(c: DataFrame, d: DataFrame, r: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The texts of contacts and of parcels that containment is asked of, with the
+    kind of match and the part of the county (a ZIP code, a house number, or '' for
+    all of it) that they meet in."""
+    own, at = ["contact_id", "first_key", "last_key", "address_key"], c.where("raw IS NOT NULL")
+    row = lambda rows, kind, within, text, keep, around: rows.select(*keep, "county", F.lit(kind).alias("kind"), within.cast("string").alias("within"), text.alias("text"), F.lit(around).alias("around"))
+    none, whole = F.lit(None).cast("string"), F.lit("")
+    named = c.where("first_key <> '' AND last_key <> ''")
+    route = at.where(F.col("raw").rlike(r"(?i)(OH|US|SR)[-\s]\d+")).withColumn("v", F.explode(T.route_variations(F.col("raw"))))
+    hyphen = at.where(F.col("raw").contains("-")).withColumn("v", F.explode(F.transform(T.hyphen_variations(F.col("raw")), lambda v: T.address(v)))).where("length(v) > 5")
+    bare = at.where("zip_key IS NULL").withColumn("house", T.house_number(F.col("address_key"))).where("house IS NOT NULL")
+    mine = [
+        row(named, "name", F.coalesce(F.col("zip_key").cast("string"), whole), F.col("last_key"), own, False),
+        row(route, "route", whole, F.upper("v"), own, True),
+        row(hyphen, "hyphen", whole, F.col("v"), own, True),
+        row(bare, "fuzzy", F.col("house"), T.address_rest(F.col("address_key")), own, True),
+    ]
+    keys = ["parcel_id", "full_key", "r_key"]
+    d = d.withColumnRenamed("d_full_key", "full_key").withColumn("r_key", none)
+    r = r.withColumn("full_key", none).withColumn("r_house", T.house_number(F.col("r_key")))
+    theirs = [
+        row(d.withColumn("p", F.explode(F.array_compact(F.array(F.col("d_zip_key").cast("string"), whole)))), "name", F.col("p"), F.col("full_key"), keys, False),
+        row(r, "route", whole, F.upper("r_address"), keys, True),
+        row(r, "hyphen", whole, F.col("r_key"), keys, True),
+        row(r, "fuzzy", F.col("r_house"), T.address_rest(F.col("r_key")), keys, True),
+    ]
+    return reduce(DataFrame.unionByName, mine), reduce(DataFrame.unionByName, theirs)
+
+
+def _contained(mine: DataFrame, theirs: DataFrame) -> DataFrame:
+    """Rows of both sides whose texts contain one another, as their kinds ask."""
+    pairs = either(mine.select(*WITHIN, F.col("text").alias("own"), "around"), theirs.select(*WITHIN, F.col("text").alias("other"), "around"), WITHIN)
+    met = mine.drop("around").withColumnRenamed("text", "own").join(pairs, [*WITHIN, "own"])
+    return met.join(theirs.drop("around").withColumnRenamed("text", "other"), [*WITHIN, "other"])
 
 
 def candidates(contacts: DataFrame, demographic: DataFrame, residential: DataFrame) -> DataFrame:
     """All hits of all strategies: contact_id, county, parcel_id, priority,
-    method, quality, score."""
+    method, quality, score.
+
+    Two joins find them: one on equal keys of all strategies, one on texts that
+    contain one another.  Both have the strategy among their keys."""
     c, d, r = prepare(contacts, demographic, residential)
-    found = [_hit(c.where("email_key IS NOT NULL").join(d, (c.county == d.county) & (F.col("email_key") == F.col("d_email_key"))).drop(d.county), 0)]
-    kind = T.name_match(F.col("first_key"), F.col("last_key"), F.col("d_full_key"))
-    named = c.where("first_key <> '' AND last_key <> ''")
-    # With a ZIP code it is a join key; without one, letters of the last name are.
-    with_zip = named.where("zip_key IS NOT NULL").join(d, (named.county == d.county) & (F.col("zip_key") == F.col("d_zip_key"))).drop(d.county)
-    without = _containing(named.where("zip_key IS NULL"), F.col("last_key"), d, F.col("d_full_key"))
-    names = with_zip.unionByName(without.select(with_zip.columns)).withColumn("kind", kind).where("kind IS NOT NULL")
-    found.append(_hit(names, 1, F.concat(F.lit("name_"), F.col("kind"))))
-    found.append(_hit(c.where("phone_key IS NOT NULL").join(d, (c.county == d.county) & (F.col("phone_key") == F.col("d_phone_key"))).drop(d.county), 2))
-    at = c.where("raw IS NOT NULL")
-    found.append(_hit(_in_zip(at, r, "r_zip", "raw", "r_address"), 3))
-    found.append(_hit(_in_zip(at, r, "r_zip", "address_key", "r_key"), 4))
-    route = at.where(F.col("raw").rlike(r"(?i)(OH|US|SR)[-\s]\d+")).select("contact_id", "county", F.explode(T.route_variations(F.col("raw"))).alias("v"))
-    found.append(_hit(_either(route, F.upper("v"), r, F.upper("r_address")), 5))
-    hyphen = at.where(F.col("raw").contains("-")).select("contact_id", "county", F.explode(F.transform(T.hyphen_variations(F.col("raw")), lambda v: T.address(v))).alias("v"))
-    equal = hyphen.where("length(v) <= 5").join(r.withColumnRenamed("county", "_county"), (F.col("county") == F.col("_county")) & (F.col("v") == F.col("r_key")))
-    found.append(_hit(equal, 6))
-    found.append(_hit(_either(hyphen.where("length(v) > 5"), F.col("v"), r, F.col("r_key")), 6))
-    own, other = at.withColumn("house", T.house_number(F.col("address_key"))), r.withColumn("r_house", T.house_number(F.col("r_key")))
-    score = T.fuzzy_score(F.col("address_key"), F.col("r_key"))
-    fuzzy = _in_zip(own.where("house IS NOT NULL"), other, "r_zip", "house", "r_house")
-    fuzzy = fuzzy.withColumn("s", score).where(F.col("s") > FUZZY_LEAST)
-    found.append(_hit(fuzzy, 7, F.format_string("fuzzy_%.2f", "s"), F.col("s")))
-    return reduce(DataFrame.unionByName, found)
+    at = F.col("raw").isNotNull()
+    bare = F.col("zip_key").isNull()
+    house, r_house = T.house_number(F.col("address_key")), T.house_number(F.col("r_key"))
+    short = F.when(at & F.col("raw").contains("-"), F.filter(F.transform(T.hyphen_variations(F.col("raw")), lambda v: T.address(v)), lambda v: F.length(v) <= 5))
+    mine = _each(
+        c, ["contact_id", "county", "address_key"], email=F.col("email_key"), phone=F.col("phone_key"),
+        exact_zip=_and("zip_key", F.col("raw")), exact=F.when(bare, F.col("raw")), key_zip=F.when(at, _and("zip_key", F.col("address_key"))), key=F.when(at & bare, F.col("address_key")),
+        fuzzy_zip=F.when(at, _and("zip_key", house)),
+    )
+    mine = mine.unionByName(c.select("contact_id", "county", "address_key", F.lit("hyphen").alias("kind"), F.explode(short).alias("key")))
+    theirs = _each(d.withColumn("r_key", F.lit(None).cast("string")), ["parcel_id", "county", "r_key"], email=F.col("d_email_key"), phone=F.col("d_phone_key"))
+    theirs = theirs.unionByName(_each(
+        r, ["parcel_id", "county", "r_key"], exact_zip=_and("r_zip", F.col("r_address")), exact=F.col("r_address"),
+        key_zip=_and("r_zip", F.col("r_key")), key=F.col("r_key"), hyphen=F.col("r_key"), fuzzy_zip=_and("r_zip", r_house),
+    ))
+    none = F.lit(None).cast("string")
+    equal = mine.join(theirs, ["kind", "county", "key"]).withColumns({"first_key": none, "last_key": none, "full_key": none})
+    columns = ["contact_id", "county", "parcel_id", "kind", "address_key", "r_key", "first_key", "last_key", "full_key"]
+    met = equal.select(*columns).unionByName(_contained(*_texts(c, d, r)).select(*columns))
+    k = F.regexp_replace("kind", "_zip$", "")
+    place = F.element_at(F.create_map(*(F.lit(x) for pair in (("email", 0), ("name", 1), ("phone", 2), ("exact", 3), ("key", 4), ("route", 5), ("hyphen", 6), ("fuzzy", 7)) for x in pair)), k)
+    score = F.when(k == "fuzzy", T.fuzzy_score(F.col("address_key"), F.col("r_key"))).otherwise(1.0)
+    met = met.select("contact_id", "county", "parcel_id", place.alias("place"), score.alias("score"), F.when(k == "name", T.name_match(F.col("first_key"), F.col("last_key"), F.col("full_key"))).alias("named"))
+    met = met.where((F.col("place") != 1) | F.col("named").isNotNull()).where((F.col("place") != 7) | (F.col("score") > FUZZY_LEAST))
+    listed = lambda j: F.element_at(F.array(*(F.lit(s[j]) for s in STRATEGIES)), F.col("place") + 1)
+    method = F.when(F.col("place") == 1, F.concat(F.lit("name_"), F.col("named"))).when(F.col("place") == 7, F.format_string("fuzzy_%.2f", "score")).otherwise(listed(0))
+    return met.select("contact_id", "county", "parcel_id", (F.col("place") + 1).alias("priority"), method.alias("method"), listed(1).alias("quality"), "score")
 
 
 def best(hits: DataFrame, key: str = "contact_id") -> DataFrame:
@@ -196,6 +200,17 @@ def name_key_match(contacts: DataFrame, demographic: DataFrame) -> DataFrame:
     return met.groupBy("contact_id", "county").agg(F.min_by(F.struct("parcel_id", "with_zip"), order).alias("m")).select("contact_id", "county", "m.*")
 
 
+def _alike(own: DataFrame, other: DataFrame) -> DataFrame:
+    """Contacts and parcels of one county and house number: of the contact's ZIP
+    code, or where it has none one of whose streets contains the other."""
+    known = own.join(other.withColumnRenamed("r_zip", "zip_key").withColumnRenamed("r_house", "house"), ["county", "zip_key", "house"])
+    mine = own.where("zip_key IS NULL").withColumns({"own": T.address_rest(F.col("address_key")), "around": F.lit(True)})
+    theirs = other.withColumnRenamed("r_house", "house").withColumns({"other": T.address_rest(F.col("r_key")), "around": F.lit(True)})
+    pairs = either(mine.select("county", "house", "own", "around"), theirs.select("county", "house", "other", "around"), ["county", "house"])
+    without = mine.drop("around").join(pairs, ["county", "house", "own"]).join(theirs.drop("around"), ["county", "house", "other"])
+    return known.unionByName(without.select(known.columns))
+
+
 def score_cascade(contacts: DataFrame, demographic: DataFrame, residential: DataFrame, all_counties: bool = False) -> DataFrame:
     """The other cascade: address with phone, address, phone, name with address.
     A sure hit of the first or third kind wins at once; else the highest score,
@@ -207,8 +222,7 @@ def score_cascade(contacts: DataFrame, demographic: DataFrame, residential: Data
         contacts, demographic, residential = contacts.withColumn("county", F.lit("")), _countyless(demographic), _countyless(residential)
     c, d, r = prepare(contacts, demographic, residential)
     both = r.join(d, ["county", "parcel_id"])
-    own = c.withColumn("house", T.house_number(F.col("address_key")))
-    at = _in_zip(own.where("house IS NOT NULL"), both.withColumn("r_house", T.house_number(F.col("r_key"))), "r_zip", "house", "r_house")
+    at = _alike(c.withColumn("house", T.house_number(F.col("address_key"))).where("house IS NOT NULL"), both.withColumn("r_house", T.house_number(F.col("r_key"))))
     at = at.withColumn("s", T.fuzzy_score(F.col("address_key"), F.col("r_key"))).where(F.col("s") > FUZZY_LEAST)
     # The dear join is read once: each of its rows gives up to three hits.
     name = T.name_match(F.col("first_key"), F.col("last_key"), F.col("d_full_key"))

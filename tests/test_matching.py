@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from canvass.operators import clusters, linkage
+from canvass.operators import clusters, containment, linkage
 from canvass.queries import rules
 from canvass.sources import files
 
@@ -14,18 +14,28 @@ from .conftest import SMALL
 
 
 @pytest.mark.parametrize("seed", [1, 2])
-def test_either_contains(spark, seed):
+def test_either_contains(spark, monkeypatch, seed):
+    monkeypatch.setattr(containment, "HOT", 3)  # salted pieces
     r = random.Random(seed)
     word = lambda: "".join(r.choice("ab -") for _ in range(r.choice([1, 2, 3, 5, 6, 7, 9])))
-    own = [(i, r.choice("XY"), word()) for i in range(60)]
-    other = [(i, r.choice("XY"), word()) for i in range(60)]
-    a = spark.createDataFrame([*own, (99, "X", None), (98, "X", "")], "contact_id int, county string, p string")
-    b = spark.createDataFrame([*other, (99, "X", None)], "parcel_id int, county string, q string")
-    got = linkage._either(a, F.col("p"), b, F.col("q")).select("contact_id", "parcel_id").collect()
-    want = {(i, j) for i, c, x in own for j, d, y in other if c == d and (x in y or y in x)}
+    own = [(r.choice("XY"), word(), r.random() < 0.7) for _ in range(80)]
+    other = [(r.choice("XY"), word(), r.random() < 0.7) for _ in range(80)]
+    a = spark.createDataFrame([*own, ("X", None, True), ("X", "", True), (None, "ab", True)], "county string, own string, around boolean")
+    b = spark.createDataFrame([*other, ("X", None, True), ("X", "", True), (None, "ab", True)], "county string, other string, around boolean")
+    got = containment.either(a, b, ["county"]).collect()
+    want = {(c, x, y) for c, x, f in own for d, y, g in other if c == d and (x in y or (f and g and y in x))}
     assert len(got) == len(want) and {tuple(x) for x in got} == want
 
 
+def test_one_house_number_on_half_the_parcels(spark):
+    """What meets before it is compared stays in proportion to the input."""
+    streets = [f"{a} {b} {c}" for a in ("long", "old", "new", "far") for b in ("meadow", "oak", "mill", "elm") for c in ("road", "lane", "court")]
+    n = 4000
+    parcels = spark.range(n).select(F.lit("").alias("county"), F.when(F.col("id") % 2 == 0, "1").otherwise((F.col("id") % 500).cast("string")).alias("house"), F.concat(F.element_at(F.array(*map(F.lit, streets)), (F.col("id") % len(streets)).cast("int") + 1), F.lit(" "), F.md5(F.col("id").cast("string"))).alias("long"))
+    contacts = parcels.select("county", "house", F.substring("long", 1, 30).alias("short"))
+    assert containment.met(contacts, parcels, ["county", "house"]).count() < 3 * n
+
+
 def test_names_without_zip_and_routes(spark):
     con = spark.createDataFrame([(1, "A", None, "Ann", "Lee", None, None, None), (2, "A", None, None, None, None, "5 Oh-56", "43001"), (3, "A", None, None, None, None, "9 Mc-Rae Road", "43001")], "contact_id int, county string, email string, first string, last string, phone string, address string, zip string")
     dem = spark.createDataFrame([("A", 1, None, "ANN LEESON", None, "43009"), ("B", 2, None, "ANN LEE", None, "43009")], "county string, parcel_id int, email string, full_name string, phone string, zip string")
