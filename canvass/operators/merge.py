@@ -3,7 +3,7 @@ result replaces the table."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 
@@ -15,13 +15,22 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], order: str) -> DataF
     return last.select(*keys, "r.*")
 
 
-def merge_flags(old: DataFrame, new: DataFrame, keys: list[str], flags: list[str], order: str) -> DataFrame:
+def merge_flags(old: DataFrame, new: DataFrame, keys: list[str], flags: list[str], order: str, seen: Observation | None = None) -> DataFrame:
     """Flags only rise (any true); other columns come from the last row.  The
-    order of arrival and repeats make no difference."""
+    order of arrival and repeats make no difference.  ``seen`` observes how many
+    keys of ``new`` were inserted, updated and found unchanged, as the result is
+    written, without another pass."""
     rest = [c for c in old.columns if c not in keys and c not in flags]
     both = old.withColumn("_side", F.lit(0)).unionByName(new.withColumn("_side", F.lit(1)))
-    out = both.groupBy(*keys).agg(*(F.coalesce(F.bool_or(f), F.lit(False)).alias(f) for f in flags), F.max_by(F.struct(*rest), F.struct(F.col(order), F.col("_side"))).alias("r"))
-    return out.select(*keys, *flags, "r.*")
+    own = F.struct(*flags, *rest)
+    extra = [] if seen is None else [F.max(F.when(F.col("_side") == 0, own)).alias("_old"), F.max("_side").alias("_new")]
+    out = both.groupBy(*keys).agg(*(F.coalesce(F.bool_or(f), F.lit(False)).alias(f) for f in flags), F.max_by(F.struct(*rest), F.struct(F.col(order), F.col("_side"))).alias("r"), *extra)
+    if seen is None:
+        return out.select(*keys, *flags, "r.*")
+    out = out.select(*keys, *flags, "r.*", "_old", "_new")
+    known, same, came = F.col("_old").isNotNull(), F.col("_old").eqNullSafe(own), F.col("_new") == 1
+    numbers = {"inserted": ~known, "updated": known & came & ~same, "unchanged": known & came & same}
+    return out.observe(seen, *(F.count_if(c).alias(n) for n, c in numbers.items())).drop("_old", "_new")
 
 
 def insert_absent(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from canvass.operators import merge
+from canvass.streaming.table import KeyedTable
 
 
 def fold_events(events: DataFrame) -> DataFrame:
@@ -20,9 +21,12 @@ def fold_events(events: DataFrame) -> DataFrame:
     )
 
 
-def fold_stream(events: DataFrame) -> DataFrame:
-    """The streaming form: repeated deliveries of an event are dropped by id."""
-    return events.dropDuplicates(["event_id"]).groupBy("user_id", "event_type").agg(
+def fold_stream(events: DataFrame, late: str | None = None) -> DataFrame:
+    """The streaming form: repeated deliveries of an event are dropped by id.  With
+    ``late`` (as '2 hours') ids are forgotten once events are so much newer, so the
+    state is bounded; a repeat within that time counts once."""
+    once = events.dropDuplicates(["event_id"]) if late is None else events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
+    return once.groupBy("user_id", "event_type").agg(
         F.bool_or(F.col("value") > 50).alias("high"), F.max(F.col("value") > 90).alias("very_high"), F.count("*").alias("n"),
     )
 
@@ -37,31 +41,25 @@ def reports_to_flags(reports: DataFrame) -> DataFrame:
 
 
 FLAGS = ["opened", "clicked", "bounced", "complained", "unsubscribed"]
+KEYS = ["campaign_id", "contact_id"]
 
 
-def start(spark: SparkSession, reports: DataFrame, target: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
-    """Merge each batch of reports into the table at ``target``; versions are
-    written side by side and the last one is named in the batch's folder."""
+def start(spark: SparkSession, reports: DataFrame, target: str, checkpoint: str, trigger: dict | None = None, buckets: int = 64) -> StreamingQuery:
+    """Merge each batch of reports into the keyed table at ``target``: only the
+    buckets that the batch's contacts fall in are read and written.  The manifest
+    of a batch has the numbers of contacts inserted, updated and unchanged."""
+    table = KeyedTable(spark, target, KEYS, buckets)
 
     def merge_batch(batch: DataFrame, number: int) -> None:
-        new = reports_to_flags(batch)
-        before = latest(spark, target, number)
-        out = new if before is None else merge.merge_flags(before, new, ["campaign_id", "contact_id"], FLAGS, "synced_at").select(*new.columns)
-        out.write.mode("overwrite").parquet(f"{target}/version={number:012d}")
+        table.merge(number, reports_to_flags(batch), lambda old, new, seen: merge.merge_flags(old, new, KEYS, FLAGS, "synced_at", seen))
 
     writer = reports.writeStream.foreachBatch(merge_batch).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()
 
 
-def latest(spark: SparkSession, target: str, below: int | None = None) -> DataFrame | None:
-    """The last version of the table, or the last before a batch."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(target)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        return None
-    names = sorted(s.getPath().getName() for s in fs.listStatus(path))
-    done = [n for n in names if n.startswith("version=") and (below is None or int(n[8:]) < below) and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{target}/{n}/_SUCCESS"))]
-    return spark.read.parquet(f"{target}/{done[-1]}") if done else None
+def latest(spark: SparkSession, target: str, buckets: int = 64) -> DataFrame | None:
+    """The table as the last batch left it; None before the first."""
+    return KeyedTable(spark, target, KEYS, buckets).latest()
 
 
 def stale(campaigns: DataFrame, hours: int, now) -> DataFrame:

@@ -2,13 +2,16 @@
 
 import datetime
 import json
+from pathlib import Path
 
+import pytest
 from pyspark.sql import functions as F
 
 from canvass.operators import merge
 from canvass.plans import star_schema
 from canvass.sources import files
 from canvass.streaming import sync
+from canvass.streaming.table import KeyedTable
 
 from .conftest import SMALL
 
@@ -69,6 +72,50 @@ def test_stream_equals_batch(spark):
     assert order(spark.table("folded")) == order(sync.fold_events(spark.read.parquet(f"{SMALL}/events.parquet")))
 
 
+def test_stream_forgets_old_events(spark, tmp_path):
+    """With a watermark a repeat within it counts once, and old state goes."""
+    at = lambda minute: datetime.datetime(2025, 1, 1, 0, 0) + datetime.timedelta(minutes=minute)
+    schema = "event_id long, user_id long, event_type string, value double, ts timestamp"
+    for k, rows in enumerate([[(1, 1, "a", 60.0, at(0)), (2, 1, "a", 95.0, at(5))], [(1, 1, "a", 60.0, at(8)), (3, 2, "a", 1.0, at(600))], [(4, 2, "a", 1.0, at(605))]]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/{k}")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/*")
+    q = sync.fold_stream(stream, "1 hour").writeStream.outputMode("complete").format("memory").queryName("late").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert sorted(map(tuple, spark.table("late").select("user_id", "n").collect())) == [(1, 2), (2, 2)]
+    state = q.lastProgress["stateOperators"][-1]
+    assert state["operatorName"] == "dedupeWithinWatermark" and state["numRowsTotal"] == 2
+
+
+def test_keyed_table(spark, tmp_path, monkeypatch):
+    """Batches, a replay, a crash before the manifest, late rows; what is written
+    follows the batch."""
+    target, keys = f"{tmp_path}/t", ["k"]
+    t = KeyedTable(spark, target, keys, buckets=16)
+    fold = lambda old, new, seen: merge.merge_flags(old, new, keys, ["f"], "at", seen)
+    batch = lambda rows: spark.createDataFrame(rows, "k long, f boolean, v string, at int")
+    size = lambda n: sum(f.stat().st_size for f in Path(f"{target}/data/version={n:012d}").rglob("*.parquet"))
+    t.merge(0, batch([(k, False, "a" * 50, 5) for k in range(2000)]), fold)
+    whole = size(0)
+    assert t.merge(1, batch([(7, True, "b", 6), (5000, False, "c", 1)]), fold)["seen"] == {"inserted": 1, "updated": 1, "unchanged": 0}
+    assert 0 < size(1) < whole / 4
+    monkeypatch.setattr(t, "_write", lambda *_: (_ for _ in ()).throw(OSError("lost")))
+    with pytest.raises(OSError, match="lost"):
+        t.merge(2, batch([(8, True, "x", 7)]), fold)
+    monkeypatch.undo()
+    assert t.batches() == [0, 1] and {r.v for r in t.latest().where("k = 8").collect()} == {"a" * 50}
+    assert t.merge(2, batch([(8, True, "d", 7), (7, False, "old", 1)]), fold)["seen"] == {"inserted": 0, "updated": 1, "unchanged": 1}
+    again = sorted(map(tuple, t.latest().collect()))
+    t.merge(2, batch([(9, True, "not this", 9)]), fold)  # delivered again
+    assert t.merge(3, batch([]), fold)["versions"] == t.manifest(2)["versions"]
+    want = {k: (k, False, "a" * 50, 5) for k in range(2000)} | {7: (7, True, "b", 6), 8: (8, True, "d", 7), 5000: (5000, False, "c", 1)}
+    assert again == sorted(want.values()) == sorted(map(tuple, t.latest().collect()))
+    assert t.batches() == [2, 3]
+    named = set(map(int, t.manifest(3)["versions"].values()))
+    assert named == {int(p.name[8:]) for p in Path(f"{target}/data").iterdir()}
+    with pytest.raises(ValueError, match="buckets"):
+        KeyedTable(spark, target, keys, buckets=8).latest()
+
+
 def test_incremental_sync(spark, tmp_path):
     land, target = tmp_path / "land", str(tmp_path / "table")
     land.mkdir()
@@ -78,6 +125,12 @@ def test_incremental_sync(spark, tmp_path):
     run()
     (land / "2.json").write_text(page("opened", ["y", "z"]))
     run()
+    (land / "0.json").write_text(page("complained", ["x"]))  # a late file, and all of the first once more
+    (land / "3.json").write_text((land / "1.json").read_text())
+    run()
+    whole = sync.reports_to_flags(files.read_reports(spark, str(land)))
+    assert sorted(map(tuple, sync.latest(spark, target).collect())) == sorted(map(tuple, whole.collect()))
+    (land / "0.json").unlink(), (land / "3.json").unlink()
     got = {r["contact_id"]: (r["opened"], r["clicked"], r["bounced"]) for r in sync.latest(spark, target).collect()}
     assert got == {"x": (True, True, False), "y": (True, False, True), "z": (True, False, False)}
     assert files.read_reports(spark, str(land)).count() == 4
