@@ -154,32 +154,29 @@ def align(tokens: DataFrame, a_sizes: DataFrame, b_sizes: DataFrame, scratch: Sc
     Returns ``key, a, b, times``, every linked pair of ids with how often it is, and
     ``key, n_a, n_b, n_groups, n_links, groups``."""
     in_order = Window.partitionBy("key").orderBy("place")
+    # Dealt out once; explode, windows and joins all stay within a key's partition.
+    dealt = tokens.repartition("key")
 
     def ended(column: str, sizes: DataFrame) -> DataFrame:
-        exploded = tokens.select("key", F.posexplode(column).alias("place", "id")).join(F.broadcast(sizes), "id")
-        return scratch.keep(exploded.select("key", "place", "id", F.sum("size").over(in_order).alias("end")))
+        exploded = dealt.select("key", F.posexplode(column).alias("place", "id")).join(F.broadcast(sizes), "id")
+        return exploded.select("key", "place", "id", F.sum("size").over(in_order).alias("end"))
+
+    a, b = ended("a", a_sizes), ended("b", b_sizes)
+    cuts = a.join(b, ["key", "end"]).select("key", "end", F.lit(1).alias("cut"))
+
+    def grouped(t: DataFrame, name: str) -> DataFrame:
+        before = in_order.rowsBetween(Window.unboundedPreceding, -1)
+        numbered = t.join(cuts, ["key", "end"], "left").select("key", "place", "id", F.coalesce(F.sum("cut").over(before), F.lit(0)).alias("group"))
+        ids = F.transform(F.array_sort(F.collect_list(F.struct("place", "id"))), lambda x: x.id)
+        return numbered.groupBy("key", "group").agg(ids.alias(name))
 
     with settings(tokens.sparkSession, **{SPLIT_BY_SOME: "false"}):
-        a, b = ended("a", a_sizes), ended("b", b_sizes)
-        cuts = scratch.keep(a.join(b, ["key", "end"]).select("key", "end", F.lit(1).alias("cut")))
-
-        def grouped(t: DataFrame) -> DataFrame:
-            before = in_order.rowsBetween(Window.unboundedPreceding, -1)
-            return scratch.keep(t.join(cuts, ["key", "end"], "left").select("key", "place", "id", F.coalesce(F.sum("cut").over(before), F.lit(0)).alias("group")))
-
-        a_groups, b_groups = grouped(a), grouped(b)
-        scratch.drop(a, b, cuts)
-        links = a_groups.select("key", "group", F.col("id").alias("a")).join(b_groups.select("key", "group", F.col("id").alias("b")), ["key", "group"])
-        links = scratch.keep(links.groupBy("key", "a", "b").agg(F.count("*").alias("times")))
-
-        def written(t: DataFrame, name: str) -> DataFrame:
-            ids = F.transform(F.array_sort(F.collect_list(F.struct("place", "id"))), lambda x: x.id.cast("string"))
-            return t.groupBy("key", "group").agg(F.count("*").alias(f"n_{name}"), F.array_join(ids, ",").alias(name))
-
-        both = written(a_groups, "a").join(written(b_groups, "b"), ["key", "group"])
-        text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("group", F.concat("a", F.lit("|"), "b").alias("text")))), lambda x: x.text), ";")
-        groups = scratch.keep(both.groupBy("key").agg(F.sum("n_a").alias("n_a"), F.sum("n_b").alias("n_b"), F.count("*").alias("n_groups"), F.sum(F.col("n_a") * F.col("n_b")).alias("n_links"), text.alias("groups")))
-        scratch.drop(a_groups, b_groups)
+        both = scratch.keep(grouped(a, "a").join(grouped(b, "b"), ["key", "group"]))
+    links = both.select("key", F.explode("a").alias("a"), "b").select("key", "a", F.explode("b").alias("b")).groupBy("key", "a", "b").agg(F.count("*").alias("times"))
+    written = lambda c: F.array_join(F.col(c).cast("array<string>"), ",")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("group", F.concat(written("a"), F.lit("|"), written("b")).alias("text")))), lambda x: x.text), ";")
+    n_a, n_b = F.size("a").cast("long"), F.size("b").cast("long")
+    groups = both.groupBy("key").agg(F.sum(n_a).alias("n_a"), F.sum(n_b).alias("n_b"), F.count("*").alias("n_groups"), F.sum(n_a * n_b).alias("n_links"), text.alias("groups"))
     return links, groups
 
 
@@ -275,7 +272,7 @@ def aligned(docs: DataFrame, a_path: str, b_path: str, scratch: Scratch | None =
     scratch.drop(units)
 
     code = F.shiftleft(F.col("a").cast("long"), 32).bitwiseOR(F.col("b").cast("long"))
-    links = links.select("key", "a", code.alias("pair"), "times")
+    links = scratch.keep(links.select("key", "a", code.alias("pair"), "times"))
     of_unit = numbered.join(links.groupBy("key").agg(F.collect_list("pair").alias("pairs")), "key", "left").select("block", "unit", "spelt", "pairs")
     held = coded_docs.select("block", "units").groupBy("block").cogroup(of_unit.groupBy("block")).applyInArrow(_held, "pair long, n long")
     counts = scratch.keep(held.groupBy("pair").agg(F.sum("n").alias("n")).withColumn("a", F.shiftright("pair", 32)))
