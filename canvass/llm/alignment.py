@@ -4,7 +4,8 @@ Both tokenizers spell the same bytes.  Places where both end a token cut a text'
 tokens into groups; tokens of one group are linked.  That is relational work:
 tokens are exploded with their places, a window gives each the byte where it ends,
 an equi-join on text and end gives the common cuts, the running count of these
-numbers the groups, and a join on text and group gives the links.
+numbers the groups, and what lies between two cuts are a group's tokens, whose pairs
+are the links.
 
 A text is made of units: white space with the word that follows.  Neither
 tokenizer joins what stands on two sides of a unit's start (``cut_before`` looks
@@ -28,6 +29,7 @@ import hashlib
 import json
 import os
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,8 +45,12 @@ from canvass.llm.common import Scratch, documents, parts, settings, small_batche
 BLOCK = 32 << 20
 #: Occurrences of units that are gone through at once.
 AT_ONCE = 1 << 20
+#: Units that are encoded in one call.
+JOINED = 256
 #: White space of any kind, and that before which a unit may begin.
 WHITE, BEFORE = r"\s᠎", " \t\n\x0b\x0c\r"
+#: White space that isn't simply a space or a line's end.
+ODD = re.compile(rf"(?![ \n])[{WHITE}]")
 #: Tables split by the text alone can be joined on text and end without a new shuffle.
 SPLIT_BY_SOME = "spark.sql.requireAllClusterKeysForCoPartition"
 SUMS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
@@ -76,22 +82,63 @@ class Pair:
         names = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = {i: bytes([int(n[3:5], 16)]) if self.b.is_byte(i) else n.replace("▁", " ").encode() for i, n in enumerate(names)}
         self.mark = self.b.piece_to_id("▁")
+        self.a_sizes, self.b_sizes = (np.array([len(e.get(i, b"")) for i in range(max(e) + 1)]) for e in (self.a_bytes, self.b_bytes))
         self.names = [n for i, n in enumerate(names) if not (self.b.is_byte(i) or self.b.is_control(i) or self.b.is_unknown(i))]
 
     def cut_before(self) -> str:
         """The white space that no entry of B has after a visible character."""
         return "".join(c for c in BEFORE if not any(re.search(f"[^{WHITE}▁]{c.replace(' ', chr(0x2581))}", n) for n in self.names))
 
-    def encode(self, units: list[str]) -> Iterator[tuple[list[int], list[int], bool]]:
-        """Ids of A and of B of each unit, and whether both spell it."""
-        first = [u[1:] if u[0] == " " else u for u in units]
-        for u, a, b in zip(units, self.a.encode_batch_fast(units, add_special_tokens=False), self.b.encode(first, num_threads=1), strict=True):
-            if u == " ":
-                b = [self.mark]
-            elif u[0] != " ":
-                b = b[1:]  # the mark that B adds
-            data = u.encode()
-            yield a.ids, b, b"".join([self.a_bytes[i] for i in a.ids]) == data == b"".join([self.b_bytes[i] for i in b])
+    def one(self, unit: str) -> tuple[list[int], list[int], bool]:
+        """Ids of A and of B of a unit, and whether both spell it."""
+        a = self.a.encode(unit, add_special_tokens=False).ids
+        if unit == " ":
+            b = [self.mark]
+        else:
+            b = self.b.encode(unit[1:]) if unit[0] == " " else self.b.encode(unit)[1:]  # without the mark that B adds
+        data = unit.encode()
+        return a, b, b"".join([self.a_bytes[i] for i in a]) == data == b"".join([self.b_bytes[i] for i in b])
+
+    def _joined(self, units: list[str]) -> list[tuple[np.ndarray, np.ndarray]] | None:
+        """Ids and the units' offsets in them, for A and for B: units one behind the
+        other are encoded as they are alone.  None if some unit isn't spelt."""
+        text = " x" + "".join(units)
+        data, out = text.encode(), []
+        ends = np.cumsum([2, *(len(u.encode()) for u in units)])
+        for ids, entries, sizes in ((self.a.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.a_bytes, self.a_sizes), (self.b.encode(text[1:], num_threads=1), self.b_bytes, self.b_sizes)):
+            if b"".join([entries[i] for i in ids]) != data:
+                return None
+            ids = np.array(ids, np.int32)
+            stops = np.cumsum(sizes[ids])
+            at = np.searchsorted(stops, ends)
+            if not np.array_equal(stops[at], ends):
+                return None
+            out.append((ids[at[0] + 1 :], at - at[0]))
+        return out
+
+    def encode(self, units: list[str]) -> tuple[pa.Array, pa.Array, pa.Array]:
+        """Columns of the ids of A, of B, and whether both spell the unit."""
+        inner = [k for k, u in enumerate(units) if not u[-1].isspace() and u[-1] != "\u180e"]
+        a: list = [None] * len(units)
+        b, spelt = a.copy(), [True] * len(units)
+        alone = sorted(set(range(len(units))) - set(inner))
+        for low in range(0, len(inner), JOINED):
+            part = inner[low : low + JOINED]
+            found = self._joined([units[k] for k in part])
+            if found is None:
+                alone += part
+                continue
+            for side, (ids, at) in zip((a, b), found, strict=True):
+                for k, x, y in zip(part, at[:-1].tolist(), at[1:].tolist(), strict=True):
+                    side[k] = ids[x:y]
+        for k in alone:
+            a[k], b[k], spelt[k] = self.one(units[k])
+        kind = pa.list_(pa.int32())
+        columns = []
+        for side in (a, b):
+            offsets = np.concatenate([[0], np.cumsum([len(x) for x in side])])
+            columns.append(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *side]).astype(np.int32))).cast(kind))
+        return *columns, pa.array(spelt)
 
 
 _pairs: dict[int, Pair] = {}
@@ -111,25 +158,47 @@ def unit_pattern(cuts: str) -> re.Pattern:
     return re.compile(f"[{WHITE}]*(?:[^{WHITE}]+(?:{inner})?)*")
 
 
-def _code(pattern: str):
+class _Numbers(dict):
+    """What stands for a unit -> its number, in the order of first sight."""
+
+    def __missing__(self, name: str) -> int:
+        self[name] = n = len(self)
+        return n
+
+
+def _names(text: str, find, cuts: str) -> list[str]:
+    """The units of a text; one that is a space and then something visible without
+    its space."""
+    plain = " " in cuts and "\n" in cuts and text[0] not in " \n" and text[-1] not in " \n" and not any(x in text for x in ("  ", " \n", "\n ", "\n\n"))
+    if plain and not ODD.search(text):
+        return text.replace("\n", " \n").split(" ")
+    return [u[1:] if len(u) > 1 and u[0] == " " and not (u[1].isspace() or u[1] == "\u180e") else u for u in find(" " + text)[:-1]]  # the last match is empty
+
+
+def _whole(name: str) -> str:
+    """The unit that a name stands for."""
+    return name if name[0].isspace() or name[0] == "\u180e" else " " + name
+
+
+def _code(cuts: str):
     """Documents as numbers of units, and each block's units."""
+    pattern = unit_pattern(cuts).pattern
 
     def rows(block, doc_ids, units, numbers, names):
         n, m = len(doc_ids), len(names)
-        lists = pa.array([*units, *[None] * m], pa.list_(pa.int32()))
-        columns = [pa.array([block] * (n + m), pa.int64()), pa.array([*doc_ids, *[None] * m], pa.int64()), lists, pa.array([*[None] * n, *numbers], pa.int32()), pa.array([*[None] * n, *names], pa.string())]
+        columns = [pa.array([block] * (n + m), pa.int64()), pa.array([*doc_ids, *[None] * m], pa.int64()), pa.array([*units, *[None] * m], pa.binary()), pa.array([*[None] * n, *numbers], pa.int32()), pa.array([*[None] * n, *names], pa.string())]
         return pa.RecordBatch.from_arrays(columns, ["block", "doc_id", "units", "unit", "name"])
 
     def run(batches):
         find = re.compile(pattern).findall
         block = TaskContext.get().partitionId() << 32
-        known: dict[str, int] = {}
+        known = _Numbers()
         size = 0
 
         def ended():
             names = list(known)
             for low in range(0, len(names), 10_000):
-                part = names[low : low + 10_000]
+                part = [_whole(u) for u in names[low : low + 10_000]]
                 yield rows(block, [], [], range(low, low + len(part)), part)
 
         for batch in parts(batches):
@@ -139,8 +208,8 @@ def _code(pattern: str):
                 block, size = block + 1, 0
             out = []
             for text in batch.column("text").to_pylist():
-                units = find(" " + text)[:-1] if text else []  # the last match is empty
-                out.append(np.fromiter((known.setdefault(u, len(known)) for u in units), np.int32, len(units)))
+                units = _names(text, find, cuts) if text else []
+                out.append(packed(np.fromiter(map(known.__getitem__, units), np.int32, len(units))))
                 size += len(text)
             yield rows(block, batch.column("doc_id").to_pylist(), out, [], [])
         yield from ended()
@@ -153,41 +222,49 @@ def align(tokens: DataFrame, a_sizes: DataFrame, b_sizes: DataFrame, scratch: Sc
     bytes; sizes: ``id, size`` of every entry (a vocabulary, so of bounded size).
     Returns ``key, a, b, times``, every linked pair of ids with how often it is, and
     ``key, n_a, n_b, n_groups, n_links, groups``."""
-    in_order = Window.partitionBy("key").orderBy("place")
     # Dealt out once; explode, windows and joins all stay within a key's partition.
     dealt = tokens.repartition("key")
 
     def ended(column: str, sizes: DataFrame) -> DataFrame:
-        exploded = dealt.select("key", F.posexplode(column).alias("place", "id")).join(F.broadcast(sizes), "id")
-        return exploded.select("key", "place", "id", F.sum("size").over(in_order).alias("end"))
-
-    a, b = ended("a", a_sizes), ended("b", b_sizes)
-    cuts = a.join(b, ["key", "end"]).select("key", "end", F.lit(1).alias("cut"))
-
-    def grouped(t: DataFrame, name: str) -> DataFrame:
-        before = in_order.rowsBetween(Window.unboundedPreceding, -1)
-        numbered = t.join(cuts, ["key", "end"], "left").select("key", "place", "id", F.coalesce(F.sum("cut").over(before), F.lit(0)).alias("group"))
-        ids = F.transform(F.array_sort(F.collect_list(F.struct("place", "id"))), lambda x: x.id)
-        return numbered.groupBy("key", "group").agg(ids.alias(name))
-
+        exploded = dealt.select("key", F.posexplode(column).alias(f"{column}_place", "id")).join(F.broadcast(sizes), "id")
+        return exploded.select("key", f"{column}_place", F.sum("size").over(Window.partitionBy("key").orderBy(f"{column}_place")).alias("end"))
+
+    cuts = ended("a", a_sizes).join(ended("b", b_sizes), ["key", "end"])
+    # A group is what lies between a cut and the one before it.
+    in_order = Window.partitionBy("key").orderBy("end")
+    before = lambda c: F.coalesce(F.lag(c).over(in_order), F.lit(-1))
+    groups = cuts.select("key", F.row_number().over(in_order).alias("group"), "a_place", "b_place", before("a_place").alias("a_before"), before("b_place").alias("b_before"))
+    part = lambda c: F.slice(c, F.col(f"{c}_before") + 2, F.col(f"{c}_place") - F.col(f"{c}_before"))
     with settings(tokens.sparkSession, **{SPLIT_BY_SOME: "false"}):
-        both = scratch.keep(grouped(a, "a").join(grouped(b, "b"), ["key", "group"]))
+        both = scratch.keep(groups.join(dealt, "key").select("key", "group", part("a").alias("a"), part("b").alias("b")))
     links = both.select("key", F.explode("a").alias("a"), "b").select("key", "a", F.explode("b").alias("b")).groupBy("key", "a", "b").agg(F.count("*").alias("times"))
     written = lambda c: F.array_join(F.col(c).cast("array<string>"), ",")
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("group", F.concat(written("a"), F.lit("|"), written("b")).alias("text")))), lambda x: x.text), ";")
     n_a, n_b = F.size("a").cast("long"), F.size("b").cast("long")
-    groups = both.groupBy("key").agg(F.sum(n_a).alias("n_a"), F.sum(n_b).alias("n_b"), F.count("*").alias("n_groups"), F.sum(n_a * n_b).alias("n_links"), text.alias("groups"))
-    return links, groups
+    sums = both.groupBy("key").agg(F.sum(n_a).alias("n_a"), F.sum(n_b).alias("n_b"), F.count("*").alias("n_groups"), F.sum(n_a * n_b).alias("n_links"), text.alias("groups"))
+    links, sums = scratch.keep(links), scratch.keep(sums)
+    scratch.drop(both)
+    return links, sums
+
+
+def packed(numbers: np.ndarray) -> bytes:
+    """Numbers of units in few bytes: like bytes side by side, compressed."""
+    return zlib.compress(np.ascontiguousarray(numbers.astype("<i4").view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1).T).view("<i4").ravel()
 
 
 def _stretches(units: pa.ChunkedArray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Some documents at a time: first, end, their units, and the document of each."""
-    flat, bounds = tb.lists(units)
-    low = 0
-    while low < len(bounds) - 1:
-        high = max(low + 1, int(np.searchsorted(bounds, bounds[low] + AT_ONCE, "right")) - 1)
-        yield low, high, flat[bounds[low] : bounds[high]].astype(np.int64), np.repeat(np.arange(high - low), np.diff(bounds[low : high + 1]))
-        low = high
+    low, size, some = 0, 0, []
+    for k, data in enumerate(units):
+        some.append(unpacked(data.as_py()))
+        size += len(some[-1])
+        if size >= AT_ONCE or k + 1 == len(units):
+            yield low, k + 1, np.concatenate(some).astype(np.int64), np.repeat(np.arange(len(some)), [len(x) for x in some])
+            low, size, some = k + 1, 0, []
 
 
 def _by_unit(names: pa.Table) -> pa.Table:
@@ -252,33 +329,31 @@ def aligned(docs: DataFrame, a_path: str, b_path: str, scratch: Scratch | None =
     with open(a_path, encoding="utf-8") as f, open(b_path, "rb") as g:
         source = f.read(), g.read()
     pair, shared = Pair(*source), spark.sparkContext.broadcast(source)
-    pattern = unit_pattern(pair.cut_before()).pattern
-
-    coded = scratch.keep(documents(docs).mapInArrow(_code(pattern), "block long, doc_id long, units array<int>, unit int, name string"))
-    coded_docs, names = coded.where("units IS NOT NULL").select("block", "doc_id", "units"), coded.where("unit IS NOT NULL").select("block", "unit", "name")
+    coded = scratch.keep(documents(docs).mapInArrow(_code(pair.cut_before()), "block long, doc_id long, units binary, unit int, name string"))
+    coded_docs, names = scratch.keep(coded.where("units IS NOT NULL").select("block", "doc_id", "units")), coded.where("unit IS NOT NULL").select("block", "unit", "name")
 
     def encode(batches):
         both = _pair(shared.value)
         for batch in parts(batches, rows=4096, column="name"):
             units = batch.column("name").to_pylist()
-            a, b, spelt = zip(*both.encode(units), strict=True)
-            lists = pa.list_(pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column("name"), pa.array(a, lists), pa.array(b, lists), pa.array(spelt)], ["name", "a", "b", "spelt"])
+            yield pa.RecordBatch.from_arrays([batch.column("name"), *both.encode(units)], ["name", "a", "b", "spelt"])
 
     encoded = names.select("name").distinct().mapInArrow(encode, "name string, a array<int>, b array<int>, spelt boolean")
     units = scratch.keep(encoded.withColumn("key", F.monotonically_increasing_id()))
     numbered = scratch.keep(names.join(units.select("name", "key", "spelt"), "name").select("block", "unit", "key", "spelt"))
     links, groups = align(units.where("spelt").select("key", "a", "b"), _sizes(spark, pair.a_bytes), _sizes(spark, pair.b_bytes), scratch)
-    scratch.drop(units)
+    scratch.drop(coded, units)
 
     code = F.shiftleft(F.col("a").cast("long"), 32).bitwiseOR(F.col("b").cast("long"))
-    links = scratch.keep(links.select("key", "a", code.alias("pair"), "times"))
-    of_unit = numbered.join(links.groupBy("key").agg(F.collect_list("pair").alias("pairs")), "key", "left").select("block", "unit", "spelt", "pairs")
+    pairs = links.select("key", "a", code.alias("pair"), "times")
+    of_unit = numbered.join(pairs.groupBy("key").agg(F.collect_list("pair").alias("pairs")), "key", "left").select("block", "unit", "spelt", "pairs")
     held = coded_docs.select("block", "units").groupBy("block").cogroup(of_unit.groupBy("block")).applyInArrow(_held, "pair long, n long")
     counts = scratch.keep(held.groupBy("pair").agg(F.sum("n").alias("n")).withColumn("a", F.shiftright("pair", 32)))
     counts = counts.join(counts.groupBy("a").agg(F.max("n").alias("most")), "a").select("pair", "n", (F.col("n") == F.col("most")).cast("long").alias("best"))
-    rated = links.join(counts, "pair").groupBy("key").agg(F.sum(F.col("times") * F.col("best")).alias("n_best"), F.sum(F.col("times") * F.col("n")).alias("count_sum"))
+    rated = pairs.join(counts, "pair").groupBy("key").agg(F.sum(F.col("times") * F.col("best")).alias("n_best"), F.sum(F.col("times") * F.col("n")).alias("count_sum"))
+    units = scratch.keep(groups.join(rated, "key", "left"))
+    scratch.drop(links, groups)
     # Units of documents that aren't spelt only have no counts.
-    whole = numbered.join(groups.join(rated, "key", "left"), "key", "left").select("block", "unit", "spelt", *[F.coalesce(c, F.lit(0)).alias(c) for c in SUMS], "groups")
+    whole = numbered.join(units, "key", "left").select("block", "unit", "spelt", *[F.coalesce(c, F.lit(0)).alias(c) for c in SUMS], "groups")
     schema = ", ".join(["doc_id long", *(f"{c} long" for c in SUMS), "groups_sha256 string"])
     return coded_docs.groupBy("block").cogroup(whole.groupBy("block")).applyInArrow(_summed, schema)
