@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from canvass.operators import order
+
 
 def _beside(rows: DataFrame, one: DataFrame) -> DataFrame:
     """Every row with the one row of an aggregate."""
@@ -15,7 +17,9 @@ def _beside(rows: DataFrame, one: DataFrame) -> DataFrame:
 def impute_median(rows: DataFrame, columns: list[str], fallback: float = 0.0, indicator: bool = True) -> DataFrame:
     """Missing values become the exact median (``fallback`` if all are missing),
     with a ``<column>_missing`` flag."""
-    medians = rows.agg(*(F.coalesce(F.median(c), F.lit(fallback)).alias(f"_m_{c}") for c in columns))
+    long = rows.select(F.inline(F.array(*(F.struct(F.lit(c).alias("_name"), F.col(c).cast("double").alias("_x")) for c in columns))))
+    found = order.percentiles(long, ["_name"], "_x", [0.5])
+    medians = found.agg(*(F.coalesce(F.max(F.when(F.col("_name") == c, F.col("q")[0])), F.lit(fallback)).alias(f"_m_{c}") for c in columns))
     out = _beside(rows, medians)
     if indicator:
         out = out.withColumns({f"{c}_missing": F.col(c).isNull().cast("int") for c in columns})
@@ -39,8 +43,8 @@ def codes(rows: DataFrame, column: str, first_seen: str | None = None) -> DataFr
     """``<column>_code``: 0, 1, ... by name, or by the least ``first_seen``; -1
     for null.  The codes are worked out over the different values alone."""
     values = rows.where(F.col(column).isNotNull()).groupBy(column).agg((F.min(first_seen) if first_seen else F.first(F.lit(0))).alias("_seen"))
-    order = W.orderBy(*(["_seen", column] if first_seen else [column]))
-    ranked = values.select(F.col(column).alias("_v"), (F.row_number().over(order) - 1).alias("_code"))
+    key = F.struct("_seen", column) if first_seen else F.struct(column)
+    ranked = order.ranks(values.withColumn("_key", key), [], "_key", [column]).select(F.col(column).alias("_v"), (F.col("rank") - 1).cast("int").alias("_code"))
     return rows.join(ranked, F.col(column) == F.col("_v"), "left").withColumn(f"{column}_code", F.coalesce("_code", F.lit(-1))).drop("_v", "_code")
 
 

@@ -110,19 +110,6 @@ def squared_distance(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
 
 
-def shortest_interval(draws: DataFrame, value: str, by: list[str], share: float) -> DataFrame:
-    """Per group the shortest interval that holds this share of its draws: of
-    equals the lowest."""
-    order = W.partitionBy(*by).orderBy(value)
-    n = F.count("*").over(W.partitionBy(*by))
-    rank = F.row_number().over(order)
-    x = draws.select(*by, F.col(value).alias("lo"), rank.alias("k"), n.alias("n"))
-    width = F.floor(F.col("n") * share).cast("int")
-    other = x.select(*by, (F.col("k") - width).alias("k"), F.col("lo").alias("hi"))
-    pairs = x.join(other, [*by, "k"])
-    return pairs.groupBy(*by).agg(F.min_by(F.struct("lo", "hi"), F.struct((F.col("hi") - F.col("lo")).alias("w"), "lo")).alias("h")).select(*by, "h.lo", "h.hi")
-
-
 def r_hat(draws: DataFrame, value: str, chain: str, by: list[str]) -> DataFrame:
     """Per group the potential scale reduction over its chains, and their number."""
     per = draws.groupBy(*by, chain).agg(F.avg(value).alias("m"), F.var_samp(value).alias("v"), F.count("*").alias("n"))

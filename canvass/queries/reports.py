@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from canvass.functions import values as V
-from canvass.operators import features, merge
+from canvass.operators import features, merge, order
 from canvass.operators import statistics as S
 from canvass.sources import files
 from canvass.sources.domain import EXPOSURES, exposures, table
@@ -53,7 +53,7 @@ def campaign_performance(spark, sf):
     rates = F.inline(F.array(*(F.struct(F.lit(m).alias("measure"), r.alias("rate")) for m, r in (("open", F.col("o") / F.col("n")), ("click", F.col("c") / F.col("o")), ("conversion", F.col("c") / F.col("n"))))))
     draws = e.select("campaign", rates)
     means = draws.groupBy("campaign", "measure").agg(F.round(F.avg("rate"), 6).alias("mean"))
-    span = S.shortest_interval(draws, "rate", ["campaign", "measure"], 0.89)
+    span = order.shortest_interval(draws, "rate", ["campaign", "measure"], 0.89)
     return means.join(span, ["campaign", "measure"]).select("campaign", "measure", "mean", F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"))
 
 

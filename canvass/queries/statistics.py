@@ -6,8 +6,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from canvass.functions import values as V
+from canvass.operators import order
 from canvass.operators import statistics as S
-from canvass.sources.domain import table
+from canvass.sources.domain import exposures, participants, table
 
 
 def _outcomes(spark, sf):
@@ -78,7 +79,7 @@ ARI = "WITH e AS (SELECT label, vec_id % 7 AS other, CASE WHEN vec_id % 10 = 0 T
 
 def hdi_interval(spark, sf):
     e = table(spark, sf, "events")
-    return S.shortest_interval(e, "value", ["event_type"], 0.94).select("event_type", F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"))
+    return order.shortest_interval(e, "value", ["event_type"], 0.94).select("event_type", F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"))
 
 
 HDI = """WITH x AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) AS k, CAST(floor(count(*) OVER (PARTITION BY event_type) * 0.94) AS BIGINT) AS w FROM events),
@@ -88,7 +89,7 @@ SELECT event_type, round(lo, 6) AS lo, round(hi, 6) AS hi FROM p QUALIFY row_num
 
 def segment_contrast(spark, sf):
     """How often one type's draw is above another's, draw by draw."""
-    e = table(spark, sf, "events").withColumn("draw", F.row_number().over(W.partitionBy("event_type").orderBy("event_id")))
+    e = order.ranks(table(spark, sf, "events"), ["event_type"], "event_id", ["value"]).withColumnRenamed("rank", "draw")
     a, b = e.select("draw", F.col("event_type").alias("one"), F.col("value").alias("x")), e.select("draw", F.col("event_type").alias("other"), F.col("value").alias("y"))
     return a.join(b, "draw").where("one < other").groupBy("one", "other").agg(F.round(F.avg((F.col("x") > F.col("y")).cast("int")), 6).alias("p_higher"), F.count("*").alias("draws"))
 
@@ -100,8 +101,8 @@ SELECT a.event_type AS one, b.event_type AS other, round(avg(CAST(a.value > b.va
 def odds_ratio(spark, sf):
     """Mean, spread, odds ratio and whether the middle 89 % exclude zero."""
     e = table(spark, sf, "events").select("event_type", ((F.col("value") - 20) / 100).alias("b"))
-    q = F.percentile("b", F.array(F.lit(0.055), F.lit(0.945)))
-    g = e.groupBy("event_type").agg(F.avg("b").alias("mean"), F.stddev_pop("b").alias("sd"), q.alias("q"))
+    g = e.groupBy("event_type").agg(F.avg("b").alias("mean"), F.stddev_pop("b").alias("sd"))
+    g = g.join(order.percentiles(e, ["event_type"], "b", [0.055, 0.945]), "event_type")
     return g.select("event_type", F.round("mean", 6).alias("mean"), F.round("sd", 6).alias("sd"), F.round(F.exp("mean"), 6).alias("odds_ratio"), F.round((F.exp("mean") - 1) * 100, 4).alias("pct_effect"), (F.col("q")[0] * F.col("q")[1] > 0).alias("credible"))
 
 
@@ -120,8 +121,8 @@ SELECT event_type, round(r, 6) AS r_hat, chains, r < 1.01 AS converged FROM g"""
 
 def percentile_interval(spark, sf):
     e = table(spark, sf, "events")
-    q = F.percentile("value", F.array(F.lit(0.03), F.lit(0.5), F.lit(0.97)))
-    return e.groupBy("event_type").agg(q.alias("q"), F.round(F.avg("value"), 6).alias("mean")).select("event_type", "mean", *(F.round(F.col("q")[i], 6).alias(n) for i, n in enumerate(("lo", "mid", "hi"))))
+    q = order.percentiles(e, ["event_type"], "value", [0.03, 0.5, 0.97])
+    return e.groupBy("event_type").agg(F.round(F.avg("value"), 6).alias("mean")).join(q, "event_type").select("event_type", "mean", *(F.round(F.col("q")[i], 6).alias(n) for i, n in enumerate(("lo", "mid", "hi"))))
 
 
 PERCENTILE = "SELECT event_type, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.03), 6) AS lo, round(quantile_cont(value, 0.5), 6) AS mid, round(quantile_cont(value, 0.97), 6) AS hi FROM events GROUP BY 1"
@@ -260,6 +261,17 @@ def logistic_map(spark, sf):
     return bayes.logistic_map(x, "y", ["length", "english"], intercept=(-3.5, 1.0), slope=(0.0, 0.5))
 
 
+def messaging_effectiveness(spark, sf):
+    """Opening, and clicking once opened: effects of campaigns around their mean, of
+    message type, place and month, and of the savings named."""
+    from canvass.operators import hierarchy
+
+    e = exposures(spark, sf).join(participants(spark, sf), "participant_id")
+    e = e.select("campaign_id", "channel", "county", F.month("sent_at").alias("month"), "savings", "opened", "clicked")
+    found = hierarchy.two_stages(e, "opened", "clicked", "campaign_id", {"channel": 0.5, "county": 0.3, "month": 0.2}, {"savings": 0.3}, close=1e-3)
+    return found.select("stage", "kind", "name", F.round("mean", 4).alias("mean"), F.round("sd", 4).alias("sd"))
+
+
 def bootstrap_ari(spark, sf):
     """Whether k-means on resamples finds the clusters of all rows again."""
     from canvass.operators import clusters
@@ -320,6 +332,7 @@ QUERIES = {
     "kprototypes": (kprototypes, None),
     "famd_variance": (famd_variance, None),
     "logistic_map": (logistic_map, None),
+    "messaging_effectiveness": (messaging_effectiveness, None),
     "bootstrap_ari": (bootstrap_ari, None),
     "cluster_memberships": (cluster_memberships, None),
     "pca_coordinates": (pca_coordinates, None),

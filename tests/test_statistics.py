@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from canvass.operators import bayes, clusters
+from canvass.operators import bayes, clusters, order
 from canvass.operators import statistics as S
 
 
@@ -92,3 +92,30 @@ def test_better_model_has_higher_elpd(spark):
     good = spark.range(200).select((F.col("id") % 10).alias("p"), (F.lit(-0.5) - F.col("id") % 3 / 10).alias("l"))
     bad = good.select("p", (F.col("l") - 1).alias("l"))
     assert bayes.waic(good, "p", "l").first()["elpd"] > bayes.waic(bad, "p", "l").first()["elpd"]
+
+
+def test_order_without_a_task_for_a_group(spark):
+    """A group over many partitions, ties, nulls, a null group, a single value."""
+    r = np.random.default_rng(3)
+    groups = {"hot": np.round(r.normal(0, 5, 3000)), "small": r.normal(0, 1, 7), "one": np.array([4.0]), None: np.array([1.0, 2.0])}
+    rows = [(g, float(v)) for g, vs in groups.items() for v in vs] + [("hot", None), ("none", None)]
+    frame = spark.createDataFrame(rows, "g string, v double").repartition(4)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        x, begins = order._sorted(frame, ["g"], "v", [])
+        assert begins.where("g = 'hot'").count() > 1
+        ranked = order.ranks(frame, ["g"], "v").collect()
+        q = {row.g: row.q for row in order.percentiles(frame, ["g"], "v", [0.03, 0.5, 0.97]).collect()}
+        spans = {row.g: (row.lo, row.hi) for row in order.shortest_interval(frame, "v", ["g"], 0.9).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert set(q) == set(groups)
+    for g, vs in groups.items():
+        assert np.allclose(q[g], np.quantile(vs, [0.03, 0.5, 0.97]))
+        mine = sorted((row["rank"], row.v) for row in ranked if row.g == g)
+        assert [k for k, _ in mine] == list(range(1, len(vs) + 1)) and [v for _, v in mine] == sorted(vs) and {row.total for row in ranked if row.g == g} == {len(vs)}
+    vs = np.sort(groups["hot"])
+    w = int(len(vs) * 0.9)
+    assert spans["hot"] == min(((lo, hi) for lo, hi in zip(vs, vs[w:], strict=False)), key=lambda p: (p[1] - p[0], p[0]))
+    plan = order.percentiles(frame, ["g"], "v", [0.5])._jdf.queryExecution().toString()
+    assert "Window" not in plan and "percentile" not in plan
