@@ -31,6 +31,7 @@ from __future__ import annotations
 import json
 import math
 import re
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -53,36 +54,132 @@ def is_kind(value: object, kind: str) -> bool:
     return isinstance(value, KINDS.get(kind, ())) or kind == "integer" and isinstance(value, float) and value.is_integer()
 
 
-def validate(value: object, schema: dict, where: str = "$") -> list[str]:
-    """What is wrong with a value: type (one or a list), required, properties,
-    additionalProperties, items, enum, minLength, maxLength, minimum, maximum.
-    No value is of a type that JSON schemas don't have."""
+#: The keywords of JSON Schema that are followed, and those that say
+#: nothing about a value.
+FOLLOWED = {
+    "type", "enum", "const", "anyOf", "oneOf", "allOf", "not", "$ref", "minLength", "maxLength", "pattern", "minimum", "maximum", "exclusiveMinimum", "exclusiveMaximum", "multipleOf",
+    "items", "minItems", "maxItems", "uniqueItems", "required", "properties", "additionalProperties", "minProperties", "maxProperties",
+}
+SILENT = {"$schema", "$id", "$comment", "$defs", "definitions", "title", "description", "default", "examples", "format", "deprecated", "readOnly", "writeOnly"}
+
+
+def check_schema(schema: object, where: str = "#") -> None:
+    """ValueError for what is no schema or has a keyword that isn't followed."""
+    if isinstance(schema, bool):
+        return
+    if not isinstance(schema, dict):
+        raise ValueError(f"{where}: no schema")
+    unknown = sorted(set(schema) - FOLLOWED - SILENT)
+    if unknown:
+        raise ValueError(f"{where}: {', '.join(unknown)} not supported")
+    for k in ("not", "items", "additionalProperties"):
+        if k in schema:
+            check_schema(schema[k], f"{where}/{k}")
+    for k in ("anyOf", "oneOf", "allOf"):
+        for i, x in enumerate(schema.get(k, [])):
+            check_schema(x, f"{where}/{k}/{i}")
+    for k in ("properties", "$defs", "definitions"):
+        for name, x in schema.get(k, {}).items():
+            check_schema(x, f"{where}/{k}/{name}")
+    if "pattern" in schema:
+        re.compile(schema["pattern"])
+    if not schema.get("$ref", "#").startswith("#"):
+        raise ValueError(f"{where}: $ref to another document")
+
+
+def same(a: object, b: object) -> bool:
+    """Equality of JSON values: numbers by value, true and false aren't numbers."""
+    if isinstance(a, bool) or isinstance(b, bool):
+        return a is b
+    if isinstance(a, list) and isinstance(b, list):
+        return len(a) == len(b) and all(map(same, a, b))
+    if isinstance(a, dict) and isinstance(b, dict):
+        return a.keys() == b.keys() and all(same(v, b[k]) for k, v in a.items())
+    return a == b
+
+
+def _referred(root: object, ref: str) -> object:
+    found = root
+    for step in ref.lstrip("#").strip("/").split("/") if ref.strip("#/") else []:
+        step = step.replace("~1", "/").replace("~0", "~")
+        found = found[int(step)] if isinstance(found, list) else found[step]
+    return found
+
+
+def _bounds(value: object, schema: dict, where: str) -> list[str]:
+    """What a value's size or amount breaks."""
+    found = []
+    if isinstance(value, str):
+        found += [f"{where}: too short"] * (len(value) < schema.get("minLength", 0)) + [f"{where}: too long"] * (len(value) > schema.get("maxLength", len(value)))
+        found += [f"{where}: pattern"] * ("pattern" in schema and not re.search(schema["pattern"], value))
+    elif isinstance(value, (int, float)) and not isinstance(value, bool):
+        found += [f"{where}: too small"] * (value < schema.get("minimum", value) or "exclusiveMinimum" in schema and value <= schema["exclusiveMinimum"])
+        found += [f"{where}: too large"] * (value > schema.get("maximum", value) or "exclusiveMaximum" in schema and value >= schema["exclusiveMaximum"])
+        found += [f"{where}: no multiple"] * ("multipleOf" in schema and Fraction(str(value)) % Fraction(str(schema["multipleOf"])) != 0)
+    elif isinstance(value, list):
+        found += [f"{where}: too few"] * (len(value) < schema.get("minItems", 0)) + [f"{where}: too many"] * (len(value) > schema.get("maxItems", len(value)))
+        forms = [canonical(x) for x in value] if schema.get("uniqueItems") else []
+        found += [f"{where}: repeated"] * (len(set(forms)) < len(forms))
+    elif isinstance(value, dict):
+        found += [f"{where}: too few"] * (len(value) < schema.get("minProperties", 0)) + [f"{where}: too many"] * (len(value) > schema.get("maxProperties", len(value)))
+    return found
+
+
+def validate(value: object, schema: dict | bool, where: str = "$", root: object = None) -> list[str]:
+    """What is wrong with a value by a schema that ``check_schema`` passes.  True
+    allows every value, false none; ``$ref`` is within the schema.  No value is of
+    a type that JSON schemas don't have."""
+    root = schema if root is None else root
+    if isinstance(schema, bool):
+        return [] if schema else [f"{where}: not allowed"]
     kinds = schema.get("type", [])
     kinds = [kinds] if isinstance(kinds, str) else kinds
     if kinds and not any(is_kind(value, k) for k in kinds):
         return [f"{where}: not {' or '.join(map(str, kinds))}"]
+    fits = lambda s: not validate(value, s, where, root)
     found = []
-    if "enum" in schema and value not in schema["enum"]:
+    if "enum" in schema and not any(same(value, x) for x in schema["enum"]):
         found.append(f"{where}: not in enum")
-    if isinstance(value, str):
-        found += [f"{where}: too short"] * (len(value) < schema.get("minLength", 0)) + [f"{where}: too long"] * (len(value) > schema.get("maxLength", len(value)))
-    elif isinstance(value, (int, float)) and not isinstance(value, bool):
-        found += [f"{where}: too small"] * (value < schema.get("minimum", value)) + [f"{where}: too large"] * (value > schema.get("maximum", value))
-    elif isinstance(value, list):
-        found += [e for i, x in enumerate(value) for e in validate(x, schema.get("items", {}), f"{where}[{i}]")]
+    if "const" in schema and not same(value, schema["const"]):
+        found.append(f"{where}: not the constant")
+    if "$ref" in schema:
+        found += validate(value, _referred(root, schema["$ref"]), where, root)
+    for s in schema.get("allOf", []):
+        found += validate(value, s, where, root)
+    if "anyOf" in schema and not any(map(fits, schema["anyOf"])):
+        found.append(f"{where}: none of anyOf")
+    if "oneOf" in schema and sum(map(fits, schema["oneOf"])) != 1:
+        found.append(f"{where}: not one of oneOf")
+    if "not" in schema and fits(schema["not"]):
+        found.append(f"{where}: excluded by not")
+    found += _bounds(value, schema, where)
+    if isinstance(value, list):
+        found += [e for i, x in enumerate(value) for e in validate(x, schema.get("items", True), f"{where}[{i}]", root)]
     elif isinstance(value, dict):
-        known = schema.get("properties", {})
+        known, more = schema.get("properties", {}), schema.get("additionalProperties", True)
         found += [f"{where}: {k} missing" for k in schema.get("required", []) if k not in value]
         for k in sorted(value):
-            if k in known:
-                found += validate(value[k], known[k], f"{where}.{k}")
-            elif not schema.get("additionalProperties", True):
+            if k not in known and more is False:
                 found.append(f"{where}: {k} unknown")
+            else:
+                found += validate(value[k], known.get(k, more), f"{where}.{k}", root)
     return found
 
 
+def _plain(value: object) -> object:
+    """Numbers in one form: whole ones without a point or an exponent."""
+    if isinstance(value, float) and value.is_integer():
+        return int(value)
+    if isinstance(value, list):
+        return [_plain(x) for x in value]
+    if isinstance(value, dict):
+        return {k: _plain(x) for k, x in value.items()}
+    return value
+
+
 def canonical(value: object) -> str:
-    text = json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
+    """One text for equal values: sorted keys, no blanks, numbers in one form."""
+    text = json.dumps(_plain(value), sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
     return SURROGATE.sub(lambda m: f"\\u{ord(m[0]):04x}", text)
 
 
@@ -160,7 +257,9 @@ def _serialise(schemas: dict[str, dict]):
 def link(messages: DataFrame, schemas: dict[str, dict], scratch: Scratch | None = None) -> DataFrame:
     """A row for each call, for each result without call and for each message
     of another kind: ``conv_id, call_id, position, depth, status, n_results,
-    errors, json``."""
+    errors, json``.  A schema with a keyword that isn't followed is an error."""
+    for schema in schemas.values():
+        check_schema(schema)
     spark = messages.sparkSession
     small_batches(spark)
     scratch = scratch or Scratch(spark, "chat")

@@ -4,7 +4,8 @@ Only documents that are there and have a text can be chosen.  Their ids, labels
 and lengths are written as one narrow table.  The number of documents of each
 label gives the share of them that is looked at, by a hash of doc_id, so that a
 few times as many as are wanted come to the driver, which takes those with the
-least hashes: at most so many texts and characters a label.  Of a text over
+least hashes: at most so many texts and characters a label.  Every label that a
+document has is learned; where there are many, each has fewer texts.  Of a text over
 ``LONGEST`` characters it takes a part, at a place that follows from doc_id.
 """
 
@@ -19,10 +20,13 @@ from canvass.llm.common import Scratch
 LONGEST = 50_000
 #: Characters of all texts of the sample, shared out evenly between the labels.
 CHARACTERS = 12_000_000
-#: Labels that are learned: the most frequent ones.
-LABELS = 64
+#: Texts of the whole sample at most, and of each label one at least; more
+#: labels than this are an error, never left out.
+TEXTS, LABELS = 9_600, 9_600
 #: So many times the wanted ids are looked at.
 SPARE = 3
+#: And at least so many, so that by no chance none of a label's falls in the share.
+LEAST = 40
 HASHES = 1 << 32
 
 
@@ -52,11 +56,14 @@ def _texts(docs: DataFrame, known: DataFrame, per_label: int) -> list[tuple[str,
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "sample")
     # Repeated rows are one from here on, as far as a task sees them; the rest meet in the counts.
     known = scratch.keep(known.withColumn("hash", F.pmod(F.xxhash64("doc_id"), F.lit(HASHES))))
-    often = known.groupBy("label").agg(F.approx_count_distinct("doc_id").alias("n")).orderBy(F.desc("n"), "label").limit(LABELS).collect()
+    often = known.groupBy("label").agg(F.approx_count_distinct("doc_id").alias("n")).limit(LABELS + 1).collect()
     if not often:
         scratch.close()
         return []
-    shares = spark.createDataFrame([(r.label, min(HASHES, SPARE * per_label * HASHES // max(r.n, 1) + 1)) for r in often], f"label {dict(known.dtypes)['label']}, upto long")
+    if len(often) > LABELS:
+        raise ValueError(f"over {LABELS} labels")
+    per_label = max(1, min(per_label, TEXTS // len(often)))
+    shares = spark.createDataFrame([(r.label, min(HASHES, max(SPARE * per_label, LEAST) * HASHES // max(r.n, 1) + 1)) for r in often], f"label {dict(known.dtypes)['label']}, upto long")
     near = known.join(F.broadcast(shares), "label").where("hash < upto")
     near = near.groupBy("doc_id").agg(F.max("label").alias("label"), F.min("hash").alias("hash"), F.min("size").alias("size")).collect()
     scratch.close()

@@ -2,6 +2,7 @@
 
 import json
 import random
+import re
 
 import public_tokenizers as P
 import pytest
@@ -177,3 +178,34 @@ def test_turns_of_other_roles(spark):
         assert (told["kind"], told["name"], told["result"], got[k]["call_id"], got[k]["depth"], got[k]["n_results"]) == ("turn", role, text, None, None, 0)
     d = spark.createDataFrame([message(1, 0, "note", "a", "{", "c"), message(1, 1, None, None)], SCHEMA)
     assert sorted((r["position"], r["status"]) for r in chat_format.link(d, TOOLS).collect()) == [(0, "other"), (1, "other")]
+
+
+VALUES = [
+    ({"additionalProperties": {}}, {"a": 1}, []),
+    ({"additionalProperties": {"type": "string"}}, {"a": 1, "b": "x"}, ["$.a: not string"]),
+    ({"additionalProperties": False, "properties": {"b": True}}, {"a": 1, "b": 2}, ["$: a unknown"]),
+    ({"items": True}, [1], []), ({"items": False}, [1], ["$[0]: not allowed"]), ({"properties": {"a": True}}, {"a": 1}, []), ({"properties": {"a": False}}, {"a": 1}, ["$.a: not allowed"]),
+    ({"enum": [1]}, True, ["$: not in enum"]), ({"enum": [1]}, 1.0, []), ({"enum": [[True]]}, [1], ["$: not in enum"]), ({"const": {"a": 0}}, {"a": False}, ["$: not the constant"]),
+    ({"anyOf": [{"type": "string"}, {"minimum": 3}]}, 2, ["$: none of anyOf"]), ({"oneOf": [{"minimum": 1}, {"maximum": 3}]}, 2, ["$: not one of oneOf"]), ({"oneOf": [{"minimum": 1}, {"maximum": 3}]}, 5, []),
+    ({"allOf": [{"minimum": 3}]}, 2, ["$: too small"]), ({"not": {"type": "null"}}, None, ["$: excluded by not"]), ({"pattern": "^a+$"}, "ab", ["$: pattern"]), ({"minItems": 2}, [1], ["$: too few"]),
+    ({"uniqueItems": True}, [1, 1.0], ["$: repeated"]), ({"uniqueItems": True}, [1, True], []), ({"exclusiveMinimum": 3}, 3, ["$: too small"]), ({"multipleOf": 0.1}, 0.3, []), ({"multipleOf": 0.1}, 0.35, ["$: no multiple"]),
+    ({"$defs": {"n": {"type": "integer"}}, "properties": {"a": {"$ref": "#/$defs/n"}}}, {"a": "x"}, ["$.a: not integer"]), ({"properties": {"next": {"$ref": "#"}}, "required": ["v"]}, {"v": 1, "next": {}}, ["$.next: v missing"]),
+    (True, 1, []), (False, 1, ["$: not allowed"]),
+]
+
+
+@pytest.mark.parametrize(("schema", "value", "errors"), VALUES)
+def test_schemas(schema, value, errors):
+    chat_format.check_schema(schema)
+    assert chat_format.validate(value, schema) == errors
+
+
+@pytest.mark.parametrize("schema", [{"minContains": 1}, {"properties": {"a": {"unknown": 1}}}, {"anyOf": [3]}, {"$ref": "other.json#/a"}, {"pattern": "("}])
+def test_schemas_that_are_not_followed(spark, schema):
+    with pytest.raises((ValueError, re.error)):
+        chat_format.check_schema(schema)
+
+
+def test_one_form_of_numbers():
+    forms = {chat_format.canonical(json.loads(t)) for t in ('{"a":[1.0,-0.0,100.0,2.5]}', '{"a":[1,0,1e2,2.50]}')}
+    assert forms == {'{"a":[1,0,100,2.5]}'}

@@ -1,5 +1,6 @@
 """Classifiers by held-out accuracy, searches by brute force, gradients by differences."""
 
+import random
 import zlib
 
 import numpy as np
@@ -88,6 +89,20 @@ def test_a_text_of_very_many_lines():
     assert long[0] > 0.5 > long[1]
 
 
+def test_seventy_languages(spark):
+    """Every language that a document names is learned, rare ones too."""
+    r = random.Random(9)
+    letters = [[chr(0x1400 + 8 * k + j) for j in range(8)] for k in range(70)]
+    text = lambda k: " ".join("".join(r.choice(letters[k]) for _ in range(r.randrange(2, 6))) for _ in range(30))
+    rows = [(70 * n + k, text(k), f"l{k:02d}") for n in range(12) for k in range(70) if k < 66 or n < 6]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    truth = {i: x for i, _, x in rows}
+    model = language.fit(d)
+    assert set(model.names) == {x for i, _, x in rows if crc(i) % 4 != 2}
+    assert len(model.names) == 70
+    assert all(row.lang_pred == truth[row.doc_id] for row in language.predict(d, model).collect())
+
+
 def test_samples(spark):
     """Labels of absent documents, repeated rows and long texts."""
     from canvass.llm import samples
