@@ -217,11 +217,11 @@ def _code(cuts: str):
     return run
 
 
-def align(tokens: DataFrame, a_sizes: DataFrame, b_sizes: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+def align(tokens: DataFrame, a_sizes: DataFrame, b_sizes: DataFrame, scratch: Scratch) -> DataFrame:
     """``tokens``: ``key, a array<int>, b array<int>``, ids that spell the same
     bytes; sizes: ``id, size`` of every entry (a vocabulary, so of bounded size).
-    Returns ``key, a, b, times``, every linked pair of ids with how often it is, and
-    ``key, n_a, n_b, n_groups, n_links, groups``."""
+    Returns ``key, n_a, n_b, n_groups, n_links, groups, pairs``: every linked pair of
+    ids (A's in the upper half) as often as it is linked."""
     # Dealt out once; explode, windows and joins all stay within a key's partition.
     dealt = tokens.repartition("key")
 
@@ -237,14 +237,14 @@ def align(tokens: DataFrame, a_sizes: DataFrame, b_sizes: DataFrame, scratch: Sc
     part = lambda c: F.slice(c, F.col(f"{c}_before") + 2, F.col(f"{c}_place") - F.col(f"{c}_before"))
     with settings(tokens.sparkSession, **{SPLIT_BY_SOME: "false"}):
         both = scratch.keep(groups.join(dealt, "key").select("key", "group", part("a").alias("a"), part("b").alias("b")))
-    links = both.select("key", F.explode("a").alias("a"), "b").select("key", "a", F.explode("b").alias("b")).groupBy("key", "a", "b").agg(F.count("*").alias("times"))
     written = lambda c: F.array_join(F.col(c).cast("array<string>"), ",")
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("group", F.concat(written("a"), F.lit("|"), written("b")).alias("text")))), lambda x: x.text), ";")
     n_a, n_b = F.size("a").cast("long"), F.size("b").cast("long")
-    sums = both.groupBy("key").agg(F.sum(n_a).alias("n_a"), F.sum(n_b).alias("n_b"), F.count("*").alias("n_groups"), F.sum(n_a * n_b).alias("n_links"), text.alias("groups"))
-    links, sums = scratch.keep(links), scratch.keep(sums)
+    pair = lambda x, y: F.shiftleft(x.cast("long"), 32).bitwiseOR(y.cast("long"))
+    pairs = F.flatten(F.collect_list(F.flatten(F.transform("a", lambda x: F.transform("b", lambda y: pair(x, y))))))
+    sums = scratch.keep(both.groupBy("key").agg(F.sum(n_a).alias("n_a"), F.sum(n_b).alias("n_b"), F.count("*").alias("n_groups"), F.sum(n_a * n_b).alias("n_links"), text.alias("groups"), pairs.alias("pairs")))
     scratch.drop(both)
-    return links, sums
+    return sums
 
 
 def packed(numbers: np.ndarray) -> bytes:
@@ -341,18 +341,16 @@ def aligned(docs: DataFrame, a_path: str, b_path: str, scratch: Scratch | None =
     encoded = names.select("name").distinct().mapInArrow(encode, "name string, a array<int>, b array<int>, spelt boolean")
     units = scratch.keep(encoded.withColumn("key", F.monotonically_increasing_id()))
     numbered = scratch.keep(names.join(units.select("name", "key", "spelt"), "name").select("block", "unit", "key", "spelt"))
-    links, groups = align(units.where("spelt").select("key", "a", "b"), _sizes(spark, pair.a_bytes), _sizes(spark, pair.b_bytes), scratch)
+    groups = align(units.where("spelt").select("key", "a", "b"), _sizes(spark, pair.a_bytes), _sizes(spark, pair.b_bytes), scratch)
     scratch.drop(coded, units)
 
-    code = F.shiftleft(F.col("a").cast("long"), 32).bitwiseOR(F.col("b").cast("long"))
-    pairs = links.select("key", "a", code.alias("pair"), "times")
-    of_unit = numbered.join(pairs.groupBy("key").agg(F.collect_list("pair").alias("pairs")), "key", "left").select("block", "unit", "spelt", "pairs")
+    of_unit = numbered.join(groups.select("key", "pairs"), "key", "left").select("block", "unit", "spelt", "pairs")
     held = coded_docs.select("block", "units").groupBy("block").cogroup(of_unit.groupBy("block")).applyInArrow(_held, "pair long, n long")
     counts = scratch.keep(held.groupBy("pair").agg(F.sum("n").alias("n")).withColumn("a", F.shiftright("pair", 32)))
     counts = counts.join(counts.groupBy("a").agg(F.max("n").alias("most")), "a").select("pair", "n", (F.col("n") == F.col("most")).cast("long").alias("best"))
-    rated = pairs.join(counts, "pair").groupBy("key").agg(F.sum(F.col("times") * F.col("best")).alias("n_best"), F.sum(F.col("times") * F.col("n")).alias("count_sum"))
-    units = scratch.keep(groups.join(rated, "key", "left"))
-    scratch.drop(links, groups)
+    rated = groups.select("key", F.explode("pairs").alias("pair")).join(counts, "pair").groupBy("key").agg(F.sum("best").alias("n_best"), F.sum("n").alias("count_sum"))
+    units = scratch.keep(groups.drop("pairs").join(rated, "key", "left"))
+    scratch.drop(groups)
     # Units of documents that aren't spelt only have no counts.
     whole = numbered.join(units, "key", "left").select("block", "unit", "spelt", *[F.coalesce(c, F.lit(0)).alias(c) for c in SUMS], "groups")
     schema = ", ".join(["doc_id long", *(f"{c} long" for c in SUMS), "groups_sha256 string"])
