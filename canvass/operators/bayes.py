@@ -124,3 +124,64 @@ def waic(pointwise: DataFrame, point: str, log_lik: str) -> DataFrame:
     top = rows.groupBy("point").agg(F.max("l").alias("top"))
     per = rows.join(top, "point").groupBy("point").agg(F.max("top").alias("top"), F.avg(F.exp(F.col("l") - F.col("top"))).alias("mean"), F.var_samp("l").alias("p"))
     return per.agg(F.sum(F.log("mean") + F.col("top") - F.col("p")).alias("elpd"), F.sum("p").alias("p_waic"), F.count("*").alias("points"))
+
+
+def tail_shape(excess: np.ndarray) -> tuple[float, float]:
+    """Shape and scale of the generalised Pareto distribution of sorted positive
+    numbers: the posterior mean over a grid, drawn weakly towards a shape of 0.5."""
+    n = len(excess)
+    grid = 30 + int(np.sqrt(n))
+    b = 1 / excess[-1] + (1 - np.sqrt(grid / (np.arange(1, grid + 1) - 0.5))) / (3 * excess[int(n / 4 + 0.5) - 1])
+    shapes = np.log1p(-b[:, None] * excess).mean(1)
+    fit = n * (np.log(-b / shapes) - shapes - 1)
+    weight = 1 / np.exp(np.clip(fit[None, :] - fit[:, None], -700, 700)).sum(1)
+    best = (b * weight).sum() / weight.sum()
+    shape = np.log1p(-best * excess).mean()
+    return (n * shape + 5) / (n + 10), -shape / best
+
+
+def smoothed_weights(log_lik: np.ndarray) -> tuple[np.ndarray, float]:
+    """Log weights, normalised, that turn draws given all observations into draws
+    given all but this one, their largest fifth (or 3 * sqrt(n)) smoothed by the tail
+    fitted to them; and the tail's shape: over 0.7 the result isn't to be trusted."""
+    raw = -log_lik - (-log_lik).max()
+    n = len(raw)
+    many = int(min(0.2 * n, 3 * np.sqrt(n)))
+    order = np.argsort(raw, kind="stable")
+    shape = np.inf
+    if many >= 5:
+        tail, cut = order[-many:], np.exp(raw[order[-many - 1]])
+        excess = np.exp(raw[tail]) - cut
+        if excess[0] <= 0 or excess[-1] - excess[0] < 1e-12 * cut:
+            shape = 0.0 if excess[-1] < 1e-12 else shape  # nothing to smooth
+        else:
+            shape, scale = tail_shape(excess)
+            at = (np.arange(many) + 0.5) / many
+            raw[tail] = np.minimum(np.log(cut + (scale * np.expm1(-shape * np.log1p(-at)) / shape if abs(shape) > 1e-12 else -scale * np.log1p(-at))), 0)
+    top = raw.max()
+    return raw - top - np.log(np.exp(raw - top).sum()), float(shape)
+
+
+def loo(pointwise: DataFrame, point: list[str], log_lik: str) -> DataFrame:
+    """``*point, elpd, k``: the expected log density of each observation given the
+    others, by Pareto-smoothed importance weights, and the tail's shape.  The draws
+    of one observation are one group, as many as there are draws."""
+
+    def run(pdf):
+        import pandas as pd
+
+        l = pdf["_l"].to_numpy(float)
+        w, k = smoothed_weights(l)
+        joint = w + l
+        out = {c: [pdf[c].iloc[0]] for c in point}
+        return pd.DataFrame(out | {"elpd": [joint.max() + np.log(np.exp(joint - joint.max()).sum())], "k": [k]})
+
+    rows = pointwise.select(*point, F.col(log_lik).cast("double").alias("_l")).where("_l IS NOT NULL")
+    schema = ", ".join([*(f"`{n}` {t}" for n, t in rows.dtypes[:-1]), "elpd double, k double"])
+    return rows.groupBy(*point).applyInPandas(run, schema)
+
+
+def loo_total(each: DataFrame, model: str) -> DataFrame:
+    """``model, elpd, se, worst_k, unsure``: sums over observations, the standard
+    error of the sum, the largest shape, and how many observations are over 0.7."""
+    return each.groupBy(model).agg(F.sum("elpd").alias("elpd"), F.sqrt(F.count("*") * F.var_pop("elpd")).alias("se"), F.max("k").alias("worst_k"), F.count_if(F.col("k") > 0.7).alias("unsure"))

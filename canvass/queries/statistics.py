@@ -272,6 +272,34 @@ def messaging_effectiveness(spark, sf):
     return found.select("stage", "kind", "name", F.round("mean", 4).alias("mean"), F.round("sd", 4).alias("sd"))
 
 
+def dirichlet_mixture(spark, sf):
+    """Customers' likeliest component of a mixture that finds the number itself."""
+    from canvass.operators import mixture
+
+    c = table(spark, sf, "customer").select("c_custkey", F.array(F.col("c_acctbal") / 5000, (F.col("c_nationkey") / 12).cast("double")).alias("x"))
+    model, _ = mixture.fit(c, "x", components=10, rounds=25)
+    found = mixture.predict(c, "c_custkey", "x", model)
+    return found.select("c_custkey", "component", F.round("probability", 4).alias("probability"), F.round("entropy", 4).alias("entropy"))
+
+
+def loo_comparison(spark, sf):
+    """Two models of customers' balances, one mean for all and one for each segment,
+    ranked by leave-one-out density over draws of their posteriors."""
+    from canvass.operators import bayes
+
+    c = table(spark, sf, "customer").select("c_custkey", "c_mktsegment", (F.col("c_acctbal") / 1000).alias("y"))
+    spread = c.agg(F.stddev_samp("y").alias("s"))
+    u = lambda j: (F.pmod(F.xxhash64("draw", "segment", F.lit(j)), F.lit(1 << 30)) + 0.5) / (1 << 30)
+    models = c.select("c_custkey", "y", F.explode(F.array(F.struct(F.lit("one mean").alias("model"), F.lit("").alias("segment")), F.struct(F.lit("by segment").alias("model"), F.col("c_mktsegment").alias("segment")))).alias("m")).select("c_custkey", "y", "m.*")
+    # A row a model, segment and draw: some thousand, whatever the number of customers.
+    means = models.groupBy("model", "segment").agg(F.avg("y").alias("mean"), F.count("*").alias("n")).join(F.broadcast(spread), F.lit(True)).select("*", F.explode(F.sequence(F.lit(1), F.lit(200))).alias("draw"))
+    draws = means.select("model", "segment", "s", (F.col("mean") + F.col("s") / F.sqrt("n") * F.sqrt(-2 * F.log(u(0))) * F.cos(2 * 3.141592653589793 * u(1))).alias("mu"))
+    log_lik = -0.5 * F.pow((F.col("y") - F.col("mu")) / F.col("s"), 2) - F.log("s") - 0.9189385332046727
+    each = bayes.loo(models.join(draws, ["model", "segment"]).select("model", "c_custkey", log_lik.alias("l")), ["model", "c_custkey"], "l")
+    ranked = S.ranked(bayes.loo_total(each, "model"), "elpd")
+    return ranked.select("model", F.round("elpd", 4).alias("elpd"), F.round("se", 4).alias("se"), F.round("worst_k", 3).alias("worst_k"), "unsure", "rank", F.round("diff", 4).alias("diff"))
+
+
 def bootstrap_ari(spark, sf):
     """Whether k-means on resamples finds the clusters of all rows again."""
     from canvass.operators import clusters
@@ -333,6 +361,8 @@ QUERIES = {
     "famd_variance": (famd_variance, None),
     "logistic_map": (logistic_map, None),
     "messaging_effectiveness": (messaging_effectiveness, None),
+    "dirichlet_mixture": (dirichlet_mixture, None),
+    "loo_comparison": (loo_comparison, None),
     "bootstrap_ari": (bootstrap_ari, None),
     "cluster_memberships": (cluster_memberships, None),
     "pca_coordinates": (pca_coordinates, None),

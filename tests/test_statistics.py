@@ -119,3 +119,32 @@ def test_order_without_a_task_for_a_group(spark):
     assert spans["hot"] == min(((lo, hi) for lo, hi in zip(vs, vs[w:], strict=False)), key=lambda p: (p[1] - p[0], p[0]))
     plan = order.percentiles(frame, ["g"], "v", [0.5])._jdf.queryExecution().toString()
     assert "Window" not in plan and "percentile" not in plan
+
+
+def test_loo_on_a_conjugate_model(spark):
+    """A normal mean with known spread: leaving one out is known exactly."""
+    r = np.random.default_rng(5)
+    y, sigma, prior = np.append(r.normal(1, 1, 40), 3.5), 1.0, 3.0
+    weight = 1 / prior**2 + len(y) / sigma**2
+    mu = r.normal(y.sum() / sigma**2 / weight, weight**-0.5, 4000)
+    density = lambda v, m, s: -0.5 * ((v - m) / s) ** 2 - np.log(s) - 0.5 * np.log(2 * np.pi)
+    rows = [("a", i, float(density(v, m, sigma))) for i, v in enumerate(y) for m in mu[:1500]] + [("a", 0, None), ("flat", 0, -1.0), ("few", 0, -1.0), ("few", 0, -2.0)]
+    rows += [("flat", 0, -1.0)] * 99
+    got = {(row.model, row.i): row for row in bayes.loo(spark.createDataFrame(rows, "model string, i int, l double"), ["model", "i"], "l").collect()}
+    for i, v in enumerate(y):
+        w = weight - 1 / sigma**2
+        exact = density(v, (y.sum() - v) / sigma**2 / w, np.sqrt(1 / w + sigma**2))
+        assert got["a", i].elpd == pytest.approx(exact, abs=0.02) and got["a", i].k < 0.7
+    assert got["flat", 0].elpd == pytest.approx(-1.0)
+    assert got["few", 0].k == math.inf
+    raw, smooth = np.exp(3 * r.pareto(1.2, 2000).clip(0, 50) / 10), None
+    smooth, k = bayes.smoothed_weights(-np.log(raw))
+    assert np.exp(smooth).sum() == pytest.approx(1) and k > 0.7
+
+
+def test_tail_shape_of_drawn_numbers():
+    r = np.random.default_rng(1)
+    for shape in (0.1, 0.5, 0.9):
+        x = np.sort(2.0 * np.expm1(-shape * np.log(r.random(3000))) / shape)
+        found, scale = bayes.tail_shape(x)
+        assert found == pytest.approx(shape, abs=0.1) and scale == pytest.approx(2.0, rel=0.15)
