@@ -189,6 +189,19 @@ def match_counties(contacts: DataFrame, demographic: DataFrame, residential: Dat
     return every.groupBy("contact_id").agg(F.min_by(value, order).alias("m")).select("contact_id", "m.*")
 
 
+def parcel_records(demographic: DataFrame, residential: DataFrame, key: str, last: str) -> DataFrame:
+    """Both records of each parcel that has both, the last of several by ``last``;
+    columns of both sides bear _demo and _prop."""
+
+    def newest(rows: DataFrame) -> DataFrame:
+        rest = [c for c in rows.columns if c != key]
+        return rows.groupBy(key).agg(F.max_by(F.struct(*rest), F.col(last)).alias("r")).select(key, "r.*")
+
+    both = (set(demographic.columns) & set(residential.columns)) - {key}
+    named = lambda rows, suffix: rows.select(key, *(F.col(c).alias(c + suffix if c in both else c) for c in rows.columns if c != key))
+    return named(newest(demographic), "_demo").join(named(newest(residential), "_prop"), key)
+
+
 def name_key_match(contacts: DataFrame, demographic: DataFrame) -> DataFrame:
     """Contacts by the exact upper-case name FIRST LAST within a county: a record
     of their ZIP code before any other, the smaller parcel of equals.

@@ -86,6 +86,36 @@ SELECT contact_id, n.county, parcel_id, coalesce(n.zip = r.zip, false) AS with_z
 QUALIFY row_number() OVER (PARTITION BY contact_id ORDER BY coalesce(n.zip = r.zip, false) DESC, parcel_id) = 1"""
 
 
+def parcel_join(spark, sf):
+    """Demographic and property records of one parcel, columns that both have told
+    apart by a suffix; the last record of a parcel counts."""
+    p = table(spark, sf, "part")
+    demo = p.select((F.col("p_partkey") % 500).alias("parcel_id"), F.col("p_partkey").alias("record"), F.col("p_name").alias("owner"), F.col("p_size").alias("score"))
+    prop = p.where("p_partkey % 3 <> 0").select((F.col("p_partkey") % 700).alias("parcel_id"), F.col("p_partkey").alias("record"), F.col("p_brand").alias("kind"), F.col("p_retailprice").alias("score"))
+    out = linkage.parcel_records(demo, prop, "parcel_id", "record")
+    return out.select("parcel_id", "owner", "kind", "score_demo", F.round("score_prop", 2).alias("score_prop"), "record_demo", "record_prop")
+
+
+PARCEL_JOIN = """WITH d AS (SELECT p_partkey % 500 AS parcel_id, p_partkey AS record, p_name AS owner, p_size AS score FROM part QUALIFY row_number() OVER (PARTITION BY p_partkey % 500 ORDER BY p_partkey DESC) = 1),
+r AS (SELECT p_partkey % 700 AS parcel_id, p_partkey AS record, p_brand AS kind, p_retailprice AS score FROM part WHERE p_partkey % 3 <> 0 QUALIFY row_number() OVER (PARTITION BY p_partkey % 700 ORDER BY p_partkey DESC) = 1)
+SELECT parcel_id, owner, kind, d.score AS score_demo, round(CAST(r.score AS DOUBLE), 2) AS score_prop, d.record AS record_demo, r.record AS record_prop FROM d JOIN r USING (parcel_id)"""
+
+
+def route_hyphen_match(spark, sf):
+    """State routes written in several ways, and streets with and without a hyphen."""
+    p = table(spark, sf, "part")
+    n, word = F.col("p_partkey").cast("string"), F.split("p_name", " ")
+    county, route = F.concat(F.lit("C"), (F.col("p_partkey") % 40).cast("string")), F.col("p_partkey") % 2 == 0
+    zip_ = F.lit("43001")
+    res = p.select(county.alias("county"), F.col("p_partkey").alias("parcel_id"), F.when(route, F.concat(F.lit("STATE ROUTE "), F.col("p_partkey") + 100000)).otherwise(F.concat(n, F.lit(" "), word[0], F.lit(" "), word[1], n, F.lit(" Road"))).alias("address"), zip_.alias("zip"))
+    con = p.select(F.col("p_partkey").alias("contact_id"), county.alias("county"), *(F.lit(None).cast("string").alias(c) for c in ("email", "first", "last", "phone")), F.when(route, F.concat(F.lit("OH-"), F.col("p_partkey") + 100000)).otherwise(F.concat(n, F.lit(" "), word[0], F.lit("-"), word[1], n, F.lit(" rd"))).alias("address"), F.lit("45000").alias("zip"))
+    dem = res.select("county", "parcel_id", *(F.lit(None).cast("string").alias(c) for c in ("email", "full_name", "phone")), "zip")
+    return linkage.match(con, dem, res).select("contact_id", "match_county", "parcel_id", "priority", "method", "quality")
+
+
+ROUTE_HYPHEN = """SELECT p_partkey AS contact_id, 'C' || p_partkey % 40 AS match_county, p_partkey AS parcel_id, CASE WHEN p_partkey % 2 = 0 THEN 6 ELSE 7 END AS priority, CASE WHEN p_partkey % 2 = 0 THEN 'state_route' ELSE 'hyphenated' END AS method, 'good' AS quality FROM part"""
+
+
 def address_key_join(spark, sf):
     """Addresses of letters and digits alone, left joined; rows may fan out."""
     p = table(spark, sf, "part")
@@ -144,6 +174,8 @@ FROM part WHERE p_partkey % 5 <> 0"""
 
 QUERIES = {
     "county_cascade_match": (county_cascade_match, COUNTY_CASCADE),
+    "parcel_join": (parcel_join, PARCEL_JOIN),
+    "route_hyphen_match": (route_hyphen_match, ROUTE_HYPHEN),
     "all_county_match": (all_county_match, ALL_COUNTY),
     "name_key_match": (name_key_match, NAME_KEY),
     "address_key_join": (address_key_join, ADDRESS_KEY),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from canvass import storage
 from canvass.functions import values as V
 from canvass.operators import order
 from canvass.operators import statistics as S
@@ -156,17 +157,49 @@ def binned_confidence(spark, sf):
 
 BINNED = "SELECT CASE WHEN value / 100 <= 0.5 THEN '(0,.5]' WHEN value / 100 <= 0.7 THEN '(.5,.7]' WHEN value / 100 <= 0.9 THEN '(.7,.9]' ELSE '(.9,1]' END AS bin, count(*) AS n, round(avg(CAST(event_type = 'click' AS INTEGER)), 6) AS rate FROM events WHERE value > 0 AND value <= 100 GROUP BY 1"
 
-# Stored silhouettes by number of clusters.
-_SWEEP = [(1, 2, 0.2289), (1, 3, 0.2388), (1, 4, 0.2213), (2, 2, 0.5309), (2, 3, 0.4870), (3, 10, 0.2755)]
+def best_k(spark, sf):
+    """Customers of each segment cut into 2 to 6 regions: the number whose regions
+    part their balances best (by the variance ratio), and the share explained."""
+    c = table(spark, sf, "customer").select("c_mktsegment", "c_nationkey", F.col("c_acctbal").alias("y"), F.explode(F.sequence(F.lit(2), F.lit(6))).alias("k"))
+    cells = c.groupBy("c_mktsegment", "k", F.floor(F.col("c_nationkey") * F.col("k") / 25).alias("region")).agg(F.count("*").alias("n"), F.sum("y").alias("s"), F.sum(F.col("y") * F.col("y")).alias("q"))
+    g = cells.groupBy(F.col("c_mktsegment").alias("phase"), "k").agg(F.sum("n").alias("n"), F.sum(F.col("q") - F.col("s") * F.col("s") / F.col("n")).alias("within"), (F.sum("q") - F.sum("s") * F.sum("s") / F.sum("n")).alias("total"))
+    g = g.withColumns({"ratio": (F.col("total") - F.col("within")) / (F.col("k") - 1) / (F.col("within") / (F.col("n") - F.col("k"))), "share": 1 - F.col("within") / F.col("total")})
+    best = g.groupBy("phase").agg(F.max_by(F.struct("k", "share"), F.struct("ratio", (-F.col("k")).alias("j"))).alias("b"))
+    return best.select("phase", F.col("b.k").alias("best_k"), F.round("b.share", 6).alias("share"), V.silhouette_label(F.col("b.share")).alias("label"))
+
+
+BEST_K = """WITH c AS (SELECT c_mktsegment AS phase, c_nationkey, CAST(c_acctbal AS DOUBLE) AS y, CAST(unnest(range(2, 7)) AS INTEGER) AS k FROM customer),
+cells AS (SELECT phase, k, floor(c_nationkey * k / 25) AS region, count(*) AS n, sum(y) AS s, sum(y * y) AS q FROM c GROUP BY ALL),
+g AS (SELECT phase, k, sum(n) AS n, sum(q - s * s / n) AS within, sum(q) - sum(s) * sum(s) / sum(n) AS total FROM cells GROUP BY 1, 2)
+SELECT phase, k AS best_k, round(1 - within / total, 6) AS share, CASE WHEN 1 - within / total > 0.7 THEN 'Strong' WHEN 1 - within / total > 0.5 THEN 'Reasonable' WHEN 1 - within / total > 0.25 THEN 'Weak' ELSE 'Poor' END AS label
+FROM g QUALIFY row_number() OVER (PARTITION BY phase ORDER BY (total - within) / (k - 1) / (within / (n - k)) DESC, k) = 1"""
+
+
+def posterior_summary(spark, sf):
+    """Four chains for a logistic model of toxic documents by language: mean, spread,
+    shortest interval, odds ratio, and whether the chains agree (R-hat, effective draws)."""
+    from canvass.operators import bayes
 
+    o = _outcomes(spark, sf).groupBy("lang").agg(F.count("*").alias("n"), F.sum("toxic").alias("successes"))
+    grouped = o.select(F.array(F.lit(1.0), *((F.col("lang") == x).cast("double") for x in ("de", "es", "fr"))).alias("x"), F.col("n").cast("double").alias("n"), F.col("successes").cast("double").alias("successes"))
+    draws = bayes.sample_chains(grouped, 4, [-2.0, 0.0, 0.0, 0.0], [1.0, 0.5, 0.5, 0.5], draws=1000)
+    draws = storage.kept(draws, "draws")
+    means = draws.groupBy("param").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"))
+    found = means.join(order.shortest_interval(draws, "value", ["param"], 0.94), "param").join(S.r_hat(draws, "value", "chain", ["param"]), "param").join(bayes.effective_size(draws), "param")
+    name = F.element_at(F.array(*map(F.lit, ("intercept", "de", "es", "fr"))), F.col("param") + 1)
+    return found.select(name.alias("param"), *(F.round(c, 4).alias(c) for c in ("mean", "sd", "lo", "hi", "r_hat")), F.round(F.exp("mean"), 4).alias("odds_ratio"), ((F.col("r_hat") < 1.01) & (F.col("ess") > 400)).alias("converged"))
 
-def best_k(spark, sf):
-    s = spark.createDataFrame(_SWEEP, "phase int, k int, silhouette double")
-    return s.groupBy("phase").agg(F.max_by("k", "silhouette").alias("best_k"), F.max("silhouette").alias("silhouette")).withColumn("label", V.silhouette_label(F.col("silhouette")))
+
+def parameter_join(spark, sf):
+    """Parameters of a fitted model beside the campaign that the number in their
+    name stands for."""
+    p = table(spark, sf, "part").select(F.format_string("alpha_open[%d]", "p_partkey").alias("name"), ((F.col("p_size") - 25) / 10).alias("mean"))
+    p = p.withColumn("index", F.regexp_extract("name", r"^[a-z_]+\[(\d+)\]$", 1).try_cast("long"))
+    c = table(spark, sf, "supplier").select(F.col("s_suppkey").cast("long").alias("index"), F.col("s_name").alias("campaign"), (F.col("s_acctbal") / 10000).alias("observed"))
+    return p.join(c, "index").select("index", "name", "campaign", F.round("mean", 4).alias("mean"), F.round(F.col("observed") - V.logistic(F.col("mean")), 6).alias("gap"))
 
 
-BEST_K = f"""WITH s(phase, k, silhouette) AS (VALUES {', '.join(map(str, _SWEEP))}) SELECT phase, arg_max(k, silhouette) AS best_k, CAST(max(silhouette) AS DOUBLE) AS silhouette,
-  CASE WHEN max(silhouette) > 0.7 THEN 'Strong' WHEN max(silhouette) > 0.5 THEN 'Reasonable' WHEN max(silhouette) > 0.25 THEN 'Weak' ELSE 'Poor' END AS label FROM s GROUP BY phase"""
+PARAMETERS = """SELECT p_partkey AS index, 'alpha_open[' || p_partkey || ']' AS name, s_name AS campaign, round((p_size - 25) / 10, 4) AS mean, round(CAST(s_acctbal AS DOUBLE) / 10000 - 1 / (1 + exp(-(p_size - 25) / 10)), 6) AS gap FROM part JOIN supplier ON s_suppkey = p_partkey"""
 
 
 def category_importance(spark, sf):
@@ -350,6 +383,8 @@ QUERIES = {
     "cluster_profile_mode": (cluster_profile_mode, PROFILE_MODE),
     "binned_confidence": (binned_confidence, BINNED),
     "best_k": (best_k, BEST_K),
+    "posterior_summary": (posterior_summary, None),
+    "parameter_join": (parameter_join, PARAMETERS),
     "category_importance": (category_importance, IMPORTANCE),
     "segment_grid": (segment_grid, SEGMENT_GRID),
     "profile_zscore": (profile_zscore, PROFILE_Z),

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from canvass.operators import merge
-from canvass.plans import star_schema
+from canvass.plans import phases, star_schema
 from canvass.sources import files
 from canvass.streaming import sync
 from canvass.streaming.table import KeyedTable
@@ -41,6 +41,24 @@ def test_star_schema(spark, tmp_path):
     assert out["exposures"].count() == 3
 
 
+def test_phases(spark, tmp_path):
+    """A dry run writes nothing and counts the same; phases go one by one."""
+    (tmp_path / "in").mkdir()
+    write_campaign(tmp_path / "in", "a1", "MVCAP_Daily_Cost_20250514", [{"email": "A@e.org", "opened": "Yes", "zip": "43001"}, {"cell": "614-555-0100"}])
+    zips = spark.createDataFrame([("43001", "A")], "zip5 string, county string")
+    dem = spark.createDataFrame([("A", 1, "a@e.org", "x", None, "43001")], "county string, parcel_id long, email string, full_name string, phone string, zip string")
+    res = spark.createDataFrame([], "county string, parcel_id long, address string, zip string")
+    build = phases.Build(spark, str(tmp_path / "in"), str(tmp_path / "out"), zips, dem, res)
+    want = {"campaigns": 1, "exposures": 2, "people": 2, "matches": 2, "participants": 2, "statistics": 1}
+    assert build.run(dry=True) == want and not (tmp_path / "out").exists()
+    assert build.run(("import",)) == {k: want[k] for k in ("campaigns", "exposures", "people")}
+    assert build.run(("stats", "match")) == {k: want[k] for k in ("matches", "statistics")}
+    assert build.run(("summarize",)) == {"participants": 2}
+    assert {r.participant_id: r.quality for r in build.table("participants").collect()} == {"a@e.org": "demographic", "6145550100": "no_county"}
+    with pytest.raises(ValueError, match="phase"):
+        build.run(("import", "mail"))
+
+
 def test_export_round_trip(spark, tmp_path):
     (tmp_path / "in").mkdir()
     write_campaign(tmp_path / "in", "a1", "N_20250101", [{"email": "a@e.org", "opened": "Yes", "annual_cost": "$5"}])
