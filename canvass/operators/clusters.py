@@ -1,11 +1,11 @@
 """Clustering: sweeps over the number of clusters, K-prototypes, mixed-data
-factors, exact silhouettes."""
+exact silhouettes."""
 
 from __future__ import annotations
 
 import numpy as np
 from pyspark.ml.clustering import GaussianMixture, KMeans
-from pyspark.ml.feature import PCA, VectorAssembler
+from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -72,23 +72,6 @@ def kprototypes(rows: DataFrame, key: str, numbers: list[str], categories: list[
     return labelled.select(key, "cluster", F.round("distance", 6).alias("distance"))
 
 
-def famd_variance(rows: DataFrame, numbers: list[str], categories: list[str], components: int) -> DataFrame:
-    """Share of variance of each component of a factor analysis of mixed data:
-    z-scores, and indicators divided by the root of their share, centred."""
-    stats = rows.agg(*(f(c).alias(f"{n}_{c}") for c in numbers for n, f in (("m", F.avg), ("s", F.stddev_pop)))).first()
-    n = rows.count()
-    cols = [((F.col(c) - stats[f"m_{c}"]) / (stats[f"s_{c}"] or 1.0)).alias(c) for c in numbers]
-    for c in categories:
-        for r in rows.groupBy(c).count().orderBy(c).collect():
-            p = r["count"] / n
-            cols.append((F.col(c).eqNullSafe(r[c]).cast("double") / p**0.5 - p**0.5).alias(f"{c}={r[c]}"))
-    x = rows.select(*cols)
-    x = VectorAssembler(inputCols=x.columns, outputCol="features").transform(x).select("features")
-    k = min(components, len(cols))
-    shares = PCA(k=k, inputCol="features", outputCol="o").fit(x).explainedVariance.toArray()
-    return rows.sparkSession.createDataFrame([(i + 1, round(float(s), 8), round(float(c), 8)) for i, (s, c) in enumerate(zip(shares, np.cumsum(shares), strict=True))], "component int, share double, cumulative double")
-
-
 def silhouette(points: DataFrame, key: str, vector: str, label: str, block: int = 2000) -> DataFrame:
     """key, label, silhouette of each point by Euclidean distance, as defined:
     all points against all points, block against block, in numpy inside the

@@ -280,11 +280,26 @@ def kprototypes(spark, sf):
     return clusters.kprototypes(c, "c_custkey", ["balance"], ["c_mktsegment", "region"], k=3)
 
 
+def _mixed(spark, sf):
+    return table(spark, sf, "customer").select("c_custkey", "c_acctbal", (F.col("c_custkey") % 11).cast("double").alias("n"), "c_mktsegment")
+
+
 def famd_variance(spark, sf):
-    from canvass.operators import clusters
+    from canvass.operators import famd
+
+    found = famd.fit(_mixed(spark, sf), ["c_acctbal", "n"], ["c_mktsegment"], 5)
+    total = 0.0
+    rows = [(i + 1, round(float(s), 8), round(total := total + float(s), 8)) for i, s in enumerate(found.shares)]
+    return spark.createDataFrame(rows, "component int, share double, cumulative double")
+
+
+def famd_coordinates(spark, sf):
+    """Where customers lie on the first axes of their balance, number and segment."""
+    from canvass.operators import famd
 
-    c = table(spark, sf, "customer").select("c_acctbal", (F.col("c_custkey") % 11).cast("double").alias("n"), "c_mktsegment")
-    return clusters.famd_variance(c, ["c_acctbal", "n"], ["c_mktsegment"], 5)
+    c = _mixed(spark, sf)
+    found = famd.coordinates(c, "c_custkey", famd.fit(c, ["c_acctbal", "n"], ["c_mktsegment"], 3))
+    return found.select("c_custkey", *(F.round(f"f{j}", 6).alias(f"f{j}") for j in range(3)))
 
 
 def logistic_map(spark, sf):
@@ -394,6 +409,7 @@ QUERIES = {
     "gmm_bic": (gmm_bic, None),
     "kprototypes": (kprototypes, None),
     "famd_variance": (famd_variance, None),
+    "famd_coordinates": (famd_coordinates, None),
     "logistic_map": (logistic_map, None),
     "messaging_effectiveness": (messaging_effectiveness, None),
     "dirichlet_mixture": (dirichlet_mixture, None),

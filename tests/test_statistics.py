@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from canvass.operators import bayes, clusters, order
+from canvass.operators import bayes, clusters, famd, order
 from canvass.operators import statistics as S
 
 
@@ -148,3 +148,30 @@ def test_tail_shape_of_drawn_numbers():
         x = np.sort(2.0 * np.expm1(-shape * np.log(r.random(3000))) / shape)
         found, scale = bayes.tail_shape(x)
         assert found == pytest.approx(shape, abs=0.1) and scale == pytest.approx(2.0, rel=0.15)
+
+
+def test_famd_against_the_dense_matrix(spark):
+    r = np.random.default_rng(4)
+    n = 300
+    a, b = r.normal(3, 2, n), r.normal(0, 1, n)
+    b = b + 0.5 * a
+    g, h = r.choice(["x", "y", "", "zz"], n, p=[0.4, 0.3, 0.2, 0.1]).tolist(), r.choice(["u", "v"], n).tolist()
+    g[5] = None
+    rows = [(i, float(a[i]), None if i == 7 else float(b[i]), g[i], h[i]) for i in range(n)]
+    frame = spark.createDataFrame(rows, "id int, a double, b double, g string, h string").repartition(3)
+    found = famd.fit(frame, ["a", "b"], ["g", "h"], 4)
+    known = np.delete(b, 7)
+    z = np.column_stack([(a - a.mean()) / a.std(), np.where(np.arange(n) == 7, 0, (b - known.mean()) / known.std())])
+    for values in (g, h):
+        for level in sorted(set(values), key=lambda v: (v is not None, v or "")):
+            own = np.array([v == level for v in values])
+            z = np.column_stack([z, own / np.sqrt(own.mean()) - np.sqrt(own.mean())])
+    values, axes = np.linalg.eigh(z.T @ z / n - np.outer(z.mean(0), z.mean(0)))
+    values, axes = values[::-1], axes[:, ::-1]
+    assert np.allclose(found.shares, values[:4] / values.sum())
+    got = {row.id: [row.f0, row.f1, row.f2] for row in famd.coordinates(frame, "id", found).collect()}
+    want = z @ axes[:, :3]
+    want = want * np.sign((want * np.array([got[i] for i in range(n)])).sum(0))
+    assert np.allclose([got[i] for i in range(n)], want, atol=1e-8)
+    shares = famd.contributions(found)
+    assert {c for c, _, _ in shares} == {"a", "b", "g", "h"} and sum(v for _, j, v in shares if j == 0) == pytest.approx(1)
