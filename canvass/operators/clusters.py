@@ -10,6 +10,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from canvass import storage
 from canvass.operators.statistics import adjusted_rand, bic
 
 
@@ -41,35 +42,81 @@ def gmm_sweep(rows: DataFrame, vector: str, ks, seed: int = 42) -> DataFrame:
     return rows.sparkSession.createDataFrame(out, "k int, log_likelihood double, bic double, aic double")
 
 
-def kprototypes(rows: DataFrame, key: str, numbers: list[str], categories: list[str], k: int = 3, gamma: float = 1.5, rounds: int = 12) -> DataFrame:
+def _dense_seeds(base: DataFrame, categories: list[str], k: int) -> list[dict]:
+    """Cao's seeds: the combination of categories whose levels are the most frequent,
+    then again and again the one that is dense and far from those chosen.  Ties go to
+    the first by name.  A seed at a time comes to the driver."""
+    combos = base.groupBy(*categories).agg(F.count("*").alias("_n"))
+    total = combos.agg(F.sum("_n").alias("_total"))
+    for c in categories:
+        combos = combos.join(combos.groupBy(c).agg(F.sum("_n").alias(f"_f_{c}")).withColumnRenamed(c, f"_k_{c}"), F.col(c).eqNullSafe(F.col(f"_k_{c}"))).drop(f"_k_{c}")
+    density = sum((F.col(f"_f_{c}") for c in categories), F.lit(0)) / F.col("_total") / max(len(categories), 1)
+    combos = storage.kept(combos.join(F.broadcast(total), F.lit(True)).select(*categories, density.alias("_density")), "seeds")
+    seeds: list[dict] = []
+    order = [F.col(c).asc_nulls_first() for c in categories]
+    while len(seeds) < k:
+        far = [F.col("_density") * sum(((~F.col(c).eqNullSafe(F.lit(s[c]))).cast("int") for c in categories), F.lit(0)) for s in seeds]
+        score = F.col("_density") if not far else F.least(*far) if len(far) > 1 else far[0]
+        first = combos.orderBy(score.desc(), *order).first()
+        if first is None:
+            break
+        seeds.append({c: first[c] for c in categories})
+    return seeds
+
+
+def kprototypes(rows: DataFrame, key: str, numbers: list[str], categories: list[str], k: int = 3, gamma: float = 1.5, starts: int = 10, rounds: int = 30, seed: int = 42) -> tuple[DataFrame, float]:
     """Clusters of mixed rows: squared distance of numbers plus gamma for each
-    category that differs.  Returns key, cluster, distance.
-
-    Prototypes are k rows of literals; assignment is one expression a row, and
-    means and modes come from groupings.  Stops when the cost stops falling."""
-    base = rows.select(key, *numbers, *categories).cache()
-    spread = base.orderBy(F.xxhash64(key), key).limit(k).collect()
-    prototypes = [({c: r[c] for c in numbers}, {c: r[c] for c in categories}) for r in spread]
-    best, labelled = None, None
-    for _ in range(rounds):
+    category that differs.  Returns ``key, cluster, distance`` of the cheapest of
+    some starts, and its cost.
+
+    All starts have Cao's seeds for their categories and numbers drawn around the
+    columns' means.  A round assigns the rows for all starts that still fall in one
+    pass, and takes means and modes of all in two groupings.  Missing numbers count
+    as 0, a missing category is a level."""
+    base = storage.kept(rows.select(key, *numbers, *categories), "prototypes")
+    stats = base.agg(F.count("*").alias("n"), *(f(c).alias(f"{m}_{c}") for c in numbers for m, f in (("m", F.avg), ("s", F.stddev_pop)))).first()
+    if not stats.n:
+        return base.select(key, F.lit(0).alias("cluster"), F.lit(0.0).alias("distance")), 0.0
+    draw = np.random.default_rng(seed)
+    seeds = _dense_seeds(base, categories, k) if categories else [{}] * k
+    drawn = {s: [({c: float((stats[f"m_{c}"] or 0) + (stats[f"s_{c}"] or 0) * draw.standard_normal()) for c in numbers}, dict(seeds[i])) for i in range(k)] for s in range(starts)}
+
+    def nearest(prototypes: list) -> F.Column:
         parts = []
         for i, (num, cat) in enumerate(prototypes):
-            d = sum((F.pow(F.coalesce(F.col(c), F.lit(0.0)) - float(num[c] or 0), 2) for c in numbers), F.lit(0.0))
-            d = d + gamma * sum(((~F.col(c).eqNullSafe(cat[c])).cast("int") for c in categories), F.lit(0))
+            d = sum((F.pow(F.coalesce(F.col(c).cast("double"), F.lit(0.0)) - num[c], 2) for c in numbers), F.lit(0.0))
+            d = d + gamma * sum(((~F.col(c).eqNullSafe(F.lit(cat[c]))).cast("int") for c in categories), F.lit(0))
             parts.append(F.struct(d.alias("distance"), F.lit(i).alias("cluster")))
-        assigned = base.withColumn("m", F.array_min(F.array(*parts))).select(key, *numbers, *categories, "m.cluster", "m.distance")
-        cost = assigned.agg(F.sum("distance")).first()[0]
-        if best is not None and cost >= best - 1e-9:
+        return F.array_min(F.array(*parts))
+
+    best: dict[int, tuple[float, list]] = {}
+    falling = dict(drawn)
+    for _ in range(rounds):
+        each = F.explode(F.array(*(F.struct(F.lit(s).alias("start"), nearest(p).alias("m")) for s, p in falling.items())))
+        assigned = base.select(*numbers, *categories, each.alias("e")).select("e.start", "e.m.cluster", "e.m.distance", *(F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in numbers), *categories)
+        sums = assigned.groupBy("start", "cluster").agg(F.sum("distance").alias("_cost"), *(F.avg(c).alias(c) for c in numbers)).collect()
+        costs: dict[int, float] = {}
+        for r in sums:
+            costs[r.start] = costs.get(r.start, 0.0) + r._cost
+        still = {s for s, c in costs.items() if s not in best or c < best[s][0] - 1e-9 * max(1.0, abs(best[s][0]))}
+        best |= {s: (costs[s], falling[s]) for s in still}
+        if not still:
             break
-        best, labelled = cost, assigned
-        means = {r["cluster"]: r for r in assigned.groupBy("cluster").agg(*(F.avg(c).alias(c) for c in numbers)).collect()}
         modes = {}
-        for c in categories:
-            counts = assigned.groupBy("cluster", c).count()
-            for r in counts.groupBy("cluster").agg(F.min_by(c, F.struct((-F.col("count")).alias("n"), c)).alias("mode")).collect():
-                modes[r["cluster"], c] = r["mode"]
-        prototypes = [({c: means[i][c] for c in numbers}, {c: modes[i, c] for c in categories}) if i in means else prototypes[i] for i in range(k)]
-    return labelled.select(key, "cluster", F.round("distance", 6).alias("distance"))
+        if categories:
+            long = assigned.where(F.col("start").isin(*still)).select("start", "cluster", F.inline(F.array(*(F.struct(F.lit(c).alias("variable"), F.col(c).cast("string").alias("level")) for c in categories))))
+            counts = long.groupBy("start", "cluster", "variable", "level").agg(F.count("*").alias("n"))
+            modes = {(r.start, r.cluster, r.variable): r.level for r in counts.groupBy("start", "cluster", "variable").agg(F.min_by("level", F.struct((-F.col("n")).alias("n"), "level")).alias("level")).collect()}
+        means = {(r.start, r.cluster): {c: float(r[c]) for c in numbers} for r in sums}
+        falling = {s: [(means.get((s, i), num), {c: modes.get((s, i, c), cat[c]) for c in categories}) if (s, i) in means else (num, cat) for i, (num, cat) in enumerate(falling[s])] for s in still}
+    cost, prototypes = min(best.values(), key=lambda b: b[0])
+    return base.select(key, nearest(prototypes).alias("m")).select(key, "m.cluster", F.round("m.distance", 6).alias("distance")), cost
+
+
+def kprototypes_sweep(rows: DataFrame, key: str, numbers: list[str], categories: list[str], ks, **settings) -> DataFrame:
+    """``k, cost``: the cheapest start's cost for each number of clusters."""
+    out = [(k, round(kprototypes(rows, key, numbers, categories, k=k, **settings)[1], 4)) for k in ks]
+    return rows.sparkSession.createDataFrame(out, "k int, cost double")
 
 
 def silhouette(points: DataFrame, key: str, vector: str, label: str, block: int = 2000) -> DataFrame:

@@ -273,11 +273,20 @@ def gmm_bic(spark, sf):
     return clusters.gmm_sweep(table(spark, sf, "embeddings").select("vec_id", F.slice("embedding", 1, 6).alias("embedding")), "embedding", range(2, 5))
 
 
+def _prototype_rows(spark, sf):
+    return table(spark, sf, "customer").select("c_custkey", (F.col("c_acctbal") / 5000).alias("balance"), "c_mktsegment", (F.col("c_nationkey") % 5).cast("string").alias("region"))
+
+
 def kprototypes(spark, sf):
     from canvass.operators import clusters
 
-    c = table(spark, sf, "customer").select("c_custkey", (F.col("c_acctbal") / 5000).alias("balance"), "c_mktsegment", (F.col("c_nationkey") % 5).cast("string").alias("region"))
-    return clusters.kprototypes(c, "c_custkey", ["balance"], ["c_mktsegment", "region"], k=3)
+    return clusters.kprototypes(_prototype_rows(spark, sf), "c_custkey", ["balance"], ["c_mktsegment", "region"], k=3)[0]
+
+
+def kprototypes_sweep(spark, sf):
+    from canvass.operators import clusters
+
+    return clusters.kprototypes_sweep(_prototype_rows(spark, sf), "c_custkey", ["balance"], ["c_mktsegment", "region"], range(2, 5), starts=4, rounds=10)
 
 
 def _mixed(spark, sf):
@@ -408,6 +417,7 @@ QUERIES = {
     "kmeans_sweep": (kmeans_sweep, None),
     "gmm_bic": (gmm_bic, None),
     "kprototypes": (kprototypes, None),
+    "kprototypes_sweep": (kprototypes_sweep, None),
     "famd_variance": (famd_variance, None),
     "famd_coordinates": (famd_coordinates, None),
     "logistic_map": (logistic_map, None),

@@ -83,7 +83,7 @@ def test_chains_agree_with_each_other_and_the_truth(spark):
 
 def test_kprototypes_covers_all_rows(spark):
     rows = spark.createDataFrame([(i, float(i % 2) * 10, "a" if i % 2 else "b") for i in range(40)], "id long, v double, c string")
-    got = clusters.kprototypes(rows, "id", ["v"], ["c"], k=2).collect()
+    got = clusters.kprototypes(rows, "id", ["v"], ["c"], k=2)[0].collect()
     assert len(got) == 40
     assert len({r["cluster"] for r in got if r["id"] % 2}) == 1
 
@@ -175,3 +175,38 @@ def test_famd_against_the_dense_matrix(spark):
     assert np.allclose([got[i] for i in range(n)], want, atol=1e-8)
     shares = famd.contributions(found)
     assert {c for c, _, _ in shares} == {"a", "b", "g", "h"} and sum(v for _, j, v in shares if j == 0) == pytest.approx(1)
+
+
+def test_kprototypes_against_brute_starts(spark):
+    """The cost isn't above the best of ten searches from rows drawn at random."""
+    r = np.random.default_rng(7)
+    n, k, gamma = 240, 3, 1.5
+    label = r.integers(0, k, n)
+    x = r.normal(0, 0.7, (n, 2)) + np.array([[0, 0], [2.5, 0], [0, 2.5]])[label]
+    g = np.array(list("abc"))[np.where(r.random(n) < 0.8, label, r.integers(0, 3, n))]
+    h = np.array(list("uv"))[np.where(r.random(n) < 0.7, label % 2, r.integers(0, 2, n))]
+
+    def search(first):
+        num, cat = x[first], [(g[i], h[i]) for i in first]
+        before = np.inf
+        while True:
+            d = ((x[:, None] - num) ** 2).sum(2) + gamma * np.array([[(g[i] != a) + (h[i] != b) for a, b in cat] for i in range(n)])
+            own, cost = d.argmin(1), d.min(1).sum()
+            if cost >= before - 1e-9:
+                return before
+            before = cost
+            mode = lambda v, m: min(set(v[m]), key=lambda t: (-(v[m] == t).sum(), t))
+            num = np.array([x[own == c].mean(0) if (own == c).any() else num[c] for c in range(k)])
+            cat = [(mode(g, own == c), mode(h, own == c)) if (own == c).any() else cat[c] for c in range(k)]
+
+    brute = min(search(r.choice(n, k, replace=False)) for _ in range(10))
+    frame = spark.createDataFrame([(i, float(a), float(b), str(s), str(t)) for i, ((a, b), s, t) in enumerate(zip(x, g, h, strict=True))], "id int, a double, b double, g string, h string")
+    found, cost = clusters.kprototypes(frame, "id", ["a", "b"], ["g", "h"], k=k, starts=10)
+    assert cost <= brute + 1e-6
+    rows = found.collect()
+    assert len(rows) == n and sum(row.distance for row in rows) == pytest.approx(cost, abs=1e-3)
+    seeds = clusters._dense_seeds(frame, ["g", "h"], 3)
+    freq = lambda v: (np.array([(g == v[0]).mean(), (h == v[1]).mean()])).mean()
+    assert freq((seeds[0]["g"], seeds[0]["h"])) == pytest.approx(max(freq((a, b)) for a in "abc" for b in "uv"))
+    nothing, _ = clusters.kprototypes(frame.where("false"), "id", ["a"], ["g"])
+    assert nothing.collect() == []
