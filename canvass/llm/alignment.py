@@ -220,8 +220,8 @@ def _code(cuts: str):
 def align(tokens: DataFrame, a_sizes: DataFrame, b_sizes: DataFrame, scratch: Scratch) -> DataFrame:
     """``tokens``: ``key, a array<int>, b array<int>``, ids that spell the same
     bytes; sizes: ``id, size`` of every entry (a vocabulary, so of bounded size).
-    Returns ``key, n_a, n_b, n_groups, n_links, groups, pairs``: every linked pair of
-    ids (A's in the upper half) as often as it is linked."""
+    Returns ``key, group, a, b``: the groups of each text, numbered from 1, with the
+    ids of A and of B in them."""
     # Dealt out once; explode, windows and joins all stay within a key's partition.
     dealt = tokens.repartition("key")
 
@@ -236,15 +236,23 @@ def align(tokens: DataFrame, a_sizes: DataFrame, b_sizes: DataFrame, scratch: Sc
     groups = cuts.select("key", F.row_number().over(in_order).alias("group"), "a_place", "b_place", before("a_place").alias("a_before"), before("b_place").alias("b_before"))
     part = lambda c: F.slice(c, F.col(f"{c}_before") + 2, F.col(f"{c}_place") - F.col(f"{c}_before"))
     with settings(tokens.sparkSession, **{SPLIT_BY_SOME: "false"}):
-        both = scratch.keep(groups.join(dealt, "key").select("key", "group", part("a").alias("a"), part("b").alias("b")))
+        return scratch.keep(groups.join(dealt, "key").select("key", "group", part("a").alias("a"), part("b").alias("b")))
+
+
+def linked(groups: DataFrame) -> DataFrame:
+    """``key, pairs``: every linked pair of ids of a text (A's in the upper half), as
+    often as it is linked."""
+    pair = lambda x, y: F.shiftleft(x.cast("long"), 32).bitwiseOR(y.cast("long"))
+    each = F.flatten(F.transform("a", lambda x: F.transform("b", lambda y: pair(x, y))))
+    return groups.groupBy("key").agg(F.flatten(F.collect_list(each)).alias("pairs"))
+
+
+def spelled_out(groups: DataFrame) -> DataFrame:
+    """``key, n_a, n_b, n_groups, n_links, groups``: a text's groups in order as text."""
     written = lambda c: F.array_join(F.col(c).cast("array<string>"), ",")
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("group", F.concat(written("a"), F.lit("|"), written("b")).alias("text")))), lambda x: x.text), ";")
     n_a, n_b = F.size("a").cast("long"), F.size("b").cast("long")
-    pair = lambda x, y: F.shiftleft(x.cast("long"), 32).bitwiseOR(y.cast("long"))
-    pairs = F.flatten(F.collect_list(F.flatten(F.transform("a", lambda x: F.transform("b", lambda y: pair(x, y))))))
-    sums = scratch.keep(both.groupBy("key").agg(F.sum(n_a).alias("n_a"), F.sum(n_b).alias("n_b"), F.count("*").alias("n_groups"), F.sum(n_a * n_b).alias("n_links"), text.alias("groups"), pairs.alias("pairs")))
-    scratch.drop(both)
-    return sums
+    return groups.groupBy("key").agg(F.sum(n_a).alias("n_a"), F.sum(n_b).alias("n_b"), F.count("*").alias("n_groups"), F.sum(n_a * n_b).alias("n_links"), text.alias("groups"))
 
 
 def packed(numbers: np.ndarray) -> bytes:
@@ -344,14 +352,18 @@ def aligned(docs: DataFrame, a_path: str, b_path: str, scratch: Scratch | None =
     groups = align(units.where("spelt").select("key", "a", "b"), _sizes(spark, pair.a_bytes), _sizes(spark, pair.b_bytes), scratch)
     scratch.drop(coded, units)
 
-    of_unit = numbered.join(groups.select("key", "pairs"), "key", "left").select("block", "unit", "spelt", "pairs")
-    held = coded_docs.select("block", "units").groupBy("block").cogroup(of_unit.groupBy("block")).applyInArrow(_held, "pair long, n long")
-    counts = scratch.keep(held.groupBy("pair").agg(F.sum("n").alias("n")).withColumn("a", F.shiftright("pair", 32)))
+    # Half of the blocks at a time, so that half as much is shuffled at once.
+    held = []
+    for half in range(2):
+        mine = F.pmod(F.shiftright("block", 32) + F.col("block"), F.lit(2)) == half
+        of_unit = numbered.where(mine).join(linked(groups), "key", "left").select("block", "unit", "spelt", "pairs")
+        each = coded_docs.where(mine).select("block", "units").groupBy("block").cogroup(of_unit.groupBy("block")).applyInArrow(_held, "pair long, n long")
+        held.append(scratch.keep(each.groupBy("pair").agg(F.sum("n").alias("n"))))
+    counts = scratch.keep(held[0].unionByName(held[1]).groupBy("pair").agg(F.sum("n").alias("n")).withColumn("a", F.shiftright("pair", 32)))
     counts = counts.join(counts.groupBy("a").agg(F.max("n").alias("most")), "a").select("pair", "n", (F.col("n") == F.col("most")).cast("long").alias("best"))
-    rated = groups.select("key", F.explode("pairs").alias("pair")).join(counts, "pair").groupBy("key").agg(F.sum("best").alias("n_best"), F.sum("n").alias("count_sum"))
-    units = scratch.keep(groups.drop("pairs").join(rated, "key", "left"))
-    scratch.drop(groups)
+    rated = linked(groups).select("key", F.explode("pairs").alias("pair")).join(counts, "pair")
+    rated = scratch.keep(rated.groupBy("key").agg(F.sum("best").alias("n_best"), F.sum("n").alias("count_sum")))
     # Units of documents that aren't spelt only have no counts.
-    whole = numbered.join(units, "key", "left").select("block", "unit", "spelt", *[F.coalesce(c, F.lit(0)).alias(c) for c in SUMS], "groups")
+    whole = numbered.join(spelled_out(groups), "key", "left").join(rated, "key", "left").select("block", "unit", "spelt", *[F.coalesce(c, F.lit(0)).alias(c) for c in SUMS], "groups")
     schema = ", ".join(["doc_id long", *(f"{c} long" for c in SUMS), "groups_sha256 string"])
     return coded_docs.groupBy("block").cogroup(whole.groupBy("block")).applyInArrow(_summed, schema)
