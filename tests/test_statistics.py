@@ -38,7 +38,7 @@ def test_t_and_special_functions():
 
 def test_shortest_interval_of_known_draws(spark):
     draws = spark.range(100).select(F.lit("a").alias("g"), F.when(F.col("id") < 95, F.col("id") / 128).otherwise(F.col("id") * 10.0).alias("v"))
-    r = S.shortest_interval(draws, "v", ["g"], 0.9).first()
+    r = order.shortest_interval(draws, "v", ["g"], 0.9).first()
     assert (r["lo"], r["hi"]) == (0.0, 90 / 128)
 
 
