@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The county of a city, the last resort where a record has no county and no known ZIP code.
+# The county of a city, for records without a county of their own; it goes before that of the ZIP code.
 CITY_COUNTY = {
     "columbus": "FranklinCounty",
     "athens": "AthensCounty",

@@ -95,6 +95,18 @@ INVERT = """SELECT event_id, CASE event_type WHEN 'click' THEN 0 WHEN 'error' TH
   len(list_filter(string_split(event_type, 'i'), lambda x: length(x) > 2)) > 0 AS has_any FROM events"""
 
 
+def person_ids(spark, sf):
+    """Customers by e-mail, else by the parts of their name."""
+    c = table(spark, sf, "customer")
+    kind = F.col("c_custkey") % 3
+    email = F.when(kind == 0, F.concat(F.lit(" C"), F.col("c_custkey").cast("string"), F.lit("@E.org "))).when(kind == 1, F.lit("no address"))
+    first, last = F.when(kind != 2, F.concat(F.lit(" "), F.col("c_mktsegment"))).otherwise(F.lit(" ")), F.when(F.col("c_custkey") % 5 != 0, F.col("c_name"))
+    return c.select("c_custkey", files.person_id(email, first, last).alias("person_id"))
+
+
+PERSON_IDS = """SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'c' || c_custkey || '@e.org' ELSE nullif(trim(concat_ws(' ', CASE WHEN c_custkey % 3 = 1 THEN c_mktsegment END, CASE WHEN c_custkey % 5 <> 0 THEN c_name END)), '') END AS person_id FROM customer"""
+
+
 def sync_counters(spark, sf):
     """Rows that a merge inserts, updates and leaves as they are."""
     o = table(spark, sf, "orders")
@@ -160,6 +172,7 @@ QUERIES = {
     "format_values": (format_values, FORMATS),
     "column_selection": (column_selection, SELECTION),
     "invert_lookup": (invert_lookup, INVERT),
+    "person_ids": (person_ids, PERSON_IDS),
     "sync_counters": (sync_counters, COUNTERS),
     "incremental_sync": (incremental_sync, INCREMENTAL),
     "cache_keys": (cache_keys, CACHE_KEYS),

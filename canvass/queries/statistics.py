@@ -49,8 +49,7 @@ T_TEST = _T.format(g="toxic") + " UNION ALL " + _T.format(g="quality")
 
 def silhouette_exact(spark, sf):
     """Mean silhouette (Euclidean) per label over all vectors.  Distances of all
-    pairs are the definition; on large inputs use operators.clusters.silhouette,
-    which works in blocks."""
+    pairs are the definition, and they are taken, block against block."""
     from canvass.operators import clusters
 
     points = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("x"), "label")

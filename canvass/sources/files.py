@@ -39,6 +39,12 @@ def typed(rows: DataFrame) -> DataFrame:
     return rows.withColumn("participant_id", F.coalesce("email", "phone"))
 
 
+def person_id(email: Column, *names: Column) -> Column:
+    """The e-mail's key, else the parts of the name joined and trimmed; null for neither."""
+    parts = F.concat_ws(" ", *(F.nullif(F.trim(n), F.lit("")) for n in names))
+    return F.coalesce(X.email(email), F.nullif(F.trim(parts), F.lit("")))
+
+
 def write_export(rows: DataFrame, path: str) -> None:
     """The 21-column export, a folder a campaign: flags as Yes and No, null as ''."""
     cols = [X.yes_no(F.coalesce(c, F.lit(False))).alias(c) if c in FLAGS else F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in EXPORT]

@@ -38,3 +38,8 @@ def test_examples(spark, f, value, want):
 def test_status_rules(spark):
     rows = spark.createDataFrame([("email", True, True), ("email", False, True), ("mailer", None, None), ("fax", True, True)], "c string, s boolean, w boolean")
     assert [r[0] for r in rows.select(V.status(F.col("c"), F.col("s"), F.col("w"))).collect()] == ["engaged", "received", "no_engagement", "no_engagement"]
+
+
+def test_stamps_are_one_time(spark):
+    rows = V.stamps(spark.range(3), "made", "seen").collect()
+    assert len({(r.made, r.seen) for r in rows}) == 1 and rows[0].made == rows[0].seen
