@@ -16,6 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from canvass import storage
 from canvass.functions import text as T
 from canvass.operators.containment import either
 
@@ -34,7 +35,8 @@ def _once(rows: DataFrame, **columns: Column) -> DataFrame:
 
 
 def prepare(contacts: DataFrame, demographic: DataFrame, residential: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The keys that strategies compare, computed once."""
+    """The keys that strategies compare, computed and written once: many joins read
+    them, and the expressions behind them are long."""
     keys = lambda c: {"email_key": T.email(F.col("email")), "phone_key": F.nullif(T.phone(F.col("phone")), F.lit("")), "zip_key": T.zip_number(F.col("zip"))}
     c = contacts.withColumns(keys(contacts)).withColumns({"raw": T.blank_to_null(F.col("address"))})
     name = lambda k: F.coalesce(T.person(F.col(k)), F.lit(""))
@@ -43,7 +45,8 @@ def prepare(contacts: DataFrame, demographic: DataFrame, residential: DataFrame)
     r = residential.withColumns({"zip_key": T.zip_number(F.col("zip")), "r_address": T.blank_to_null(F.col("address"))})
     r = _once(r, r_key=F.nullif(T.address(F.col("address")), F.lit("")))
     d = d.select("county", "parcel_id", *(F.col(k).alias(f"d_{k}") for k in ("email_key", "phone_key", "zip_key", "full_key")))
-    return c, d, r.select("county", "parcel_id", F.col("zip_key").alias("r_zip"), "r_address", "r_key")
+    r = r.select("county", "parcel_id", F.col("zip_key").alias("r_zip"), "r_address", "r_key")
+    return storage.kept(c, "contacts"), storage.kept(d, "demographic"), storage.kept(r, "residential")
 
 
 def _each(rows: DataFrame, keep: list[str], **keys: Column) -> DataFrame:
@@ -122,7 +125,7 @@ def candidates(contacts: DataFrame, demographic: DataFrame, residential: DataFra
     none = F.lit(None).cast("string")
     equal = mine.join(theirs, ["kind", "county", "key"]).withColumns({"first_key": none, "last_key": none, "full_key": none})
     columns = ["contact_id", "county", "parcel_id", "kind", "address_key", "r_key", "first_key", "last_key", "full_key"]
-    met = equal.select(*columns).unionByName(_contained(*_texts(c, d, r)).select(*columns))
+    met = equal.select(*columns).unionByName(_contained(*(storage.kept(t, "texts") for t in _texts(c, d, r))).select(*columns))
     k = F.regexp_replace("kind", "_zip$", "")
     place = F.element_at(F.create_map(*(F.lit(x) for pair in (("email", 0), ("name", 1), ("phone", 2), ("exact", 3), ("key", 4), ("route", 5), ("hyphen", 6), ("fuzzy", 7)) for x in pair)), k)
     score = F.when(k == "fuzzy", T.fuzzy_score(F.col("address_key"), F.col("r_key"))).otherwise(1.0)
