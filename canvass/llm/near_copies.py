@@ -25,12 +25,17 @@ share long runs of entries, so a pair comes about once rather than at each of
 them, and never less than once, as its first has none before it.  Links come
 from whole sets alone.
 
+The joins by entry and by pair go through slices of their keys, so that the disk
+they shuffle through is a part of the whole.
+
 Texts without words are copies of each other.  Repeated rows give repeated
 results with one component; rows without doc_id are left out.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -52,6 +57,8 @@ MOST_BITS = 5
 SKETCH = 8
 #: Earlier entries of its class that each entry of the last join knows.
 EARLIER = 2
+#: Rows that a slice of the joins by entry, and by pair, should have, and the most slices.
+SLICE_ENTRIES, SLICE_PAIRS, SLICES = 2_000_000, 20_000, 16
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -166,6 +173,16 @@ def met_before(a: str, b: str) -> str:
     return f"coalesce({known}, false)"
 
 
+def slices(rows: int, each: int) -> int:
+    """How many slices a join goes through one after another: what is shuffled for
+    it at once is a part of the rows, whatever their number."""
+    return max(1, min(SLICES, -(-rows // each)))
+
+
+def _all(tables: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, tables)
+
+
 def similar(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, width: int, scratch: Scratch) -> DataFrame:
     """Those of the pairs ``a, b`` whose sets have the similarity 0.8."""
     left, right = (sketches.select(F.col("rep").alias(k), F.col("n").alias(f"n_{k}"), F.col("sketch").alias(f"s_{k}")) for k in "ab")
@@ -174,10 +191,13 @@ def similar(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, width: int,
     whole = scratch.keep(sets(docs.join(met, "doc_id", "left_semi"), width))
     left = whole.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x"))
     right = whole.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
-    both = pairs.join(left, "a").join(right, "b")
-    found = scratch.keep(both.where("9 * size(array_intersect(x, y)) >= 4 * (size(x) + size(y))").select("a", "b").distinct())
+    n, found = slices(pairs.count(), SLICE_PAIRS), []
+    for k in range(n):
+        mine = lambda rows: rows.where(F.pmod(F.xxhash64("a"), F.lit(n)) == k)  # noqa: B023, E731
+        both = mine(pairs).join(right, "b").join(mine(left), "a")
+        found.append(scratch.keep(both.where("9 * size(array_intersect(x, y)) >= 4 * (size(x) + size(y))").select("a", "b").distinct()))
     scratch.drop(pairs, whole)
-    return found
+    return _all(found)
 
 
 def near_copies(docs: DataFrame, width: int = 5, scratch: Scratch | None = None) -> DataFrame:
@@ -200,19 +220,23 @@ def near_copies(docs: DataFrame, width: int = 5, scratch: Scratch | None = None)
     apart = simhash.links(alike.select("fingerprint", F.col("head").alias("rep")), scratch, MOST_BITS)
     proposed = same.unionByName(apart.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
 
-    entries = scratch.keep(classes.select(F.posexplode("entries").alias("pos", "entry"), "rep", "n").select("entry", F.struct("rep", "n", "pos").alias("one")))
+    n = slices(classes.agg(F.sum(F.size("entries"))).first()[0] or 0, SLICE_ENTRIES)
+    part = lambda rows, k: rows.where(F.pmod(F.col("entry"), F.lit(n)) == k)
+    shared = []
+    for k in range(n):
+        entries = part(classes.select(F.posexplode("entries").alias("pos", "entry"), "rep", "n"), k).select("entry", F.struct("rep", "n", "pos").alias("one"))
+        # Groups, not windows: they are summed up before they meet, and the join can be split.
+        ends = entries.groupBy("entry").agg(F.min("one").alias("head"), F.max("one.rep").alias("end")).where("head.rep < end").select("entry", "head")
+        to = F.when((F.col("one.rep") != F.col("head.rep")) & possible("one", "head"), F.col("head.rep"))
+        shared.append(scratch.keep(entries.join(ends, "entry").select("entry", "one", to.alias("to"))))
     scratch.drop(classes)
-    # Groups, not windows: they are summed up before they meet, and the join can be split.
-    ends = scratch.keep(entries.groupBy("entry").agg(F.min("one").alias("head"), F.max("one.rep").alias("end")).where("head.rep < end").select("entry", "head"))
-    shared = scratch.keep(entries.join(ends, "entry"))
-    scratch.drop(entries, ends)
-    first = shared.where("one.rep <> head.rep").where(possible("one", "head")).select(F.col("head.rep").alias("a"), F.col("one.rep").alias("b"))
+    first = _all(shared).where("to IS NOT NULL").select(F.col("to").alias("a"), F.col("one.rep").alias("b"))
     links = similar(proposed.unionByName(first), sketches, docs, width, scratch)
     joined = scratch.keep(components(links, scratch))
 
-    rest = shared.join(joined, F.col("one.rep") == F.col("node"), "left").select("entry", "one", F.coalesce("component", "one.rep").alias("c"))
+    rest = _all(shared).join(joined, F.col("one.rep") == F.col("node"), "left").select("entry", "one", F.coalesce("component", "one.rep").alias("c"))
     rest = scratch.keep(rest)
-    scratch.drop(shared)
+    scratch.drop(*shared)
     ends = scratch.keep(rest.groupBy("entry").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("entry"))
     some = rest.join(ends, "entry", "left_semi").join(sketches.select("rep", "sketch"), F.col("one.rep") == F.col("rep"))
     # One class in order: its size and sketch keep apart what repeated rows with other texts put under one rep.
@@ -221,8 +245,10 @@ def near_copies(docs: DataFrame, width: int = 5, scratch: Scratch | None = None)
     scratch.drop(rest, ends)
     other = some.select("entry", F.col("one").alias("two"), F.col("c").alias("d"), F.col("sketch").alias("drawn"), F.col("earlier").alias("sooner"))
     # The sketches speak within the join, before a pair becomes a row.
-    pairs = some.join(other, "entry").where("one.rep < two.rep AND c <> d").where(possible("one", "two")).where(f"NOT {met_before('earlier', 'sooner')}").where(f"9 * ({apart_in('sketch', 'drawn')}) <= one.n + two.n")
-    more = similar(pairs.select(F.col("one.rep").alias("a"), F.col("two.rep").alias("b")), sketches, docs, width, scratch)
+    pairs = [part(some, k).join(part(other, k), "entry").where("one.rep < two.rep AND c <> d").where(possible("one", "two")).where(f"NOT {met_before('earlier', 'sooner')}").where(f"9 * ({apart_in('sketch', 'drawn')}) <= one.n + two.n") for k in range(n)]
+    pairs = [scratch.keep(p.select(F.col("one.rep").alias("a"), F.col("two.rep").alias("b")).distinct()) for p in pairs]
+    scratch.drop(some)
+    more = similar(_all(pairs), sketches, docs, width, scratch)
     if not more.isEmpty():
         joined = scratch.keep(components(links.unionByName(more), scratch))
     named = sketches.join(joined, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("component", "rep").alias("component_id"))

@@ -76,3 +76,20 @@ def test_stage_drops_what_four_bits_miss(spark):
 
 def test_no_near_copies(no_docs):
     assert near_copies.near_copies(no_docs).count() == 0
+
+
+def test_slices_change_nothing(spark, monkeypatch):
+    """The joins by entry and by pair in slices give what they give at once, and
+    each slice reads a part of the entries."""
+    texts = [" ".join(f"w{(i * 7 + j) % 900}" for j in range(60)) for i in range(60)]
+    texts += [t.replace("w5 ", "x ", 1) for t in texts[:30]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = sorted(map(tuple, near_copies.near_copies(docs).collect()))
+    monkeypatch.setattr(near_copies, "SLICE_ENTRIES", 200)
+    monkeypatch.setattr(near_copies, "SLICE_PAIRS", 20)
+    tables = []
+    keep = near_copies.Scratch.keep
+    monkeypatch.setattr(near_copies.Scratch, "keep", lambda self, df: tables.append(keep(self, df)) or tables[-1])
+    assert sorted(map(tuple, near_copies.near_copies(docs).collect())) == want
+    assert len({c for _, c in want}) < len(texts)
+    assert sum(t.columns == ["entry", "one", "to"] for t in tables) > 3
