@@ -7,6 +7,9 @@ has is looked up nowhere.  So a common street or house number draws nothing that
 rarer piece of the text wouldn't.  Texts are made distinct before any of this, and
 a piece that is common all the same is dealt out over so many salted parts that
 each has ``HOT`` long texts or so.
+
+A text has as many rows of pieces as letters, which Spark's estimates don't know:
+the joins of pieces are merges by a hint, lest a side be collected for a broadcast.
 """
 
 from __future__ import annotations
@@ -49,14 +52,14 @@ def met(short: DataFrame, long: DataFrame, on: list[str]) -> DataFrame:
     by = [*on, "piece"]
     pieces = short.select(*on, "short", F.explode(asked(F.col("short"))).alias("piece"))
     have = long.select(*on, "long", F.explode(offered(F.col("long"), F.col("least"))).alias("piece"))
-    counts = have.join(pieces.select(*by).distinct(), by, "left_semi").groupBy(*by).agg(F.count("*").alias("n"))
+    counts = have.hint("merge").join(pieces.select(*by).distinct(), by, "left_semi").groupBy(*by).agg(F.count("*").alias("n"))
     # Pieces that no long text has fall out of this join, and so the texts that ask for them.
-    found = pieces.join(counts, by).groupBy(*on, "short").agg(F.count("*").alias("found"), F.min_by(F.struct("piece", "n"), F.struct("n", "piece")).alias("rarest"))
+    found = pieces.hint("merge").join(counts, by).groupBy(*on, "short").agg(F.count("*").alias("found"), F.min_by(F.struct("piece", "n"), F.struct("n", "piece")).alias("rarest"))
     found = found.where(F.col("found") == F.size(asked(F.col("short"))))
     parts = lambda n: F.ceil(n / HOT)
     left = found.select(*on, "short", F.col("rarest.piece").alias("piece"), F.explode(F.sequence(F.lit(1).cast("long"), parts(F.col("rarest.n")))).alias("part"))
-    right = have.join(counts, by).select(*by, "long", (F.pmod(F.xxhash64("long"), parts(F.col("n"))) + 1).alias("part"))
-    return left.join(right, [*by, "part"]).select(*on, "short", "long")
+    right = have.hint("merge").join(counts, by).select(*by, "long", (F.pmod(F.xxhash64("long"), parts(F.col("n"))) + 1).alias("part"))
+    return left.hint("merge").join(right, [*by, "part"]).select(*on, "short", "long")
 
 
 def containing(short: DataFrame, long: DataFrame, on: list[str]) -> DataFrame:
