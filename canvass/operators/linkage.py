@@ -90,7 +90,13 @@ def _texts(c: DataFrame, d: DataFrame, r: DataFrame) -> tuple[DataFrame, DataFra
         row(r, "hyphen", whole, F.col("r_key"), keys, True),
         row(r, "fuzzy", F.col("r_house"), T.address_rest(F.col("r_key")), keys, True),
     ]
-    return reduce(DataFrame.unionByName, mine), reduce(DataFrame.unionByName, theirs)
+    return reduce(DataFrame.unionByName, mine), _least(reduce(DataFrame.unionByName, theirs))
+
+
+def _least(theirs: DataFrame) -> DataFrame:
+    """Of parcels that agree in all that is compared the least, which is the one that
+    the best hit has; so equal texts meet a contact once, however many parcels bear them."""
+    return theirs.groupBy(*(c for c in theirs.columns if c != "parcel_id")).agg(F.min("parcel_id").alias("parcel_id"))
 
 
 def _contained(mine: DataFrame, theirs: DataFrame) -> DataFrame:
@@ -101,8 +107,9 @@ def _contained(mine: DataFrame, theirs: DataFrame) -> DataFrame:
 
 
 def candidates(contacts: DataFrame, demographic: DataFrame, residential: DataFrame) -> DataFrame:
-    """All hits of all strategies: contact_id, county, parcel_id, priority,
-    method, quality, score.
+    """The hits of all strategies: contact_id, county, parcel_id, priority, method,
+    quality, score.  Of parcels that are alike in all that a strategy compares there
+    is the least alone, which comes before the others in every order of hits.
 
     Two joins find them: one on equal keys of all strategies, one on texts that
     contain one another.  Both have the strategy among their keys."""
@@ -123,7 +130,7 @@ def candidates(contacts: DataFrame, demographic: DataFrame, residential: DataFra
         key_zip=_and("r_zip", F.col("r_key")), key=F.col("r_key"), hyphen=F.col("r_key"), fuzzy_zip=_and("r_zip", r_house),
     ))
     none = F.lit(None).cast("string")
-    equal = mine.join(theirs, ["kind", "county", "key"]).withColumns({"first_key": none, "last_key": none, "full_key": none})
+    equal = mine.join(_least(theirs), ["kind", "county", "key"]).withColumns({"first_key": none, "last_key": none, "full_key": none})
     columns = ["contact_id", "county", "parcel_id", "kind", "address_key", "r_key", "first_key", "last_key", "full_key"]
     met = equal.select(*columns).unionByName(_contained(*(storage.kept(t, "texts") for t in _texts(c, d, r))).select(*columns))
     k = F.regexp_replace("kind", "_zip$", "")
@@ -211,9 +218,12 @@ def name_key_match(contacts: DataFrame, demographic: DataFrame) -> DataFrame:
     contact_id, county, parcel_id, with_zip."""
     named = contacts.where("trim(first) <> '' AND trim(last) <> ''").select("contact_id", "county", F.concat_ws(" ", F.upper("first"), F.upper("last")).alias("name"), T.zip_number(T.zip_digits(F.col("zip"))).alias("own"))
     known = demographic.select("county", F.col("full_name").alias("name"), "parcel_id", T.zip_number(F.col("zip")).alias("other"))
-    met = named.join(known, ["county", "name"]).withColumn("with_zip", F.coalesce(F.col("own") == F.col("other"), F.lit(False)))
-    order = F.struct((~F.col("with_zip")).alias("k"), "parcel_id")
-    return met.groupBy("contact_id", "county").agg(F.min_by(F.struct("parcel_id", "with_zip"), order).alias("m")).select("contact_id", "county", "m.*")
+    # The least parcel of a name, in each ZIP code and in the county: a contact meets one of each.
+    near = known.where("other IS NOT NULL").groupBy("county", "name", F.col("other").alias("own")).agg(F.min("parcel_id").alias("near"))
+    far = known.groupBy("county", "name").agg(F.min("parcel_id").alias("far"))
+    met = named.join(far, ["county", "name"]).join(near, ["county", "name", "own"], "left")
+    found = F.when(F.col("near").isNotNull(), F.struct(F.lit(False).alias("k"), F.col("near").alias("parcel_id"))).otherwise(F.struct(F.lit(True).alias("k"), F.col("far").alias("parcel_id")))
+    return met.groupBy("contact_id", "county").agg(F.min(found).alias("m")).select("contact_id", "county", "m.parcel_id", (~F.col("m.k")).alias("with_zip"))
 
 
 def _alike(own: DataFrame, other: DataFrame) -> DataFrame:
@@ -237,7 +247,8 @@ def score_cascade(contacts: DataFrame, demographic: DataFrame, residential: Data
     if all_counties:
         contacts, demographic, residential = contacts.withColumn("county", F.lit("")), _countyless(demographic), _countyless(residential)
     c, d, r = prepare(contacts, demographic, residential)
-    both = r.join(d, ["county", "parcel_id"])
+    # Of parcels that are alike in what is compared, the least: it has the best hit.
+    both = _least(r.join(d, ["county", "parcel_id"]).select("county", "parcel_id", "r_zip", "r_key", "d_phone_key", "d_full_key"))
     at = _alike(c.withColumn("house", T.house_number(F.col("address_key"))).where("house IS NOT NULL"), both.withColumn("r_house", T.house_number(F.col("r_key"))))
     at = at.withColumn("s", T.fuzzy_score(F.col("address_key"), F.col("r_key"))).where(F.col("s") > FUZZY_LEAST)
     # The dear join is read once: each of its rows gives up to three hits.
@@ -249,7 +260,7 @@ def score_cascade(contacts: DataFrame, demographic: DataFrame, residential: Data
         F.when(name.isNotNull(), hit(3, "name_address", F.when((F.col("s") == 1) & (name == "exact"), 1.0).otherwise(F.col("s") * 0.9))),
     )
     near = at.select("contact_id", "county", "parcel_id", F.inline(F.array_compact(three)))
-    phone = c.join(d.withColumnRenamed("county", "_county"), (F.col("county") == F.col("_county")) & (F.col("phone_key") == F.col("d_phone_key")))
+    phone = c.join(_least(d.select(F.col("county").alias("_county"), "parcel_id", "d_phone_key")), (F.col("county") == F.col("_county")) & (F.col("phone_key") == F.col("d_phone_key")))
     every = near.unionByName(phone.select("contact_id", "county", "parcel_id", F.lit(2).alias("kind"), F.lit("phone").alias("method"), F.lit(1.0).alias("score")))
     first = F.when((F.col("kind") == 0) & (F.col("score") == 1), 0).when(F.col("kind") == 2, 1).otherwise(2)
     order = F.struct(first.alias("f"), (-F.col("score")).alias("s"), F.col("kind"), F.col("county"), F.col("parcel_id"))
