@@ -122,7 +122,9 @@ def address_key_join(spark, sf):
     own = F.when(F.col("p_partkey") % 2 == 0, F.concat_ws("-", F.col("p_size").cast("string"), F.replace("p_name", F.lit(" "), F.lit("."))))
     left = p.select(F.col("p_partkey").alias("contact_id"), T.address_key(F.coalesce(own, F.concat_ws(" ", F.col("p_size").cast("string"), F.upper("p_name")))).alias("key"))
     right = p.where("p_partkey % 4 <> 0").select(T.address_key(F.concat_ws(" ", F.col("p_size").cast("string"), "p_name")).alias("key"), F.col("p_partkey").alias("parcel_id"))
-    return left.join(right, "key", "left").groupBy("contact_id").agg(F.count("parcel_id").alias("n"), F.min("parcel_id").alias("first_parcel"))
+    # Counted by key first: a key of many contacts and parcels makes no row a pair.
+    found = right.where("key IS NOT NULL").groupBy("key").agg(F.count("parcel_id").alias("n"), F.min("parcel_id").alias("first_parcel"))
+    return left.join(found, "key", "left").groupBy("contact_id").agg(F.sum(F.coalesce("n", F.lit(0))).alias("n"), F.min("first_parcel").alias("first_parcel"))
 
 
 ADDRESS_KEY = """WITH k AS (SELECT p_partkey, regexp_replace(upper(p_size || p_name), '[^A-Z0-9]', '', 'g') AS key FROM part)
