@@ -64,16 +64,63 @@ def _dense_seeds(base: DataFrame, categories: list[str], k: int) -> list[dict]:
     return seeds
 
 
+_ASSIGNED = "start int, cluster int, variable int, level string, n long, value double"
+
+
+def _assigned(falling: dict[int, list], numbers: list[str], categories: list[str], gamma: float):
+    """Over a task's rows: for each start and cluster the number of rows with the sum
+    of their distances (variable -1), of each number, and each level's rows (the
+    variables by their places).  Ties go to the first cluster."""
+    import pyarrow as pa
+
+    k, p = len(next(iter(falling.values()))), len(numbers)
+    cells = [(s, i) for s in falling for i in range(k)]
+
+    def run(batches):
+        sums, levels = np.zeros((len(cells), 2 + p)), [{} for _ in categories]
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = [np.asarray(batch.column(f"n{j}")) for j in range(p)]
+            coded = [batch.column(f"c{j}").dictionary_encode() for j in range(len(categories))]
+            names = [[*c.dictionary.to_pylist(), None] for c in coded]
+            codes = [np.where(np.asarray(c.indices.is_null()), len(n) - 1, np.asarray(c.indices.fill_null(0))) for c, n in zip(coded, names, strict=True)]
+            for at, (_, prototypes) in enumerate(falling.items()):
+                d = np.zeros((batch.num_rows, k))
+                for i, (num, cat) in enumerate(prototypes):
+                    for c, v in zip(numbers, x, strict=True):
+                        d[:, i] += (v - num[c]) ** 2
+                    for c, v, n in zip(categories, codes, names, strict=True):
+                        d[:, i] += gamma * (v != (n.index(cat[c]) if cat[c] in n else -1))
+                cluster = d.argmin(1)
+                here = slice(at * k, at * k + k)
+                for j, v in enumerate([np.ones(len(d)), d[np.arange(len(d)), cluster], *x]):
+                    sums[here, j] += np.bincount(cluster, v, k)
+                for v, n, seen in zip(codes, names, levels, strict=True):
+                    counts = np.bincount(cluster * len(n) + v, minlength=k * len(n)).reshape(k, -1)
+                    for j, level in enumerate(n):
+                        if counts[:, j].any():
+                            seen.setdefault(level, np.zeros(len(cells), np.int64))[here] += counts[:, j]
+        out = [(s, i, j - 1, None, int(r[0]), float(r[1 + j])) for (s, i), r in zip(cells, sums, strict=True) if r[0] for j in range(1 + p)]
+        out += [(s, i, p + j, level, int(n), 0.0) for j, seen in enumerate(levels) for level, counts in seen.items() for (s, i), n in zip(cells, counts, strict=True) if n]
+        kinds = [pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.float64()]
+        columns = list(zip(*out, strict=True)) or [[]] * 6
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["start", "cluster", "variable", "level", "n", "value"])
+
+    return run
+
+
 def kprototypes(rows: DataFrame, key: str, numbers: list[str], categories: list[str], k: int = 3, gamma: float = 1.5, starts: int = 10, rounds: int = 30, seed: int = 42) -> tuple[DataFrame, float]:
     """Clusters of mixed rows: squared distance of numbers plus gamma for each
     category that differs.  Returns ``key, cluster, distance`` of the cheapest of
     some starts, and its cost.
 
     All starts have Cao's seeds for their categories and numbers drawn around the
-    columns' means.  A round assigns the rows for all starts that still fall in one
-    pass, and takes means and modes of all in two groupings.  Missing numbers count
-    as 0, a missing category is a level."""
-    base = storage.kept(rows.select(key, *numbers, *categories), "prototypes")
+    columns' means.  A round is one pass: each task assigns its rows for all starts
+    that still fall and returns sums of numbers and counts of levels by start and
+    cluster.  Missing numbers count as 0, a missing category is a level."""
+    base = storage.kept(rows.select(key, *numbers, *(F.col(c).cast("string").alias(c) for c in categories)), "prototypes")
+    plain = base.select(*(F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(f"n{j}") for j, c in enumerate(numbers)), *(F.col(c).alias(f"c{j}") for j, c in enumerate(categories)), F.lit(1).alias("one"))
     stats = base.agg(F.count("*").alias("n"), *(f(c).alias(f"{m}_{c}") for c in numbers for m, f in (("m", F.avg), ("s", F.stddev_pop)))).first()
     if not stats.n:
         return base.select(key, F.lit(0).alias("cluster"), F.lit(0.0).alias("distance")), 0.0
@@ -92,22 +139,22 @@ def kprototypes(rows: DataFrame, key: str, numbers: list[str], categories: list[
     best: dict[int, tuple[float, list]] = {}
     falling = dict(drawn)
     for _ in range(rounds):
-        each = F.explode(F.array(*(F.struct(F.lit(s).alias("start"), nearest(p).alias("m")) for s, p in falling.items())))
-        assigned = base.select(*numbers, *categories, each.alias("e")).select("e.start", "e.m.cluster", "e.m.distance", *(F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in numbers), *categories)
-        sums = assigned.groupBy("start", "cluster").agg(F.sum("distance").alias("_cost"), *(F.avg(c).alias(c) for c in numbers)).collect()
+        found = plain.mapInArrow(_assigned(falling, numbers, categories, gamma), _ASSIGNED).groupBy("start", "cluster", "variable", "level").agg(F.sum("n").alias("n"), F.sum("value").alias("value"))
+        # The commonest level of each variable is found before anything comes to the driver.
+        found = found.groupBy("start", "cluster", "variable").agg(F.min_by(F.struct("level", "n", "value"), F.struct((-F.col("n")).alias("n"), "level")).alias("r")).select("start", "cluster", "variable", "r.*").collect()
         costs: dict[int, float] = {}
-        for r in sums:
-            costs[r.start] = costs.get(r.start, 0.0) + r._cost
+        for r in found:
+            if r.variable == -1:
+                costs[r.start] = costs.get(r.start, 0.0) + r.value
         still = {s for s, c in costs.items() if s not in best or c < best[s][0] - 1e-9 * max(1.0, abs(best[s][0]))}
         best |= {s: (costs[s], falling[s]) for s in still}
         if not still:
             break
-        modes = {}
-        if categories:
-            long = assigned.where(F.col("start").isin(*still)).select("start", "cluster", F.inline(F.array(*(F.struct(F.lit(c).alias("variable"), F.col(c).cast("string").alias("level")) for c in categories))))
-            counts = long.groupBy("start", "cluster", "variable", "level").agg(F.count("*").alias("n"))
-            modes = {(r.start, r.cluster, r.variable): r.level for r in counts.groupBy("start", "cluster", "variable").agg(F.min_by("level", F.struct((-F.col("n")).alias("n"), "level")).alias("level")).collect()}
-        means = {(r.start, r.cluster): {c: float(r[c]) for c in numbers} for r in sums}
+        modes = {(r.start, r.cluster, categories[r.variable - len(numbers)]): r.level for r in found if r.variable >= len(numbers)}
+        means = {(r.start, r.cluster): {} for r in found if r.variable == -1}
+        for r in found:
+            if 0 <= r.variable < len(numbers):
+                means[r.start, r.cluster][numbers[r.variable]] = r.value / r.n
         falling = {s: [(means.get((s, i), num), {c: modes.get((s, i, c), cat[c]) for c in categories}) if (s, i) in means else (num, cat) for i, (num, cat) in enumerate(falling[s])] for s in still}
     cost, prototypes = min(best.values(), key=lambda b: b[0])
     return base.select(key, nearest(prototypes).alias("m")).select(key, "m.cluster", F.round("m.distance", 6).alias("distance")), cost
@@ -119,11 +166,17 @@ def kprototypes_sweep(rows: DataFrame, key: str, numbers: list[str], categories:
     return rows.sparkSession.createDataFrame(out, "k int, cost double")
 
 
-def silhouette(points: DataFrame, key: str, vector: str, label: str, block: int = 2000) -> DataFrame:
+def _blocks(n: int, block: int | None) -> int:
+    """Blocks of n points: every point is sent to each of them twice, so they are
+    as large as a task can hold, but eight at least that tasks have work."""
+    return max(1, -(-n // block) if block else min(-(-n // 2000), max(8, -(-n // 16_000))))
+
+
+def silhouette(points: DataFrame, key: str, vector: str, label: str, block: int | None = None) -> DataFrame:
     """key, label, silhouette of each point by Euclidean distance, as defined:
     all points against all points, block against block, in numpy inside the
     tasks.  What a pair of blocks gives is a sum per point and label."""
-    n = max(1, -(-points.count() // block))
+    n = _blocks(points.count(), block)
     rows = points.select(F.col(key).alias("k"), F.col(vector).alias("x"), F.col(label).alias("l"), F.pmod(F.xxhash64(key), F.lit(n)).alias("block"))
     spine = F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))
     left = rows.withColumn("other", F.explode(spine))
@@ -135,11 +188,14 @@ def silhouette(points: DataFrame, key: str, vector: str, label: str, block: int
         if not len(a) or not len(b):
             return pd.DataFrame({"k": [], "own": [], "l": [], "s": [], "n": []})
         x, y = np.stack(a["x"].to_numpy()), np.stack(b["x"].to_numpy())
-        d = np.sqrt(np.maximum((x**2).sum(1)[:, None] + (y**2).sum(1) - 2 * x @ y.T, 0))
-        d[a["k"].to_numpy()[:, None] == b["k"].to_numpy()] = 0
         kinds, at = np.unique(b["l"].to_numpy(), return_inverse=True)
-        total = np.zeros((len(a), len(kinds)))
-        np.add.at(total.T, at, d.T)
+        member = (at[:, None] == np.arange(len(kinds))).astype(float)
+        total, y2 = np.zeros((len(a), len(kinds))), (y**2).sum(1)
+        for low in range(0, len(a), 256):
+            some = slice(low, low + 256)
+            d = np.sqrt(np.maximum((x[some] ** 2).sum(1)[:, None] + y2 - 2 * x[some] @ y.T, 0))
+            d[a["k"].to_numpy()[some, None] == b["k"].to_numpy()] = 0
+            total[some] = d @ member
         return pd.DataFrame({"k": np.repeat(a["k"].to_numpy(), len(kinds)), "own": np.repeat(a["l"].to_numpy(), len(kinds)), "l": np.tile(kinds, len(a)), "s": total.ravel(), "n": np.tile(np.bincount(at), len(a))})
 
     part = left.groupBy("block", "other").cogroup(right.groupBy("block", "other")).applyInPandas(sums, "k long, own long, l long, s double, n long")
