@@ -181,6 +181,27 @@ def loo(pointwise: DataFrame, point: list[str], log_lik: str) -> DataFrame:
     return rows.groupBy(*point).applyInPandas(run, schema)
 
 
+def loo_rows(rows: DataFrame, keep: list[str], log_lik: str) -> DataFrame:
+    """``*keep, elpd, k`` as ``loo`` has them, a row an observation whose column
+    ``log_lik`` holds its log-likelihoods in all draws as an array: nothing is shuffled."""
+    import pyarrow as pa
+
+    def run(batches):
+        for batch in batches:
+            found = []
+            for l in batch.column("_l").to_numpy(zero_copy_only=False):
+                w, k = smoothed_weights(l)
+                joint = w + l
+                found.append((joint.max() + np.log(np.exp(joint - joint.max()).sum()), k))
+            values = np.array(found, float).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(values[:, 0]), pa.array(values[:, 1])], [*keep, "elpd", "k"])
+
+    given = F.filter(F.col(log_lik).cast("array<double>"), lambda v: v.isNotNull())
+    rows = rows.select(*keep, given.alias("_l")).where("size(_l) > 0")
+    schema = ", ".join([*(f"`{n}` {t}" for n, t in rows.dtypes[:-1]), "elpd double, k double"])
+    return rows.mapInArrow(run, schema)
+
+
 def loo_total(each: DataFrame, model: str) -> DataFrame:
     """``model, elpd, se, worst_k, unsure``: sums over observations, the standard
     error of the sum, the largest shape, and how many observations are over 0.7."""

@@ -350,8 +350,10 @@ def loo_comparison(spark, sf):
     # A row a model, segment and draw: some thousand, whatever the number of customers.
     means = models.groupBy("model", "segment").agg(F.avg("y").alias("mean"), F.count("*").alias("n")).join(F.broadcast(spread), F.lit(True)).select("*", F.explode(F.sequence(F.lit(1), F.lit(200))).alias("draw"))
     draws = means.select("model", "segment", "s", (F.col("mean") + F.col("s") / F.sqrt("n") * F.sqrt(-2 * F.log(u(0))) * F.cos(2 * 3.141592653589793 * u(1))).alias("mu"))
-    log_lik = -0.5 * F.pow((F.col("y") - F.col("mu")) / F.col("s"), 2) - F.log("s") - 0.9189385332046727
-    each = bayes.loo(models.join(draws, ["model", "segment"]).select("model", "c_custkey", log_lik.alias("l")), ["model", "c_custkey"], "l")
+    # A row a model and segment, with all draws of it.
+    draws = draws.groupBy("model", "segment").agg(F.first("s").alias("s"), F.sort_array(F.collect_list("mu")).alias("mu"))
+    log_lik = F.transform("mu", lambda m: -0.5 * F.pow((F.col("y") - m) / F.col("s"), 2) - F.log("s") - 0.9189385332046727)
+    each = bayes.loo_rows(models.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "c_custkey").join(F.broadcast(draws), ["model", "segment"]).select("model", "c_custkey", log_lik.alias("l")), ["model", "c_custkey"], "l")
     ranked = S.ranked(bayes.loo_total(each, "model"), "elpd")
     return ranked.select("model", F.round("elpd", 4).alias("elpd"), F.round("se", 4).alias("se"), F.round("worst_k", 3).alias("worst_k"), "unsure", "rank", F.round("diff", 4).alias("diff"))
 
