@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
@@ -86,15 +87,29 @@ def _shared(rows: DataFrame, factors: dict[str, float], slopes: dict[str, float]
     return names, np.array(mean), np.array(sd), F.array(*at).alias("at"), F.array(*x).alias("x")
 
 
-def fit(rows: DataFrame, outcome: str, group: str, factors: dict[str, float], slopes: dict[str, float], intercept: tuple[float, float] = (-3.0, 1.0), spread: float = 0.5, rounds: int = 40, close: float = 1e-5) -> DataFrame:
+def _columns(group: str, factors: dict[str, float], slopes: dict[str, float]) -> list[str]:
+    return list(dict.fromkeys([group, *factors, *slopes]))
+
+
+def fit(rows: DataFrame, outcome: str, group: str, factors: dict[str, float], slopes: dict[str, float], **settings) -> DataFrame:
     """``kind, name, mean, sd``: the shared effects ('shared'), the groups' spread
     ('spread'), and each group's own level ('group': the intercept and its effect).
     ``factors`` and ``slopes`` give the prior deviations of their effects; numbers
     are standardised.  ``group`` is of an integer type."""
+    rows = storage.kept(rows.select(*dict.fromkeys([outcome, *_columns(group, factors, slopes)])), "observed")
+    return _fit(rows, outcome, group, factors, slopes, **settings)
+
+
+def _fit(rows: DataFrame, outcome: str, group: str, factors: dict[str, float], slopes: dict[str, float], intercept: tuple[float, float] = (-3.0, 1.0), spread: float = 0.5, rounds: int = 40, close: float = 1e-5) -> DataFrame:
+    """``fit`` of rows that are written already, as they are read several times."""
     rows = rows.where(F.col(outcome).isNotNull() & F.col(group).isNotNull())
     names, mean, sd, at, x = _shared(rows, factors, slopes, intercept)
     k, precision = len(names), np.diag(1 / sd**2)
-    data = storage.kept(rows.select(F.col(group).cast("long").alias("group"), F.col(outcome).cast("double").alias("y"), at, x), "model")
+    # Dealt out and sorted by group once: a step moves the groups' effects to the
+    # rows, and what a batch sums up is a row for each of a few groups.
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    data = rows.select(F.col(group).cast("long").alias("group"), F.col(outcome).cast("double").alias("y"), at, x).repartition(n, "group").sortWithinPartitions("group").persist(StorageLevel.DISK_ONLY)
+    data.count()
     effects = storage.kept(data.groupBy("group").agg(F.lit(0.0).alias("effect")), "effects")
     groups, rate = effects.count(), data.agg(F.avg("y")).first()[0] or 0.5
     theta, variance, covariance = np.zeros(k), spread**2, np.diag(sd**2)
@@ -127,6 +142,7 @@ def fit(rows: DataFrame, outcome: str, group: str, factors: dict[str, float], sl
         before, variance = variance, (np.sqrt(groups**2 + 4 * q / spread**2) - groups) * spread**2 / 2
         if max(np.abs(step).max(), abs(variance - before)) < close:
             break
+    data.unpersist()
     # A group's level varies by itself and with the shared effects: e is the intercept's place.
     shift = F.zip_with(F.transform("c", lambda u: -u / F.col("a")), array(np.eye(k)[0]), lambda u, e: u + e)
     varied = lambda v: dot(v, F.array(*(dot(v, array(row)) for row in covariance)))
@@ -138,6 +154,7 @@ def fit(rows: DataFrame, outcome: str, group: str, factors: dict[str, float], sl
 def two_stages(rows: DataFrame, opened: str, clicked: str, group: str, factors: dict[str, float], slopes: dict[str, float], **settings) -> DataFrame:
     """Opening by all rows, and clicking by those that were opened, each with its
     own effects: ``stage`` before the columns of ``fit``."""
-    first = fit(rows, opened, group, factors, slopes, intercept=(-3.0, 1.0), **settings)
-    second = fit(rows.where(F.col(opened)), clicked, group, factors, slopes, intercept=(-2.5, 1.0), **settings)
+    rows = storage.kept(rows.select(*dict.fromkeys([opened, clicked, *_columns(group, factors, slopes)])), "observed")
+    first = _fit(rows, opened, group, factors, slopes, intercept=(-3.0, 1.0), **settings)
+    second = _fit(rows.where(F.col(opened)), clicked, group, factors, slopes, intercept=(-2.5, 1.0), **settings)
     return first.select(F.lit("open").alias("stage"), "*").unionByName(second.select(F.lit("click").alias("stage"), "*"))
