@@ -14,9 +14,11 @@ distinct one of the corpus once, and a text's groups are those of its units in
 turn.  A text without white space is one unit, so nothing else is needed for it.
 
 Blocks of documents (``BLOCK`` bytes of text, or one longer text) number their own
-units.  What is found for a unit comes back to the blocks by a join on the unit and
-is put together there, a block at a time: how many documents hold a pair of ids
-linked, and in the end each document's sums and its groups in order.
+units.  A unit is one row that lists the blocks that have it and its number in each
+(12 bytes a block).  What is found for units is dealt out to these blocks by
+columns, compressed, many units in one row, and is put together there, a block at a
+time: how many documents hold a pair of ids linked, and in the end each document's
+sums and its groups in order.
 
 A null or empty text has no tokens, nor has a text that a tokenizer doesn't spell
 byte by byte.  Each row is a document, repeated ones too; rows without doc_id are
@@ -34,6 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -47,6 +50,8 @@ BLOCK = 32 << 20
 AT_ONCE = 1 << 20
 #: Units that are encoded in one call.
 JOINED = 256
+#: Bytes of units' rows that are dealt out to blocks together.
+DEALT = 32 << 20
 #: White space of any kind, and that before which a unit may begin.
 WHITE, BEFORE = r"\s᠎", " \t\n\x0b\x0c\r"
 #: White space that isn't simply a space or a line's end.
@@ -54,6 +59,10 @@ ODD = re.compile(rf"(?![ \n])[{WHITE}]")
 #: Tables split by the text alone can be joined on text and end without a new shuffle.
 SPLIT_BY_SOME = "spark.sql.requireAllClusterKeysForCoPartition"
 SUMS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
+#: What a block gets of each of its units: for the counts of pairs, and in the end.
+UNIT = pa.schema([("unit", pa.int32()), ("spelt", pa.bool_())])
+PAIRS = UNIT.append(pa.field("pairs", pa.list_(pa.int64())))
+RATED = pa.schema([*UNIT, *((c, pa.int64()) for c in SUMS), ("groups", pa.string())])
 
 
 def byte_level() -> dict[str, int]:
@@ -267,14 +276,65 @@ def _stretches(units: pa.ChunkedArray) -> Iterator[tuple[int, int, np.ndarray, n
             low, size, some = k + 1, 0, []
 
 
-def _by_unit(names: pa.Table) -> pa.Table:
-    """A block's units in the order of their numbers, from 0."""
-    return names.sort_by("unit")
+def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Rows in the order of their names, and where each name begins and the last ends;
+    no name goes on in the next rows."""
+    rest = None
+    for batch in parts(batches, rows=16_384, column="name"):
+        table = pa.Table.from_batches([batch])
+        table = (table if rest is None else pa.concat_tables([rest, table])).combine_chunks()
+        names = table.column("name")
+        new = np.flatnonzero(np.asarray(pc.not_equal(names.slice(1), names.slice(0, len(names) - 1)))) + 1
+        if len(new):
+            yield table.slice(0, new[-1]), np.concatenate([[0], new])
+        rest = table.slice(new[-1]) if len(new) else table
+    if rest is not None:
+        yield rest, np.array([0, len(rest)])
+
+
+def _deal(schema: pa.Schema):
+    """Rows of units with ``blocks`` and ``units``, as one row for each of the blocks
+    with these columns of all its units here."""
+
+    def shared_out(batches):
+        table = pa.Table.from_batches(batches)
+        blocks, bounds = tb.lists(table.column("blocks"))
+        units, _ = tb.lists(table.column("units"))
+        row = np.repeat(np.arange(len(table)), np.diff(bounds))
+        values = table.select(schema.names[1:]).combine_chunks()
+        order = np.argsort(blocks, kind="stable")
+        for at in np.split(order, np.flatnonzero(np.diff(blocks[order])) + 1):
+            part = values.take(pa.array(row[at])).add_column(0, "unit", pa.array(units[at])).cast(schema)
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_table(part)
+            yield pa.RecordBatch.from_arrays([pa.array(blocks[at[:1]]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block", "names"])
+
+    def run(batches):
+        some, size = [], 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            some.append(batch)
+            size += batch.nbytes
+            if size >= DEALT:
+                yield from shared_out(some)
+                some, size = [], 0
+        if some:
+            yield from shared_out(some)
+
+    return run
+
+
+def _by_unit(names: pa.Table, schema: pa.Schema) -> pa.Table:
+    """What was dealt to a block, in the order of its units' numbers, from 0."""
+    tables = [pa.ipc.open_stream(x.as_buffer()).read_all() for x in names.column("names")]
+    return pa.concat_tables([schema.empty_table(), *tables]).sort_by("unit")
 
 
 def _held(docs: pa.Table, names: pa.Table) -> pa.Table:
     """How many of a block's documents hold each pair linked."""
-    names = _by_unit(names)
+    names = _by_unit(names, PAIRS)
     flat, bounds = tb.lists(names.column("pairs"))
     pairs, local = np.unique(flat, return_inverse=True)
     size = np.diff(bounds)
@@ -294,7 +354,7 @@ def _held(docs: pa.Table, names: pa.Table) -> pa.Table:
 
 def _summed(docs: pa.Table, names: pa.Table) -> pa.Table:
     """Each document's sums over its units, and its groups."""
-    names = _by_unit(names)
+    names = _by_unit(names, RATED)
     values = {c: np.asarray(names.column(c)).astype(np.int64) for c in SUMS}
     bad = ~np.asarray(names.column("spelt")).astype(bool)
     texts = [x or b"" for x in names.column("groups").cast(pa.binary()).to_pylist()]
@@ -334,24 +394,28 @@ def aligned(docs: DataFrame, a_path: str, b_path: str, scratch: Scratch | None =
 
     def encode(batches):
         both = _pair(shared.value)
-        for batch in parts(batches, rows=4096, column="name"):
-            units = batch.column("name").to_pylist()
-            yield pa.RecordBatch.from_arrays([batch.column("name"), *both.encode(units)], ["name", "a", "b", "spelt"])
+        for rows, bounds in _alike(batches):
+            columns = [pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), rows.column(c).combine_chunks()) for c in ("block", "unit")]
+            columns += both.encode(rows.column("name").take(pa.array(bounds[:-1])).to_pylist())
+            yield pa.RecordBatch.from_arrays(columns, ["blocks", "units", "a", "b", "spelt"])
 
-    encoded = names.select("name").distinct().mapInArrow(encode, "name string, a array<int>, b array<int>, spelt boolean")
+    encoded = names.repartition("name").sortWithinPartitions("name").mapInArrow(encode, "blocks array<long>, units array<int>, a array<int>, b array<int>, spelt boolean")
     units = scratch.keep(encoded.withColumn("key", F.monotonically_increasing_id()))
-    numbered = scratch.keep(names.join(units.select("name", "key", "spelt"), "name").select("block", "unit", "key", "spelt"))
+    scratch.drop(coded)
+    placed = units.select("key", "blocks", "units", "spelt")
     groups = align(units.where("spelt").select("key", "a", "b"), _sizes(spark, pair.a_bytes), _sizes(spark, pair.b_bytes), scratch)
-    scratch.drop(coded, units)
 
-    of_unit = numbered.join(groups.select("key", "pairs"), "key", "left").select("block", "unit", "spelt", "pairs")
-    held = coded_docs.select("block", "units").groupBy("block").cogroup(of_unit.groupBy("block")).applyInArrow(_held, "pair long, n long")
+    def in_blocks(rows: DataFrame, schema: pa.Schema, summed, kind: str) -> DataFrame:
+        """For each block, its documents with what its units were given."""
+        dealt = rows.mapInArrow(_deal(schema), "block long, names binary")
+        return coded_docs.groupBy("block").cogroup(dealt.groupBy("block")).applyInArrow(summed, kind)
+
+    held = in_blocks(placed.join(groups.select("key", "pairs"), "key", "left"), PAIRS, _held, "pair long, n long")
     counts = scratch.keep(held.groupBy("pair").agg(F.sum("n").alias("n")).withColumn("a", F.shiftright("pair", 32)))
     counts = counts.join(counts.groupBy("a").agg(F.max("n").alias("most")), "a").select("pair", "n", (F.col("n") == F.col("most")).cast("long").alias("best"))
     rated = groups.select("key", F.explode("pairs").alias("pair")).join(counts, "pair").groupBy("key").agg(F.sum("best").alias("n_best"), F.sum("n").alias("count_sum"))
-    units = scratch.keep(groups.drop("pairs").join(rated, "key", "left"))
-    scratch.drop(groups)
     # Units of documents that aren't spelt only have no counts.
-    whole = numbered.join(units, "key", "left").select("block", "unit", "spelt", *[F.coalesce(c, F.lit(0)).alias(c) for c in SUMS], "groups")
-    schema = ", ".join(["doc_id long", *(f"{c} long" for c in SUMS), "groups_sha256 string"])
-    return coded_docs.groupBy("block").cogroup(whole.groupBy("block")).applyInArrow(_summed, schema)
+    found = placed.join(groups.drop("pairs"), "key", "left").join(rated, "key", "left")
+    whole = scratch.keep(found.select("blocks", "units", "spelt", *[F.coalesce(c, F.lit(0)).alias(c) for c in SUMS], "groups"))
+    scratch.drop(units, groups)
+    return in_blocks(whole, RATED, _summed, ", ".join(["doc_id long", *(f"{c} long" for c in SUMS), "groups_sha256 string"]))

@@ -178,6 +178,25 @@ def test_alignment_of_nothing(spark, no_docs):
     assert alignment.aligned(no_docs, A, B).collect() == []
 
 
+def shuffled(spark):
+    """Bytes that this session's stages have shuffled so far."""
+    context = spark.sparkContext._jsc.sc()
+    context.listenerBus().waitUntilEmpty()
+    stages = context.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)
+    return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
+
+
+def test_units_go_to_their_blocks_in_few_bytes(spark):
+    r = random.Random(7)
+    words = [f"{r.choice('abcdefgh')}{r.randrange(10**6)}" for _ in range(3000)]
+    docs = table(spark, [(i, " ".join(r.sample(words, len(words)))) for i in range(32)]).repartition(32).cache()  # blocks, most of one document
+    assert docs.count() == 32
+    before = shuffled(spark)
+    assert len(alignment.aligned(docs, A, B).collect()) == 32
+    assert shuffled(spark) - before < 58 * 32 * len(words)
+    docs.unpersist()
+
+
 def test_units_begin_where_neither_joins():
     with open(A) as f, open(B, "rb") as g:
         pair = alignment.Pair(f.read(), g.read())
