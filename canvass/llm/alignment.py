@@ -46,18 +46,21 @@ from canvass.llm.common import Scratch, documents, parts, settings, small_batche
 
 #: Bytes of text whose units are numbered together.
 BLOCK = 32 << 20
-#: Occurrences of units that are gone through at once.
-AT_ONCE = 1 << 20
+#: Occurrences of units that are gone through at once: numpy's working arrays have a
+#: few entries for each of them and of their pairs.
+AT_ONCE = 1 << 16
 #: Units that are encoded in one call.
 JOINED = 256
 #: Bytes of units' rows that are dealt out to blocks together.
-DEALT = 32 << 20
+DEALT = 16 << 20
 #: White space of any kind, and that before which a unit may begin.
 WHITE, BEFORE = r"\s᠎", " \t\n\x0b\x0c\r"
 #: White space that isn't simply a space or a line's end.
 ODD = re.compile(rf"(?![ \n])[{WHITE}]")
 #: Tables split by the text alone can be joined on text and end without a new shuffle.
 SPLIT_BY_SOME = "spark.sql.requireAllClusterKeysForCoPartition"
+#: Rows that arrive in the order of their key are summed up one key at a time.
+HASHED_LISTS = "spark.sql.execution.useObjectHashAggregateExec"
 SUMS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 #: What a block gets of each of its units: for the counts of pairs, and in the end.
 UNIT = pa.schema([("unit", pa.int32()), ("spelt", pa.bool_())])
@@ -244,16 +247,14 @@ def align(tokens: DataFrame, a_sizes: DataFrame, b_sizes: DataFrame, scratch: Sc
     before = lambda c: F.coalesce(F.lag(c).over(in_order), F.lit(-1))
     groups = cuts.select("key", F.row_number().over(in_order).alias("group"), "a_place", "b_place", before("a_place").alias("a_before"), before("b_place").alias("b_before"))
     part = lambda c: F.slice(c, F.col(f"{c}_before") + 2, F.col(f"{c}_place") - F.col(f"{c}_before"))
-    with settings(tokens.sparkSession, **{SPLIT_BY_SOME: "false"}):
-        both = scratch.keep(groups.join(dealt, "key").select("key", "group", part("a").alias("a"), part("b").alias("b")))
+    both = groups.join(dealt, "key").select("key", "group", part("a").alias("a"), part("b").alias("b"))
     written = lambda c: F.array_join(F.col(c).cast("array<string>"), ",")
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("group", F.concat(written("a"), F.lit("|"), written("b")).alias("text")))), lambda x: x.text), ";")
     n_a, n_b = F.size("a").cast("long"), F.size("b").cast("long")
     pair = lambda x, y: F.shiftleft(x.cast("long"), 32).bitwiseOR(y.cast("long"))
     pairs = F.flatten(F.collect_list(F.flatten(F.transform("a", lambda x: F.transform("b", lambda y: pair(x, y))))))
-    sums = scratch.keep(both.groupBy("key").agg(F.sum(n_a).alias("n_a"), F.sum(n_b).alias("n_b"), F.count("*").alias("n_groups"), F.sum(n_a * n_b).alias("n_links"), text.alias("groups"), pairs.alias("pairs")))
-    scratch.drop(both)
-    return sums
+    with settings(tokens.sparkSession, **{SPLIT_BY_SOME: "false", HASHED_LISTS: "false"}):
+        return scratch.keep(both.groupBy("key").agg(F.sum(n_a).alias("n_a"), F.sum(n_b).alias("n_b"), F.count("*").alias("n_groups"), F.sum(n_a * n_b).alias("n_links"), text.alias("groups"), pairs.alias("pairs")))
 
 
 def packed(numbers: np.ndarray) -> bytes:
@@ -326,41 +327,58 @@ def _deal(schema: pa.Schema):
     return run
 
 
-def _by_unit(names: pa.Table, schema: pa.Schema) -> pa.Table:
-    """What was dealt to a block, in the order of its units' numbers, from 0."""
-    tables = [pa.ipc.open_stream(x.as_buffer()).read_all() for x in names.column("names")]
-    return pa.concat_tables([schema.empty_table(), *tables]).sort_by("unit")
+def _by_unit(names: pa.Table, schema: pa.Schema) -> tuple[pa.Table, np.ndarray]:
+    """What was dealt to a block, and the row of each of its units."""
+    found = pa.concat_tables([schema.empty_table(), *(pa.ipc.open_stream(x.as_buffer()).read_all() for x in names.column("names"))]).combine_chunks()
+    row = np.empty(len(found), np.int64)
+    row[np.asarray(found.column("unit"))] = np.arange(len(found))
+    return found, row
 
 
 def _held(docs: pa.Table, names: pa.Table) -> pa.Table:
     """How many of a block's documents hold each pair linked."""
-    names = _by_unit(names, PAIRS)
+    names, row = _by_unit(names, PAIRS)
     flat, bounds = tb.lists(names.column("pairs"))
-    pairs, local = np.unique(flat, return_inverse=True)
-    size = np.diff(bounds)
     bad = ~np.asarray(names.column("spelt")).astype(bool)
+    del names
+    coded = pc.dictionary_encode(pa.array(flat))
+    pairs, local, size = np.asarray(coded.dictionary), np.asarray(coded.indices), np.diff(bounds)
     n = np.zeros(len(pairs), np.int64)
     for low, high, units, doc in _stretches(docs.column("units")):
+        units = row[units]
         wrong = np.zeros(high - low, bool)
         wrong[doc[bad[units]]] = True
         use = ~wrong[doc]
         once = np.unique(doc[use] * len(size) + units[use])
         doc, units = np.divmod(once, max(len(size), 1))
         held = np.repeat(doc, size[units]) * len(pairs) + local[tb.repeat_ranges(bounds[units], size[units])]
-        n += np.bincount(np.unique(held) % max(len(pairs), 1), minlength=len(pairs))
+        found, times = np.unique(np.unique(held) % max(len(pairs), 1), return_counts=True)
+        n[found] += times
     has = np.flatnonzero(n)
     return pa.table({"pair": pairs[has].astype(np.int64), "n": n[has]})
 
 
+def _digest(texts: pa.Array, units: np.ndarray) -> str:
+    """Of the units' texts with a semicolon between."""
+    found = hashlib.sha256()
+    for low in range(0, len(units), AT_ONCE):
+        some = texts.take(pa.array(units[low : low + AT_ONCE]))
+        found.update(b";" * bool(low))
+        found.update(pc.binary_join(pa.LargeListArray.from_arrays([0, len(some)], some), pa.scalar(";", pa.large_string()))[0].as_buffer())
+    return found.hexdigest()
+
+
 def _summed(docs: pa.Table, names: pa.Table) -> pa.Table:
     """Each document's sums over its units, and its groups."""
-    names = _by_unit(names, RATED)
-    values = {c: np.asarray(names.column(c)).astype(np.int64) for c in SUMS}
+    names, row = _by_unit(names, RATED)
+    values = {c: np.asarray(names.column(c)) for c in SUMS}
     bad = ~np.asarray(names.column("spelt")).astype(bool)
-    texts = [x or b"" for x in names.column("groups").cast(pa.binary()).to_pylist()]
+    texts = pc.fill_null(names.column("groups").cast(pa.large_string()).combine_chunks(), "")
+    del names
     out: dict[str, list] = {c: [] for c in SUMS}
     digests: list[str] = []
     for low, high, units, doc in _stretches(docs.column("units")):
+        units = row[units]
         wrong = np.bincount(doc[bad[units]], minlength=high - low) > 0
         for c in SUMS:
             sums = np.zeros(high - low, np.int64)
@@ -369,7 +387,7 @@ def _summed(docs: pa.Table, names: pa.Table) -> pa.Table:
         ends = np.searchsorted(doc, np.arange(high - low + 1))
         for k in range(high - low):
             one = units[ends[k] : ends[k + 1]]
-            digests.append("" if wrong[k] or not len(one) else hashlib.sha256(b";".join([texts[u] for u in one.tolist()])).hexdigest())
+            digests.append("" if wrong[k] or not len(one) else _digest(texts, one))
     table = {"doc_id": docs.column("doc_id")} | {c: np.concatenate([np.zeros(0, np.int64), *out[c]]) for c in SUMS}
     return pa.table(table | {"groups_sha256": pa.array(digests, pa.string())})
 

@@ -3,11 +3,13 @@
 import bisect
 import hashlib
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import sentencepiece
 from tokenizers import Tokenizer
@@ -197,6 +199,34 @@ def test_units_go_to_their_blocks_in_few_bytes(spark):
     docs.unpersist()
 
 
+def test_a_block_is_put_together_in_little_memory():
+    r = np.random.default_rng(3)
+    docs = [r.integers(0, 20_000, 5000, np.int32) for _ in range(240)]
+    docs[4][9] = 0  # not spelt
+    wrong = [bool((d == 0).any()) for d in docs]
+    block = pa.table({"doc_id": range(240), "units": [alignment.packed(d) for d in docs]})
+    numbers = r.permutation(20_000)
+    common = {"blocks": [[0]] * 20_000, "units": [[k] for k in numbers], "spelt": [k > 0 for k in numbers]}
+    pairs = [[k, k // 2 << 32, 7] if k else None for k in numbers.tolist()]
+    sums = {c: numbers + j for j, c in enumerate(alignment.SUMS)} | {"groups": [f"{k}|{k}" if k else None for k in numbers.tolist()]}
+
+    def dealt(schema, **columns):
+        return pa.Table.from_batches(alignment._deal(schema)(iter(pa.table(common | columns).to_batches(max_chunksize=3000))))
+
+    names = dealt(alignment.PAIRS, pairs=pa.array(pairs, pa.list_(pa.int64()))), dealt(alignment.RATED, **sums)
+    tracemalloc.start()
+    held, summed = alignment._held(block, names[0]), alignment._summed(block, names[1])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    fine = [d.tolist() for d, bad in zip(docs, wrong, strict=True) if not bad]
+    n = Counter(p for d in fine for p in {q for k in set(d) for q in (k, k // 2 << 32, 7)})
+    assert dict(zip(held["pair"].to_pylist(), held["n"].to_pylist(), strict=True)) == n and 0 < len(fine) < 240
+    for j, c in enumerate(alignment.SUMS):
+        assert summed[c].to_pylist() == [0 if bad else int(d.sum()) + j * len(d) for d, bad in zip(docs, wrong, strict=True)]
+    assert summed["groups_sha256"].to_pylist() == ["" if bad else hashlib.sha256(";".join(f"{k}|{k}" for k in d).encode()).hexdigest() for d, bad in zip(docs, wrong, strict=True)]
+    assert peak < 24 << 20, peak
+
+
 def test_units_begin_where_neither_joins():
     with open(A) as f, open(B, "rb") as g:
         pair = alignment.Pair(f.read(), g.read())
