@@ -8,7 +8,8 @@ by length, put on the scale of the labels, is the document's quality.
 
 Learned on a bounded sample of labelled documents outside the held-out fold
 (``PER_LABEL`` of each label, long texts by a part; ``samples`` has the bounds),
-on the driver in numpy; scored over whole texts where the texts are.  Lines have
+on the driver in numpy, a few texts' features at a time, so that it holds one table of
+lines; scored over whole texts where the texts are.  Lines have
 no labels of their own: at first every line bears its document's, then those that
 the model finds to be of the other kind change sides, up to half of a bad
 document's length and a fifth of a good one's, and the model learns again.
@@ -35,6 +36,8 @@ PER_LABEL = 1200
 STEPS = 120
 ROUNDS = 2  # of learning; before each but the first, lines change sides
 STRETCH = 2000  # lines of a chain that are gone through one by one
+SAMPLE_BYTES = 1 << 18  # of the sample's texts, whose features are found at once
+SAMPLE_LINES = 1 << 16  # that are weighed at once when learning
 
 _CLASSES = ["upper", "lower", "digit", "shout", "symbol", "bar", "point", "blank", "other"]
 _CLASS = np.full(256, 8, np.uint8)
@@ -68,15 +71,16 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     for k in range(len(_CLASSES)):
         total = np.concatenate([[0], np.cumsum(kind == k, dtype=np.int32)])
         columns.append((total[ends] - total[starts]) * share)
-    word, stop, _ = tb.words(data, offsets)
+    word, stop, head = tb.words(data, offsets)
     low = np.searchsorted(word, starts)
     count = np.searchsorted(word, ends) - low
     hashes = tb.word_hashes(data, word, stop)
-    again = np.zeros(len(word) + 1, np.int64)  # words like one of the eight before
+    again = np.zeros(len(word) + 1, np.int64)  # words like one of the eight before in their text
     if len(word):
         same = np.zeros(len(word), bool)
+        place = np.arange(len(word)) - np.repeat(head[:-1], np.diff(head))
         for back in range(1, 9):
-            same[back:] |= hashes[back:] == hashes[:-back]
+            same[back:] |= (hashes[back:] == hashes[:-back]) & (place[back:] >= back)
         np.cumsum(same, out=again[1:])
     columns.append((again[low + count] - again[low]) / np.maximum(count, 1))
     columns.append(np.log1p(size) / 5)
@@ -165,6 +169,14 @@ def marginals(emission: np.ndarray, first: np.ndarray, table: np.ndarray) -> tup
     return good, joint, z
 
 
+def advantage(x: np.ndarray, weights: np.ndarray, bias: float) -> np.ndarray:
+    """That of label 1 for each line, from its scaled features."""
+    out = np.empty(len(x))
+    for low in range(0, len(x), SAMPLE_LINES):
+        out[low : low + SAMPLE_LINES] = x[low : low + SAMPLE_LINES] @ weights + bias
+    return out
+
+
 @dataclass
 class Model:
     mean: np.ndarray
@@ -176,16 +188,17 @@ class Model:
     shift: float
 
     def chain(self, x: np.ndarray) -> np.ndarray:
-        return (np.clip((x - self.mean) / self.scale, -5, 5) @ self.weights + self.bias).astype(float)
+        return advantage(np.clip((x - self.mean) / self.scale, -5, 5), self.weights, self.bias)
 
-    def mean_good(self, x: np.ndarray, length: np.ndarray, first: np.ndarray) -> np.ndarray:
-        good, _, _ = marginals(self.chain(x), first, self.table)
+    def mean_good(self, emission: np.ndarray, length: np.ndarray, first: np.ndarray) -> np.ndarray:
+        good, _, _ = marginals(emission, first, self.table)
         total = np.add.reduceat(good * length, first[:-1]) / np.add.reduceat(length, first[:-1])
         p = np.clip(total, 1e-6, 1 - 1e-6)
         return np.log(p / (1 - p))
 
     def score(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * self.mean_good(*features(data, offsets)) + self.shift, -40, 40)))
+        x, length, first = features(data, offsets)
+        return 1 / (1 + np.exp(-np.clip(self.slope * self.mean_good(self.chain(x), length, first) + self.shift, -40, 40)))
 
 
 def calibrate(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -216,16 +229,26 @@ def sides(y: np.ndarray, good: np.ndarray, length: np.ndarray, first: np.ndarray
     return out
 
 
+def sample_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``features`` of all the texts, found for some of them at a time."""
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.large_string())], ["text"])
+    found = [features(*tb.column(some.column("text"))) for some in parts([batch], size=SAMPLE_BYTES)]
+    number = np.concatenate([np.diff(first) for _, _, first in found])
+    return np.concatenate([x for x, _, _ in found]), np.concatenate([length for _, length, _ in found]), np.concatenate([[0], np.cumsum(number)])
+
+
 def train(sample: list[tuple[str, int]], steps: int = STEPS) -> Model | None:
     """Maximises the lines' conditional likelihood.  None if a label is
     missing."""
     y = np.array([label for _, label in sample], float)
     if len(set(y)) < 2:
         return None
-    data, offsets = tb.column(pa.array([text for text, _ in sample], pa.large_string()))
-    raw, length, first = features(data, offsets)
-    mean, scale = raw.mean(axis=0), raw.std(axis=0) + 1e-3
-    x = np.clip((raw - mean) / scale, -5, 5)
+    x, length, first = sample_features([text for text, _ in sample])
+    mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-3
+    # In place: the sample's lines are one table, however many they are.
+    x -= mean
+    x /= scale
+    np.clip(x, -5, 5, out=x)
     number = np.diff(first)
     line_y = np.repeat(y, number)
     weight = np.repeat(1.0 / number, number)  # each document counts alike
@@ -237,23 +260,24 @@ def train(sample: list[tuple[str, int]], steps: int = STEPS) -> Model | None:
     for turn in range(ROUNDS):
         if turn:
             w, b, table = split(theta)
-            line_y = sides(y, marginals((x @ w + b).astype(float), first, table)[0], length, first)
+            line_y = sides(y, marginals(advantage(x, w, b), first, table)[0], length, first)
         label = line_y.astype(int)
         observed = np.zeros((2, 2))
         np.add.at(observed, (label[pairs - 1], label[pairs]), 1.0)
         m, v = np.zeros_like(theta), np.zeros_like(theta)
         for step in range(1, steps // ROUNDS + 1):
             w, b, table = split(theta)
-            good, joint, _ = marginals((x @ w + b).astype(float), first, table)
+            good, joint, _ = marginals(advantage(x, w, b), first, table)
             error = (line_y - good) * weight
-            slope = np.concatenate([x.T @ error, [error.sum()], ((observed - joint) / max(len(label), 1) * len(y)).ravel()]) / len(y)
+            pull = sum(x[low : low + SAMPLE_LINES].T @ error[low : low + SAMPLE_LINES] for low in range(0, len(x), SAMPLE_LINES))
+            slope = np.concatenate([pull, [error.sum()], ((observed - joint) / max(len(label), 1) * len(y)).ravel()]) / len(y)
             slope -= 1e-3 * theta
             slope[-4:] -= 0.05 * theta[-4:]
             m, v = 0.9 * m + 0.1 * slope, 0.99 * v + 0.01 * slope**2
             theta = theta + 0.08 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
     w, b, table = split(theta)
     model = Model(mean, scale, w.astype(np.float32), float(b), table, 1.0, 0.0)
-    model.slope, model.shift = map(float, calibrate(model.mean_good(raw, length, first)[:, None], y))
+    model.slope, model.shift = map(float, calibrate(model.mean_good(advantage(x, model.weights, model.bias), length, first)[:, None], y))
     return model
 
 

@@ -175,6 +175,15 @@ def test_no_link_is_lost(spark, block, monkeypatch):
     assert {i: found.get(i, i) for i in want} == want
 
 
+def test_stars_need_no_round(spark):
+    """Each round is some fifteen stages that the driver plans and keeps account of."""
+    scratch = Scratch(spark, "test")
+    edges = [(1, 2), (3, 1), (1, 4), (9, 7), (7, 7)]
+    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long"), scratch).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 1, 7: 7, 9: 7}
+    assert scratch.count == 1
+
+
 def test_components_of_a_chain_and_a_ring(spark):
     edges = [(i, i + 1) for i in range(100, 160)] + [(5, 9), (9, 7), (7, 5), (3, 3)]
     scratch = Scratch(spark, "test")

@@ -1,6 +1,7 @@
 """Classifiers by held-out accuracy, searches by brute force, gradients by differences."""
 
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -89,6 +90,24 @@ def test_a_text_of_very_many_lines():
     assert long[0] > 0.5 > long[1]
 
 
+def test_learning_holds_a_few_texts_at_a_time():
+    """The driver learns quality: what it holds is a table of lines, not several arrays as long as all texts."""
+    sample = [(f"word{i} more words{i % 7} here, " * 60 + "\nend", i % 2) for i in range(2400)]
+    tracemalloc.start()
+    quality.train(sample, steps=2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 5 * sum(len(text) for text, _ in sample)
+
+
+def test_features_of_a_text_are_its_own():
+    texts = ["one two three", "three two one two", "", "one\none", "one one"]
+    whole, _, first = quality.features(*col(texts))
+    for k, text in enumerate(texts):
+        assert (whole[first[k] : first[k + 1]] == quality.features(*col([text]))[0]).all()
+    assert all((a == b).all() for a, b in zip(quality.features(*col(texts)), quality.sample_features(texts), strict=True))
+
+
 def test_seventy_languages(spark):
     """Every language that a document names is learned, rare ones too."""
     r = random.Random(9)
