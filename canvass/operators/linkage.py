@@ -108,8 +108,9 @@ def _contained(mine: DataFrame, theirs: DataFrame) -> DataFrame:
 
 def candidates(contacts: DataFrame, demographic: DataFrame, residential: DataFrame) -> DataFrame:
     """The hits of all strategies: contact_id, county, parcel_id, priority, method,
-    quality, score.  Of parcels that are alike in all that a strategy compares there
-    is the least alone, which comes before the others in every order of hits.
+    quality, score, part.  Of parcels that are alike in all that a strategy compares
+    there is the least alone, which comes before the others in every order of hits.
+    ``part`` says that a state route is only within the other text, as 56 is in 560.
 
     Two joins find them: one on equal keys of all strategies, one on texts that
     contain one another.  Both have the strategy among their keys."""
@@ -130,22 +131,23 @@ def candidates(contacts: DataFrame, demographic: DataFrame, residential: DataFra
         key_zip=_and("r_zip", F.col("r_key")), key=F.col("r_key"), hyphen=F.col("r_key"), fuzzy_zip=_and("r_zip", r_house),
     ))
     none = F.lit(None).cast("string")
-    equal = mine.join(_least(theirs), ["kind", "county", "key"]).withColumns({"first_key": none, "last_key": none, "full_key": none})
-    columns = ["contact_id", "county", "parcel_id", "kind", "address_key", "r_key", "first_key", "last_key", "full_key"]
-    met = equal.select(*columns).unionByName(_contained(*(storage.kept(t, "texts") for t in _texts(c, d, r))).select(*columns))
+    equal = mine.join(_least(theirs), ["kind", "county", "key"]).withColumns({"first_key": none, "last_key": none, "full_key": none, "part": F.lit(False)})
+    columns = ["contact_id", "county", "parcel_id", "kind", "address_key", "r_key", "first_key", "last_key", "full_key", "part"]
+    held = _contained(*(storage.kept(t, "texts") for t in _texts(c, d, r))).withColumn("part", (F.col("kind") == "route") & (F.col("own") != F.col("other")))
+    met = equal.select(*columns).unionByName(held.select(*columns))
     k = F.regexp_replace("kind", "_zip$", "")
     place = F.element_at(F.create_map(*(F.lit(x) for pair in (("email", 0), ("name", 1), ("phone", 2), ("exact", 3), ("key", 4), ("route", 5), ("hyphen", 6), ("fuzzy", 7)) for x in pair)), k)
     score = F.when(k == "fuzzy", T.fuzzy_score(F.col("address_key"), F.col("r_key"))).otherwise(1.0)
-    met = met.select("contact_id", "county", "parcel_id", place.alias("place"), score.alias("score"), F.when(k == "name", T.name_match(F.col("first_key"), F.col("last_key"), F.col("full_key"))).alias("named"))
+    met = met.select("contact_id", "county", "parcel_id", place.alias("place"), score.alias("score"), F.when(k == "name", T.name_match(F.col("first_key"), F.col("last_key"), F.col("full_key"))).alias("named"), "part")
     met = met.where((F.col("place") != 1) | F.col("named").isNotNull()).where((F.col("place") != 7) | (F.col("score") > FUZZY_LEAST))
     listed = lambda j: F.element_at(F.array(*(F.lit(s[j]) for s in STRATEGIES)), F.col("place") + 1)
     method = F.when(F.col("place") == 1, F.concat(F.lit("name_"), F.col("named"))).when(F.col("place") == 7, F.format_string("fuzzy_%.2f", "score")).otherwise(listed(0))
-    return met.select("contact_id", "county", "parcel_id", (F.col("place") + 1).alias("priority"), method.alias("method"), listed(1).alias("quality"), "score")
+    return met.select("contact_id", "county", "parcel_id", (F.col("place") + 1).alias("priority"), method.alias("method"), listed(1).alias("quality"), "score", "part")
 
 
 def best(hits: DataFrame, key: str = "contact_id") -> DataFrame:
-    """A contact's hit of least priority, then highest score, then least parcel."""
-    order = F.struct(F.col("priority"), (-F.col("score")).alias("s"), F.col("county"), F.col("parcel_id"))
+    """A contact's hit of least priority, then highest score, then of the whole text, then least parcel."""
+    order = F.struct(F.col("priority"), (-F.col("score")).alias("s"), F.col("part"), F.col("county"), F.col("parcel_id"))
     value = F.struct("county", "parcel_id", "priority", "method", "quality", "score")
     return hits.groupBy(key).agg(F.min_by(value, order).alias("m")).select(key, "m.*")
 
@@ -194,7 +196,7 @@ def match_counties(contacts: DataFrame, demographic: DataFrame, residential: Dat
     far = candidates(rest.withColumn("county", F.lit("")).withColumn("zip", F.lit(None).cast("string")), _countyless(demographic), _countyless(residential))
     far = far.withColumn("county", F.col("parcel_id.county")).withColumn("parcel_id", F.col("parcel_id.parcel_id")).withColumn("county_rank", F.lit(0))
     every = known.unionByName(far)
-    order = F.struct("county_rank", "county", "priority", (-F.col("score")).alias("s"), "parcel_id")
+    order = F.struct("county_rank", "county", "priority", (-F.col("score")).alias("s"), "part", "parcel_id")
     value = F.struct("county", "parcel_id", "priority", "method", "quality", "score")
     return every.groupBy("contact_id").agg(F.min_by(value, order).alias("m")).select("contact_id", "m.*")
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from canvass.operators import clusters, containment, linkage
-from canvass.queries import rules
+from canvass.queries import matching, rules
 from canvass.sources import files
 
 from .conftest import SMALL
@@ -44,6 +44,19 @@ def test_names_without_zip_and_routes(spark):
     assert got == {1: ("name_exact", 1), 2: ("state_route", 7), 3: ("hyphenated", 8)}
 
 
+def test_a_whole_route_comes_before_a_part_of_it(spark, tmp_path):
+    """Route 1000400 holds the digits of 100040, and both lie in one county."""
+    keys = [5, 40, 45, 900400]
+    spark.createDataFrame([(k, "red gear") for k in keys], "p_partkey long, p_name string").write.parquet(f"{tmp_path}/part.parquet")
+    got = {(r.contact_id, r.match_county, r.parcel_id, r.method) for r in matching.route_hyphen_match(spark, str(tmp_path)).collect()}
+    assert got == {(k, f"C{k % 40}", k, "hyphenated" if k % 2 else "state_route") for k in keys}
+    con = spark.createDataFrame([(1, None, "a@b", None, None, None, "OH-560", None), (2, None, "a@b", None, None, None, "OH-5", None)], "contact_id int, county string, email string, first string, last string, phone string, address string, zip string")
+    dem = spark.createDataFrame([], "county string, parcel_id int, email string, full_name string, phone string, zip string")
+    res = spark.createDataFrame([("A", 1, "SR 56", "43001"), ("A", 2, "SR 560", "43001")], "county string, parcel_id int, address string, zip string")
+    # Of two texts that each hold the route in part, the least parcel, as before.
+    assert {(r.contact_id, r.parcel_id) for r in linkage.match_counties(con, dem, res).collect()} == {(1, 2), (2, 1)}
+
+
 def test_counties_in_order(spark):
     contact = "contact_id int, county string, email string, first string, last string, phone string, address string, zip string"
     con = spark.createDataFrame([(1, None, "a@b", None, None, None, "1 Elm Street", "43001"), (2, None, "a@b", None, None, None, "1 Elm Street", None), (3, None, None, None, None, None, "1 Elm Street", None)], contact)
