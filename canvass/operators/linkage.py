@@ -228,15 +228,35 @@ def name_key_match(contacts: DataFrame, demographic: DataFrame) -> DataFrame:
     return met.groupBy("contact_id", "county").agg(F.min(found).alias("m")).select("contact_id", "county", "m.parcel_id", (~F.col("m.k")).alias("with_zip"))
 
 
+#: An address of contacts: its county, its ZIP code or '' for all of the county, and the key.
+AT = ["county", "within", "address_key"]
+#: Parcels' addresses of one place and house number that are compared one by one; where there are more, by their pieces.
+FEW = 100
+
+
 def _alike(own: DataFrame, other: DataFrame) -> DataFrame:
-    """Contacts and parcels of one county and house number: of the contact's ZIP
-    code, or where it has none one of whose streets contains the other."""
-    known = own.join(other.withColumnRenamed("r_zip", "zip_key").withColumnRenamed("r_house", "house"), ["county", "zip_key", "house"])
-    mine = own.where("zip_key IS NULL").withColumns({"own": T.address_rest(F.col("address_key")), "around": F.lit(True)})
-    theirs = other.withColumnRenamed("r_house", "house").withColumns({"other": T.address_rest(F.col("r_key")), "around": F.lit(True)})
-    pairs = either(mine.select("county", "house", "own", "around"), theirs.select("county", "house", "other", "around"), ["county", "house"])
-    without = mine.drop("around").join(pairs, ["county", "house", "own"]).join(theirs.drop("around"), ["county", "house", "other"])
-    return known.unionByName(without.select(known.columns))
+    """Different addresses of contacts (``*AT``) and parcels (county, within, r_key)
+    that score, each pair once: ``*AT, r_key, s``.  They agree in the house number,
+    and one street contains the other; a number without a street is its own street."""
+    on = ["county", "within", "house"]
+    street = lambda c: F.coalesce(F.nullif(T.address_rest(F.col(c)), F.lit("")), F.col(c))
+    side = lambda rows, c, k: rows.distinct().select("*", T.house_number(F.col(c)).alias("house"), street(c).alias(k), F.lit(True).alias("around"))
+    mine, theirs = side(own.select(*AT), "address_key", "own"), side(other.select("county", "within", "r_key"), "r_key", "other")
+    few = theirs.groupBy(*on).agg((F.count("*") <= FEW).alias("few"))
+    mine, theirs = mine.join(few, on), theirs.join(few, on)
+    met = mine.where("few").join(theirs.where("few").select(*on, "r_key"), on).select(*AT, "r_key")
+    if not few.where("NOT few").isEmpty():
+        mine, theirs = mine.where("NOT few"), theirs.where("NOT few")
+        pairs = either(mine.select(*on, "own", "around"), theirs.select(*on, "other", "around"), on)
+        held = mine.select(*AT, "house", "own").join(pairs, [*on, "own"]).join(theirs.select(*on, "other", "r_key"), [*on, "other"])
+        met = met.unionByName(held.select(*AT, "r_key"))
+    return met.select(*AT, "r_key", T.fuzzy_score(F.col("address_key"), F.col("r_key")).alias("s")).where(F.col("s") > FUZZY_LEAST)
+
+
+def _first(hits: DataFrame, *keys: str) -> DataFrame:
+    """The hit of highest score, then least parcel, of each value of the keys."""
+    value = F.struct("parcel_id", "kind", "method", "score")
+    return hits.groupBy(*keys).agg(F.min_by(value, F.struct((-F.col("score")).alias("s"), F.col("parcel_id"))).alias("m")).select(*keys, "m.*")
 
 
 def score_cascade(contacts: DataFrame, demographic: DataFrame, residential: DataFrame, all_counties: bool = False) -> DataFrame:
@@ -244,26 +264,36 @@ def score_cascade(contacts: DataFrame, demographic: DataFrame, residential: Data
     A sure hit of the first or third kind wins at once; else the highest score,
     and of equal scores the earlier kind, then the smaller parcel.
 
+    Contacts that are alike in what a kind compares have the same hit of it, and
+    parcels that are alike are one, so no kind pairs contacts with parcels row by row.
+
     With ``all_counties`` a contact's own county doesn't count: the first county
     by name with a sure hit wins, else the highest score in any of them."""
     if all_counties:
         contacts, demographic, residential = contacts.withColumn("county", F.lit("")), _countyless(demographic), _countyless(residential)
     c, d, r = prepare(contacts, demographic, residential)
-    # Of parcels that are alike in what is compared, the least: it has the best hit.
-    both = _least(r.join(d, ["county", "parcel_id"]).select("county", "parcel_id", "r_zip", "r_key", "d_phone_key", "d_full_key"))
-    at = _alike(c.withColumn("house", T.house_number(F.col("address_key"))).where("house IS NOT NULL"), both.withColumn("r_house", T.house_number(F.col("r_key"))))
-    at = at.withColumn("s", T.fuzzy_score(F.col("address_key"), F.col("r_key"))).where(F.col("s") > FUZZY_LEAST)
-    # The dear join is read once: each of its rows gives up to three hits.
-    name = T.name_match(F.col("first_key"), F.col("last_key"), F.col("d_full_key"))
-    hit = lambda kind, method, score: F.struct(F.lit(kind).alias("kind"), F.lit(method).alias("method"), score.alias("score"))
-    three = F.array(
-        F.when(F.col("phone_key") == F.col("d_phone_key"), hit(0, "address_phone", F.col("s"))),
-        hit(1, "address", F.col("s")),
-        F.when(name.isNotNull(), hit(3, "name_address", F.when((F.col("s") == 1) & (name == "exact"), 1.0).otherwise(F.col("s") * 0.9))),
-    )
-    near = at.select("contact_id", "county", "parcel_id", F.inline(F.array_compact(three)))
+    housed = lambda rows, key: rows.where(T.house_number(F.col(key)).isNotNull())
+    own = housed(c, "address_key").withColumn("within", F.coalesce(F.col("zip_key").cast("string"), F.lit("")))
+    both = storage.kept(housed(r, "r_key").join(d, ["county", "parcel_id"]).select("county", "parcel_id", "r_zip", "r_key", "d_phone_key", "d_full_key"), "parcels")
+    # A parcel is met within its ZIP code, and within all of its county by contacts that have none.
+    within = F.explode(F.array_compact(F.array(F.col("r_zip").cast("string"), F.lit("")))).alias("within")
+    named = storage.kept(_least(both.select("county", "parcel_id", within, "r_key", "d_full_key")), "named")
+    alike = storage.kept(_alike(own, named), "alike")
+    at, name = ["county", "within", "r_key"], T.name_match(F.col("first_key"), F.col("last_key"), F.col("d_full_key"))
+    hit = lambda rows, kind, method, score: rows.select("*", F.lit(kind).alias("kind"), F.lit(method).alias("method"), score.alias("score"))
+    with_phone, with_name = own.where("phone_key IS NOT NULL"), own.where("first_key <> '' AND last_key <> ''")
+    phones = _least(both.where("d_phone_key IS NOT NULL").select("county", "parcel_id", F.col("r_zip").cast("string").alias("r_zip"), "r_key", F.col("d_phone_key").alias("phone_key")))
+    by_phone = alike.join(with_phone.select(*AT, "phone_key").distinct(), AT).join(phones, ["county", "r_key", "phone_key"]).where("within IN ('', r_zip)")
+    by_name = alike.join(with_name.select(*AT, "first_key", "last_key").distinct(), AT).join(named, at).withColumn("named", name).where("named IS NOT NULL")
+    kinds = [
+        (with_phone, [*AT, "phone_key"], hit(by_phone, 0, "address_phone", F.col("s"))),
+        (own, AT, hit(alike.join(_least(named.drop("d_full_key")), at), 1, "address", F.col("s"))),
+        (with_name, [*AT, "first_key", "last_key"], hit(by_name, 3, "name_address", F.when((F.col("s") == 1) & (F.col("named") == "exact"), 1.0).otherwise(F.col("s") * 0.9))),
+    ]
+    out = ["contact_id", "county", "parcel_id", "kind", "method", "score"]
+    near = [rows.join(_first(hits, *keys), keys).select(*out) for rows, keys, hits in kinds]
     phone = c.join(_least(d.select(F.col("county").alias("_county"), "parcel_id", "d_phone_key")), (F.col("county") == F.col("_county")) & (F.col("phone_key") == F.col("d_phone_key")))
-    every = near.unionByName(phone.select("contact_id", "county", "parcel_id", F.lit(2).alias("kind"), F.lit("phone").alias("method"), F.lit(1.0).alias("score")))
+    every = reduce(DataFrame.unionByName, [*near, hit(phone.select("contact_id", "county", "parcel_id"), 2, "phone", F.lit(1.0))])
     first = F.when((F.col("kind") == 0) & (F.col("score") == 1), 0).when(F.col("kind") == 2, 1).otherwise(2)
     order = F.struct(first.alias("f"), (-F.col("score")).alias("s"), F.col("kind"), F.col("county"), F.col("parcel_id"))
     if all_counties:

@@ -29,6 +29,19 @@ def test_alike_parcels_meet_a_contact_once(spark):
     assert {(r.parcel_id, r.method) for r in linkage.score_cascade(con, dem, res).collect()} == {(5, "address_phone")}
 
 
+@pytest.mark.parametrize("every", [True, False])
+def test_contacts_and_parcels_of_one_address_are_one_pair(spark, monkeypatch, every):
+    """Whatever their phones and names are, and with a ZIP code or without."""
+    pairs, alike = [], linkage._alike
+    monkeypatch.setattr(linkage, "_alike", lambda own, other: (rows := alike(own, other), pairs.append(rows.count()))[0])
+    con = spark.createDataFrame([(i, "A", None, "Ann", f"Lee{i}", f"61455501{i:02}", "1 Elm Street", "43001" if i % 2 else None) for i in range(30)], CONTACT)
+    dem = spark.createDataFrame([("A", i, None, f"ann lee{i}", f"61455501{i:02}", "43001") for i in range(5, 45)], "county string, parcel_id long, email string, full_name string, phone string, zip string")
+    res = spark.createDataFrame([("A", i, "1 Elm St.", "43001") for i in range(5, 45)], "county string, parcel_id long, address string, zip string")
+    got = {(r.contact_id, r.parcel_id, r.method) for r in linkage.score_cascade(con, dem, res, all_counties=every).collect()}
+    assert got == {(i, 5, "address") if i < 5 else (i, i, "address_phone") for i in range(30)}
+    assert pairs == [2]
+
+
 def test_names_are_grouped_before_they_join(spark):
     con = spark.createDataFrame([(1, "A", "Ann", "Lee", "43001"), (2, "A", "Ann", "Lee", "43009"), (3, "A", "Ann", "Lee", None), (4, "B", "Ann", "Lee", None)], "contact_id long, county string, first string, last string, zip string")
     dem = spark.createDataFrame([("A", 7, "ANN LEE", "43001"), ("A", 8, "ANN LEE", "43001"), ("A", 5, "ANN LEE", "43002")], "county string, parcel_id long, full_name string, zip string")
