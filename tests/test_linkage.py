@@ -1,5 +1,10 @@
 """The cascade on a small fixture that hits every strategy."""
 
+import random
+import re
+
+import pytest
+
 from canvass.operators import linkage
 
 DEM = [("A", 1, "x@e.org", "DOE JANE", "6145550100", "43001"), ("A", 2, None, "john smith", None, "43001"), ("B", 3, "x@e.org", "zed", "6145550100.0", "43001")]
@@ -59,3 +64,34 @@ def test_score_cascade_kinds(spark):
     assert got[4][:2] == ("address", 21)  # its score is higher than that of name with address
     assert 5 not in got
     assert got[6] == ("address", 22, 1.0, "good")
+
+
+def scored(a, b):
+    """Two addresses compared by plain Python."""
+    (x, m), (y, n) = ((re.match(r"\d+", t)[0], re.sub(r"^\d+", "", t).strip()) for t in (a, b))
+    return 1.0 if a == b else min(len(m), len(n)) / max(len(m), len(n)) if x == y and (m in n or n in m) else 0.0
+
+
+@pytest.mark.parametrize("few", [0, 100])
+def test_score_cascade_of_plain_loops(spark, monkeypatch, few):
+    monkeypatch.setattr(linkage, "FEW", few)
+    r = random.Random(few)
+    address = lambda: " ".join([r.choice("12"), *r.choice(["", "elm st", "elm st 5", "oak", "mill ln", "old mill ln"]).split()])
+    phone, zip_, county = (lambda of=of: r.choice(of) for of in (["", "6145550100", "6145550101"], ["43001", "43002", None], "AB"))
+    con = [contact(i, county(), phone=phone(), address=address(), zip_=zip_()) for i in range(60)]
+    parcels = [(county(), i, address(), phone(), zip_()) for i in range(50)]
+    d = spark.createDataFrame([(k, i, None, None, p, z) for k, i, _, p, z in parcels], "county string, parcel_id long, email string, full_name string, phone string, zip string")
+    e = spark.createDataFrame([(k, i, a, z) for k, i, a, _, z in parcels], "county string, parcel_id long, address string, zip string")
+    c = spark.createDataFrame(con, "contact_id long, county string, email string, first string, last string, phone string, address string, zip string")
+    want = {}
+    for n, at, *_, own, a, z in con:
+        hits = []
+        for k, i, b, p, other in parcels:
+            s = scored(a, b) if at == k and z in (None, other) else 0
+            same = at == k and own != "" and own == p
+            hits += [(0 if s == 1 else 2, -s, 0, k, i, "address_phone")] * (same and s > 0.7) + [(2, -s, 1, k, i, "address")] * (s > 0.7) + [(1, -1.0, 2, k, i, "phone")] * same
+        if hits:
+            _, s, _, *best = min(hits)
+            want[n] = (*best, round(-s, 6))
+    got = {m["contact_id"]: (m["county"], m["parcel_id"], m["method"], round(m["score"], 6)) for m in linkage.score_cascade(c, d, e).collect()}
+    assert got == want
